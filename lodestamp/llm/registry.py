@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, langid, linededup, mixing, quality, simhash, toxicity
+from . import ann, bpe, chat, langid, linededup, mixing, quality, simhash, suffixes, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffixes.query,
     "op2_line_dedup": linededup.query,
     "op3_chat_format": chat.query,
     "op4_bpe": bpe.query,

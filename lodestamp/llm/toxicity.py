@@ -31,7 +31,7 @@ from .labelled import sampled_labels
 TOKEN = re.compile(rb"[a-z\x80-\xff]+")
 PREFIXES = (6, 5, 4)
 PRIOR = 500.0  # pseudo-tokens of the prior
-DRIFT, MOST, LEAST, LEAST_DOCS = 0.3, 6.0, 1.0, 4
+DRIFT, MOST, LEAST, LEAST_DOCS = 0.3, 6.0, 3.0, 4
 SIGNIFICANT = 0.05
 MAX_LABELLED = 40_000
 MAX_FEATURES = 200_000
