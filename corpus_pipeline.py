@@ -28,15 +28,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one with the smallest id; of rows that share it, the one with the smallest fingerprint and text.
-
-    A component without any id keeps one row as well.
-    """
-    found = simhash.near_duplicates(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    joined = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id"))).select(*COLUMNS)
-    first = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    return joined.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*COLUMNS)
+    """One document of each component: the one with the smallest id (rows without one come last), then by hash of its text. Of wholly equal ones a single row stays."""
+    named = docs.select("*", F.xxhash64("text").alias("__t1"), F.xxhash64(F.lit("second"), "text").alias("__t2"))
+    found = simhash.near_duplicates(named, keep=("__t1", "__t2"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__t1", "__t2")).alias("m")
+    stay = found.groupBy("component_fp").agg(first).select(F.col("m.doc_id").alias("k0"), F.col("m.__t1").alias("k1"), F.col("m.__t2").alias("k2"))
+    joined = named.join(stay, F.col("doc_id").eqNullSafe(F.col("k0")) & (F.col("__t1") == F.col("k1")) & (F.col("__t2") == F.col("k2")))
+    same = Window.partitionBy("doc_id", "__t1", "__t2").orderBy("lang", "source", "n_chars")
+    return joined.withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

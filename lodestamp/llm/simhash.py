@@ -169,14 +169,14 @@ BINS = 64
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 3, radius: int = 3, shard_size: int = SHARD_SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: ``id_col``, ``keep``, ``fp`` and ``component_id``, the smallest id reachable over links."""
+    """One row per document: ``id_col``, ``keep``, ``fp``, ``component_fp`` (one fingerprint that names the component) and ``component_id``, the smallest id reachable over links."""
     printed = materialize(fingerprints(docs.select(id_col, text_col, *keep), text_col, words).select(id_col, "fp", *keep))
     classes = materialize(printed.groupBy("fp").agg(F.min(id_col).alias("least_id")))
     rooted = components(links(classes.select("fp"), radius, shard_size))
     rooted = materialize(rooted.join(classes, rooted["node"] == classes["fp"]).select("fp", "root", "least_id"))
-    named = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "component_id")
-    of_class = classes.join(named, "fp", "left").select(F.col("fp").alias("__fp"), F.coalesce("component_id", "least_id").alias("component_id"))
-    return printed.join(of_class, F.col("fp") == F.col("__fp")).select(id_col, *keep, "fp", "component_id")
+    named = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "root", "component_id")
+    of_class = classes.join(named, "fp", "left").select(F.col("fp").alias("__fp"), F.coalesce("root", "fp").alias("component_fp"), F.coalesce("component_id", "least_id").alias("component_id"))
+    return printed.join(of_class, F.col("fp") == F.col("__fp")).select(id_col, *keep, "fp", "component_fp", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
