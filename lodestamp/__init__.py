@@ -1,0 +1,23 @@
+"""Identification of assets from noisy readings, and the data work around it, as Spark jobs."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Gives the package to executors whose Python path lacks it, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="lodestamp-")) / "lodestamp.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))

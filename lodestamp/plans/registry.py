@@ -2,5 +2,244 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestamp.functions import serial as S
+from lodestamp.functions import text as T
+from lodestamp.operators import boxes, consensus, datasets, evaluate, fields, inventory, matching
+from lodestamp.plans import oracles
+from lodestamp.sources.fixtures import frame
+
+W, H = 2000.0, 400.0  # the frame of the box tables
+
+
+def on(table: str):
+    """A query over one derived table."""
+
+    def wrap(f):
+        return lambda spark, sf_dir: f(frame(spark, sf_dir, table))
+
+    return wrap
+
+
+def both(*tables: str):
+    def wrap(f):
+        return lambda spark, sf_dir: f(*[frame(spark, sf_dir, t) for t in tables])
+
+    return wrap
+
+
+def values(df: DataFrame) -> DataFrame:
+    """field_lines with the part behind the label."""
+    return df.withColumn("value", F.trim(F.get(F.split("text", "[:=]", 2), F.lit(1))))
+
+
+def measured(df: DataFrame) -> DataFrame:
+    v = F.col("text")
+    height = T.length_cm(v, T.HEIGHT_CM)
+    return df.select("image_id", "line_ord", T.number(T.clean_text(v)).alias("number"), T.weight_kg(v).alias("kg"), T.litres(v).alias("litres"), T.cubic_metres(v).alias("m3"), height["value"].alias("height"), height["warning"].alias("warning"))
+
+
+def dated(df: DataFrame) -> DataFrame:
+    v = F.col("text")
+    hydro = T.hydrostatic(v)
+    return df.select("image_id", "line_ord", T.month_year(v).alias("month_year"), T.year(v).alias("year"), hydro["date"].alias("ph_date"), hydro["period"].alias("ph_period"))
+
+
+def worded(df: DataFrame) -> DataFrame:
+    v = F.col("value")
+    return values(df).select("image_id", "line_ord", T.clean_text(v).alias("clean"), T.is_absent(v).alias("absent"), T.gas(v).alias("gas"), T.colour(v).alias("colour"), T.country(v).alias("country"), T.country(v, True).alias("country_strict"), T.measure_unit(v).alias("unit"))
+
+
+def serials(df: DataFrame) -> DataFrame:
+    k = S.serial_charset(F.col("text"))
+    return df.select("image_id", "variant_ord", k.alias("serial"), S.is_marking(F.col("text")).alias("marking"), S.allowed_errors(k).alias("budget"), S.canonical(k).alias("canonical"), F.array_join(F.array_sort(S.bigrams(k)), " ").alias("bigrams"), S.shape(k).alias("shape"))
+
+
+def distances(readings: DataFrame) -> DataFrame:
+    k = S.serial_charset(F.col("text"))
+    return readings.select("image_id", "variant_ord", S.weighted_edit_distance(k, F.col("truth_serial")).alias("distance"), S.substring_distance(F.col("truth_serial"), k).alias("inside"))
+
+
+def shapes(inv: DataFrame) -> DataFrame:
+    return inv.groupBy(S.shape(F.col("serial")).alias("shape")).agg(F.count("*").alias("n"))
+
+
+def entry_rows(inv: DataFrame) -> DataFrame:
+    e = inventory.entries(inv)
+    return e.select("serial", "ord", "brand", "size", F.array_join("assets", ",").alias("assets"), "is_duplicated", "is_too_short")
+
+
+def same_shape_pattern(inv: DataFrame) -> DataFrame:
+    return inventory.pattern(inv.where("serial like '__S______'"))
+
+
+def corrections(readings: DataFrame) -> DataFrame:
+    k = S.serial_charset(F.col("text"))
+    fixed = S.corrected(k, F.lit("DDADDDDDD"))
+    return readings.select("image_id", "variant_ord", fixed["text"].alias("text"), F.array_join(fixed["notes"], ";").alias("notes"), S.matches_pattern(fixed["text"], F.lit("DDADDDDDD"), F.lit(9), F.lit(9)).alias("valid"))
+
+
+def candidate_rows(readings: DataFrame, inv: DataFrame) -> DataFrame:
+    return consensus.candidates(readings, inventory.pattern(inv)).select("image_id", "variant_ord", "text", "confidence", "raw", "line_ord", "frag_ord", "valid")
+
+
+def consensus_rows(readings: DataFrame, inv: DataFrame) -> DataFrame:
+    return consensus.consensus(readings, inventory.pattern(inv)).select("image_id", "text", "n_votes", "n_variants", "mean_confidence", "valid", "score", "rank")
+
+
+def texts_of(readings: DataFrame) -> DataFrame:
+    return readings.select(S.serial_charset(F.col("text")).alias("text")).distinct()
+
+
+def exact_rows(readings: DataFrame, inv: DataFrame) -> DataFrame:
+    return matching.exact(texts_of(readings), inventory.entries(inv))
+
+
+def containing_rows(readings: DataFrame, inv: DataFrame) -> DataFrame:
+    return matching.containing(texts_of(readings).where("length(text) >= 6"), inventory.entries(inv)).select("text", "serial")
+
+
+def resolved_rows(readings: DataFrame, inv: DataFrame) -> DataFrame:
+    return matching.resolve(texts_of(readings), inventory.entries(inv))
+
+
+def searched_rows(readings: DataFrame, inv: DataFrame) -> DataFrame:
+    return matching.search(readings, inventory.entries(inv))
+
+
+def identified(readings: DataFrame, inv: DataFrame) -> DataFrame:
+    return matching.identify(readings, inventory.entries(inv), inventory.pattern(inv))
+
+
+def supported(readings: DataFrame, inv: DataFrame) -> DataFrame:
+    e = inventory.entries(inv)
+    return matching.support(matching.search(readings, e).where("status = 'matched'"), readings)
+
+
+def judged(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> DataFrame:
+    e = inventory.entries(inv)
+    rows = evaluate.decided(matching.identify(readings, e, inventory.pattern(inv)), e)
+    rows = truth.join(rows, "image_id", "left").withColumn("needs_review", F.coalesce("needs_review", F.lit(True)))
+    return rows.withColumn("outcome", evaluate.outcome(F.col("serial"), F.col("truth_serial"), F.col("needs_review")))
+
+
+def exact_judged(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> DataFrame:
+    """A cheap stand-in for identification that SQL can repeat: the best exact reading of each image."""
+    hit = readings.withColumn("read", S.serial_charset(F.col("text"))).join(inventory.entries(inv).select("serial"), F.col("read") == F.col("serial"))
+    best = hit.groupBy("image_id").agg(F.max_by("serial", F.struct("confidence", "serial")).alias("serial"), F.max("confidence").alias("confidence"))
+    return truth.join(best, "image_id", "left").withColumn("needs_review", F.coalesce(F.col("confidence") < 0.7, F.lit(True)))
+
+
+def outcome_rows(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> DataFrame:
+    rows = exact_judged(readings, inv, truth)
+    return evaluate.outcomes(rows.withColumn("outcome", evaluate.outcome(F.col("serial"), F.col("truth_serial"), F.col("needs_review"))))
+
+
+def observations(readings: DataFrame) -> DataFrame:
+    k = S.serial_charset(F.col("text"))
+    return readings.select((k != "").alias("has_read"), "confidence", (k == F.col("truth_serial")).alias("is_correct"))
+
+
+def error_rates(readings: DataFrame) -> DataFrame:
+    return readings.groupBy("condition").agg(F.round(F.avg(evaluate.error_rate(F.col("truth_serial"), S.serial_charset(F.col("text")))), 4).alias("cer"), F.count("*").alias("n"))
+
+
+def enriched_rows(inv: DataFrame, live: DataFrame, static: DataFrame) -> DataFrame:
+    rows = inv.select(F.col("ord").alias("image_id"), "serial", F.when(F.col("ord") % 3 == 0, F.col("brand")).alias("brand"), F.lit(None).cast("int").alias("size"))
+    first = lambda df: df.groupBy("serial").agg(F.min_by("brand", "ord").alias("brand"), F.min_by("size", "ord").alias("size"))
+    return evaluate.enriched(rows, first(static), first(live), ["brand", "size"])
+
+
+def record_rows(lines: DataFrame) -> DataFrame:
+    cards = lines.withColumn("line", F.col("text")).groupBy(F.col("image_id").alias("name")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_ord", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    cards = cards.withColumn("text", F.concat(F.lit("SERIE: 19S"), F.lpad(F.col("name").cast("string"), 6, "0"), F.lit("\n"), F.col("text")))
+    return fields.normalised_record(fields.described(cards))
+
+
+def record_flat(lines: DataFrame) -> DataFrame:
+    return record_rows(lines).withColumn("issues", F.array_join("issues", ","))
+
+
+def form_rows(lines: DataFrame) -> DataFrame:
+    return fields.app_form(record_rows(lines))
+
+
+def lines_of(b: DataFrame) -> DataFrame:
+    return b.select("image_id", F.col("box_ord").alias("ord"), F.concat(F.lit("T"), F.col("box_ord").cast("string")).alias("text"), "confidence", "x1", "y1", "x2", "y2")
+
+
+def normalised_boxes(b: DataFrame) -> DataFrame:
+    return b.select("image_id", "box_ord", *[F.round(c, 6).alias(n) for c, n in zip(boxes.normalised(W, H), ("cx", "cy", "w", "h"), strict=True)])
+
+
+def predicted(b: DataFrame) -> DataFrame:
+    return b.select("image_id", "box_ord", "class_id", "confidence", (F.col("x1") + F.col("shift")).alias("x1"), "y1", (F.col("x2") + F.col("shift")).alias("x2"), "y2")
+
+
+def matched_boxes(b: DataFrame) -> DataFrame:
+    return boxes.match_boxes(predicted(b), b).select("image_id", "class_id", "p_ord", "t_ord", F.round("iou", 6).alias("iou"), "is_hit")
+
+
+def located(readings: DataFrame, truth: DataFrame) -> DataFrame:
+    rows = readings.select("image_id", (F.col("variant_ord") * 10 + F.col("line_ord")).alias("ord"), "text", "confidence", F.lit(100.0).alias("x1"), F.lit(10.0).alias("y1"), F.lit(300.0).alias("x2"), F.lit(50.0).alias("y2"))
+    return boxes.locate_expected(rows, truth.select("image_id", "truth_serial"), 400.0).select("image_id", "ord", "text", "distance")
+
+
+def weak(readings: DataFrame, truth: DataFrame) -> DataFrame:
+    return datasets.weak_coverage(located(readings, truth), truth)
+
+
+def topped(groups: DataFrame) -> DataFrame:
+    start = groups.withColumn("split", F.when(F.col("group_id") % 10 == 0, "val").when(F.col("group_id") % 10 == 1, "test").otherwise("train"))
+    return datasets.top_up(start, 60)
+
+
+def image_rows(audit: DataFrame) -> DataFrame:
+    return audit.select(F.col("asset").alias("image_id"), F.col("grp").alias("group_id"))
+
+
+def pending(audit: DataFrame) -> DataFrame:
+    rows = image_rows(audit)
+    return datasets.unlabelled(rows, rows.where("image_id % 3 = 0"), rows.where("group_id in ('src0', 'src1', 'src2')"))
+
+
+def options(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> DataFrame:
+    return evaluate.top_k(truth.join(matching.search(readings, inventory.entries(inv)), "image_id", "left"))
+
+
+def monitored(events: DataFrame) -> DataFrame:
+    from lodestamp.streaming.flow import monitor
+
+    return monitor(events.select("ts", F.col("event_type").alias("status")))
+
+
+QUERIES = {
+    "n1_n14_words": on("field_lines")(worded), "n6_n13_dates": on("field_lines")(dated), "n8_n11_measures": on("field_lines")(measured),
+    "k1_k3_k9_serials": on("readings")(serials), "k5_pattern": on("inventory")(inventory.pattern), "k5_mask": on("inventory")(same_shape_pattern), "k6_corrections": on("readings")(corrections),
+    "k7_candidates": both("readings", "inventory")(candidate_rows), "k8_k10_distances": on("readings")(distances), "k11_shapes": on("inventory")(shapes),
+    "f_stated": on("field_lines")(fields.stated), "f7_wide": on("field_lines")(lambda df: fields.wide(fields.stated(df))), "r1_r4_records": on("field_lines")(record_flat), "r3_form": on("field_lines")(form_rows),
+    "a1_entries": on("inventory")(entry_rows), "a2_consensus": both("readings", "inventory")(consensus_rows), "a3_support": both("readings", "inventory")(supported),
+    "j1_exact": both("readings", "inventory")(exact_rows), "j2_containing": both("readings", "inventory")(containing_rows), "j3_resolve": both("readings", "inventory")(resolved_rows),
+    "j4_search": both("readings", "inventory")(searched_rows), "j5_identify": both("readings", "inventory")(identified), "d1_decisions": both("readings", "inventory", "truth")(judged),
+    "j7_merge": both("live", "static")(inventory.merge), "j8_insertable": both("inventory", "live")(lambda i, e: inventory.insertable(i, e).select("ord", "serial")), "j9_j10_enrich": both("inventory", "live", "static")(enriched_rows),
+    "a10_coverage": on("field_lines")(lambda df: inventory.coverage(fields.wide(fields.stated(df)), ["peso", "color", "ph", "procedencia", "tipo_gas"])), "a11_duplicated": on("inventory")(inventory.duplicated),
+    "a22_alphabet": on("inventory")(lambda i: inventory.outside_alphabet(i, "0123456789")), "a23_sync": both("live", "static")(lambda a, b: inventory.sync_status(inventory.merge(a, b))),
+    "a5_duplicates": on("audit")(datasets.duplicates), "a6_counts": on("audit")(datasets.counts), "a7_quality": on("audit")(datasets.quality_summary), "a8_readiness": on("audit")(datasets.readiness),
+    "p4_low_quality": on("audit")(lambda a: datasets.low_quality(a).select("asset")), "a12_outcomes": both("readings", "inventory", "truth")(outcome_rows), "a16_error_rate": on("readings")(error_rates),
+    "a17_latency": on("events")(lambda e: evaluate.latency(e, "value")), "a19_sweep": on("readings")(lambda r: evaluate.sweep(observations(r))), "a20_recommend": on("readings")(lambda r: evaluate.recommend(evaluate.sweep(observations(r)), 0.2)),
+    "a21_top_k": both("readings", "inventory", "truth")(options), "w4_split": on("groups")(datasets.balanced_split), "w5_top_up": on("groups")(topped), "a15_manifest": on("groups")(lambda g: datasets.manifest(datasets.balanced_split(g))),
+    "g1_join": on("boxes")(lambda b: boxes.join_split(lines_of(b))), "g2_merge": on("boxes")(lambda b: boxes.merge_fragments(lines_of(b))), "g3_normalised": on("boxes")(normalised_boxes),
+    "g4_expanded": on("boxes")(lambda b: b.select("image_id", "box_ord", *boxes.expanded(W, H))), "g5_crop": on("boxes")(lambda b: b.select("image_id", "box_ord", *boxes.crop(W, H))),
+    "g6_reprojected": on("boxes")(lambda b: b.select("image_id", "box_ord", *boxes.reprojected(F.lit(2.0), F.lit(0.5), F.lit(10.0), F.lit(-3.0)))), "p1_plausible": on("boxes")(lambda b: boxes.plausible(b).select("image_id", "box_ord")),
+    "j12_pending": on("audit")(pending), "j14_located": both("readings", "truth")(located), "a14_weak_coverage": both("readings", "truth")(weak), "j15_match_boxes": on("boxes")(matched_boxes),
+    "a18_precision": on("boxes")(lambda b: boxes.average_precision(boxes.match_boxes(predicted(b), b), b)), "a24_pseudo": on("boxes")(lambda b: datasets.pseudo_labels(b.withColumn("condition", F.col("box_ord") % 3))),
+    "t5_monitor": on("events")(monitored),
+}
+
+ORACLES = oracles.SQL
+
+
+def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return QUERIES[name](spark, sf_dir)

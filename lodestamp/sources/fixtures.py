@@ -41,10 +41,10 @@ TABLES = {
           ELSE concat('ALTURA: ', CASE l_partkey % 5 WHEN 0 THEN '1.21 CM' WHEN 1 THEN '130,5' WHEN 2 THEN '1300 mm' WHEN 3 THEN '55 in' ELSE '9999 CM' END) END AS text
       FROM {lineitem}""",
     "boxes": """
-      SELECT l_orderkey AS image_id, l_linenumber AS box_ord, CAST(200 * l_linenumber + l_partkey % 60 AS DOUBLE) AS x1, CAST(100 + 60 * (l_linenumber % 3) AS DOUBLE) AS y1,
-        CAST(200 * l_linenumber + l_partkey % 60 + CASE WHEN (l_orderkey + l_linenumber) % 11 = 0 THEN 10 ELSE 120 END AS DOUBLE) AS x2, CAST(100 + 60 * (l_linenumber % 3) + 20 + l_suppkey % 20 AS DOUBLE) AS y2,
-        l_partkey % 15 AS shift, CAST(50 + l_suppkey % 50 AS DOUBLE) / 100 AS confidence, CAST(l_partkey % 2 AS INT) AS class_id
-      FROM {lineitem}""",
+      SELECT l_orderkey AS image_id, l_linenumber AS box_ord, CAST(160 * l_linenumber + l_partkey % 60 AS DOUBLE) AS x1, CAST(100 + 60 * floor((l_linenumber - 1) / 3) AS DOUBLE) AS y1,
+        CAST(160 * l_linenumber + l_partkey % 60 + CASE WHEN (l_orderkey + l_linenumber) % 11 = 0 THEN 10 ELSE 120 END AS DOUBLE) AS x2, CAST(100 + 60 * floor((l_linenumber - 1) / 3) + 20 + l_suppkey % 20 AS DOUBLE) AS y2,
+        l_partkey % 15 AS shift, CAST(50 + (l_suppkey * 7) % 50 AS DOUBLE) / 100 AS confidence, CAST(l_partkey % 2 AS INT) AS class_id
+      FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM {lineitem} GROUP BY l_orderkey, l_linenumber) l""",
     "audit": """
       SELECT doc_id AS asset, source AS grp, lang AS condition, sha1 AS digest, n_chars AS width, CAST(doc_id % 260 AS DOUBLE) AS brightness, CAST(10 + doc_id % 60 AS DOUBLE) AS contrast, CAST(30 + doc_id % 400 AS DOUBLE) AS blur
       FROM (SELECT *, md5(text) AS sha1 FROM {documents}) d""",
