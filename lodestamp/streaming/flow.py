@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestamp.operators.inventory import entries, pattern
 from lodestamp.operators.matching import identify
+from lodestamp.sources.lineage import materialize
 
 
 class Snapshot:
@@ -39,7 +40,7 @@ def identify_stream(readings: DataFrame, snapshot: Snapshot, log_path: str, chec
 
     def batch(df: DataFrame, n: int) -> None:
         inventory = snapshot.current()
-        rows = df.withColumn("image_id", F.col("request_id"))
+        rows = materialize(df.select(F.col("request_id").alias("image_id"), "variant_ord", "line_ord", "text", "confidence", "ts"))
         answers = identify(rows, entries(inventory, ()), pattern(inventory))
         stamped = answers.join(rows.groupBy("image_id").agg(F.min("ts").alias("ts")), "image_id")
         stamped.withColumn("day", F.to_date("ts")).write.mode("overwrite").partitionBy("day").json(f"{log_path}/batch={n}")
