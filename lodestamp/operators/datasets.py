@@ -125,3 +125,16 @@ def crop_funnel(boxes: DataFrame, truth: DataFrame, splits: DataFrame, least_w:
 def pseudo_labels(pred: DataFrame, least: float = 0.70, classes: tuple[int, ...] = (0, 1)) -> DataFrame:
     """Accepted predictions per class and condition."""
     return pred.where((F.col("confidence") >= least) & F.col("class_id").isin(*classes)).groupBy("class_id", "condition").agg(F.count("*").alias("n"))
+
+
+def assembled(items: DataFrame, labels: DataFrame, least_train: int = 100) -> DataFrame:
+    """Labelled and unlabelled items per split and a verdict. items: image_id, split; labels: image_id."""
+    marked = items.join(labels.select("image_id").distinct().withColumn("has", F.lit(1)), "image_id", "left")
+    rows = marked.groupBy("split").agg(F.sum(F.coalesce("has", F.lit(0))).alias("n_labelled"), F.sum(F.when(F.col("has").isNull(), 1).otherwise(0)).alias("n_unlabelled"))
+    verdict = F.when(F.col("n_labelled") == 0, "not_trainable").when((F.col("split") == "train") & (F.col("n_labelled") < least_train), "few_labels").otherwise("ok")
+    return rows.withColumn("verdict", verdict)
+
+
+def work_list(images: DataFrame, offset: int, limit: int) -> DataFrame:
+    """A slice of the sorted work."""
+    return images.orderBy("image_id").offset(offset).limit(limit)

@@ -182,4 +182,11 @@ SQL = {
       r AS (SELECT group_id, have + coalesce(sum(n_labelled) OVER (ORDER BY n_labelled, group_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 60 AS moved FROM a, h WHERE split = 'train' AND n_labelled > 0)
       SELECT a.group_id, n_labelled::BIGINT AS n_labelled, CASE WHEN coalesce(moved, false) THEN 'val' ELSE split END AS split, coalesce(moved, false) AS moved FROM a LEFT JOIN r USING (group_id)""",
     "t5_monitor": "SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type AS status, count(*) AS n FROM events GROUP BY ALL",
+    "a13_funnel": f"{cte('boxes')} SELECT CASE WHEN image_id % 5 = 0 THEN 'no_truth' WHEN x2 - x1 < 48 OR y2 - y1 < 12 THEN 'too_small' ELSE 'used' END AS reason, CASE WHEN image_id % 4 = 0 THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM boxes GROUP BY ALL",
+    "a25_assembled": f"{cte('audit')}, r AS (SELECT CASE WHEN asset % 10 < 7 THEN 'train' WHEN asset % 10 < 9 THEN 'val' ELSE 'test' END AS split, count(*) FILTER (WHERE asset % 3 = 0) AS n_labelled, count(*) FILTER (WHERE asset % 3 <> 0) AS n_unlabelled FROM audit GROUP BY 1) SELECT *, CASE WHEN n_labelled = 0 THEN 'not_trainable' WHEN split = 'train' AND n_labelled < 100 THEN 'few_labels' ELSE 'ok' END AS verdict FROM r",
+    "w8_work_list": f"{cte('audit')} SELECT asset AS image_id, grp AS group_id FROM audit ORDER BY asset LIMIT 50 OFFSET 10",
+    "r2_live": f"""{cte('inventory')} SELECT 'cilindros#' || ord AS name, {charset('serial')} AS numero_serie, upper(brand) AS marca, '2019-0' || (1 + ord % 9) AS fecha_fabricacion, 2019 AS anio_fabricacion, CASE WHEN ord % 2 = 0 THEN 'O2' ELSE 'ACET' END AS tipo_gas, 'KG' AS unidad_medida,
+      CASE WHEN size > 0 AND size < 500 THEN size::DOUBLE END AS peso, CASE WHEN ord % 2 = 0 THEN 40.5 ELSE 33.0 END::DOUBLE AS litros, NULL::DOUBLE AS m3, NULL::DOUBLE AS ancho_diametro, NULL::DOUBLE AS largo_altura, 'verde' AS color, NULL::VARCHAR AS ph, 10 AS ph_periodicidad_anios, 'CHN' AS procedencia FROM inventory WHERE {charset('serial')} <> ''""",
+    "d5_g7_payload": f"{cte('readings', 'inventory')}, {ENTRIES} SELECT image_id, CASE WHEN e.serial IS NULL THEN 'not_found' ELSE 'matched' END AS status, e.serial, CASE WHEN e.serial IS NOT NULL THEN 0.0::DOUBLE END AS distance FROM readings r LEFT JOIN e ON {charset('r.text')} = e.serial WHERE variant_ord = 0",
+    "u2_u4_sets": f"{cte('live', 'static')}, a AS (SELECT DISTINCT serial FROM live), b AS (SELECT DISTINCT serial FROM static) SELECT (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) AS n_union, (SELECT count(*) FROM a WHERE serial IN (SELECT serial FROM b)) AS n_both, (SELECT count(*) FROM a WHERE serial NOT IN (SELECT serial FROM b)) AS n_first_only, (SELECT count(*) FROM b WHERE serial NOT IN (SELECT serial FROM a)) AS n_second_only",
 }

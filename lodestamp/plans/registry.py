@@ -209,6 +209,29 @@ def options(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> DataFrame:
     return evaluate.top_k(truth.join(matching.search(readings, inventory.entries(inv)), "image_id", "left"))
 
 
+def funnel(b: DataFrame, groups: DataFrame) -> DataFrame:
+    truth = b.select("image_id").distinct().where("image_id % 5 <> 0").withColumn("truth_serial", F.lit("x"))
+    splits = b.select(F.col("image_id").alias("group_id")).distinct().withColumn("split", F.when(F.col("group_id") % 4 == 0, "val").otherwise("train"))
+    return datasets.crop_funnel(b, truth, splits)
+
+
+def assembled_rows(audit: DataFrame) -> DataFrame:
+    rows = image_rows(audit).withColumn("split", F.when(F.col("image_id") % 10 < 7, "train").when(F.col("image_id") % 10 < 9, "val").otherwise("test"))
+    return datasets.assembled(rows, rows.where("image_id % 3 = 0"))
+
+
+def live_rows(inv: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
+    live = inv.select(F.col("ord").alias("id"), F.col("serial").alias("numero_serie"), F.col("brand").alias("marca"), F.concat(F.lit("0"), (1 + F.col("ord") % 9).cast("string"), F.lit("/2019")).alias("anio_fabricacion"), F.when(F.col("ord") % 2 == 0, "OXÍGENO").otherwise("ACETILENO").alias("tipo_gas"), F.lit("KG").alias("unidad_medida"), F.col("size").alias("peso"), none.alias("ancho_diametro"), none.alias("largo_altura"), F.when(F.col("ord") % 2 == 0, F.lit(40.5)).alias("litros"), F.lit(33.0).alias("contenido"), F.lit("verde").alias("color"), F.lit("CADA 10 AÑOS PH").alias("ph"), F.lit("CHINA").alias("procedencia"))
+    return fields.live_record(live).drop("issues")
+
+
+def payloads(readings: DataFrame, inv: DataFrame) -> DataFrame:
+    k = S.serial_charset(F.col("text"))
+    rows = readings.where("variant_ord = 0").join(inventory.entries(inv).select("serial"), k == F.col("serial"), "left").select("image_id", F.when(F.col("serial").isNotNull(), "matched").otherwise("not_found").alias("status"), "serial", F.when(F.col("serial").isNotNull(), F.lit(0.0)).alias("distance"))
+    return evaluate.read_payload(evaluate.audit_payload(rows))
+
+
 def monitored(events: DataFrame) -> DataFrame:
     from lodestamp.streaming.flow import monitor
 
@@ -235,7 +258,8 @@ QUERIES = {
     "g6_reprojected": on("boxes")(lambda b: b.select("image_id", "box_ord", *boxes.reprojected(F.lit(2.0), F.lit(0.5), F.lit(10.0), F.lit(-3.0)))), "p1_plausible": on("boxes")(lambda b: boxes.plausible(b).select("image_id", "box_ord")),
     "j12_pending": on("audit")(pending), "j14_located": both("readings", "truth")(located), "a14_weak_coverage": both("readings", "truth")(weak), "j15_match_boxes": on("boxes")(matched_boxes),
     "a18_precision": on("boxes")(lambda b: boxes.average_precision(boxes.match_boxes(predicted(b), b), b)), "a24_pseudo": on("boxes")(lambda b: datasets.pseudo_labels(b.withColumn("condition", F.col("box_ord") % 3))),
-    "t5_monitor": on("events")(monitored),
+    "t5_monitor": on("events")(monitored), "a13_funnel": both("boxes", "groups")(funnel), "a25_assembled": on("audit")(assembled_rows), "w8_work_list": on("audit")(lambda a: datasets.work_list(image_rows(a), 10, 50)),
+    "r2_live": on("inventory")(live_rows), "d5_g7_payload": both("readings", "inventory")(payloads), "u2_u4_sets": both("live", "static")(evaluate.set_sizes),
 }
 
 ORACLES = oracles.SQL
