@@ -28,14 +28,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest id (rows without one come last), then by hash of its text. Of wholly equal ones a single row stays."""
-    named = docs.select("*", F.xxhash64("text").alias("__t1"), F.xxhash64(F.lit("second"), "text").alias("__t2"))
-    found = simhash.near_duplicates(named, keep=("__t1", "__t2"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__t1", "__t2")).alias("m")
-    stay = found.groupBy("component_fp").agg(first).select(F.col("m.doc_id").alias("k0"), F.col("m.__t1").alias("k1"), F.col("m.__t2").alias("k2"))
-    joined = named.join(stay, F.col("doc_id").eqNullSafe(F.col("k0")) & (F.col("__t1") == F.col("k1")) & (F.col("__t2") == F.col("k2")))
-    same = Window.partitionBy("doc_id", "__t1", "__t2").orderBy("lang", "source", "n_chars")
-    return joined.withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*COLUMNS)
+    """One document of each component: the one with the smallest id (rows without one come last), then by hash of its text. Of rows with equal id and text a single one stays.
+
+    Two hashes of id and text are the key of both the join and the window, so texts are shuffled once.
+    """
+    whole = [F.col("doc_id").isNull(), F.col("doc_id"), F.col("text").isNull(), F.col("text")]
+    named = docs.select("*", F.xxhash64(*whole).alias("__k1"), F.xxhash64(F.lit("second"), *whole).alias("__k2"))
+    found = simhash.near_duplicates(named, keep=("__k1", "__k2"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__k1", "__k2")).alias("m")
+    stay = found.groupBy("component_fp").agg(first).select(F.col("m.__k1").alias("__k1"), F.col("m.__k2").alias("__k2"))
+    same = Window.partitionBy("__k1", "__k2").orderBy("lang", "source", "n_chars")
+    return named.join(stay, ["__k1", "__k2"]).withColumn("__n", F.row_number().over(same)).where("__n = 1").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
