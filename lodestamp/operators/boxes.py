@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,25 +67,32 @@ def merged_rows(boxes: list[dict]) -> list[dict]:
     return [{"text": None, "confidence": round(max(b["confidence"] for b in x), 4), "x1": min(b["x1"] for b in x), "y1": min(b["y1"] for b in x), "x2": max(b["x2"] for b in x), "y2": max(b["y2"] for b in x), "n_boxes": len(x)} for x in lines]
 
 
-LINE = "image_id long, line_no long, text string, confidence double, x1 double, y1 double, x2 double, y2 double, n_boxes long"
+BOX = ("ord", "text", "confidence", "x1", "y1", "x2", "y2")
+LINE_ITEM = "array<struct<text:string,confidence:double,x1:double,y1:double,x2:double,y2:double,n_boxes:bigint>>"
 
 
-def _per_image(rows_of):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = rows_of(pdf.to_dict("records"))
-        return pd.DataFrame([{"image_id": pdf["image_id"].iloc[0], "line_no": i, **x} for i, x in enumerate(found)], columns=["image_id", "line_no", "text", "confidence", "x1", "y1", "x2", "y2", "n_boxes"])
+def _per_image(boxes: DataFrame, rows_of) -> DataFrame:
+    """The kernel on each image's list of boxes. Lists travel in Arrow batches of many images, for one photograph has few boxes."""
+    from pyspark.sql.functions import arrow_udf
 
-    return run
+    kind = pa.list_(pa.struct([("text", pa.string()), ("confidence", pa.float64()), *[(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")], ("n_boxes", pa.int64())]))
+
+    @arrow_udf(LINE_ITEM)
+    def lines(lists: pa.Array) -> pa.Array:
+        return pa.array([rows_of(x) for x in lists.to_pylist()], kind)
+
+    packed = boxes.where("x1 is not null").groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*BOX))).alias("b"))
+    return packed.select("image_id", F.posexplode(lines(F.col("b"))).alias("line_no", "l")).select("image_id", F.col("line_no").cast("long").alias("line_no"), "l.*")
 
 
 def join_split(boxes: DataFrame) -> DataFrame:
-    """G1. boxes: image_id, ord, text, confidence, x1, y1, x2, y2. An image is one photograph, so its boxes are few."""
-    return boxes.where("x1 is not null").groupBy("image_id").applyInPandas(_per_image(joined_rows), LINE)
+    """G1. boxes: image_id, ord, text, confidence, x1, y1, x2, y2."""
+    return _per_image(boxes, joined_rows)
 
 
 def merge_fragments(boxes: DataFrame) -> DataFrame:
-    """G2, by the same kernel."""
-    return boxes.where("x1 is not null").groupBy("image_id").applyInPandas(_per_image(merged_rows), LINE)
+    """G2, by the same way."""
+    return _per_image(boxes, merged_rows)
 
 
 def normalised(width: float, height: float) -> list[Column]:
