@@ -5,8 +5,9 @@ leaf and indexed. A query walks the tree with a priority queue of unexplored bra
 it an order of leaves. How many leaves are visited is calibrated: ``calibration`` queries are compared with all vectors,
 and the number of leaves widens until ``target_recall`` of their true neighbours is reached.
 
-Equal vectors are one point that keeps its ``k + 1`` smallest ids: a query's neighbours can't need more of them. Leaves and
-the queries that visit them are cut into blocks of bounded size, each pair of blocks a task's group.
+Equal vectors are one point that keeps its ``k + 1`` smallest ids: a query's neighbours can't need more of them. Neighbouring
+leaves are packed into blocks of bounded size and large ones are cut; a query goes once to each block in which it visits leaves, and
+looks at no other leaves there. Queries of a block are cut as well, each pair of blocks being a task's group.
 Scores are computed in double precision on the original vectors; ties go to the smaller id.
 
 Vectors that are null, empty, zero, of another length than the most frequent one, or with null or non-finite components take no part. Rows
@@ -28,7 +29,7 @@ from .common import materialize
 
 MAX_SAMPLE = 20_000
 LEAF, BRANCH = 64, 8
-BLOCK_ROWS, BLOCK_QUERIES = 20_000, 2_000
+BLOCK_ROWS, BLOCK_QUERIES, AT_ONCE = 10_000, 4_000, 128
 
 
 class Tree:
@@ -135,14 +136,22 @@ def exact(queries: np.ndarray, rows: np.ndarray, at: np.ndarray, of: np.ndarray)
     return (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
 
 
-def nearest_in_block(queries: np.ndarray, rows: np.ndarray, ids: list, m: int) -> Iterator[tuple[int, int, float]]:
-    """(query number, id, score) of the ``m`` nearest ids of each query: a matrix product finds them, a pairwise sum scores them."""
+def nearest_in_block(queries: np.ndarray, rows: np.ndarray, ids: list, m: int, leaf: np.ndarray | None = None, visited: list | None = None) -> Iterator[tuple[int, int, float]]:
+    """(query number, id, score) of the ``m`` nearest ids of each query: a matrix product finds them, a pairwise sum scores them.
+
+    With ``leaf`` (of each row) and ``visited`` (leaves of each query) a query sees only rows of leaves it visits.
+    """
     uq, ur = unit(queries), unit(rows)
-    for at in range(0, len(uq), 256):
-        near = uq[at : at + 256] @ ur.T
+    if leaf is not None:
+        names, leaf = np.unique(leaf, return_inverse=True)
+    for at in range(0, len(uq), AT_ONCE):
+        near = uq[at : at + AT_ONCE] @ ur.T
+        if leaf is not None:
+            allowed = np.stack([np.isin(names, v) for v in visited[at : at + AT_ONCE]])
+            near[~allowed[:, leaf]] = -np.inf
         keep = min(m, near.shape[1])
         floor = np.partition(near, near.shape[1] - keep, axis=1)[:, near.shape[1] - keep] - 1e-9
-        q, r = np.nonzero(near >= floor[:, None])
+        q, r = np.nonzero((near >= floor[:, None]) & (near > -np.inf))
         s = exact(queries, rows, q + at, r)
         found: dict[int, list] = {}
         for i, j, x in zip(q.tolist(), r.tolist(), s.tolist(), strict=True):
@@ -155,38 +164,60 @@ def nearest_in_block(queries: np.ndarray, rows: np.ndarray, ids: list, m: int) -
 def search_block(m: int):
     def search(key, asking: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         empty = not len(asking) or not len(rows)
-        found = [] if empty else list(nearest_in_block(matrix(asking["vec"]), matrix(rows["vec"]), [list(x) for x in rows["ids"]], m))
+        found = [] if empty else list(nearest_in_block(matrix(asking["vec"]), matrix(rows["vec"]), [list(x) for x in rows["ids"]], m, rows["leaf"].to_numpy(), list(asking["leaves"])))
         names = asking["point"].to_numpy()
         return pd.DataFrame({"point": [int(names[i]) for i, _, _ in found], "vec_id": [int(v) for _, v, _ in found], "score": [float(s) for _, _, s in found]}).astype({"point": "int64", "vec_id": "int64", "score": "float64"})
 
     return search
 
 
-def cut(df: DataFrame, by: str, most: int) -> tuple[DataFrame, DataFrame]:
-    """``df`` with a block number within ``by`` so that blocks have about ``most`` rows; and the number of blocks of each ``by``."""
-    sizes = df.groupBy(by).agg(F.ceil(F.count("*") / most).cast("int").alias("n"))
-    joined = df.join(F.broadcast(sizes.withColumnRenamed(by, "__by")), F.col(by) == F.col("__by")).drop("__by")
-    return joined.withColumn("block", F.pmod(F.xxhash64("point", F.lit(by)), F.col("n")).cast("int")).drop("n"), sizes
+def pack(sizes: dict[int, int], n_leaves: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each leaf: neighbours in the tree share a block until it is full, a large leaf has several of its own."""
+    start, parts = np.zeros(n_leaves, np.int64), np.ones(n_leaves, np.int64)
+    block, held = 0, 0
+    for leaf in range(n_leaves):
+        n = sizes.get(leaf, 0)
+        if n > BLOCK_ROWS:
+            block += held > 0
+            start[leaf], parts[leaf] = block, -(-n // BLOCK_ROWS)
+            block, held = block + int(parts[leaf]), 0
+            continue
+        if held + n > BLOCK_ROWS:
+            block, held = block + 1, 0
+        start[leaf] = block
+        held += n
+    return start, parts
 
 
 def search(asking: DataFrame, index: DataFrame, tree, visits: int, m: int) -> DataFrame:
-    """(point, vec_id, score): each asked point's ``m`` nearest ids of every pair of blocks it takes part in. The number of leaves bounds what is broadcast."""
+    """(point, vec_id, score): each asked point's ``m`` nearest ids of every block it goes to. One count per leaf comes to the driver."""
+    spark = asking.sparkSession
+    sizes = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    start, parts = pack(sizes, tree.value.n_leaves)
+    places = spark.sparkContext.broadcast((start, parts))
 
     def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        start, parts = places.value
         for pdf in batches:
-            if len(pdf):
-                found = [tree.value.leaves(v, visits) for v in unit(matrix(pdf["vec"]))]
-                yield pdf.loc[pdf.index.repeat([len(f) for f in found]), ["point", "vec"]].assign(leaf=np.concatenate(found).astype(np.int64))
-
-    visiting = asking.select("point", "vec").mapInPandas(order, "point long, vec array<double>, leaf long")
-    blocks, n_rows = cut(index, "leaf", BLOCK_ROWS)
-    asked, n_asked = cut(visiting, "leaf", BLOCK_QUERIES)
-    asked = asked.withColumnRenamed("block", "ask_block").join(F.broadcast(n_rows.select(F.col("leaf").alias("l"), F.col("n").alias("n_blocks"))), F.col("leaf") == F.col("l"))
-    asked = asked.select("point", "vec", "leaf", "ask_block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
-    rows = blocks.join(F.broadcast(n_asked.select(F.col("leaf").alias("l"), F.col("n").alias("n_asked"))), F.col("leaf") == F.col("l"))
-    rows = rows.select("vec", "ids", "leaf", "block", F.explode(F.sequence(F.lit(0), F.col("n_asked") - 1)).alias("ask_block"))
-    keys = ["leaf", "block", "ask_block"]
-    return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(search_block(m), "point long, vec_id long, score double")
+            for at in range(0, len(pdf), 200):
+                part, out = pdf.iloc[at : at + 200], []
+                for point, vec, u in zip(part["point"], part["vec"], unit(matrix(part["vec"])), strict=True):
+                    leaves = np.array(tree.value.leaves(u, visits), np.int64)
+                    blocks: dict[int, list] = {}
+                    for leaf in leaves.tolist():
+                        for b in range(start[leaf], start[leaf] + parts[leaf]):
+                            blocks.setdefault(int(b), []).append(leaf)
+                    out.extend((point, vec, b, x) for b, x in blocks.items())
+                yield pd.DataFrame(out, columns=["point", "vec", "block", "leaves"])
+
+    visiting = materialize(asking.select("point", "vec").repartition("point").mapInPandas(order, "point long, vec array<double>, block long, leaves array<long>"))
+    asked = visiting.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("n_asked"))
+    visiting = visiting.join(asked, "block").withColumn("ask_block", F.pmod(F.xxhash64("point", F.lit("ask")), F.col("n_asked")).cast("int")).drop("n_asked")
+    at = spark.createDataFrame([(i, int(a), int(n)) for i, (a, n) in enumerate(zip(start, parts, strict=True))], "leaf long, start long, parts long")
+    rows = index.join(F.broadcast(at), "leaf").withColumn("block", F.col("start") + F.pmod(F.xxhash64("point", F.lit("row")), F.col("parts")))
+    rows = rows.join(asked, "block").select("vec", "ids", "leaf", "block", F.explode(F.sequence(F.lit(0), F.col("n_asked") - 1)).alias("ask_block"))
+    keys = ["block", "ask_block"]
+    return visiting.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(search_block(m), "point long, vec_id long, score double")
 
 
 def best(found: DataFrame, m: int) -> DataFrame:
