@@ -81,9 +81,9 @@ def clean_text(c: Column) -> Column:
     return F.upper(F.trim(F.regexp_replace(strip_accents(c), r"\s+", " ")))
 
 
-def is_absent(c: Column) -> Column:
-    """Null counts as absent."""
-    return F.coalesce(clean_text(c), F.lit("")).isin(*ABSENT)
+def is_absent(c: Column, clean: bool = False) -> Column:
+    """Null counts as absent. Here and below ``clean`` says that the text is cleaned already."""
+    return F.coalesce(c if clean else clean_text(c), F.lit("")).isin(*ABSENT)
 
 
 def first_code(text: Column, table: dict[str, tuple[str, ...]]) -> Column:
@@ -91,15 +91,15 @@ def first_code(text: Column, table: dict[str, tuple[str, ...]]) -> Column:
     return F.coalesce(*[F.when(text.isin(*names), F.lit(code)) for code, names in table.items()])
 
 
-def gas(c: Column) -> Column:
+def gas(c: Column, clean: bool = False) -> Column:
     """A mixture if it says so or names several gases; whole spellings before contained ones of 3 letters and more."""
-    t = clean_text(c)
+    t = c if clean else clean_text(c)
     named = F.array_compact(F.array(*[F.when(F.greatest(*[t.contains(n) for n in names if len(n) >= 3], F.lit(False)), F.lit(code)) for code, names in GASES.items()]))
     inside = F.when(F.size(named) > 1, F.lit("MIX")).when(F.size(named) == 1, named[0])
-    return F.when(~is_absent(c), F.when(t.rlike(MIXTURE), F.lit("MIX")).otherwise(F.coalesce(first_code(t, GASES), inside)))
+    return F.when(~is_absent(t, True), F.when(t.rlike(MIXTURE), F.lit("MIX")).otherwise(F.coalesce(first_code(t, GASES), inside)))
 
 
-def colour(c: Column) -> Column:
+def colour(c: Column, clean: bool = False) -> Column:
     """For each part of a compound the first colour it names that isn't taken yet, joined by a slash."""
     fits = lambda chunk, names: F.greatest(*[chunk.contains(n) for n in names], F.lit(False))
 
@@ -107,8 +107,9 @@ def colour(c: Column) -> Column:
         free = [F.when(fits(chunk, names) & ~F.array_contains(taken, code), F.array(F.lit(code))) for code, names in COLOURS.items()]
         return F.concat(taken, F.coalesce(*free, F.array().cast("array<string>")))
 
-    found = F.aggregate(F.split(clean_text(c), COLOUR_BREAK), F.array().cast("array<string>"), step)
-    return F.when(~is_absent(c) & (F.size(found) > 0), F.array_join(found, "/"))
+    t = c if clean else clean_text(c)
+    found = F.aggregate(F.split(t, COLOUR_BREAK), F.array().cast("array<string>"), step)
+    return F.when(~is_absent(t, True) & (F.size(found) > 0), F.array_join(found, "/"))
 
 
 def _part(text: Column, pattern: str, group: int) -> Column:
@@ -116,9 +117,9 @@ def _part(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
-def month_year(c: Column) -> Column:
+def month_year(c: Column, clean: bool = False) -> Column:
     """Yyyy-MM from MM/YYYY, else YYYY/MM, else MM/YY."""
-    t = F.coalesce(clean_text(c), F.lit(""))
+    t = F.coalesce(c if clean else clean_text(c), F.lit(""))
     month, year = r"(0?[1-9]|1[0-2])", r"((?:19|20)[0-9]{2})"
     gap = r"\s*[/.\-]\s*"
     dated = lambda y, m: F.concat(y, F.lit("-"), F.lpad(m, 2, "0"))
@@ -130,9 +131,9 @@ def month_year(c: Column) -> Column:
     return F.coalesce(dated(_part(t, long_, 2), _part(t, long_, 1)), dated(_part(t, back, 1), _part(t, back, 2)), dated(F.when(two.isNotNull(), century), _part(t, short, 1)))
 
 
-def year(c: Column) -> Column:
+def year(c: Column, clean: bool = False) -> Column:
     """N7."""
-    return F.coalesce(F.substring(month_year(c), 1, 4).cast("int"), _part(F.coalesce(clean_text(c), F.lit("")), r"\b((?:19|20)[0-9]{2})\b", 1).cast("int"))
+    return F.coalesce(F.substring(month_year(c, clean), 1, 4).cast("int"), _part(F.coalesce(c if clean else clean_text(c), F.lit("")), r"\b((?:19|20)[0-9]{2})\b", 1).cast("int"))
 
 
 def number(c: Column) -> Column:
@@ -140,29 +141,29 @@ def number(c: Column) -> Column:
     return F.replace(_part(F.regexp_replace(F.coalesce(c, F.lit("")), " ", ""), r"([0-9]+(?:[.,][0-9]+)?)", 1), F.lit(","), F.lit(".")).try_cast("double")
 
 
-def weight_kg(c: Column) -> Column:
+def weight_kg(c: Column, clean: bool = False) -> Column:
     """N9."""
-    t = clean_text(c)
+    t = c if clean else clean_text(c)
     n = number(t)
     kg = F.when(t.contains("LB") | t.contains("POUND"), n * KG_PER_LB).otherwise(n)
     return F.when((kg > 0) & (kg < 500), F.round(kg, 2))
 
 
-def litres(c: Column) -> Column:
+def litres(c: Column, clean: bool = False) -> Column:
     """N10, litres."""
-    n = number(clean_text(c))
+    n = number(c if clean else clean_text(c))
     return F.when((n > 0) & (n <= 500), F.round(n, 2))
 
 
-def cubic_metres(c: Column) -> Column:
+def cubic_metres(c: Column, clean: bool = False) -> Column:
     """N10, cubic metres."""
-    n = number(clean_text(c))
+    n = number(c if clean else clean_text(c))
     return F.when((n > 0) & (n <= 100), F.round(n, 3))
 
 
-def length_cm(c: Column, expected: tuple[float, float]) -> Column:
+def length_cm(c: Column, expected: tuple[float, float], clean: bool = False) -> Column:
     """Struct of value and warning. A number outside the expected range is read as metres, millimetres or inches, the first that fits."""
-    n = number(clean_text(c))
+    n = number(c if clean else clean_text(c))
     low, high = expected
     fits = lambda v: (v >= low) & (v <= high)
     kind = F.struct(F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("warning"))
@@ -173,25 +174,25 @@ def length_cm(c: Column, expected: tuple[float, float]) -> Column:
     return F.when(n.isNull(), kind).otherwise(tried.otherwise(made(F.lit(None).cast("double"), F.lit("out of range"))))
 
 
-def country(c: Column, strict: bool = False) -> Column:
+def country(c: Column, strict: bool = False, clean: bool = False) -> Column:
     """Whole spelling, else whole word; declared order of codes decides. strict leaves out two-letter spellings."""
     table = {k: tuple(n for n in names if len(n) > 2 or not strict) for k, names in COUNTRIES.items()}
-    t = clean_text(c)
+    t = c if clean else clean_text(c)
     words = F.regexp_extract_all(t, F.lit("([A-Z]+)"), 1)
     inside = F.coalesce(*[F.when(F.arrays_overlap(words, F.array(*map(F.lit, names))), F.lit(code)) for code, names in table.items()])
-    return F.when(~is_absent(c), F.coalesce(first_code(t, table), inside))
+    return F.when(~is_absent(t, True), F.coalesce(first_code(t, table), inside))
 
 
-def hydrostatic(c: Column) -> Column:
+def hydrostatic(c: Column, clean: bool = False) -> Column:
     """Struct of date and period in years, either of them null."""
-    t = F.coalesce(clean_text(c), F.lit(""))
-    return F.struct(F.when(~is_absent(c), month_year(c)).alias("date"), F.when(~is_absent(c), _part(t, PERIOD, 1).cast("int")).alias("period"))
+    t = F.coalesce(c if clean else clean_text(c), F.lit(""))
+    return F.struct(F.when(~is_absent(t, True), month_year(t, True)).alias("date"), F.when(~is_absent(t, True), _part(t, PERIOD, 1).cast("int")).alias("period"))
 
 
-def measure_unit(c: Column) -> Column:
+def measure_unit(c: Column, clean: bool = False) -> Column:
     """Cubic metres before kilograms."""
-    t = clean_text(c)
-    return F.when(~is_absent(c), F.when(t.rlike(r"\bM3\b|\bM\^?3\b|METRO.?S? CUBICO"), F.lit("M3")).when(t.rlike(r"\bKG\b|KILO"), F.lit("KG")))
+    t = c if clean else clean_text(c)
+    return F.when(~is_absent(t, True), F.when(t.rlike(r"\bM3\b|\bM\^?3\b|METRO.?S? CUBICO"), F.lit("M3")).when(t.rlike(r"\bKG\b|KILO"), F.lit("KG")))
 
 
 # Canonical names of the capture conditions, in the order of their digits.

@@ -36,20 +36,22 @@ def values(df: DataFrame) -> DataFrame:
 
 
 def measured(df: DataFrame) -> DataFrame:
-    v = F.col("text")
-    height = T.length_cm(v, T.HEIGHT_CM)
-    return df.select("image_id", "line_ord", T.number(T.clean_text(v)).alias("number"), T.weight_kg(v).alias("kg"), T.litres(v).alias("litres"), T.cubic_metres(v).alias("m3"), height["value"].alias("height"), height["warning"].alias("warning"))
+    v = F.col("t")
+    rows = df.select("image_id", "line_ord", T.clean_text(F.col("text")).alias("t"))
+    rows = rows.select("image_id", "line_ord", T.number(v).alias("number"), T.weight_kg(v, True).alias("kg"), T.litres(v, True).alias("litres"), T.cubic_metres(v, True).alias("m3"), T.length_cm(v, T.HEIGHT_CM, True).alias("h"))
+    return rows.select("image_id", "line_ord", "number", "kg", "litres", "m3", F.col("h.value").alias("height"), F.col("h.warning").alias("warning"))
 
 
 def dated(df: DataFrame) -> DataFrame:
-    v = F.col("text")
-    hydro = T.hydrostatic(v)
-    return df.select("image_id", "line_ord", T.month_year(v).alias("month_year"), T.year(v).alias("year"), hydro["date"].alias("ph_date"), hydro["period"].alias("ph_period"))
+    v = F.col("t")
+    rows = df.select("image_id", "line_ord", T.clean_text(F.col("text")).alias("t"))
+    return rows.select("image_id", "line_ord", T.month_year(v, True).alias("month_year"), T.year(v, True).alias("year"), T.hydrostatic(v, True).alias("h")).select("image_id", "line_ord", "month_year", "year", F.col("h.date").alias("ph_date"), F.col("h.period").alias("ph_period"))
 
 
 def worded(df: DataFrame) -> DataFrame:
-    v = F.col("value")
-    return values(df).select("image_id", "line_ord", T.clean_text(v).alias("clean"), T.is_absent(v).alias("absent"), T.gas(v).alias("gas"), T.colour(v).alias("colour"), T.country(v).alias("country"), T.country(v, True).alias("country_strict"), T.measure_unit(v).alias("unit"))
+    v = F.col("t")
+    rows = values(df).select("image_id", "line_ord", T.clean_text(F.col("value")).alias("t"))
+    return rows.select("image_id", "line_ord", v.alias("clean"), T.is_absent(v, True).alias("absent"), T.gas(v, True).alias("gas"), T.colour(v, True).alias("colour"), T.country(v, False, True).alias("country"), T.country(v, True, True).alias("country_strict"), T.measure_unit(v, True).alias("unit"))
 
 
 def serials(df: DataFrame) -> DataFrame:
