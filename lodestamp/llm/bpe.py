@@ -19,11 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNKS_KEPT, WORDS_KEPT, LONGEST_KEPT, FEW = 250_000, 250_000, 64, 24
+PORTION = 4_000_000
 #: Code points that str.split() takes for white space and the tokenizer's \s does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 CHUNK = regex.compile(r"\P{White_Space}+")
@@ -150,6 +152,8 @@ class Vocabulary:
 
     def chunk(self, chunk: str) -> tuple[bytes, str]:
         """The same for a text without white space."""
+        if chunk in self.special:
+            return self.chunks.put(chunk, (np.array([self.special[chunk]], "<u4").tobytes(), chunk + " "))
         text, kept = self.normalized(chunk), self.known_words
         found = [kept.get(w) or self.word(w) for w in (self.ascii_words if text.isascii() else self.words).findall(text)]
         both = found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), "".join([f[1] for f in found]))
@@ -159,22 +163,30 @@ class Vocabulary:
         tokens = self.tokens
         return "".join([tokens[i] + " " for i in np.frombuffer(packed, "<u4").tolist()])
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids of a whole text, packed, and what they decode to: the tokens with a space between, for the file has no decoder."""
-        ids, said = [], []
-        pieces = self.special_cut.split(text) if any(x in text for x in self.special) else [text]
-        kept = self.chunks
-        for piece in pieces:
+    def pieces(self, text: str) -> list[str]:
+        """A text cut at white space, and around special tokens, which stand alone."""
+        out = []
+        for piece in self.special_cut.split(text) if any(x in text for x in self.special) else [text]:
             if piece in self.special:
-                ids.append(np.array([self.special[piece]], "<u4").tobytes())
-                said.append(piece + " ")
-                continue
-            chunks = CHUNK.findall(piece) if any(c in piece for c in NOT_SPACE) else piece.split()
-            if chunks:
-                packed, tokens = zip(*map(kept.__getitem__, chunks), strict=True)
-                ids.extend(packed)
-                said.extend(tokens)
-        return b"".join(ids), "".join(said)[:-1]
+                out.append(piece)
+            else:
+                out += CHUNK.findall(piece) if any(c in piece for c in NOT_SPACE) else piece.split()
+        return out
+
+    def encode(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
+        """Packed ids of whole texts, and what they decode to: the tokens with a space between, for the file has no decoder.
+
+        Arrow numbers the distinct chunks of the texts, each is encoded once, and Arrow joins the results text by text.
+        """
+        chunks, ends = [], [0]
+        for text in texts:
+            chunks += self.pieces(text)
+            ends.append(len(chunks))
+        coded = pa.array(chunks, pa.string()).dictionary_encode()
+        found = list(map(self.chunks.__getitem__, coded.dictionary.to_pylist()))
+        offsets = pa.array(ends, pa.int32())
+        joined = lambda k, kind, empty: pc.binary_join(pa.ListArray.from_arrays(offsets, pc.take(pa.array([f[k] for f in found], kind), coded.indices)), pa.scalar(empty, kind))
+        return joined(0, pa.binary(), b""), pc.utf8_slice_codeunits(joined(1, pa.string(), ""), 0, -1)
 
 
 _LOADED: dict[int, Vocabulary] = {}
@@ -189,6 +201,19 @@ def vocabulary(shared) -> Vocabulary:
     return _LOADED[key]
 
 
+def portions(texts: list[str | None]) -> Iterator[list[str]]:
+    """Runs of texts of about PORTION characters."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text or "")
+        size += len(part[-1])
+        if size >= PORTION:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit), ``n_tokens`` and ``decoded``.
 
@@ -201,9 +226,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text
 
     @arrow_udf("struct<ids:binary,decoded:string>")
     def encode(texts: pa.Array) -> pa.Array:
-        v = vocabulary(shared)
-        found = [v.encode(t or "") for t in texts.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.string())], ["ids", "decoded"])
+        v, out = vocabulary(shared), []
+        for part in portions(texts.to_pylist()):
+            out.append(pa.StructArray.from_arrays(v.encode(part), ["ids", "decoded"]))
+        return pa.concat_arrays(out) if out else pa.array([], pa.struct([("ids", pa.binary()), ("decoded", pa.string())]))
 
     out = docs.withColumn("__bpe", encode(F.col(text_col)))
     return out.select(*docs.columns, F.col("__bpe.ids").alias("ids"), (F.octet_length("__bpe.ids") / 4).cast("long").alias("n_tokens"), F.col("__bpe.decoded").alias("decoded"))
