@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 CHUNKS_KEPT, WORDS_KEPT, LONGEST_KEPT, FEW = 250_000, 250_000, 64, 24
 PORTION = 4_000_000
+NEVER = 1 << 60
 #: Code points that str.split() takes for white space and the tokenizer's \s does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 CHUNK = regex.compile(r"\P{White_Space}+")
@@ -77,6 +79,7 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks[left, right] = (rank, left + right)
+        self.rank_of = {pair: rank for pair, (rank, _) in self.ranks.items()}
         self.alphabet = byte_alphabet()
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.special_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -91,12 +94,17 @@ class Vocabulary:
         self.chunks = Filled(CHUNKS_KEPT, self.chunk)
 
     def normalized(self, chunk: str) -> str:
+        if chunk.isascii():
+            return chunk.lower()
         chunk = unicodedata.normalize("NFC", chunk)
         # Character by character: str.lower() has a rule for a sigma at the end of a word.
         return "".join(map(str.lower, chunk)) if "Σ" in chunk else chunk.lower()
 
     def cuts(self, word: str) -> Iterator[tuple[str, bool]]:
         """The fragments of a word in byte letters, and whether each ends the word."""
+        if self.joinable.issuperset(zip(word, word[1:], strict=False)):
+            yield word, True
+            return
         start = 0
         for i in range(1, len(word)):
             if (word[i - 1], word[i]) not in self.joinable:
@@ -105,14 +113,17 @@ class Vocabulary:
         yield word[start:], True
 
     def merge_few(self, symbols: list[str]) -> list[str]:
-        """The same as merge() by looking through all pairs again, which is quicker for a few."""
-        ranks = self.ranks
-        while len(symbols) > 1:
-            found = [(r[0], i, r[1]) for i, pair in enumerate(zip(symbols, symbols[1:], strict=False)) if (r := ranks.get(pair))]
-            if not found:
-                break
-            _, i, joined = min(found)
-            symbols[i : i + 2] = [joined]
+        """The same as merge() with the ranks of all pairs in a list, which is quicker for a few."""
+        get = self.rank_of.get
+        ranks = [get(pair, NEVER) for pair in zip(symbols, symbols[1:], strict=False)]
+        while ranks and (least := min(ranks)) < NEVER:
+            i = ranks.index(least)
+            symbols[i] += symbols[i + 1]
+            del symbols[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((symbols[i], symbols[i + 1]), NEVER)
+            if i:
+                ranks[i - 1] = get((symbols[i - 1], symbols[i]), NEVER)
         return symbols
 
     def merge(self, symbols: list[str]) -> list[str]:
@@ -147,7 +158,7 @@ class Vocabulary:
             if last:
                 symbols[-1] += self.suffix
             tokens += self.merge_few(symbols) if len(symbols) <= FEW else self.merge(symbols)
-        both = np.array([self.ids[t] for t in tokens], "<u4").tobytes(), " ".join(tokens) + " "
+        both = struct.pack(f"<{len(tokens)}I", *map(self.ids.__getitem__, tokens)), " ".join(tokens) + " "
         return self.known_words.put(word, both) if len(word) <= LONGEST_KEPT else both
 
     def chunk(self, chunk: str) -> tuple[bytes, str]:
