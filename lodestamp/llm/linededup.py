@@ -8,8 +8,9 @@ Steps, all of them Spark jobs:
    A line outside the index meets a foreign fingerprint, so rarer lines need no slot and no row.
 3. Documents probe the arrays. Shards of the most frequent lines, at most ``resident_keys`` keys (about 20 bytes each), are
    broadcast. If more lines are frequent than that, the lines left over are routed by shard to the remaining shards
-   as bare hashes and only the positions of dropped lines come back. A routed line is rarer than
-   ``line occurrences / resident_keys`` whenever the resident part is full, so no shard task meets a hot line.
+   as bare hashes and only the positions of dropped lines come back. The lines of a shard, rare ones included, are dealt by
+   row and position into parts of about ``ROUTED_LINES``, and the shard's arrays go to each of its parts: neither a hot line nor
+   many lines for few shards make a group larger.
 
 Null or empty texts are one empty line. Keys shorter than ``min_chars`` code points are never dropped. Rows count as documents,
 also where they repeat a ``doc_id``. Extra columns pass through untouched.
@@ -30,6 +31,7 @@ from .common import SPACES, ascii_lower, materialize
 
 GAMMA = 1.5
 SHARD_KEYS = 1 << 16
+ROUTED_LINES = 1 << 19
 SHARD_SCHEMA = "shard long, n_keys long, level_sizes binary, bits binary, fingerprints binary, counts binary"
 
 
@@ -206,7 +208,10 @@ def route(work: DataFrame, counts: DataFrame, n_keys: int, key, min_chars: int)
     exploded = work.select(F.col("__ld_row").alias("row"), F.posexplode(F.zip_with("__ld.lines", "__ld_hit", lambda x, hit: F.struct(key(x).alias("key"), hit.alias("hit")))).alias("pos", "line"))
     lines = exploded.where(~F.col("line.hit") & (F.char_length("line.key") >= min_chars)).select("row", "pos", F.xxhash64("line.key").alias("h1"), F.xxhash64(F.lit("second"), "line.key").alias("h2"))
     lines = lines.withColumn("shard", F.pmod("h1", F.lit(n_shards)).cast("long"))
-    gone = lines.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(probe_routed, "row long, pos int")
+    parts = materialize(lines.groupBy("shard").agg(F.ceil(F.count("*") / ROUTED_LINES).cast("int").alias("parts")))
+    lines = lines.join(F.broadcast(parts), "shard").withColumn("part", F.pmod(F.xxhash64("row", "pos"), F.col("parts")).cast("int")).drop("parts")
+    index = index.join(F.broadcast(parts), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    gone = lines.groupBy("shard", "part").cogroup(index.groupBy("shard", "part")).applyInPandas(probe_routed, "row long, pos int")
     gone = gone.groupBy(F.col("row").alias("__ld_row")).agg(F.collect_set("pos").alias("__ld_gone"))
     joined = work.join(gone, "__ld_row", "left")
     hit = F.transform("__ld_hit", lambda x, i: x | F.coalesce(F.array_contains("__ld_gone", i.cast("int")), F.lit(False)))

@@ -83,6 +83,20 @@ def test_lines_resident_and_routed(spark, docs, odd, resident, least):
     assert sorted((r.doc_id or -1, r.n_lines, r.kept_text) for r in out.collect()) == lines_by_hand(rows, least)
 
 
+def test_lines_routed_in_bounded_groups(spark, monkeypatch):
+    rows = [(i, "\n".join([f"rare {i} {j}" for j in range(40)] + [f"often {i % 7}", "always"])) for i in range(100)]
+    probe = linededup.probe_routed
+
+    def bounded(key, lines, shard):
+        assert len(lines) <= 800, f"{len(lines)} lines in one group"
+        return probe(key, lines, shard)
+
+    monkeypatch.setattr(linededup, "ROUTED_LINES", 500, raising=False)
+    monkeypatch.setattr(linededup, "probe_routed", bounded)
+    out = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), resident_keys=0)
+    assert sorted((r.doc_id, r.n_lines, r.kept_text) for r in out.collect()) == [(i, 42, "\n".join(f"rare {i} {j}" for j in range(40))) for i, _ in rows]
+
+
 def test_lines_columns_and_empty(spark, docs):
     clash = docs.limit(3).withColumn("lines", F.lit(1)).withColumn("shard", F.lit("x"))
     assert linededup.dedup_lines(clash, min_docs=2).columns == [*clash.columns, "kept_text", "n_lines", "n_dropped"]
