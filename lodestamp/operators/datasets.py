@@ -50,34 +50,74 @@ def empty_groups(listed: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def split_quotas(histogram: list[tuple[int, int]], ratios: tuple[float, float, float]) -> list[tuple[int, int, str]]:
-    """(size, last rank within the size, split) runs of the deficit rule: largest groups first, each to the split that is relatively furthest below its target, ties in the order of the splits."""
+    """(size, last rank within the size, split) of the deficit rule: largest groups first, each to the split that is relatively furthest below its target, ties in the order of the splits.
+
+    One run at most per size and split: groups of a size are alike, so only each split's number of them matters. It is found without a step per group.
+    """
     if abs(sum(ratios) - 1) > 1e-6 or sum(n for _, n in histogram) < 3:
         raise ValueError("ratios must add up to 1 and there must be three groups at least")
     whole = sum(size * n for size, n in histogram)
     target, have, out = [r * whole for r in ratios], [0, 0, 0], []
     for size, n in sorted(histogram, reverse=True):
-        for rank in range(1, n + 1):
-            lack = [(t - h) / max(t, 1e-9) if t > 0 else float("-inf") for t, h in zip(target, have, strict=True)]
-            k = lack.index(max(lack))
-            have[k] += size
-            if out and out[-1][0] == size and out[-1][2] == SPLITS[k]:
-                out[-1] = (size, rank, SPLITS[k])
-            else:
-                out.append((size, rank, SPLITS[k]))
+        last = 0
+        for k, took in enumerate(deficit_counts(size, n, target, have)):
+            have[k] += size * took
+            last += took
+            if took:
+                out.append((size, last, SPLITS[k]))
     return out
 
 
+def deficit_counts(size: int, n: int, target: list[float], have: list[int]) -> list[int]:
+    """How many of ``n`` groups of one size go to each split. A split's lack falls with every group it takes, so the rule takes the ``n`` first of three falling sequences merged."""
+    lack = lambda k, j: (target[k] - (have[k] + j * size)) / max(target[k], 1e-9)
+    live = [k for k in range(len(target)) if target[k] > 0]
+    counts = [0] * len(target)
+    if size == 0 or len(live) < 2:
+        counts[max(live, key=lambda k: lack(k, 0)) if live else 0] = n
+        return counts
+
+    def first(low: int, high: int, holds) -> int:
+        while low < high:
+            mid = (low + high) // 2
+            low, high = (low, mid) if holds(mid) else (mid + 1, high)
+        return low
+
+    def before(k: int, j: int, other: int) -> int:
+        """Groups that ``other`` takes before ``k`` takes its group ``j``: at a greater lack, or at the same one if it comes first. Division gives their number to within rounding."""
+        x = lack(k, j)
+        after = lambda i: lack(other, i) < x or (lack(other, i) == x and other > k)
+        near = min(max(int((target[other] * (1 - x) - have[other]) / size), 0), n)
+        low, high = max(near - 2, 0), min(near + 3, n)
+        return first(low if not low or not after(low - 1) else 0, high if high == n or after(high) else n, after)
+
+    for k in live:
+        counts[k] = first(0, n, lambda j: j + sum(before(k, j, o) for o in live if o != k) >= n)  # noqa: B023
+    return counts
+
+
+CELL_GROUPS = 50_000
+
+
 def balanced_split(groups: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
-    """Groups (group_id, n_items) to splits. Only the histogram of sizes comes to the driver; groups of equal size are dealt by a seeded hash."""
+    """Groups (group_id, n_items) to splits. Only the histogram of sizes comes to the driver, and one row per size goes back; groups of equal size are dealt in the order of a seeded hash.
+
+    A group's rank in its size is its rank in a cell of hashes plus the groups of earlier cells, so no task sorts a whole size.
+    """
     sizes = [(r["n_items"], r["n"]) for r in groups.groupBy("n_items").agg(F.count("*").alias("n")).collect()]
-    runs = split_quotas(sizes, ratios)
-    spark = groups.sparkSession
-    ends = spark.createDataFrame([(s, r, k) for s, r, k in runs], "size long, last long, split string")
-    starts = ends.withColumn("start", F.coalesce(F.lag("last").over(Window.partitionBy("size").orderBy("last")), F.lit(0)))
-    order = Window.partitionBy("n_items").orderBy(F.xxhash64(F.lit(seed), "group_id"), "group_id")
-    ranked = groups.withColumn("rank", F.row_number().over(order))
-    hit = (F.col("n_items") == F.col("size")) & (F.col("rank") > F.col("start")) & (F.col("rank") <= F.col("last"))
-    return ranked.join(F.broadcast(starts), hit).select("group_id", "n_items", "split")
+    ends: dict[int, list] = {}
+    for size, last, split in split_quotas(sizes, ratios):
+        at = ends.setdefault(size, [0] * len(SPLITS))
+        at[SPLITS.index(split) :] = [last] * (len(SPLITS) - SPLITS.index(split))
+    places = groups.sparkSession.createDataFrame([(size, *at[:-1]) for size, at in ends.items()], "n_items long, train_end long, val_end long")
+    cells = -(-max(n for _, n in sizes) // CELL_GROUPS)
+    hashed = groups.withColumn("__h", F.xxhash64(F.lit(seed), "group_id")).withColumn("__cell", F.pmod(F.xxhash64(F.lit(seed), F.lit("cell"), "group_id"), F.lit(cells)))
+    earlier = Window.partitionBy("n_items").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = hashed.groupBy("n_items", "__cell").agg(F.count("*").alias("n")).select("n_items", "__cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    order = Window.partitionBy("n_items", "__cell").orderBy("__h", "group_id")
+    ranked = hashed.withColumn("__in_cell", F.row_number().over(order)).join(before, ["n_items", "__cell"]).withColumn("__rank", F.col("__before") + F.col("__in_cell"))
+    split = F.when(F.col("__rank") <= F.col("train_end"), SPLITS[0]).when(F.col("__rank") <= F.col("val_end"), SPLITS[1]).otherwise(SPLITS[2])
+    return ranked.join(F.broadcast(places), "n_items").select("group_id", "n_items", split.alias("split"))
 
 
 def top_up(assigned: DataFrame, least: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """Matching, fields, decisions, data sets and streams."""
 
 import itertools
+import random
 import tempfile
 
 import pytest
@@ -135,6 +136,44 @@ def test_split_invariants(spark):
         datasets.split_quotas([(1, 2)], (0.7, 0.15, 0.15))
 
 
+def dealt_one_by_one(histogram, ratios):
+    target, have, taken = [r * sum(s * n for s, n in histogram) for r in ratios], [0, 0, 0], {}
+    for size, n in sorted(histogram, reverse=True):
+        for _ in range(n):
+            lack = [(t - h) / max(t, 1e-9) if t > 0 else float("-inf") for t, h in zip(target, have, strict=True)]
+            k = lack.index(max(lack))
+            have[k] += size
+            taken[size, datasets.SPLITS[k]] = taken.get((size, datasets.SPLITS[k]), 0) + 1
+    return taken
+
+
+def test_split_quotas_in_closed_form():
+    rng = random.Random(3)
+    for ratios in ((0.7, 0.15, 0.15), (0.5, 0.5, 0.0), (0.0, 0.25, 0.75), (1.0, 0.0, 0.0), (0.4, 0.3, 0.3)):
+        for _ in range(60):
+            histogram = [(s, rng.choice([1, 2, 3, 10, 200])) for s in rng.sample(range(40), rng.randint(1, 12))] + [(50, 3)]
+            taken, before = {}, {}
+            for size, last, split in datasets.split_quotas(histogram, ratios):
+                taken[size, split] = last - before.get(size, 0)
+                before[size] = last
+            assert taken == dealt_one_by_one(histogram, ratios)
+    runs = datasets.split_quotas([(7, 3_000_000_000), (3, 10)], (0.7, 0.15, 0.15))  # never ends group by group
+    assert len(runs) <= 6 and sum(last for size, last, _ in runs if size == 7 and last == 3_000_000_000) == 3_000_000_000
+
+
+def test_split_deals_every_group_by_cells(spark, monkeypatch):
+    monkeypatch.setattr(datasets, "CELL_GROUPS", 20)
+    rows = [(i, 4 if i % 3 else 1 + i % 5) for i in range(900)]
+    out = datasets.balanced_split(spark.createDataFrame(rows, "group_id long, n_items long").repartition(3)).collect()
+    histogram = {}
+    for _, size in rows:
+        histogram[size] = histogram.get(size, 0) + 1
+    taken = {}
+    for r in out:
+        taken[r.n_items, r.split] = taken.get((r.n_items, r.split), 0) + 1
+    assert sorted((r.group_id, r.n_items) for r in out) == rows and taken == dealt_one_by_one(list(histogram.items()), (0.7, 0.15, 0.15))
+
+
 def test_sources(spark):
     d = tempfile.mkdtemp(prefix="src-", dir="/tmp")
     for name, text in {"a.json": '{"version": 1, "cylinders": [{"numero_serie": "X1"}, 5, {"numero_serie": "X2"}]}', "b.json": '[{"numero_serie": "X3"}]', "c.json": "{broken"}.items():
