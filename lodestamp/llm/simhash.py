@@ -9,8 +9,10 @@ Equal fingerprints are one class. Classes link at ``radius`` or fewer differing
 shard a BK-tree (children keyed by their Hamming distance to the parent) answers a query by following only the edges
 within the radius of the distance to the node. All trees of a task are built and searched together, level by level.
 
-A shard with more than ``shard_size`` fingerprints is hot: its tree is broadcast to several tasks, each of which asks for its own part of the
-fingerprints. Trees hold distinct fingerprints only, so exact copies cost nothing, and a task keeps no pairs: it merges
+A shard with more than ``shard_size`` fingerprints is hot. Two of its fingerprints that link differ in ``radius`` bits at most of
+those that the shard doesn't fix, so they agree on one of ``radius + 1`` blocks of these as well: a hot shard is dealt anew by such blocks, and
+again while a part is hot. This loses no link, costs ``radius + 1`` rows a fingerprint and level, and ends, for every level fixes
+more bits and fingerprints are distinct. Trees hold distinct fingerprints only, so exact copies cost nothing, and a task keeps no pairs: it merges
 what it finds into a forest and returns at most one edge per fingerprint. Star contraction joins the forests.
 
 Rows count as documents also where they repeat a ``doc_id``. Null ids take part, but a component's id is its smallest id
@@ -131,16 +133,14 @@ def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def search_shards(radius: int):
-    """Grouped map over (shard, part): tree rows have ``asks`` false or true; rows that ask search the trees. Returns forest edges."""
+    """Grouped map over bins of whole shards (``key``): every fingerprint searches its shard's tree. Returns forest edges."""
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         fps = pdf["fp"].to_numpy(np.int64).view(np.uint64)
         _, groups = np.unique(pdf["key"].to_numpy(), return_inverse=True)
         forest = Forest(fps, groups)
-        asking = np.flatnonzero(pdf["asks"].to_numpy())
         label = np.arange(len(fps))
-        for q, item in forest.within(fps[asking], forest.roots[groups[asking]], radius):
-            a = asking[q]
+        for a, item in forest.within(fps, forest.roots[groups], radius):
             if (other := a != item).any():
                 label = merged(label, a[other], item[other])
         moved = np.flatnonzero(label != np.arange(len(fps)))
@@ -150,22 +150,48 @@ def search_shards(radius: int):
     return search
 
 
+def deeper(mask: int, radius: int) -> list[int]:
+    """``mask`` with each of ``radius + 1`` blocks of the bits outside it added; none if there are no more bits than ``radius``."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    if len(free) <= radius:
+        return []
+    ends = [len(free) * k // (radius + 1) for k in range(radius + 2)]
+    return [mask | sum(1 << b for b in free[x:y]) for x, y in zip(ends, ends[1:], strict=False)]
+
+
+def sharded(classes: DataFrame, radius: int, shard_size: int) -> DataFrame:
+    """(fp, key): every fingerprint once in each shard that it belongs to. ``mask`` has the bits that a shard fixes; masks of hot shards come to the driver."""
+    spark = classes.sparkSession
+
+    def dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
+        """Rows (fp, mask) by the masks one level deeper."""
+        signed = lambda m: int(np.uint64(m).astype(np.int64))
+        down = spark.createDataFrame([(signed(m), signed(x)) for m in masks for x in deeper(m, radius)], "mask long, next long")
+        return rows.join(F.broadcast(down), "mask").select("fp", F.col("next").alias("mask"))
+
+    keyed = lambda rows: rows.withColumn("key", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))))
+    rows, done = keyed(dealt(classes.select("fp", F.lit(0).cast("long").alias("mask")), [0])), None
+    while True:
+        hot = materialize(rows.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > shard_size).select("mask", "key"))
+        masks = [m for m in (r["mask"] % 2**64 for r in hot.select("mask").distinct().collect()) if deeper(m, radius)]
+        if not masks:
+            return rows.select("fp", "key") if done is None else done.unionByName(rows.select("fp", "key"))
+        cut = hot.where(F.col("mask").isin([int(np.uint64(m).astype(np.int64)) for m in masks])).select("key")
+        cold = rows.join(F.broadcast(cut), "key", "left_anti").select("fp", "key")
+        done = cold if done is None else done.unionByName(cold)
+        # Two paths can fix the same bits: their shards are one.
+        rows = materialize(keyed(dealt(rows.join(F.broadcast(cut), "key", "left_semi").select("fp", "mask"), masks).distinct()))
+
+
 def links(classes: DataFrame, radius: int = 3, shard_size: int = SHARD_SIZE) -> DataFrame:
     """Edges (a, b) of a forest with the components of all links within ``radius``. classes: distinct fingerprints ``fp``."""
-    blocks, bits = radius + 1, 64 // (radius + 1)
-    width = [bits] * (blocks - 1) + [64 - bits * (blocks - 1)]
-    value = [F.shiftrightunsigned("fp", sum(width[:k])).bitwiseAND((1 << w) - 1) for k, w in enumerate(width)]
-    keyed = classes.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), v.alias("value")) for k, v in enumerate(value)])).alias("s")).select("fp", (F.col("s.block") * F.lit(1 << max(width)) + F.col("s.value")).alias("key"))
-    hot = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > shard_size).select("key", F.ceil(F.col("n") / shard_size).cast("int").alias("parts"))
-    dealt = keyed.join(F.broadcast(hot), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts")).cast("int")
-    rows = dealt.withColumn("own", own).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn("asks", F.col("own") == F.col("part"))
-    # Small shards share a task: 1/4096 of the keys of a block each; a hot shard's parts are tasks of their own.
-    rows = rows.withColumn("bin", F.when(F.col("parts") > 1, F.concat_ws("-", F.lit("hot"), "key", "part")).otherwise(F.pmod(F.xxhash64("key"), F.lit(BINS)).cast("string")))
-    return rows.groupBy("bin").applyInPandas(lambda pdf: search_shards(radius)(pdf), "a long, b long")
-
-
-BINS = 64
+    rows = sharded(classes, radius, shard_size)
+    # Small shards share a task. Bins are as many as the rows need, so that groups don't grow with the corpus.
+    bins = max(BINS, -(-rows.count() // BIN_ROWS))
+    return rows.withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins))).groupBy("bin").applyInPandas(lambda pdf: search_shards(radius)(pdf), "a long, b long")
+
+
+BINS, BIN_ROWS = 64, 1 << 16
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 3, radius: int = 3, shard_size: int = SHARD_SIZE, keep: tuple[str, ...] = ()) -> DataFrame:

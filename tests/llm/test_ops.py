@@ -383,6 +383,30 @@ def test_bk_trees_lose_no_link(spark, shard_size):
     assert groups(root) == groups(want)
 
 
+def test_hot_shards_are_cut_on_both_sides(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    low = rng.integers(0, 2**48, 3000, dtype=np.uint64)
+    fps = {int(x) for x in low} | {int(x) ^ sum(1 << int(b) for b in rng.choice(48, 3, replace=False)) for x in low[:300]}
+    search = simhash.search_shards
+
+    def bounded(radius):
+        def run(pdf):
+            assert pdf.groupby("key").size().max() <= 200 and len(pdf) <= 1200, f"{len(pdf)} rows in one group"
+            return search(radius)(pdf)
+
+        return run
+
+    monkeypatch.setattr(simhash, "search_shards", bounded)
+    monkeypatch.setattr(simhash, "BIN_ROWS", 500, raising=False)
+    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
+    from lodestamp.llm.graph import components
+
+    root = {r.node % 2**64: r.root % 2**64 for r in components(simhash.links(df, shard_size=200)).collect()}
+    each = np.array(sorted(fps), np.uint64)
+    near = [(int(f), int(x)) for f in each for x in each[np.bitwise_count(each ^ f) <= 3] if x != f]
+    assert near and set(root) == {a for a, _ in near} and all(root[a] == root[b] for a, b in near)
+
+
 # Language ID
 
 
