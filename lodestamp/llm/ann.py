@@ -3,9 +3,10 @@
 The tree is fitted in numpy on at most ``max_sample`` vectors chosen by hash of the id; every vector is then routed to its
 leaf and indexed. A query walks the tree with a priority queue of unexplored branches, nearest centre first, which gives
 it an order of leaves. How many leaves are visited is calibrated: ``calibration`` queries are compared with all vectors,
-and the number of leaves widens until ``target_recall`` of their true neighbours is reached.
+and the number of leaves widens until ``target_recall`` of their true neighbours is reached. That many leaves are a mean: each query goes on until
+its leaves hold ``k + 1`` ids, and one that is still short because its own id repeats goes on for as many more.
 
-Equal vectors are one point that keeps its ``k + 1`` smallest ids: a query's neighbours can't need more of them. Neighbouring
+Equal vectors are one point that keeps its ``k + 1`` smallest ids, each ``k`` times at most: a query's neighbours can't need more of them, whichever id is its own. Neighbouring
 leaves are packed into blocks of bounded size and large ones are cut; a query goes once to each block in which it visits leaves, and
 looks at no other leaves there. Queries of a block are cut as well, each pair of blocks being a task's group.
 Scores are computed in double precision on the original vectors; ties go to the smaller id.
@@ -78,10 +79,10 @@ class Tree:
                 work.extend((child, at[best == k]) for k, child in enumerate(self.children[node]))
         return out
 
-    def leaves(self, query: np.ndarray, most: int) -> list[int]:
-        """Best bin first: the first ``most`` leaves by the priority queue of branches."""
-        out, queue = [], [(0.0, 0)]
-        while queue and len(out) < most:
+    def leaves(self, query: np.ndarray, most: int, held: np.ndarray | None = None, need: int = 0) -> list[int]:
+        """Best bin first: the first ``most`` leaves by the priority queue of branches, and more until they hold ``need`` ids (``held``: ids of each leaf)."""
+        out, queue, have = [], [(0.0, 0)], 0
+        while queue and (len(out) < most or have < need):
             _, node = heapq.heappop(queue)
             while self.children[node]:
                 kids = self.children[node]
@@ -92,6 +93,7 @@ class Tree:
                         heapq.heappush(queue, (float(near[k]), child))
                 node = kids[best]
             out.append(self.leaf_of[node])
+            have += 0 if held is None else int(held[self.leaf_of[node]])
         return out
 
 
@@ -111,14 +113,16 @@ def valid(vec: Column) -> Column:
 
 
 def points(vectors: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
-    """Distinct vectors: (point, vec, ids), ids being the k + 1 smallest. Equal vectors never meet beyond those: ranks cut each task's part first."""
+    """Distinct vectors: (point, vec, ids), ids being the k + 1 smallest, each k times at most. Equal vectors never meet beyond those: ranks cut each task's part first."""
     double = F.transform(F.col(vec_col), lambda x: x.cast("double") + F.lit(0.0))
     clean = vectors.select(F.col(id_col).alias("id"), double.alias("vec")).where(valid(F.col("vec")) & F.col("id").isNotNull())
     sizes = clean.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     clean = clean.where(F.size("vec") == (sizes[0]["d"] if sizes else 0)).withColumn("key", F.xxhash64("vec"))
     few = Window.partitionBy("key", "vec").orderBy("id")
-    kept = clean.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1)
-    return kept.groupBy("key", "vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.element_at("ids", 1).alias("point"), "vec", "ids")
+    named = clean.groupBy("key", "vec", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    kept = named.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1)
+    repeated = F.flatten(F.transform(F.collect_list(F.struct("id", "n")), lambda x: F.array_repeat(x["id"], x["n"])))
+    return kept.groupBy("key", "vec").agg(F.array_sort(repeated).alias("ids")).select(F.element_at("ids", 1).alias("point"), "vec", "ids")
 
 
 def routed(pts: DataFrame, tree) -> DataFrame:
@@ -137,7 +141,7 @@ def exact(queries: np.ndarray, rows: np.ndarray, at: np.ndarray, of: np.ndarray)
 
 
 def nearest_in_block(queries: np.ndarray, rows: np.ndarray, ids: list, m: int, leaf: np.ndarray | None = None, visited: list | None = None) -> Iterator[tuple[int, int, float]]:
-    """(query number, id, score) of the ``m`` nearest ids of each query: a matrix product finds them, a pairwise sum scores them.
+    """(query number, id, score) of each query's nearest until ``m`` different ids are among them: a matrix product finds them, a pairwise sum scores them.
 
     With ``leaf`` (of each row) and ``visited`` (leaves of each query) a query sees only rows of leaves it visits.
     """
@@ -157,8 +161,17 @@ def nearest_in_block(queries: np.ndarray, rows: np.ndarray, ids: list, m: int, l
         for i, j, x in zip(q.tolist(), r.tolist(), s.tolist(), strict=True):
             found.setdefault(i + at, []).extend((-x, v) for v in ids[j])
         for i, pairs in found.items():
-            for x, v in heapq.nsmallest(m, pairs):
-                yield i, v, -x
+            if len({v for _, v in pairs}) < m:
+                # Ids repeat among the nearest rows: this query looks at all of its rows.
+                r = np.flatnonzero(near[i - at] > -np.inf)
+                pairs = [(-x, v) for j, x in zip(r.tolist(), exact(queries, rows, np.full(len(r), i), r).tolist(), strict=True) for v in ids[j]]
+            seen: dict[int, int] = {}
+            for x, v in sorted(pairs):
+                if len(seen) == m:
+                    break
+                seen[v] = seen.get(v, 0) + 1
+                if seen[v] < m:
+                    yield i, v, -x
 
 
 def search_block(m: int):
@@ -190,19 +203,22 @@ def pack(sizes: dict[int, int], n_leaves: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def search(asking: DataFrame, index: DataFrame, tree, visits: int, m: int) -> DataFrame:
-    """(point, vec_id, score): each asked point's ``m`` nearest ids of every block it goes to. One count per leaf comes to the driver."""
+    """(point, vec_id, score): each asked point's nearest up to ``m`` different ids of every block it goes to; its leaves hold ``need`` ids at least. Two counts per leaf come to the driver."""
     spark = asking.sparkSession
-    sizes = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    start, parts = pack(sizes, tree.value.n_leaves)
-    places = spark.sparkContext.broadcast((start, parts))
+    counted = index.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()
+    start, parts = pack({r["leaf"]: r["n"] for r in counted}, tree.value.n_leaves)
+    held = np.zeros(tree.value.n_leaves, np.int64)
+    for r in counted:
+        held[r["leaf"]] = r["ids"]
+    places = spark.sparkContext.broadcast((start, parts, held))
 
     def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start, parts = places.value
+        start, parts, held = places.value
         for pdf in batches:
             for at in range(0, len(pdf), 200):
                 part, out = pdf.iloc[at : at + 200], []
-                for point, vec, u in zip(part["point"], part["vec"], unit(matrix(part["vec"])), strict=True):
-                    leaves = np.array(tree.value.leaves(u, visits), np.int64)
+                for point, vec, need, u in zip(part["point"], part["vec"], part["need"], unit(matrix(part["vec"])), strict=True):
+                    leaves = np.array(tree.value.leaves(u, visits, held, int(need)), np.int64)
                     blocks: dict[int, list] = {}
                     for leaf in leaves.tolist():
                         for b in range(start[leaf], start[leaf] + parts[leaf]):
@@ -210,7 +226,7 @@ def search(asking: DataFrame, index: DataFrame, tree, visits: int, m: int) -> Da
                     out.extend((point, vec, b, x) for b, x in blocks.items())
                 yield pd.DataFrame(out, columns=["point", "vec", "block", "leaves"])
 
-    visiting = materialize(asking.select("point", "vec").repartition("point").mapInPandas(order, "point long, vec array<double>, block long, leaves array<long>"))
+    visiting = materialize(asking.select("point", "vec", "need").repartition("point").mapInPandas(order, "point long, vec array<double>, block long, leaves array<long>"))
     asked = visiting.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("n_asked"))
     visiting = visiting.join(asked, "block").withColumn("ask_block", F.pmod(F.xxhash64("point", F.lit("ask")), F.col("n_asked")).cast("int")).drop("n_asked")
     at = spark.createDataFrame([(i, int(a), int(n)) for i, (a, n) in enumerate(zip(start, parts, strict=True))], "leaf long, start long, parts long")
@@ -226,6 +242,16 @@ def best(found: DataFrame, m: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= m)
 
 
+def answered(asked: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """Each query's ``k`` best, its own id left out before they are ranked. A point's list ends where it has ``k + 1`` different ids: its queries need no more."""
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id")))
+    ids = lambda i: F.array_distinct(F.transform(F.slice("rows", 1, i), lambda y: y["vec_id"]))
+    listed = found.groupBy("point").agg(rows.alias("rows")).select("point", F.explode(F.filter("rows", lambda x, i: F.size(ids(i)) <= k)).alias("x"))
+    answers = asked.select("query_id", "point").join(listed.select("point", "x.vec_id", (-F.col("x.far")).alias("score")), "point").where(F.col("vec_id") != F.col("query_id"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return answers.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def calibrate(pts: DataFrame, tree, m: int, calibration: int, target: float) -> tuple[int, float]:
     """(leaves to visit, recall on the calibration queries): true neighbours from all points, block by block, then the leaves in which they lie."""
     few = pts.orderBy(F.xxhash64(F.lit("calibration"), "point")).limit(calibration).select("point", "vec").toPandas()
@@ -268,11 +294,19 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, target_recall: floa
     double = F.transform(F.col(vec_col), lambda x: x.cast("double") + F.lit(0.0))
     asked = vectors.where(queries).select(F.col(id_col).alias("query_id"), double.alias("vec")).where(valid(F.col("vec")) & F.col("query_id").isNotNull())
     named = pts.select("point", "vec").withColumn("key", F.xxhash64("vec"))
-    asked = materialize(asked.withColumn("key", F.xxhash64("vec")).join(named, ["key", "vec"]).select("query_id", "point", "vec"))
-    found = best(search(asked.dropDuplicates(["point"]), index, tree, visits, k + 1), k + 1)
-    answers = asked.select("query_id", "point").join(found.drop("rank"), "point").where(F.col("vec_id") != F.col("query_id"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return answers.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = materialize(asked.withColumn("key", F.xxhash64("vec")).join(named, ["key", "vec"]).select("query_id", "point", "vec").dropDuplicates(["query_id", "point", "vec"]))
+    asked = asked.withColumn("need", F.lit(k + 1))
+    one = lambda q: q.groupBy("point", "vec").agg(F.max("need").alias("need"))
+    answers = materialize(answered(asked, search(one(asked), index, tree, visits, k + 1), k))
+    full = answers.where(F.col("rank") == k).select("query_id")
+    short = materialize(asked.drop("need").join(full, "query_id", "left_anti"))
+    if short.isEmpty():
+        return answers
+    # As many ids more as the index has of the query's own.
+    own = index.select(F.explode("ids").alias("query_id")).join(short.select("query_id").distinct(), "query_id").groupBy("query_id").agg(F.count("*").alias("own"))
+    short = materialize(short.join(own, "query_id", "left").withColumn("need", F.coalesce("own", F.lit(0)) + k).drop("own"))
+    wider = answered(short, search(one(short), index, tree, visits, k + 1), k)
+    return answers.join(full, "query_id", "left_semi").unionByName(wider)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

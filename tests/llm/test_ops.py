@@ -212,6 +212,20 @@ def test_ann_copies_and_odd(spark):
 # Quality
 
 
+def test_nearest_goes_on_until_k_are_found(spark):
+    rng = np.random.default_rng(6)
+    tight = [c + 1e-3 * rng.normal(size=8) for c in 9 * rng.normal(size=(12, 8)) for _ in range(100)]
+    alone = list(-40 * np.eye(8)[:4] + rng.normal(size=(4, 8)))  # leaves of one vector
+    same = [alone[0] + 0.01 * rng.normal(size=8) for _ in range(9)]  # rows that share the id of a query
+    rows = [(i, v.tolist()) for i, v in enumerate(tight + alone)] + [(1200, v.tolist()) for v in same] + [(77, tight[77].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").where("vec_id is not null")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id").isin(77, 500, 1200, 1201, 1202, 1203), leaf=16).collect():
+        assert r.vec_id != r.query_id
+        got.setdefault(r.query_id, []).append(r.rank)
+    assert {q: sorted(x) for q, x in got.items()} == {q: [1, 2, 3, 4, 5] for q in (77, 500, 1200, 1201, 1202, 1203)}
+
+
 def test_quality_base_rules(spark, odd):
     rng = random.Random(3)
     texts = ["", "a a a a", "# $ x|y\n# $ x|y\n\n \n", " ".join(words(60, 1) + words(4, 2) + words(3, 3) + words(4, 2))] + [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(50)]
