@@ -139,6 +139,11 @@ def outcome_rows(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> DataF
     return evaluate.outcomes(rows.withColumn("outcome", evaluate.outcome(F.col("serial"), F.col("truth_serial"), F.col("needs_review"))))
 
 
+def cascade_outcomes(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> DataFrame:
+    """A12 over the whole cascade."""
+    return evaluate.outcomes(judged(readings, inv, truth))
+
+
 def observations(readings: DataFrame) -> DataFrame:
     k = S.serial_charset(F.col("text"))
     return readings.select((k != "").alias("has_read"), "confidence", (k == F.col("truth_serial")).alias("is_correct"))
@@ -252,7 +257,7 @@ QUERIES = {
     "a10_coverage": on("field_lines")(lambda df: inventory.coverage(fields.wide(fields.stated(df)), ["peso", "color", "ph", "procedencia", "tipo_gas"])), "a11_duplicated": on("inventory")(inventory.duplicated),
     "a22_alphabet": on("inventory")(lambda i: inventory.outside_alphabet(i, "0123456789")), "a23_sync": both("live", "static")(lambda a, b: inventory.sync_status(inventory.merge(a, b))),
     "a5_duplicates": on("audit")(datasets.duplicates), "a6_counts": on("audit")(datasets.counts), "a7_quality": on("audit")(datasets.quality_summary), "a8_readiness": on("audit")(datasets.readiness),
-    "p4_low_quality": on("audit")(lambda a: datasets.low_quality(a).select("asset")), "a12_outcomes": both("readings", "inventory", "truth")(outcome_rows), "a16_error_rate": on("readings")(error_rates),
+    "p4_low_quality": on("audit")(lambda a: datasets.low_quality(a).select("asset")), "a12_outcomes": both("readings", "inventory", "truth")(outcome_rows), "a12_cascade": both("readings", "inventory", "truth")(cascade_outcomes), "a16_error_rate": on("readings")(error_rates),
     "a17_latency": on("events")(lambda e: evaluate.latency(e, "value")), "a19_sweep": on("readings")(lambda r: evaluate.sweep(observations(r))), "a20_recommend": on("readings")(lambda r: evaluate.recommend(evaluate.sweep(observations(r)), 0.2)),
     "a21_top_k": both("readings", "inventory", "truth")(options), "w4_split": on("groups")(datasets.balanced_split), "w5_top_up": on("groups")(topped), "a15_manifest": on("groups")(lambda g: datasets.manifest(datasets.balanced_split(g))),
     "g1_join": on("boxes")(lambda b: boxes.join_split(lines_of(b))), "g2_merge": on("boxes")(lambda b: boxes.merge_fragments(lines_of(b))), "g3_normalised": on("boxes")(normalised_boxes),

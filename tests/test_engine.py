@@ -86,6 +86,24 @@ def test_identify_cascade(spark):
     assert got[2].reason == "no_serial_detected" and got[3].reason == "serial_not_in_catalog" and got[3].read_text == "99999999" and 4 not in got
 
 
+def test_outcomes_of_the_cascade(spark):
+    from lodestamp.plans import registry
+
+    inv = spark.createDataFrame([(i, f"A{i}", s) for i, s in enumerate(["19S206055", "K5738060", "123456789"])], "ord long, asset_id string, serial string")
+    rows = [(1, 0, "X19S206055", 0.9), (2, 0, "I2345678O", 0.9), (3, 0, "K5738060", 0.9), (4, 0, "PW200", 0.9)]
+    truth = spark.createDataFrame([(1, "19S206055", "a"), (2, "123456789", "a"), (3, "K5738060", "b"), (4, "K5738060", "b"), (5, "K5738060", "b")], "image_id long, truth_serial string, condition string")
+    judged = {r.image_id: r for r in registry.judged(readings(spark, rows), inv, truth).collect()}
+    want = {}
+    for r in judged.values():
+        for key in ((None, r.outcome), (r.condition, r.outcome)):
+            want[key] = want.get(key, 0) + 1
+    got = {(r.condition, r.outcome): r.n for r in registry.cascade_outcomes(readings(spark, rows), inv, truth).collect()}
+    assert got == want and len(judged) == 5
+    assert judged[1].outcome in ("correct", "referred_correct") and judged[3].outcome in ("correct", "referred_correct") and judged[5].outcome == "referred_unread"
+    assert registry.outcome_rows(readings(spark, rows), inv, truth).where("condition = 'a' and outcome like '%correct'").count() == 0  # the stand-in reads neither
+    assert "a12_cascade" in QUERIES and "a12_cascade" not in ORACLES
+
+
 def test_pattern_and_entries(spark):
     inv = spark.createDataFrame([(i, f"A{i}", f"1{i}S20605{i}") for i in range(8)], "ord long, asset_id string, serial string")
     p = inventory.pattern(inv).first()
