@@ -1,18 +1,19 @@
 """Approximate nearest neighbours by cosine: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted in numpy on at most ``max_sample`` vectors chosen by hash of the id; every vector is then routed to its
+The tree is fitted in numpy on at most ``max_sample`` vectors chosen by hash; every vector is then routed to its
 leaf and indexed. A query walks the tree with a priority queue of unexplored branches, nearest centre first, which gives
 it an order of leaves. How many leaves are visited is calibrated: ``calibration`` queries are compared with all vectors,
 and the number of leaves widens until ``target_recall`` of their true neighbours is reached. That many leaves are a mean: each query goes on until
 its leaves hold ``k + 1`` ids, and one that is still short because its own id repeats goes on for as many more.
 
-Equal vectors are one point that keeps its ``k + 1`` smallest ids, each ``k`` times at most: a query's neighbours can't need more of them, whichever id is its own. Neighbouring
-leaves are packed into blocks of bounded size and large ones are cut; a query goes once to each block in which it visits leaves, and
-looks at no other leaves there. Queries of a block are cut as well, each pair of blocks being a task's group.
-Scores are computed in double precision on the original vectors; ties go to the smaller id.
+Equal vectors are one point that keeps its ``k + 1`` smallest different ids, each ``k`` times at most: a query's neighbours can't need more of them,
+whichever id is its own. Points have names of their own, so the same id may stand at several vectors. Neighbouring leaves are packed into blocks
+of bounded size and large ones are cut; a query goes once to each block in which it visits leaves, and is multiplied with the rows of these leaves only.
+Queries of a block are cut as well, each pair of blocks being a task's group. Scores are computed in double precision on the original vectors; ties go to the smaller id.
 
-Vectors that are null, empty, zero, of another length than the most frequent one, or with null or non-finite components take no part. Rows
-with a null id take no part. Repeated ids are candidates of their own.
+Vectors that are null, empty, zero, or with null or non-finite components take no part, nor do rows with a null id. Of two vectors of different
+lengths the shorter one counts as continued with zeros. Rows with a query's own id are no candidates for it; other repeated ids are candidates of their own.
+Extra columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_counted, materialize
 
-MAX_SAMPLE = 20_000
-LEAF, BRANCH = 64, 8
-BLOCK_ROWS, BLOCK_QUERIES, AT_ONCE = 10_000, 4_000, 128
+MAX_SAMPLE = 50_000
+LEAF, BRANCH = 64, 32
+BLOCK_ROWS, BLOCK_QUERIES, AT_ONCE = 5_000, 4_000, 512
 
 
 class Tree:
@@ -68,6 +69,7 @@ class Tree:
 
     def route(self, rows: np.ndarray) -> np.ndarray:
         """The leaf of each row: the nearest child at every level."""
+        rows = as_long_as(rows, self.centres.shape[1])
         out = np.zeros(len(rows), np.int64)
         work = [(0, np.arange(len(rows)))]
         while work:
@@ -82,6 +84,7 @@ class Tree:
     def leaves(self, query: np.ndarray, most: int, held: np.ndarray | None = None, need: int = 0) -> list[int]:
         """Best bin first: the first ``most`` leaves by the priority queue of branches, and more until they hold ``need`` ids (``held``: ids of each leaf)."""
         out, queue, have = [], [(0.0, 0)], 0
+        query = as_long_as(query[None], self.centres.shape[1])[0]
         while queue and (len(out) < most or have < need):
             _, node = heapq.heappop(queue)
             while self.children[node]:
@@ -103,8 +106,16 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.sqrt((rows * rows).sum(1, keepdims=True)), 1e-300)
 
 
+def as_long_as(rows: np.ndarray, d: int) -> np.ndarray:
+    """Rows of length ``d``: cut, or continued with zeros."""
+    return rows[:, :d] if rows.shape[1] >= d else np.pad(rows, ((0, 0), (0, d - rows.shape[1])))
+
+
 def matrix(column) -> np.ndarray:
-    return np.stack([np.asarray(v, np.float64) for v in column])
+    """The vectors as rows, the shorter ones continued with zeros."""
+    rows = [np.asarray(v, np.float64) for v in column]
+    d = max((len(v) for v in rows), default=1)
+    return np.stack([v if len(v) == d else np.pad(v, (0, d - len(v))) for v in rows]) if rows else np.zeros((0, 1))
 
 
 def valid(vec: Column) -> Column:
@@ -113,16 +124,15 @@ def valid(vec: Column) -> Column:
 
 
 def points(vectors: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
-    """Distinct vectors: (point, vec, ids), ids being the k + 1 smallest, each k times at most. Equal vectors never meet beyond those: ranks cut each task's part first."""
+    """Distinct vectors: (point, vec, ids), ids being the k + 1 smallest different ones, each k times at most. Equal vectors never meet beyond those: ranks cut
+    each task's part first. ``point`` is a number that holds once the result is written."""
     double = F.transform(F.col(vec_col), lambda x: x.cast("double") + F.lit(0.0))
-    clean = vectors.select(F.col(id_col).alias("id"), double.alias("vec")).where(valid(F.col("vec")) & F.col("id").isNotNull())
-    sizes = clean.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    clean = clean.where(F.size("vec") == (sizes[0]["d"] if sizes else 0)).withColumn("key", F.xxhash64("vec"))
+    clean = vectors.select(F.col(id_col).alias("id"), double.alias("vec")).where(valid(F.col("vec")) & F.col("id").isNotNull()).withColumn("key", F.xxhash64("vec"))
     few = Window.partitionBy("key", "vec").orderBy("id")
     named = clean.groupBy("key", "vec", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
     kept = named.withColumn("r", F.row_number().over(few)).where(F.col("r") <= k + 1)
     repeated = F.flatten(F.transform(F.collect_list(F.struct("id", "n")), lambda x: F.array_repeat(x["id"], x["n"])))
-    return kept.groupBy("key", "vec").agg(F.array_sort(repeated).alias("ids")).select(F.element_at("ids", 1).alias("point"), "vec", "ids")
+    return kept.groupBy("key", "vec").agg(F.array_sort(repeated).alias("ids")).select(F.monotonically_increasing_id().alias("point"), "vec", "ids")
 
 
 def routed(pts: DataFrame, tree) -> DataFrame:
@@ -135,51 +145,78 @@ def routed(pts: DataFrame, tree) -> DataFrame:
 
 
 def exact(queries: np.ndarray, rows: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Cosine of pairs, the same for the same two vectors wherever they meet."""
+    """Cosine of pairs, the same for the same two vectors wherever they meet. Where a square would overflow or vanish, the vectors are scaled first."""
     a, b = queries[at], rows[of]
+    size = np.stack([np.abs(a).max(1), np.abs(b).max(1)])
+    if size.max(initial=1.0) > 1e75 or size.min(initial=1.0) < 1e-75:
+        a, b = a / size[0][:, None], b / size[1][:, None]
     return (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
 
 
-def nearest_in_block(queries: np.ndarray, rows: np.ndarray, ids: list, m: int, leaf: np.ndarray | None = None, visited: list | None = None) -> Iterator[tuple[int, int, float]]:
-    """(query number, id, score) of each query's nearest until ``m`` different ids are among them: a matrix product finds them, a pairwise sum scores them.
+def nearest_in_block(queries: np.ndarray, rows: np.ndarray, ids: list, m: int, leaf: np.ndarray | None = None, visited: list | None = None) -> Iterator[tuple[int, int, int, float]]:
+    """(query number, row number, id, score) of each query's nearest until ``m`` different ids are among them: matrix products find them, a pairwise sum scores them.
 
-    With ``leaf`` (of each row) and ``visited`` (leaves of each query) a query sees only rows of leaves it visits.
+    With ``leaf`` (of each row) and ``visited`` (leaves of each query) a query is multiplied with the rows of leaves it visits only.
     """
+    d = max(queries.shape[1], rows.shape[1])
+    queries, rows = as_long_as(queries, d), as_long_as(rows, d)
     uq, ur = unit(queries), unit(rows)
-    if leaf is not None:
-        names, leaf = np.unique(leaf, return_inverse=True)
+    leaf = np.zeros(len(rows), np.int64) if leaf is None else leaf
+    visited = [np.zeros(1, np.int64)] * len(queries) if visited is None else visited
+    by_leaf = np.argsort(leaf, kind="stable")
+    names, starts = np.unique(leaf[by_leaf], return_index=True)
+    slices = dict(zip(names.tolist(), np.split(by_leaf, starts[1:]), strict=True))
     for at in range(0, len(uq), AT_ONCE):
-        near = uq[at : at + AT_ONCE] @ ur.T
-        if leaf is not None:
-            allowed = np.stack([np.isin(names, v) for v in visited[at : at + AT_ONCE]])
-            near[~allowed[:, leaf]] = -np.inf
-        keep = min(m, near.shape[1])
-        floor = np.partition(near, near.shape[1] - keep, axis=1)[:, near.shape[1] - keep] - 1e-9
-        q, r = np.nonzero((near >= floor[:, None]) & (near > -np.inf))
-        s = exact(queries, rows, q + at, r)
-        found: dict[int, list] = {}
-        for i, j, x in zip(q.tolist(), r.tolist(), s.tolist(), strict=True):
-            found.setdefault(i + at, []).extend((-x, v) for v in ids[j])
-        for i, pairs in found.items():
-            if len({v for _, v in pairs}) < m:
-                # Ids repeat among the nearest rows: this query looks at all of its rows.
-                r = np.flatnonzero(near[i - at] > -np.inf)
-                pairs = [(-x, v) for j, x in zip(r.tolist(), exact(queries, rows, np.full(len(r), i), r).tolist(), strict=True) for v in ids[j]]
+        part = visited[at : at + AT_ONCE]
+        asking = np.repeat(np.arange(at, at + len(part)), [len(v) for v in part])
+        asked = np.concatenate([np.asarray(v, np.int64) for v in part])
+        order = np.argsort(asked, kind="stable")
+        each, begin = np.unique(asked[order], return_index=True)
+        found_q, found_r, found_s = [], [], []
+        for name, who in zip(each.tolist(), np.split(asking[order], begin[1:]), strict=True):
+            if name in slices:
+                here = slices[name]
+                near = uq[who] @ ur[here].T
+                keep = min(m, len(here))
+                floor = np.partition(near, len(here) - keep, axis=1)[:, len(here) - keep] - 1e-9
+                i, j = np.nonzero(near >= floor[:, None])
+                found_q.append(who[i])
+                found_r.append(here[j])
+                found_s.append(near[i, j])
+        if not found_q:
+            continue
+        q, r, s = np.concatenate(found_q), np.concatenate(found_r), np.concatenate(found_s)
+        order = np.lexsort((-s, q))
+        q, r, s = q[order], r[order], s[order]
+        first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        size = np.diff(np.concatenate([first, [len(q)]]))
+        floor = s[first + np.minimum(size, m) - 1] - 1e-9
+        near = s >= np.repeat(floor, size)
+        q, r = q[near], r[near]
+        pairs: dict[int, list] = {}
+        for i, j, x in zip(q.tolist(), r.tolist(), exact(queries, rows, q, r).tolist(), strict=True):
+            pairs.setdefault(i, []).extend((-x, v, j) for v in ids[j])
+        for i, some in pairs.items():
+            if len({v for _, v, _ in some}) < m:
+                # Ids repeat among the nearest rows: this query looks at all rows of its leaves.
+                r = np.concatenate([slices[v] for v in set(np.asarray(visited[i]).tolist()) if v in slices])
+                some = [(-x, v, j) for j, x in zip(r.tolist(), exact(queries, rows, np.full(len(r), i), r).tolist(), strict=True) for v in ids[j]]
             seen: dict[int, int] = {}
-            for x, v in sorted(pairs):
+            for x, v, j in sorted(some):
                 if len(seen) == m:
                     break
                 seen[v] = seen.get(v, 0) + 1
                 if seen[v] < m:
-                    yield i, v, -x
+                    yield i, j, v, -x
 
 
 def search_block(m: int):
     def search(key, asking: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         empty = not len(asking) or not len(rows)
         found = [] if empty else list(nearest_in_block(matrix(asking["vec"]), matrix(rows["vec"]), [list(x) for x in rows["ids"]], m, rows["leaf"].to_numpy(), list(asking["leaves"])))
-        names = asking["point"].to_numpy()
-        return pd.DataFrame({"point": [int(names[i]) for i, _, _ in found], "vec_id": [int(v) for _, v, _ in found], "score": [float(s) for _, _, s in found]}).astype({"point": "int64", "vec_id": "int64", "score": "float64"})
+        names, others = asking["point"].to_numpy(), rows["of"].to_numpy()
+        cols = {"point": [int(names[i]) for i, _, _, _ in found], "of": [int(others[j]) for _, j, _, _ in found], "vec_id": [int(v) for _, _, v, _ in found], "score": [float(x) for _, _, _, x in found]}
+        return pd.DataFrame(cols).astype({"point": "int64", "of": "int64", "vec_id": "int64", "score": "float64"})
 
     return search
 
@@ -203,7 +240,7 @@ def pack(sizes: dict[int, int], n_leaves: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def search(asking: DataFrame, index: DataFrame, tree, visits: int, m: int) -> DataFrame:
-    """(point, vec_id, score): each asked point's nearest up to ``m`` different ids of every block it goes to; its leaves hold ``need`` ids at least. Two counts per leaf come to the driver."""
+    """(point, of, vec_id, score): each asked point's nearest up to ``m`` different ids of every block it goes to; its leaves hold ``need`` ids at least. Two counts per leaf come to the driver."""
     spark = asking.sparkSession
     counted = index.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()
     start, parts = pack({r["leaf"]: r["n"] for r in counted}, tree.value.n_leaves)
@@ -231,30 +268,35 @@ def search(asking: DataFrame, index: DataFrame, tree, visits: int, m: int) -> Da
     visiting = visiting.join(asked, "block").withColumn("ask_block", F.pmod(F.xxhash64("point", F.lit("ask")), F.col("n_asked")).cast("int")).drop("n_asked")
     at = spark.createDataFrame([(i, int(a), int(n)) for i, (a, n) in enumerate(zip(start, parts, strict=True))], "leaf long, start long, parts long")
     rows = index.join(F.broadcast(at), "leaf").withColumn("block", F.col("start") + F.pmod(F.xxhash64("point", F.lit("row")), F.col("parts")))
-    rows = rows.join(asked, "block").select("vec", "ids", "leaf", "block", F.explode(F.sequence(F.lit(0), F.col("n_asked") - 1)).alias("ask_block"))
+    rows = rows.join(asked, "block").select(F.col("point").alias("of"), "vec", "ids", "leaf", "block", F.explode(F.sequence(F.lit(0), F.col("n_asked") - 1)).alias("ask_block"))
     keys = ["block", "ask_block"]
-    return visiting.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(search_block(m), "point long, vec_id long, score double")
+    return visiting.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(search_block(m), "point long, of long, vec_id long, score double")
 
 
 def best(found: DataFrame, m: int) -> DataFrame:
-    """The ``m`` best of each point; a repeated id counts as often as it is indexed."""
+    """The ``m`` best of each point."""
     w = Window.partitionBy("point").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= m)
 
 
 def answered(asked: DataFrame, found: DataFrame, k: int) -> DataFrame:
-    """Each query's ``k`` best, its own id left out before they are ranked. A point's list ends where it has ``k + 1`` different ids: its queries need no more."""
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id")))
-    ids = lambda i: F.array_distinct(F.transform(F.slice("rows", 1, i), lambda y: y["vec_id"]))
-    listed = found.groupBy("point").agg(rows.alias("rows")).select("point", F.explode(F.filter("rows", lambda x, i: F.size(ids(i)) <= k)).alias("x"))
-    answers = asked.select("query_id", "point").join(listed.select("point", "x.vec_id", (-F.col("x.far")).alias("score")), "point").where(F.col("vec_id") != F.col("query_id"))
+    """Each query id's ``k`` best rows, its own id left out before they are ranked. They are rows of the ``k + 1`` ids that are nearest to one of its points, ``k`` of an id at most."""
+    rows = found.groupBy("point", "of", "vec_id").agg(F.max("score").alias("score"), F.count("*").alias("times"))
+    of_id = Window.partitionBy("point", "vec_id")
+    rows = rows.withColumn("top", F.max("score").over(of_id)).withColumn("r", F.row_number().over(of_id.orderBy(F.desc("score"), "of"))).where(F.col("r") <= k)
+    ids = Window.partitionBy("point").orderBy(F.desc("top"), "vec_id")
+    few = rows.withColumn("r", F.dense_rank().over(ids)).where(F.col("r") <= k + 1).select("point", "of", "vec_id", "score", "times")
+    of_point = asked.groupBy("point").agg(F.count("*").alias("n"))
+    answers = join_counted(asked.select("query_id", "point"), few.join(of_point, "point"), ["point"], asked.count()).where(F.col("vec_id") != F.col("query_id"))
+    once = answers.groupBy("query_id", "of", "vec_id").agg(F.max("score").alias("score"), F.max("times").alias("times"))
+    each = once.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return answers.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def calibrate(pts: DataFrame, tree, m: int, calibration: int, target: float) -> tuple[int, float]:
     """(leaves to visit, recall on the calibration queries): true neighbours from all points, block by block, then the leaves in which they lie."""
-    few = pts.orderBy(F.xxhash64(F.lit("calibration"), "point")).limit(calibration).select("point", "vec").toPandas()
+    few = pts.orderBy(F.xxhash64(F.lit("calibration"), "vec"), "point").limit(calibration).select("point", "vec").toPandas()
     if not len(few):
         return 1, 1.0
     shared = pts.sparkSession.sparkContext.broadcast((few["point"].to_numpy(), matrix(few["vec"])))
@@ -265,7 +307,7 @@ def calibrate(pts: DataFrame, tree, m: int, calibration: int, target: float) ->
             if len(pdf):
                 vecs = matrix(pdf["vec"])
                 leaf = dict(zip(pdf["point"], tree.value.route(unit(vecs)), strict=True))
-                found = [(names[i], v, s) for i, v, s in nearest_in_block(queries, vecs, [[p] for p in pdf["point"]], m + 1) if v != names[i]]
+                found = [(names[i], v, s) for i, _, v, s in nearest_in_block(queries, vecs, [[p] for p in pdf["point"]], m + 1) if v != names[i]]
                 yield pd.DataFrame({"point": [int(f[0]) for f in found], "vec_id": [int(f[1]) for f in found], "score": [float(f[2]) for f in found], "leaf": [int(leaf[f[1]]) for f in found]}).astype({"point": "int64", "vec_id": "int64", "score": "float64", "leaf": "int64"})
 
     truth = best(pts.select("point", "vec").mapInPandas(scan, "point long, vec_id long, score double, leaf long"), m).collect()
@@ -281,21 +323,22 @@ def calibrate(pts: DataFrame, tree, m: int, calibration: int, target: float) ->
     return min(visits, tree.value.n_leaves), float(np.mean(np.array(needed) <= visits))
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, target_recall: float = 0.97, max_sample: int = MAX_SAMPLE, calibration: int = 200, leaf: int = LEAF, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) of the ``k`` nearest other rows of every row for which ``queries`` holds."""
+def nearest(vectors: DataFrame, queries: Column, k: int = 5, target_recall: float = 0.95, max_sample: int = MAX_SAMPLE, calibration: int = 200, leaf: int = LEAF, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score) of the ``k`` nearest other rows of every row for which ``queries`` holds. An id that several rows have asks with each of its vectors and has one answer: every other row counts once, with its best score."""
     sc = vectors.sparkSession.sparkContext
     pts = materialize(points(vectors, k, id_col, vec_col))
     n = pts.count()
-    grain = F.pmod(F.xxhash64(F.lit("tree sample"), "point"), F.lit(1_000_000))
+    grain = F.pmod(F.xxhash64(F.lit("tree sample"), "vec"), F.lit(1_000_000))
     sample = pts.select("vec").where(grain < (1_000_000 * max_sample // n if n > max_sample else 1_000_000)).toPandas()
     tree = sc.broadcast(Tree(unit(matrix(sample["vec"])) if len(sample) else np.zeros((0, 1)), leaf))
     index = materialize(routed(pts, tree))
     visits, _ = calibrate(pts, tree, k, calibration, target_recall)
     double = F.transform(F.col(vec_col), lambda x: x.cast("double") + F.lit(0.0))
     asked = vectors.where(queries).select(F.col(id_col).alias("query_id"), double.alias("vec")).where(valid(F.col("vec")) & F.col("query_id").isNotNull())
-    named = pts.select("point", "vec").withColumn("key", F.xxhash64("vec"))
-    asked = materialize(asked.withColumn("key", F.xxhash64("vec")).join(named, ["key", "vec"]).select("query_id", "point", "vec").dropDuplicates(["query_id", "point", "vec"]))
-    asked = asked.withColumn("need", F.lit(k + 1))
+    asked = materialize(asked.distinct().withColumn("key", F.xxhash64("vec")))
+    counted = asked.groupBy("key", "vec").agg(F.count("*").alias("n"))
+    named = pts.select("point", "vec").withColumn("key", F.xxhash64("vec")).join(counted, ["key", "vec"])
+    asked = materialize(join_counted(asked, named, ["key", "vec"], asked.count()).select("query_id", "point", "vec").withColumn("need", F.lit(k + 1)))
     one = lambda q: q.groupBy("point", "vec").agg(F.max("need").alias("need"))
     answers = materialize(answered(asked, search(one(asked), index, tree, visits, k + 1), k))
     full = answers.where(F.col("rank") == k).select("query_id")

@@ -6,7 +6,9 @@ pre-tokenizer drops it. Texts are therefore cut at white space into chunks, chun
 results of chunks and words are remembered per worker in bounded tables, for natural text repeats them.
 
 The file's special tokens are cut out of the raw text first. Null and empty texts give no ids and an empty decoded text.
-A fragment of any length is merged with a heap, in n log n.
+A fragment of any length is merged with a heap, in n log n. Decoding reads ids alone: Arrow takes each id's token and joins them.
+
+Repeated rows are encoded each. Columns of the input named like a new one give way; others pass through. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -25,12 +27,40 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_columns
+
 CHUNKS_KEPT, WORDS_KEPT, LONGEST_KEPT, FEW = 250_000, 250_000, 64, 24
 PORTION = 4_000_000
 NEVER = 1 << 60
 #: Code points that str.split() takes for white space and the tokenizer's \s does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 CHUNK = regex.compile(r"\P{White_Space}+")
+# Letters and digits (first, last) that the regex module knows and the tokenizer, of an earlier Unicode version, doesn't.
+LATER_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1),
+    (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20),
+    (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6),
+    (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+LATER_DIGITS = ((0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6))
+# Capitals (first, last, first small letter) that the tokenizer lower-cases and Python's older tables don't.
+LATER_CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+LOWER_LATER = {a + i: chr(small + i) for a, b, small in LATER_CAPITALS for i in range(b - a + 1)}
+
+
+def class_of(ranges) -> str:
+    """A set of code points for the regex module."""
+    return "[" + "".join(rf"\U{a:08X}-\U{b:08X}" for a, b in ranges) + "]"
+
+
+LATER = regex.compile(class_of((*LATER_LETTERS, *LATER_DIGITS, *((a, b) for a, b, _ in LATER_CAPITALS))))
 
 
 def byte_alphabet() -> list[str]:
@@ -74,7 +104,8 @@ class Vocabulary:
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        self.token_texts = pa.array([tokens.get(i) for i in range(max(tokens) + 1)], pa.string())
         self.ranks = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
@@ -90,6 +121,9 @@ class Vocabulary:
         self.joinable = inside
         # Chunks hold no white space and are lower case: for ASCII the pattern's classes are plain ranges.
         self.ascii_words = re.compile(self.words.pattern.replace(r"\p{White_Space}", "").replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
+        # For the rare chunks with code points that only one side knows.
+        older = self.words.pattern.replace(r"\p{L}", rf"[\p{{L}}--{class_of(LATER_LETTERS)}]").replace(r"\p{N}", rf"[\p{{N}}--{class_of(LATER_DIGITS)}]")
+        self.older_words = regex.compile(older, regex.V1)
         self.known_words = Kept(WORDS_KEPT)
         self.chunks = Filled(CHUNKS_KEPT, self.chunk)
 
@@ -97,6 +131,8 @@ class Vocabulary:
         if chunk.isascii():
             return chunk.lower()
         chunk = unicodedata.normalize("NFC", chunk)
+        if LATER.search(chunk):
+            chunk = chunk.translate(LOWER_LATER)
         # Character by character: str.lower() has a rule for a sigma at the end of a word.
         return "".join(map(str.lower, chunk)) if "Σ" in chunk else chunk.lower()
 
@@ -149,8 +185,8 @@ class Vocabulary:
                 heapq.heappush(heap, (r[0], h, symbols[h], symbols[i]))
         return [s for s in symbols if s is not None]
 
-    def word(self, word: str) -> tuple[bytes, str]:
-        """Ids of one pre-tokenized word, packed, and its decoded tokens, each with a space after it."""
+    def word(self, word: str) -> bytes:
+        """Ids of one pre-tokenized word, packed."""
         letters = word if word.isascii() and word.isprintable() else "".join(map(self.alphabet.__getitem__, word.encode()))
         tokens: list[str] = []
         for fragment, last in self.cuts(letters):
@@ -158,21 +194,24 @@ class Vocabulary:
             if last:
                 symbols[-1] += self.suffix
             tokens += self.merge_few(symbols) if len(symbols) <= FEW else self.merge(symbols)
-        both = struct.pack(f"<{len(tokens)}I", *map(self.ids.__getitem__, tokens)), " ".join(tokens) + " "
-        return self.known_words.put(word, both) if len(word) <= LONGEST_KEPT else both
+        packed = struct.pack(f"<{len(tokens)}I", *map(self.ids.__getitem__, tokens))
+        return self.known_words.put(word, packed) if len(word) <= LONGEST_KEPT else packed
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
+    def chunk(self, chunk: str) -> bytes:
         """The same for a text without white space."""
         if chunk in self.special:
-            return self.chunks.put(chunk, (np.array([self.special[chunk]], "<u4").tobytes(), chunk + " "))
+            return self.chunks.put(chunk, struct.pack("<I", self.special[chunk]))
         text, kept = self.normalized(chunk), self.known_words
-        found = [kept.get(w) or self.word(w) for w in (self.ascii_words if text.isascii() else self.words).findall(text)]
-        both = found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), "".join([f[1] for f in found]))
-        return self.chunks.put(chunk, both) if len(chunk) <= LONGEST_KEPT else both
+        pattern = self.ascii_words if text.isascii() else self.older_words if LATER.search(text) else self.words
+        found = [kept.get(w) or self.word(w) for w in pattern.findall(text)]
+        packed = found[0] if len(found) == 1 else b"".join(found)
+        return self.chunks.put(chunk, packed) if len(chunk) <= LONGEST_KEPT else packed
 
-    def decode(self, packed: bytes) -> str:
-        tokens = self.tokens
-        return "".join([tokens[i] + " " for i in np.frombuffer(packed, "<u4").tolist()])
+    def decode(self, packed: list[bytes]) -> pa.Array:
+        """The texts of lists of ids: their tokens with a space between, for the file has no decoder."""
+        ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
+        tokens = pc.take(self.token_texts, pa.array(np.frombuffer(b"".join(packed), "<u4")))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), tokens), " ")
 
     def pieces(self, text: str) -> list[str]:
         """A text cut at white space, and around special tokens, which stand alone."""
@@ -184,8 +223,8 @@ class Vocabulary:
                 out += CHUNK.findall(piece) if any(c in piece for c in NOT_SPACE) else piece.split()
         return out
 
-    def encode(self, texts: list[str]) -> tuple[pa.Array, pa.Array]:
-        """Packed ids of whole texts, and what they decode to: the tokens with a space between, for the file has no decoder.
+    def encode(self, texts: list[str]) -> pa.Array:
+        """Packed ids of whole texts.
 
         Arrow numbers the distinct chunks of the texts, each is encoded once, and Arrow joins the results text by text.
         """
@@ -195,9 +234,8 @@ class Vocabulary:
             ends.append(len(chunks))
         coded = pa.array(chunks, pa.string()).dictionary_encode()
         found = list(map(self.chunks.__getitem__, coded.dictionary.to_pylist()))
-        offsets = pa.array(ends, pa.int32())
-        joined = lambda k, kind, empty: pc.binary_join(pa.ListArray.from_arrays(offsets, pc.take(pa.array([f[k] for f in found], kind), coded.indices)), pa.scalar(empty, kind))
-        return joined(0, pa.binary(), b""), pc.utf8_slice_codeunits(joined(1, pa.string(), ""), 0, -1)
+        each = pc.take(pa.array(found, pa.binary()), coded.indices)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each), pa.scalar(b"", pa.binary()))
 
 
 _LOADED: dict[int, Vocabulary] = {}
@@ -212,11 +250,17 @@ def vocabulary(shared) -> Vocabulary:
     return _LOADED[key]
 
 
-def portions(texts: list[str | None]) -> Iterator[list[str]]:
-    """Runs of texts of about PORTION characters."""
+def shared_file(df: DataFrame, path: str):
+    """The tokenizer file (a few MB), read once by the driver and broadcast."""
+    with open(path, encoding="utf-8") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
+def portions(texts: list, empty) -> Iterator[list]:
+    """Runs of texts, or packed ids, of about PORTION characters or bytes."""
     part, size = [], 0
     for text in texts:
-        part.append(text or "")
+        part.append(text or empty)
         size += len(part[-1])
         if size >= PORTION:
             yield part
@@ -226,43 +270,36 @@ def portions(texts: list[str | None]) -> Iterator[list[str]]:
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit), ``n_tokens`` and ``decoded``.
-
-    The tokenizer file (a few MB) is read once by the driver and broadcast.
-    """
+    """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit) and ``n_tokens``."""
     from pyspark.sql.functions import arrow_udf
 
-    with open(tokenizer_path, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+    shared = shared_file(docs, tokenizer_path)
 
-    @arrow_udf("struct<ids:binary,decoded:string>")
+    @arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
-        v, out = vocabulary(shared), []
-        for part in portions(texts.to_pylist()):
-            out.append(pa.StructArray.from_arrays(v.encode(part), ["ids", "decoded"]))
-        return pa.concat_arrays(out) if out else pa.array([], pa.struct([("ids", pa.binary()), ("decoded", pa.string())]))
+        found = [vocabulary(shared).encode(part) for part in portions(texts.to_pylist(), "")]
+        return pa.concat_arrays(found) if found else pa.array([], pa.binary())
 
-    out = docs.withColumn("__bpe", encode(F.col(text_col)))
-    return out.select(*docs.columns, F.col("__bpe.ids").alias("ids"), (F.octet_length("__bpe.ids") / 4).cast("long").alias("n_tokens"), F.col("__bpe.decoded").alias("decoded"))
+    return with_columns(docs, encode(F.col(text_col)), lambda ids: {"ids": ids, "n_tokens": (F.octet_length(ids) / 4).cast("long")})
 
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``, from packed ids alone; null ids decode to an empty text."""
     from pyspark.sql.functions import arrow_udf
 
-    with open(tokenizer_path, encoding="utf-8") as f:
-        shared = encoded.sparkSession.sparkContext.broadcast(f.read())
+    shared = shared_file(encoded, tokenizer_path)
 
     @arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        v = vocabulary(shared)
-        return pa.array([v.decode(x or b"")[:-1] for x in ids.to_pylist()], pa.string())
+        found = [vocabulary(shared).decode(part) for part in portions(ids.to_pylist(), b"")]
+        return pa.concat_arrays(found) if found else pa.array([], pa.string())
 
-    return encoded.withColumn("decoded", decode(F.col(ids_col)))
+    return with_columns(encoded, decode(F.col(ids_col)), lambda text: {"decoded": text})
 
 
 def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    out = encode_documents(docs.select("doc_id", "text"), tokenizer_path)
+    """Every row's ids, encoded and then decoded again, as digests."""
+    out = decode_documents(encode_documents(docs.select("doc_id", "text"), tokenizer_path).drop("text"), tokenizer_path)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 

@@ -6,8 +6,10 @@ the number of tokens it expands to. A template wraps the turns of a conversation
 occur inside texts or roles are broken by an escape character after their first character, and the escape character is
 doubled, so that the formatted string can be read back without loss.
 
-Conversations are ordered by turn (null first), ties by role and text; null texts, roles and parts are empty. Repeated
-rows are turns of their own. A conversation is one output row, so its length bounds the row that holds it.
+Conversations are ordered by turn (null first), ties by role and then by the parts as they came, before anything is escaped; null texts, roles and
+parts are empty. Repeated rows are turns of their own. Offsets are running sums over the ordered turns, so long conversations cost no more a turn
+than short ones. A conversation is one output row, so its length bounds the row that holds it. Columns besides the four named ones don't come along; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: type: text, image, audio or document. units: image width and height, audio seconds or document pages (null: 0).
@@ -88,20 +90,24 @@ def format_chat(turns: DataFrame, template: Template = DEFAULT, id_col: str = "c
     (turn_no, part_no, kind, ref, n_tokens) in the order of their placeholders.
     """
     t = template
-    role = F.coalesce(F.col(role_col), F.lit(""))
-    parts = F.filter(F.coalesce(F.col(parts_col), F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
-    body = F.array_join(F.transform(parts, lambda p: visit(p, t)), "")
-    attached = F.filter(F.transform(parts, lambda p, i: F.struct(i.alias("part_no"), p["type"].alias("kind"), p["ref"].alias("ref"), expanded_tokens(p, t).alias("n_tokens"))), lambda a: a["kind"].isin("image", "audio", "document"))
+    given = F.filter(F.coalesce(F.col(parts_col), F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
+    rows = turns.select(F.col(id_col).alias("id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), given.alias("parts"))
+    role, parts = F.col("role"), F.col("parts")
     head = F.concat(F.lit(t.start), t.escaped(role), F.lit(t.sep))
-    rows = turns.select(F.col(id_col).alias("id"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), body.alias("body"), head.alias("head"), attached.alias("attached"), role.isin(*t.loss_roles).alias("learn")).alias("t"))
-    grouped = rows.groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    body = F.array_join(F.transform(parts, lambda p: visit(p, t)), "")
+    attachment = lambda p, i: F.struct(i.alias("part_no"), p["type"].alias("kind"), p["ref"].alias("ref"), expanded_tokens(p, t).alias("n_tokens"))
+    attached = F.filter(F.transform(parts, attachment), lambda a: a["kind"].isin("image", "audio", "document"))
+    order = Window.partitionBy("id").orderBy("turn", "role", "parts")
+    length = (F.char_length(head) + F.char_length(body) + len(t.end)).cast("long")
+    begun = F.coalesce(F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = rows.select("*", F.row_number().over(order).alias("no"), begun.alias("begun"))
+    placed = placed.select("id", F.struct("no", "begun", head.alias("head"), body.alias("body"), attached.alias("attached"), role.isin(*t.loss_roles).alias("learn")).alias("t"))
+    grouped = placed.groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     turn_text = lambda x: F.concat(x["head"], x["body"], F.lit(t.end))
-    ended = F.char_length(F.lit(t.end))
-    # Running offsets: the lengths are summed once, spans are kept beside them.
-    ends = F.aggregate("ts", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts")), lambda acc, x: F.struct((acc["at"] + F.char_length(x["head"]) + F.char_length(x["body"]) + ended).alias("at"), F.concat(acc["starts"], F.array(acc["at"] + F.char_length(x["head"]))).alias("starts")), lambda acc: acc["starts"])
-    spans = F.filter(F.zip_with("ts", ends, lambda x, at: F.when(x["learn"], F.struct(at.alias("start"), F.char_length(x["body"]).cast("long").alias("length")))), lambda s: s.isNotNull())
-    attachments = F.flatten(F.transform("ts", lambda x, i: F.transform(x["attached"], lambda a: F.struct(i.alias("turn_no"), a["part_no"].alias("part_no"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["n_tokens"].alias("n_tokens")))))
-    return grouped.select(F.col("id").alias(id_col), F.array_join(F.transform("ts", turn_text), "").alias("formatted"), spans.alias("loss_spans"), attachments.alias("attachments"))
+    span = lambda x: F.struct((x["begun"] + F.char_length(x["head"])).alias("start"), F.char_length(x["body"]).cast("long").alias("length"))
+    spans = F.transform(F.filter("ts", lambda x: x["learn"]), span)
+    listed = lambda x, i: F.transform(x["attached"], lambda a: F.struct(i.alias("turn_no"), a["part_no"].alias("part_no"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["n_tokens"].alias("n_tokens")))
+    return grouped.select(F.col("id").alias(id_col), F.array_join(F.transform("ts", turn_text), "").alias("formatted"), spans.alias("loss_spans"), F.flatten(F.transform("ts", listed)).alias("attachments"))
 
 
 def read_turns(formatted: Column, template: Template = DEFAULT) -> Column:

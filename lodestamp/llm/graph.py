@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_counted, materialize
 
 
-def large_star(edges: DataFrame) -> DataFrame:
-    """Every node's larger neighbours move to the smallest node around it."""
+def large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Every node's larger neighbours move to the smallest node around it. A node with many neighbours is a hot key of the join."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+    joined = join_counted(both.where(F.col("b") > F.col("a")), least, ["a"], 2 * total)
+    return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def small_star(edges: DataFrame) -> DataFrame:
+def small_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node and its smaller neighbours move to the smallest of them. Edges point from larger to smaller."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    joined = edges.join(least, "a")
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    joined = join_counted(edges, least, ["a"], total)
     moved = joined.where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -34,7 +35,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges)
     before = state(edges)
     while before[0]:
-        edges = materialize(small_star(large_star(edges)))
+        edges = materialize(small_star(large_star(edges, before[0]), before[0]))
         after = state(edges)
         if after == before:
             break

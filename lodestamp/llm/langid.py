@@ -7,7 +7,8 @@ goes through a linear layer and a softmax. The model is trained by stochastic gr
 calibrates the probabilities and a rejection threshold is set at which accepted predictions reach ``precision``.
 
 Since both layers are linear, one row of logits per bucket is broadcast. Texts that are null or have no letter are ``und``
-with score 0 and not accepted; texts of a single letter have one subword. Without training documents all is ``und``.
+with score 0 and not accepted; texts of a single letter have one subword. Without training documents all is ``und``. Repeated rows count each
+time. Columns of the input named ``lang_pred``, ``score`` or ``accepted`` give way; others pass through. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, with_columns
 
 BUCKETS, DIM, SIZES = 1 << 13, 16, (2, 3, 4)
 PER_LANG = 700
@@ -163,9 +164,8 @@ def predict(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataFr
         found = [shared.value.predict(t) for t in texts.to_pylist()]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
 
-    out = docs.select("*", guess(F.col(text_col)).alias("__lid"))
-    accepted = (F.col("__lid.lang") != "und") & (F.col("__lid.score") >= model.floor)
-    return out.select(*docs.columns, F.col("__lid.lang").alias("lang_pred"), F.col("__lid.score").alias("score"), accepted.alias("accepted"))
+    accepted = lambda g: (g["lang"] != "und") & (g["score"] >= model.floor)
+    return with_columns(docs, guess(F.col(text_col)), lambda g: {"lang_pred": g["lang"], "score": g["score"], "accepted": accepted(g)})
 
 
 def query(spark, sf_dir: str) -> DataFrame:

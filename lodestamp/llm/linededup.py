@@ -3,22 +3,23 @@
 Steps, all of them Spark jobs:
 
 1. Every document's distinct line keys become 128-bit hashes; a map-side combined ``groupBy`` counts documents per hash.
-2. The distinct hashes in at least ``min_docs`` documents are cut into shards by hash. A grouped map builds for each shard a
+2. The distinct hashes of lines that repeat are cut into shards by hash. A grouped map builds for each shard a
    minimal perfect hash (levels of collision-free bits) that indexes two arrays: 64-bit fingerprints and counts.
-   A line outside the index meets a foreign fingerprint, so rarer lines need no slot and no row.
-3. Documents probe the arrays. Shards of the most frequent lines, at most ``resident_keys`` keys (about 20 bytes each), are
-   broadcast. If more lines are frequent than that, the lines left over are routed by shard to the remaining shards
+   A line outside the index meets a foreign fingerprint, so lines of a single document, which no threshold drops, have no slot and no row.
+3. Documents probe the arrays, and the count that they find there decides. Shards of the most frequent lines, at most ``resident_keys`` keys (about
+   20 bytes each), are broadcast. If more lines than that are in ``min_docs`` documents, those left over are routed by shard to the remaining shards
    as bare hashes and only the positions of dropped lines come back. The lines of a shard, rare ones included, are dealt by
    row and position into parts of about ``ROUTED_LINES``, and the shard's arrays go to each of its parts: neither a hot line nor
    many lines for few shards make a group larger.
 
 Null or empty texts are one empty line. Keys shorter than ``min_chars`` code points are never dropped. Rows count as documents,
-also where they repeat a ``doc_id``. Extra columns pass through untouched.
+also where they repeat a ``doc_id``. Extra columns pass through untouched, but for those named ``kept_text``, ``n_lines`` or ``n_dropped``, which give way.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from .common import SPACES, ascii_lower, materialize
 GAMMA = 1.5
 SHARD_KEYS = 1 << 16
 ROUTED_LINES = 1 << 19
-SHARD_SCHEMA = "shard long, n_keys long, level_sizes binary, bits binary, fingerprints binary, counts binary"
+SHARD_SCHEMA = "shard long, salt long, level_sizes binary, bits binary, fingerprints binary, counts binary"
 
 
 def mix64(x: np.ndarray, salt: int) -> np.ndarray:
@@ -77,8 +78,14 @@ class PerfectHash:
         return out
 
 
+def salted(h1: np.ndarray, h2: np.ndarray, salt: int) -> np.ndarray:
+    """One 64-bit key from both hashes of a line."""
+    return mix64(h1, 1000 + salt) ^ h2
+
+
 class Shard:
     def __init__(self, row):
+        self.salt = int(row.salt)
         self.hash = PerfectHash(np.frombuffer(row.level_sizes, np.int64), np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool))
         self.fingerprints = np.frombuffer(row.fingerprints, np.uint64)
         self.counts = np.frombuffer(row.counts, np.int64)
@@ -87,7 +94,7 @@ class Shard:
         """Documents of each line by the count array; 0 where the fingerprint says that the line is not in the index."""
         if not len(self.counts):
             return np.zeros(len(h1), np.int64)
-        slot = self.hash.slots(h1)
+        slot = self.hash.slots(salted(h1, h2, self.salt))
         known = (slot >= 0) & (self.fingerprints[slot] == h2)
         return np.where(known, self.counts[slot], 0)
 
@@ -95,13 +102,15 @@ class Shard:
 def build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     h1, h2 = pdf["h1"].to_numpy(np.int64).view(np.uint64), pdf["h2"].to_numpy(np.int64).view(np.uint64)
     n = pdf["n_docs"].to_numpy(np.int64)
-    # Two frequent lines with the same h1 would share a slot: among ten billion frequent lines about three pairs are expected.
-    hashed = PerfectHash.build(np.unique(h1))
-    slot = hashed.slots(h1)
-    fingerprints, counts = np.zeros(slot.max() + 1, np.uint64), np.zeros(slot.max() + 1, np.int64)
+    salt = 0
+    while len(np.unique(keys := salted(h1, h2, salt))) < len(keys):  # two lines must not share a slot: other keys for this shard
+        salt += 1
+    hashed = PerfectHash.build(keys)
+    slot = hashed.slots(keys)
+    fingerprints, counts = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.int64)
     fingerprints[slot], counts[slot] = h2, n
     bits = np.packbits(hashed.bits)
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "n_keys": [len(h1)], "level_sizes": [hashed.sizes.tobytes()], "bits": [bits.tobytes()], "fingerprints": [fingerprints.tobytes()], "counts": [counts.tobytes()]})
+    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "salt": [salt], "level_sizes": [hashed.sizes.tobytes()], "bits": [bits.tobytes()], "fingerprints": [fingerprints.tobytes()], "counts": [counts.tobytes()]})
 
 
 def line_keys(text: Column):
@@ -123,18 +132,18 @@ def build_index(counts: DataFrame, n_keys: int) -> tuple[DataFrame, int]:
     return keyed.groupBy("shard").applyInPandas(build_shard, SHARD_SCHEMA), n_shards
 
 
-def resident_floor(counts: DataFrame, resident_keys: int) -> tuple[int | None, int, int]:
-    """The smallest power-of-two document count from which at most ``resident_keys`` lines remain; how many remain; and all. One row per power comes back."""
+def resident_floor(counts: DataFrame, resident_keys: int) -> tuple[int | None, int]:
+    """The smallest power-of-two document count from which at most ``resident_keys`` lines remain, and how many do. One row per power comes back."""
     powers = counts.groupBy(F.floor(F.log2(F.col("n_docs"))).cast("int").alias("p")).agg(F.count("*").alias("n")).collect()
     floor, kept = None, 0
     for row in sorted(powers, key=lambda r: -r["p"]):
         if kept + row["n"] > resident_keys:
             break
         floor, kept = 2 ** row["p"], kept + row["n"]
-    return floor, kept, sum(r["n"] for r in powers)
+    return floor, kept
 
 
-def probe_resident(shards, n_shards: int):
+def probe_resident(shards, n_shards: int, min_docs: int):
     """Arrow UDF: line hashes of each document to a flag per line, true where the line is frequent."""
     from pyspark.sql.functions import arrow_udf
 
@@ -149,7 +158,7 @@ def probe_resident(shards, n_shards: int):
         for k in np.unique(shard):
             if int(k) in index:
                 at = np.flatnonzero(shard == k)
-                found[at] = index[int(k)].count(h1[at].view(np.uint64), h2[at].view(np.uint64)) > 0
+                found[at] = index[int(k)].count(h1[at].view(np.uint64), h2[at].view(np.uint64)) >= min_docs
         base = offsets[0].as_py() if len(offsets) else 0
         return pa.ListArray.from_arrays(pa.array(offsets.to_numpy() - base, pa.int32()), pa.array(found))
 
@@ -166,10 +175,10 @@ def resident(broadcasted) -> dict[int, Shard]:
     return _RESIDENT["shards"]
 
 
-def probe_routed(key, lines: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+def probe_routed(key, lines: pd.DataFrame, shard: pd.DataFrame, min_docs: int) -> pd.DataFrame:
     if not len(lines) or not len(shard):
         return pd.DataFrame({"row": pd.Series(dtype="int64"), "pos": pd.Series(dtype="int32")})
-    hit = Shard(next(shard.itertuples())).count(lines["h1"].to_numpy(np.int64).view(np.uint64), lines["h2"].to_numpy(np.int64).view(np.uint64)) > 0
+    hit = Shard(next(shard.itertuples())).count(lines["h1"].to_numpy(np.int64).view(np.uint64), lines["h2"].to_numpy(np.int64).view(np.uint64)) >= min_docs
     return lines.loc[hit, ["row", "pos"]]
 
 
@@ -179,29 +188,33 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min
     A table without rows gives one without rows; a document whose lines all go keeps an empty text.
     """
     spark = docs.sparkSession
-    counts = materialize(line_counts(docs, text_col, min_chars).where(F.col("n_docs") >= min_docs))
-    floor, n_resident, n_all = resident_floor(counts, resident_keys)
+    counts = materialize(line_counts(docs, text_col, min_chars).where(F.col("n_docs") >= min(2, min_docs)))
+    floor, n_resident = resident_floor(counts, resident_keys)
+    left = counts.where(F.col("n_docs") >= min_docs)
+    left = left if floor is None else left.where(F.col("n_docs") < floor)
+    n_left = left.count()
     lines, key = line_keys(F.col(text_col))
     keep = lambda x, hit: F.when(hit, F.lit(None)).otherwise(x)
     work = docs.select("*", F.struct(lines.alias("lines")).alias("__ld"))
     if n_resident:
         index, n_shards = build_index(counts.where(F.col("n_docs") >= floor), n_resident)
-        rows = index.toPandas()
-        shards = spark.sparkContext.broadcast((f"{id(rows)}-{n_resident}-{floor}", rows))
-        probe = probe_resident(shards, n_shards)
+        shards = spark.sparkContext.broadcast((uuid.uuid4().hex, index.toPandas()))
+        probe = probe_resident(shards, n_shards, min_docs)
         keys = lambda: F.transform(lines, key)
         flags = probe(F.transform(keys(), lambda k: F.when(F.char_length(k) >= min_chars, F.xxhash64(k)).otherwise(F.lit(0))), F.transform(keys(), lambda k: F.when(F.char_length(k) >= min_chars, F.xxhash64(F.lit("second"), k)).otherwise(F.lit(0))))
     else:
         flags = F.transform(lines, lambda x: F.lit(False))
     work = work.select("*", flags.alias("__ld_hit"))
-    if n_all > n_resident:
-        work = route(work, counts if floor is None else counts.where(F.col("n_docs") < floor), n_all - n_resident, key, min_chars)
+    if n_left:
+        work = route(work, left, n_left, key, min_chars, min_docs)
     kept = F.filter(F.zip_with("__ld.lines", "__ld_hit", keep), lambda x: x.isNotNull())
-    out = work.select("*", F.size("__ld.lines").cast("long").alias("n_lines"), kept.alias("__ld_kept"))
-    return out.select(*[c for c in docs.columns], F.array_join("__ld_kept", "\n").alias("kept_text"), "n_lines", (F.col("n_lines") - F.size("__ld_kept")).cast("long").alias("n_dropped"))
+    n_lines = F.size("__ld.lines").cast("long")
+    made = {"kept_text": F.array_join("__ld_kept", "\n"), "n_lines": n_lines, "n_dropped": (n_lines - F.size("__ld_kept")).cast("long")}
+    out = work.select("*", kept.alias("__ld_kept")).drop(*made).select("*", *[c.alias(name) for name, c in made.items()])
+    return out.drop(*[c for c in out.columns if c.startswith("__ld")])
 
 
-def route(work: DataFrame, counts: DataFrame, n_keys: int, key, min_chars: int) -> DataFrame:
+def route(work: DataFrame, counts: DataFrame, n_keys: int, key, min_chars: int, min_docs: int) -> DataFrame:
     """The rest of the index: hashes of lines that no resident shard knows go to their shard, positions of frequent ones come back by row."""
     index, n_shards = build_index(counts, n_keys)
     work = materialize(work.withColumn("__ld_row", F.monotonically_increasing_id()))
@@ -211,7 +224,7 @@ def route(work: DataFrame, counts: DataFrame, n_keys: int, key, min_chars: int)
     parts = materialize(lines.groupBy("shard").agg(F.ceil(F.count("*") / ROUTED_LINES).cast("int").alias("parts")))
     lines = lines.join(F.broadcast(parts), "shard").withColumn("part", F.pmod(F.xxhash64("row", "pos"), F.col("parts")).cast("int")).drop("parts")
     index = index.join(F.broadcast(parts), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    gone = lines.groupBy("shard", "part").cogroup(index.groupBy("shard", "part")).applyInPandas(probe_routed, "row long, pos int")
+    gone = lines.groupBy("shard", "part").cogroup(index.groupBy("shard", "part")).applyInPandas(lambda name, a, b: probe_routed(name, a, b, min_docs), "row long, pos int")
     gone = gone.groupBy(F.col("row").alias("__ld_row")).agg(F.collect_set("pos").alias("__ld_gone"))
     joined = work.join(gone, "__ld_row", "left")
     hit = F.transform("__ld_hit", lambda x, i: x | F.coalesce(F.array_contains("__ld_gone", i.cast("int")), F.lit(False)))

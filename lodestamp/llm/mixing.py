@@ -8,8 +8,9 @@ inverted cumulative demand reaches it. Documents are then range-sorted by positi
 
 The running sums go in two levels, so that no source meets in one task: words per (source, leading hash digits), then
 inside each such cell. Words of null texts count 0 and null sources are one source, the last. Equal rows are separate
-documents; ties of the hash order are broken by id, size and then don't matter. A source without words has target 0.
-The table of sources (one row each) is the only thing handled in one task.
+documents; ties of the hash order are broken by id, size and then don't matter. Documents without an id are laid out by the hash of their text.
+A source without words has target 0. Columns besides the named ones come along only with ``keep``. An empty table stays empty.
+The table of sources (one row each) and one source's row per cell are the only things handled in one task.
 """
 
 from __future__ import annotations
@@ -78,8 +79,8 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats:
     The last pass of a source ends where its target is reached: the document there is taken in part, or, with
     ``whole_documents``, as a whole if at least half of it is due. ``keep``: more columns to carry along.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
-    sized = sized.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("cell", F.substring("order", 1, CELL_DIGITS))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.when(F.col(id_col).isNull(), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col), F.lit(""))))).alias("nameless"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
+    sized = sized.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("nameless")))).withColumn("cell", F.substring("order", 1, CELL_DIGITS))
     if not keep:
         sized = materialize(sized)  # slim rows: the texts are read once
     cells = sized.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
@@ -118,12 +119,13 @@ def query(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     plan = plan_mix(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    position = F.round("start_position", 9).alias("position")
+    return plan.orderBy("start_position", "source", "at", "doc_id").select("doc_id", "size", "source_size", "target", "taken", position)
 
 
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, 'text ' || md5(coalesce(text, '')))) AS h FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), named AS (
@@ -137,14 +139,21 @@ WITH sized AS (
 ), stop AS (
   SELECT used, num, den FROM lev WHERE 3 * source_size * den > num * weight ORDER BY used LIMIT 1
 ), targets AS (
-  SELECT l.source, l.source_size, CASE WHEN s.used IS NULL OR l.used < s.used THEN (3 * l.source_size)::DOUBLE ELSE (l.weight * s.num)::DOUBLE / s.den::DOUBLE END AS target
+  SELECT l.source, l.source_size, l.weight, CASE WHEN s.used IS NULL OR l.used < s.used THEN (3 * l.source_size)::DOUBLE ELSE (l.weight * s.num)::DOUBLE / s.den::DOUBLE END AS target
   FROM lev l LEFT JOIN stop s ON true
 ), laid AS (
-  SELECT d.*, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begun
+  SELECT d.*, t.source_size, t.target, t.weight, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begun
   FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), curve AS (
+  SELECT *, weight * (1 - CASE WHEN weight >= 5 THEN -0.25 WHEN weight <= 1 THEN 0.25 ELSE 0.0 END)::DOUBLE AS w0, weight * (1 + CASE WHEN weight >= 5 THEN -0.25 WHEN weight <= 1 THEN 0.25 ELSE 0.0 END)::DOUBLE AS w1,
+         CASE WHEN target > 0 THEN least(begun / target, 1.0::DOUBLE) ELSE 0.0::DOUBLE END AS share
+  FROM laid
+), demand AS (
+  SELECT *, w1 - w0 AS slope, share * ((w0 + w1) / 2) AS rest FROM curve
 )
 SELECT doc_id, size, source_size, target,
   (CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END * size
-   + least(greatest(round(target)::BIGINT - CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END * source_size - begun, 0), size))::BIGINT AS taken
-FROM laid
+   + least(greatest(round(target)::BIGINT - CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END * source_size - begun, 0), size))::BIGINT AS taken,
+  round(least(2 * rest / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * rest, 0.0::DOUBLE))), 1.0::DOUBLE), 9) AS position
+FROM demand
 """

@@ -15,8 +15,11 @@ again while a part is hot. This loses no link, costs ``radius + 1`` rows a finge
 more bits and fingerprints are distinct. Trees hold distinct fingerprints only, so exact copies cost nothing, and a task keeps no pairs: it merges
 what it finds into a forest and returns at most one edge per fingerprint. Star contraction joins the forests.
 
+Trees of cold shards travel to the tasks that search them, as many shards to a task as fill it; they aren't broadcast, for all of them together grow
+with the corpus. Each fingerprint finds its class by a join in which the classes of very many documents, whose number is bounded, are broadcast.
+
 Rows count as documents also where they repeat a ``doc_id``. Null ids take part, but a component's id is its smallest id
-that isn't null.
+that isn't null. A column ``fp`` of the input gives way to the fingerprint.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_counted, materialize, with_columns
 from .graph import components
 
 SHARD_SIZE = 16_384
@@ -70,7 +73,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 3) -> Dat
         found = np.array([majority(shingle_hashes(t or "", words)) for t in texts.to_pylist()], np.uint64)
         return pa.array(found.view(np.int64))
 
-    return docs.withColumn("fp", fingerprint(F.col(text_col)))
+    return with_columns(docs, fingerprint(F.col(text_col)), lambda fp: {"fp": fp})
 
 
 class Forest:
@@ -196,13 +199,17 @@ BINS, BIN_ROWS = 64, 1 << 16
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 3, radius: int = 3, shard_size: int = SHARD_SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: ``id_col``, ``keep``, ``fp``, ``component_fp`` (one fingerprint that names the component) and ``component_id``, the smallest id reachable over links."""
-    printed = materialize(fingerprints(docs.select(id_col, text_col, *keep), text_col, words).select(id_col, "fp", *keep))
-    classes = materialize(printed.groupBy("fp").agg(F.min(id_col).alias("least_id")))
+    named = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"__keep_{k}") for k, c in enumerate(keep)])
+    printed = materialize(fingerprints(named, "__text", words).drop("__text"))
+    classes = materialize(printed.groupBy("fp").agg(F.min("__id").alias("least_id"), F.count("*").alias("n")))
     rooted = components(links(classes.select("fp"), radius, shard_size))
+    total = classes.agg(F.count("*"), F.sum("n")).first()
     rooted = materialize(rooted.join(classes, rooted["node"] == classes["fp"]).select("fp", "root", "least_id"))
-    named = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("fp", "root", "component_id")
-    of_class = classes.join(named, "fp", "left").select(F.col("fp").alias("__fp"), F.coalesce("root", "fp").alias("component_fp"), F.coalesce("component_id", "least_id").alias("component_id"))
-    return printed.join(of_class, F.col("fp") == F.col("__fp")).select(id_col, *keep, "fp", "component_fp", "component_id")
+    roots = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    of_root = join_counted(rooted.select("fp", "root"), roots, ["root"], total[0])
+    of_class = classes.join(of_root, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("component_fp"), F.coalesce("component_id", "least_id").alias("component_id"))
+    out = join_counted(printed, of_class, ["fp"], total[1] or 0)
+    return out.select(F.col("__id").alias(id_col), *[F.col(f"__keep_{k}").alias(c) for k, c in enumerate(keep)], "fp", "component_fp", "component_id")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ copies of a passage of ``min_words`` words retain at least one suffix at the sam
 4. Overlapping matches of a document become one span.
 
 A minimiser that more than ``hot`` suffixes share would make a large group: its suffixes are turned into the hashes of
-all ``min_words``-word windows around them, which are counted with map-side combination, so that they never meet in a task.
+all ``min_words``-word windows around them, which are counted with map-side combination, so that they never meet in a task. What a
+common window, text or minimiser has in common goes back to its rows by a join in which the commonest, whose number is bounded, are broadcast.
 
 Words compare by 32-bit hashes, at least ``min_words`` of them in a row. Null texts and null ids take no part; repeats
 inside one document (or rows with the same id) are none; short or empty texts have none; ties don't matter.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_counted, materialize
 
 MIN_WORDS, K = 50, 12
 HOT = 20_000
@@ -173,19 +174,26 @@ def matches(docs: DataFrame, min_words: int, k: int, hot: int, id_col: str, text
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     hashed = texts.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"), "text")
     listed = materialize(hashed.mapInArrow(list_minimisers(min_words, k), "doc_id long, t1 long, t2 long, n_words long, pos array<int>, key array<long>").where(F.col("n_words") >= min_words))
-    equal = listed.groupBy("t1", "t2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    marked = listed.join(equal, ["t1", "t2"])
-    whole = marked.where("low <> high").select("doc_id", F.lit(0).cast("long").alias("first_word"), F.col("n_words").alias("end_word"), F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other_doc_id"))
-    alone = materialize(marked.where("doc_id = low").select("doc_id", F.explode(F.arrays_zip("pos", "key")).alias("s")).select("doc_id", "s.pos", "s.key"))
-    counted = alone.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    kept = materialize(alone.join(counted, "key").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "key", "n")).alias("suffixes")))
+    other = F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other_doc_id")
+    equal = materialize(listed.groupBy("t1", "t2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")))
+    total = equal.agg(F.sum("n")).first()[0] or 0
+    several = equal.where("low <> high")
+    whole = join_counted(listed.select("doc_id", "t1", "t2", "n_words"), several, ["t1", "t2"], total).select("doc_id", F.lit(0).cast("long").alias("first_word"), F.col("n_words").alias("end_word"), other)
+    least = equal.select(F.col("low").alias("doc_id"), "t1", "t2")
+    alone = materialize(listed.join(least, ["doc_id", "t1", "t2"]).select("doc_id", F.explode(F.arrays_zip("pos", "key")).alias("s")).select("doc_id", "s.pos", "s.key"))
+    counted = materialize(alone.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared_keys = join_counted(alone, counted.withColumn("times", F.col("n")), ["key"], alone.count())
+    kept = materialize(shared_keys.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "key", F.col("times").alias("n"))).alias("suffixes")))
     n = kept.agg(F.sum(F.size("suffixes"))).first()[0] or 0
     contexts = materialize(texts.join(kept, "doc_id").select("doc_id", "text", "suffixes").mapInArrow(fetch_contexts(min_words, k), "doc_id long, pos long, n_words long, key long, n long, around binary"))
     bins = max(1, math.ceil(n / BIN_ROWS))
     near = contexts.where(F.col("n") <= hot).withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins))).groupBy("bin").applyInPandas(compare_neighbours(min_words, k), MATCH)
     windows = contexts.where(F.col("n") > hot).select("doc_id", "pos", "n_words", "around").mapInArrow(window_hashes(min_words, k), "doc_id long, first_word long, h1 long, h2 long")
-    shared = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
-    far = windows.join(shared, ["h1", "h2"]).select("doc_id", "first_word", (F.col("first_word") + min_words).alias("end_word"), F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other_doc_id"))
+    per_window = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+    shared = materialize(per_window.where("low <> high"))
+    # The shared windows' own number of rows is the total here: others don't meet them.
+    far = join_counted(windows, shared, ["h1", "h2"], shared.agg(F.sum("n")).first()[0] or 0)
+    far = far.select("doc_id", "first_word", (F.col("first_word") + min_words).alias("end_word"), other)
     return whole.unionByName(near).unionByName(far)
 
 

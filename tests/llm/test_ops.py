@@ -87,9 +87,9 @@ def test_lines_routed_in_bounded_groups(spark, monkeypatch):
     rows = [(i, "\n".join([f"rare {i} {j}" for j in range(40)] + [f"often {i % 7}", "always"])) for i in range(100)]
     probe = linededup.probe_routed
 
-    def bounded(key, lines, shard):
+    def bounded(key, lines, shard, min_docs):
         assert len(lines) <= 800, f"{len(lines)} lines in one group"
-        return probe(key, lines, shard)
+        return probe(key, lines, shard, min_docs)
 
     monkeypatch.setattr(linededup, "ROUTED_LINES", 500, raising=False)
     monkeypatch.setattr(linededup, "probe_routed", bounded)
@@ -149,13 +149,21 @@ def library():
 def test_bpe_equals_library(spark, docs, odd, library):
     nasty = ["don't ΣΑΣ İstanbul Ⅷ ½² 中文 é <|endoftext|>x<|startoftext|>", "\x1c  a b\x85c　", "<|endoftext|>", "\x00\x01 a​b", "I'LL  WE'VE\t\n'S", "ab" * 3000, "Å ﬁ"]
     both = docs.select("text").union(odd.select("text")).union(spark.createDataFrame([(x,) for x in nasty], "text string"))
-    out = bpe.encode_documents(both, bpe.tokenizer_path())
+    out = bpe.decode_documents(bpe.encode_documents(both, bpe.tokenizer_path()), bpe.tokenizer_path())
     for r in out.collect():
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert np.frombuffer(r.ids, "<u4").tolist() == ids, repr((r.text or "")[:80])
         assert r.n_tokens == len(ids) and r.decoded == library.decode(ids, skip_special_tokens=False)
-    again = bpe.decode_documents(out.select("ids", F.col("decoded").alias("want")), bpe.tokenizer_path())
-    assert again.where("decoded <> want").count() == 0
+
+
+def test_bpe_equals_library_on_every_code_point(library):
+    v = bpe.Vocabulary(open(bpe.tokenizer_path(), encoding="utf-8").read())
+    points = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and (c % 7 == 0 or bpe.LATER.match(chr(c)))]
+    texts = [f"a{chr(c)}{chr(c)}b3" for c in points]
+    for at in range(0, len(texts), 20_000):
+        part = texts[at : at + 20_000]
+        for text, packed, want in zip(part, v.encode(part).to_pylist(), library.encode_batch(part, add_special_tokens=False), strict=True):
+            assert np.frombuffer(packed, "<u4").tolist() == want.ids, ascii(text)
 
 
 def test_bpe_cuts_are_certain():
@@ -209,6 +217,27 @@ def test_ann_copies_and_odd(spark):
     assert ann.nearest(df.where("vec_id in (50, 0)"), F.lit(True)).count() == 2
 
 
+def test_ann_repeated_ids_lose_nobody(spark):
+    rows = [(1, [1.0, i / 10, 0.0]) for i in range(7)] + [(2, [1.0, 0.05, 0.1]), (3, [0.9, 0.1, 0.3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.rank) for r in ann.nearest(df, F.col("vec_id") == 1).collect()]
+    assert sorted(got) == [(2, 1), (3, 2)]
+    got = [(r.vec_id, r.rank) for r in ann.nearest(df.where("vec_id <> 1 or embedding[1] in (0, 0.6)").unionByName(df.where("vec_id = 3")), F.col("vec_id") == 1).collect()]
+    assert sorted(got) == [(2, 1), (3, 2), (3, 3)]
+    two = {(r.rank, r.vec_id) for r in ann.nearest(df, F.col("vec_id") == 2, k=3).collect()}
+    by_hand = sorted((-np.dot(v, [1.0, 0.05, 0.1]) / np.linalg.norm(v) / np.linalg.norm([1.0, 0.05, 0.1]), i) for i, v in rows if i != 2)[:3]
+    assert two == {(k + 1, i) for k, (_, i) in enumerate(by_hand)}
+
+
+def test_ann_lengths_differ(spark):
+    rows = [(1, [1.0, 2.0]), (2, [1.0, 2.0, 0.0]), (3, [1.0, 2.0, 3.0, 4.0]), (4, [2.0]), (5, [1e200, 2e200]), (6, [1e-200, 0.0])]
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.lit(True)).collect()}
+    pad = {i: np.array(v + [0.0] * (4 - len(v))) / np.abs(v).max() for i, v in rows}
+    for i in pad:
+        want = sorted((-round(float(pad[i] @ pad[j] / np.linalg.norm(pad[i]) / np.linalg.norm(pad[j])), 9), j) for j in pad if j != i)[:5]
+        assert [(-round(got[i, k][1], 9), got[i, k][0]) for k in range(1, 6)] == want
+
+
 # Quality
 
 
@@ -272,10 +301,10 @@ def test_quality_weights_equal_counts(spark, docs):
 
 def test_segments_are_maximal():
     rng = random.Random(5)
-    model = toxicity.ToxicModel({b"=bad": 2.0, b"=mild": 1.1})
+    model = toxicity.ToxicModel({b"=bad": 2.0, b"=mild": 1.1, b"=ok": -0.2})
     for _ in range(300):
         found = [rng.choice([b"bad", b"mild", b"ok", b"ok", b"ok", b"ok"]) for _ in range(rng.randint(1, 40))]
-        s = [model.token_score(t) or -toxicity.DRIFT for t in found]
+        s = [model.token_score(t) for t in found]
         best = max((sum(s[a : b + 1]) for a in range(len(s)) for b in range(a, len(s))), default=0)
         got = model.passages(found)
         if best > 0:
@@ -284,6 +313,65 @@ def test_segments_are_maximal():
             assert abs(sum(s[a : b + 1]) - x) < 1e-9 and (nxt is None or nxt[0] > b)
 
 
+def segments_by_hand(s):
+    """The definition: the best segment (the shortest of equals), then the same to its left and right."""
+    best = max(((sum(s[a : b + 1]), a - b, a, b) for a in range(len(s)) for b in range(a, len(s))), default=(0, 0, 0, 0))
+    if best[0] <= 0:
+        return []
+    _, _, a, b = best
+    return segments_by_hand(s[:a]) + [(a, b)] + [(x + b + 1, y + b + 1) for x, y in segments_by_hand(s[b + 1 :])]
+
+
+def test_maximal_segments_equal_the_definition():
+    rng = random.Random(8)
+    for _ in range(400):
+        s = [rng.uniform(-1, 1) + rng.choice([-0.5, 0.2]) for _ in range(rng.randint(0, 24))]
+        got = toxicity.maximal_segments(np.array(s))
+        assert [(a, b) for a, b, _ in got] == segments_by_hand(s)
+        assert all(abs(x - sum(s[a : b + 1])) < 1e-9 for a, b, x in got)
+
+
+def test_maximal_segments_take_linear_time():
+    import time
+
+    def took(n):
+        s = np.full(n, -0.3)
+        s[::11] = 2.0
+        began = time.perf_counter()
+        toxicity.maximal_segments(s)
+        return time.perf_counter() - began
+
+    took(10_000)
+    assert took(1_100_000) < 40 * took(110_000) + 0.5
+
+
+def test_toxicity_log_odds_by_hand(spark):
+    texts = [("you bad worm", 1), ("bad day", 1), ("bad bad dog", 1), ("bad sky", 1), ("fine day", 0), ("fine sky and dog", 0), ("fine fine", 0), ("fine bad", 0), ("day and sky", None), (None, 1), ("", 0)] * 5
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(texts) if x is not None], "doc_id long, toxic int")
+    n = {k: defaultdict(int) for k in ("all", 0, 1)}
+    for t, x in texts:
+        for w in set(toxicity.tokens(t)):
+            for f in toxicity.features(w):
+                n["all"][f] += 1
+                if x is not None:
+                    n[x][f] += 1
+    whole = lambda k: sum(v for f, v in n[k].items() if f[:1] == b"=")
+    t, c, every = whole(1), whole(0), whole("all")
+    tested = [f for f in n["all"] if n[0][f] + n[1][f] >= toxicity.LEAST_DOCS]
+    bar = max(3.0, np.sqrt(2 * np.log(len(tested))))
+    want = {}
+    for f in tested:
+        a, b, p = n[1][f], n[0][f], t / (t + c)
+        z = np.sqrt(2 * sum(k * np.log(k / ((a + b) * q)) for k, q in ((a, p), (b, 1 - p)) if k))
+        prior = toxicity.PRIOR * n["all"][f] / every
+        odds = np.log((a + prior) / (t + toxicity.PRIOR - a - prior)) - np.log((b + prior) / (c + toxicity.PRIOR - b - prior))
+        if z > bar:
+            want[f] = max(-6.0, min(6.0, odds * (1 - (bar / z) ** 2)))
+    got = toxicity.fit(docs, labels).scores
+    assert want and set(got) == set(want) and all(abs(got[f] - want[f]) < 1e-9 for f in want)
+
+
 def test_toxicity_learns_and_holds_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels, toxicity.crc_mod(F.col("doc_id"), 4) != 2)
@@ -454,3 +542,132 @@ def test_digest_forms(spark):
     r = {x.doc_id: x for x in QUERIES["op2_line_dedup"](spark, SF).collect()}
     assert all(len(x.kept_sha256) == 64 for x in r.values())
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(F.encode(F.lit(""), "UTF-8"), 256).alias("h")).first().h
+
+
+# Columns with clashing names, empty tables
+
+
+ADDED = {
+    "lines": lambda df: linededup.dedup_lines(df, min_docs=2),
+    "bpe": lambda df: bpe.decode_documents(bpe.encode_documents(df, bpe.tokenizer_path()), bpe.tokenizer_path()),
+    "quality": lambda df: quality.rate(df, quality.QualityModel(np.zeros(quality.BUCKETS), 0.0)),
+    "toxicity": lambda df: toxicity.score(df, toxicity.ToxicModel({})),
+    "fingerprints": simhash.fingerprints,
+    "language": lambda df: langid.predict(df, langid.train([])),
+}
+
+
+@pytest.mark.parametrize("name", ADDED)
+def test_new_columns_replace_old_ones_of_their_name(spark, odd, name):
+    run = ADDED[name]
+    plain = run(odd)
+    new = [c for c in plain.columns if c not in odd.columns]
+    clash = odd.select("*", *[F.lit("old").alias(c.upper() if k % 2 else c) for k, c in enumerate(new)], F.lit(7).alias("lines"), F.lit(8).alias("key"))
+    got = run(clash)
+    assert got.columns == [*odd.columns, "lines", "key", *new]
+    rows = lambda df: sorted(map(str, df.select(*odd.columns, *new).collect()))
+    assert rows(got) == rows(plain)
+    empty = run(clash.limit(0))
+    assert empty.columns == got.columns and empty.count() == 0
+
+
+def test_clashing_columns_of_the_other_operators(spark, odd, docs):
+    extra = lambda df: df.select("*", *[F.lit("old").alias(c) for c in ("fp", "root", "component_id", "size", "target", "position", "cell", "order", "n", "key", "t1", "low", "pos", "formatted", "no", "begun")])
+    same = lambda f, df: sorted(map(str, f(extra(df)).collect())) == sorted(map(str, f(df).collect()))
+    assert same(simhash.near_duplicates, odd) and same(suffixes.repeated_passages, odd)
+    assert same(lambda d: mixing.plan_mix(d), odd) and same(lambda d: mixing.training_order(mixing.plan_mix(d, whole_documents=True)).drop("position"), odd)
+    chats = spark.createDataFrame([(1, 0, "user", "hi"), (1, 0, "user", "hi"), (None, None, None, None)], "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_parts(F.col("text")))
+    assert same(chat.format_chat, chats) and chat.format_chat(chats.limit(0)).count() == 0
+    vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    wide = vecs.select("*", *[F.lit("old").alias(c) for c in ("point", "leaf", "ids", "vec", "key", "rank", "score", "query_id")])
+    ask = lambda df: sorted(map(str, ann.nearest(df, F.col("vec_id") == 1).collect()))
+    assert ask(wide) == ask(vecs)
+    none = quality.fit(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int"))
+    assert none.threshold == float("-inf") and quality.rate(docs.limit(0), none).count() == 0
+
+
+def test_chat_ties_go_by_raw_text(spark):
+    rows = [(1, 0, "user", "<z"), (1, 0, "user", "<|im_end|>"), (1, 0, "assistant", "\\b"), (1, 0, "assistant", "a"), (1, None, "user", None)]
+    out = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_parts(F.col("text"))))
+    r = out.select(chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("l")).first()
+    assert [(x.role, x.text) for x in r.t] == [("user", ""), ("assistant", "\\b"), ("assistant", "a"), ("user", "<z"), ("user", "<|im_end|>")]
+    assert list(r.l) == ["\\b", "a"]
+
+
+def test_lines_with_equal_first_hashes_have_slots_of_their_own():
+    import pandas as pd
+
+    rows = pd.DataFrame({"shard": [0] * 4, "h1": [5, 5, 9, 9], "h2": [1, 2, 3, 4], "n_docs": [10, 20, 30, 2]})
+    shard = linededup.Shard(next(linededup.build_shard(rows).itertuples()))
+    both = lambda c: rows[c].to_numpy(np.int64).view(np.uint64)
+    assert shard.count(both("h1"), both("h2")).tolist() == [10, 20, 30, 2]
+    assert shard.count(np.array([5, 7], np.uint64), np.array([3, 1], np.uint64)).tolist() == [0, 0]
+
+
+def test_joins_of_hot_keys_keep_everything(spark, monkeypatch):
+    from lodestamp.llm import common
+
+    monkeypatch.setattr(common, "HOT_SHARE", 4)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 9 + [2, 3, 3, 4])], "k long, i long")
+    found = rows.groupBy("k").agg(F.count("*").alias("n")).where("k <> 4").withColumn("v", F.col("k") * 10)
+    got = sorted((r.k, r.i, r.v) for r in common.join_counted(rows, found, ["k"], 13).collect())
+    assert got == [(k, i, 10 * k) for i, k in enumerate([1] * 9 + [2, 3, 3])]
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from lodestamp.llm import common
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://elsewhere")
+    with pytest.raises(ValueError):
+        common.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
+def test_language_calibration_by_brute_force(spark, docs):
+    rows = [r for b in langid.count_batches(iter(__import__("pyarrow").Table.from_pandas(docs.select("lang", "text").where("lang is not null").toPandas().assign(part=lambda d: range(len(d)))).to_batches())) for r in b.to_pylist()]
+    model = langid.train(rows)
+    order = np.random.default_rng(7).permutation(len(rows))
+    rows = sorted(rows, key=lambda r: (r["part"], r["lang"]))
+    held = [rows[i] for i in order[: len(rows) // 10]]
+    z = []
+    for r in held:  # the mean embedding's logits, one subword after the other
+        total = np.zeros(len(model.langs))
+        for b, x in zip(np.frombuffer(r["at"], "<u2"), np.frombuffer(r["share"], "<f4"), strict=True):
+            total += x * model.logits[b]
+        z.append(total)
+    y = [model.langs.index(r["lang"]) for r in held]
+    p = lambda t: [np.exp(v / t - (v / t).max()) / np.exp(v / t - (v / t).max()).sum() for v in z]
+    loss = {t: -np.mean([np.log(max(x[k], 1e-12)) for x, k in zip(p(t), y, strict=True)]) for t in np.geomspace(0.1, 10, 41)}
+    assert abs(loss[min(loss, key=lambda t: abs(t - model.temperature))] - min(loss.values())) < 1e-6
+    accepted = [(int(x.argmax()) == k) for x, k in zip(p(model.temperature), y, strict=True) if x.max() >= model.floor - 1e-9]
+    assert accepted and np.mean(accepted) >= 0.99
+    text = docs.where("lang is not null").first().text
+    n = langid.counts(text)
+    lang, score = model.predict(text)
+    one = (n / n.sum()) @ model.logits / model.temperature
+    assert lang == model.langs[int(one.argmax())] and abs(score - np.exp(one.max() - np.log(np.exp(one).sum()))) < 1e-9
+
+
+def test_quality_threshold_by_brute_force():
+    rng = random.Random(11)
+    for _ in range(50):
+        docs = [(rng.gauss(1.0 if y else -1.0, 1.0), y) for y in (rng.random() < 0.7 for _ in range(200))]
+        bars = defaultdict(int)
+        for x, y in docs:
+            bars[int(np.floor(x * quality.GRID)), int(y)] += 1
+        at = quality.pick_threshold([{"bar": b, "label": y, "n": n} for (b, y), n in bars.items()])
+        total = {y: sum(int(z) == y for _, z in docs) for y in (0, 1)}
+        cost = lambda edge: quality.CLEAN_WEIGHT * sum(y for x, y in docs if x < edge) / total[1] + 1 - sum(not y for x, y in docs if x < edge) / total[0]  # noqa: E731, B023
+        edges = [float("-inf"), *((b + 1) / quality.GRID for b, _ in bars)]
+        assert abs(cost(at) - min(map(cost, edges))) < 1e-9
+
+
+def test_quality_verdicts_on_documents_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    out = quality.rate(docs, quality.fit(docs, labels.where(~held))).join(labels.where(held), "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("p"))
+    p = {r.quality: r.p for r in out.collect()}
+    assert p[1] >= 0.97 and p[0] <= 0.15
