@@ -12,6 +12,7 @@ LETTER_TO_DIGIT = {"O": "0", "Q": "0", "D": "0", "I": "1", "L": "1", "T": "7", "
 DIGIT_TO_LETTER = {"0": "O", "1": "I", "2": "Z", "3": "E", "4": "A", "5": "S", "6": "G", "7": "T", "8": "B"}
 CONFUSABLE = ("O0", "Q0", "D0", "I1", "L1", "T7", "Z2", "E3", "A4", "S5", "G6", "B8", "UV", "MN", "CG", "56", "80", "K1")
 MIN_RELIABLE, MIN_MASK_SAMPLES, MIN_FRAGMENT = 7, 8, 6
+# Label words in front of an identifier, and other marks that are stamped beside it.
 LABEL = r"^(?:\s*(?:N[°º]?|NO|NRO|NUM(?:ERO)?|DE|DEL|SERIE|SERIAL|SER|S\s*/\s*N|SN)\b[\s.:\-]*)+"
 MARKING = (
     r"P[WHT]\s*[0-9]|\b(?:TP|TW|WP)\s*[0-9]|BAR\b|\bKG\b|\b(?:O?NU|UN)\s*[0-9]{4}\b"
@@ -76,10 +77,30 @@ def shape(c: Column) -> Column:
     return F.translate(c, letters + "0123456789", "A" * len(letters) + "D" * 10)
 
 
+def _classes() -> dict[str, str]:
+    """Every character of an identifier to the first one that it can be confused with, over any number of steps."""
+    of = {c: c for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+    for a, b in CONFUSABLE:
+        low, high = sorted((of[a], of[b]))
+        of = {c: low if x == high else x for c, x in of.items()}
+    return of
+
+
+COARSE = _classes()
+COARSE_CLASSES = sorted(set(COARSE.values()))
+
+
+def coarse(c: Column) -> Column:
+    """Every character as its class of confusable ones: what costs half an edit costs nothing here."""
+    moved = [x for x, low in COARSE.items() if x != low]
+    return F.translate(c, "".join(moved), "".join(COARSE[x] for x in moved))
+
+
 def _costs() -> np.ndarray:
-    cost = np.ones((256, 256), np.float32)
+    """Costs of a substitution, in halves of an edit."""
+    cost = np.full((256, 256), 2, np.int16)
     for a, b in CONFUSABLE:
-        cost[ord(a), ord(b)] = cost[ord(b), ord(a)] = 0.5
+        cost[ord(a), ord(b)] = cost[ord(b), ord(a)] = 1
     np.fill_diagonal(cost, 0)
     return cost
 
@@ -87,25 +108,44 @@ def _costs() -> np.ndarray:
 COSTS = _costs()
 
 
-def pair_distances(left: list[str], right: list[str], anywhere: bool) -> np.ndarray:
+def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of all texts one after the other (those beyond Latin-1 as 255), and where each text begins."""
+    plain = texts.fill_null("").cast(pa.large_string())
+    ends = np.frombuffer(plain.buffers()[1], np.int64)[plain.offset : plain.offset + len(plain) + 1]
+    data = np.frombuffer(plain.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    if not len(data) or data.max() < 128:
+        return data, ends - ends[0]
+    words = plain.to_pylist()
+    wide = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    return np.minimum(wide, 255).astype(np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in words])])
+
+
+def pair_distances(left: pa.Array | list[str], right: pa.Array | list[str], anywhere: bool) -> np.ndarray:
     """Weighted edit distance of pairs; with ``anywhere`` of the left text to the best part of the right one. Pairs of equal lengths go together."""
+    left, right = (x if isinstance(x, pa.Array) else pa.array(x, pa.string()) for x in (left, right))
+    (ca, sa), (cb, sb) = _codes(left), _codes(right)
+    na, nb = np.diff(sa), np.diff(sb)
     out = np.zeros(len(left), np.float64)
-    groups: dict[tuple[int, int], list[int]] = {}
-    for i, (a, b) in enumerate(zip(left, right, strict=True)):
-        groups.setdefault((len(a), len(b)), []).append(i)
-    for (la, lb), at in groups.items():
+    shape = na * (int(nb.max(initial=0)) + 1) + nb
+    order = np.argsort(shape, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(shape[order])) + 1):
+        if not len(at):
+            continue
+        la, lb = int(na[at[0]]), int(nb[at[0]])
         if not la or not lb:
             out[at] = la if anywhere or not lb else lb
             continue
-        code = lambda texts, n: np.minimum(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).reshape(-1, n), 255)
-        a, b = code([left[i] for i in at], la), code([right[i] for i in at], lb)
-        before = [np.zeros(len(at), np.float32) if anywhere else np.full(len(at), j, np.float32) for j in range(lb + 1)]
+        a, b = ca[sa[at] + np.arange(la)[:, None]], cb[sb[at] + np.arange(lb)[:, None]]
+        row = np.zeros((lb + 1, len(at)), np.int16)
+        if not anywhere:
+            row += 2 * np.arange(lb + 1, dtype=np.int16)[:, None]
         for i in range(la):
-            row = [np.full(len(at), i + 1, np.float32)]
+            step = row[:-1] + COSTS[a[i], b]
+            np.minimum(step, row[1:] + 2, out=step)
+            row[0] = 2 * (i + 1)
             for j in range(lb):
-                row.append(np.minimum(np.minimum(before[j + 1], row[j]) + 1, before[j] + COSTS[a[:, i], b[:, j]]))
-            before = row
-        out[at] = np.min(before, axis=0) if anywhere else before[-1]
+                np.minimum(step[j], row[j] + 2, out=row[j + 1])
+        out[at] = (row.min(0) if anywhere else row[-1]) / 2
     return out
 
 
@@ -114,9 +154,8 @@ def _distance(anywhere: bool):
 
     @arrow_udf("double")
     def distance(left: pa.Array, right: pa.Array) -> pa.Array:
-        a, b = left.to_pylist(), right.to_pylist()
-        found = pair_distances([x or "" for x in a], [x or "" for x in b], anywhere)
-        return pa.array([None if x is None or y is None else d for x, y, d in zip(a, b, found.tolist(), strict=True)], pa.float64())
+        unknown = (left.is_null().to_numpy(zero_copy_only=False)) | (right.is_null().to_numpy(zero_copy_only=False))
+        return pa.array(pair_distances(left, right, anywhere), pa.float64(), mask=unknown)
 
     return distance
 

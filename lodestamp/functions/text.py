@@ -50,11 +50,14 @@ COUNTRIES = {
     "CHL": ("CHL", "CL", "CHILE"),
     "COL": ("COL", "CO", "COLOMBIA"),
 }
+# Patterns that must accept exactly what labels in the field say; digits are ASCII, for both engines that run them.
 MIXTURE = r"[0-9]{1,3}\s*%|MEZCLA|MIX"
 COLOUR_BREAK = r"\s*(?:/|-|\bY\b|\bCON\b)\s*"
 PERIOD = r"CADA\s*([0-9]{1,2})\s*(?:ANOS?|ANIOS?|YEARS?)"
+# Limits and factors of the measures.
 KG_PER_LB = 0.45359237
 DIAMETER_CM, HEIGHT_CM = (10.0, 60.0), (30.0, 200.0)
+MOST_LITRES, MOST_CUBIC = 500, 100
 YEAR_PIVOT = 70
 
 
@@ -117,18 +120,23 @@ def _part(text: Column, pattern: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+#: Dates by their parts: a month, a year of four digits, what may stand between.
+MONTH, YEAR, GAP = "(?:0?[1-9]|1[0-2])", "(?:19|20)[0-9]{2}", r"\s*[/.\-]\s*"
+
+
 def month_year(c: Column, clean: bool = False) -> Column:
     """Yyyy-MM from MM/YYYY, else YYYY/MM, else MM/YY."""
     t = F.coalesce(c if clean else clean_text(c), F.lit(""))
-    month, year = r"(0?[1-9]|1[0-2])", r"((?:19|20)[0-9]{2})"
-    gap = r"\s*[/.\-]\s*"
+    digits = lambda pattern: F.nullif(F.regexp_replace(F.regexp_extract(t, rf"\b{pattern}\b", 0), "[^0-9]", ""), F.lit(""))
     dated = lambda y, m: F.concat(y, F.lit("-"), F.lpad(m, 2, "0"))
-    long_ = rf"\b{month}{gap}{year}\b"
-    back = rf"\b{year}{gap}{month}\b"
-    short = rf"\b{month}{gap}([0-9]{{2}})\b"
-    two = _part(t, short, 2).cast("int")
-    century = F.when(two >= YEAR_PIVOT, two + 1900).otherwise(two + 2000).cast("string")
-    return F.coalesce(dated(_part(t, long_, 2), _part(t, long_, 1)), dated(_part(t, back, 1), _part(t, back, 2)), dated(F.when(two.isNotNull(), century), _part(t, short, 1)))
+    after, before, short = digits(MONTH + GAP + YEAR), digits(YEAR + GAP + MONTH), digits(MONTH + GAP + "[0-9]{2}")
+    head = lambda x, k: F.substring(x, F.lit(1), F.length(x) - k)
+    century = F.when(F.right(short, F.lit(2)) >= str(YEAR_PIVOT), "19").otherwise("20")
+    return F.coalesce(
+        dated(F.right(after, F.lit(4)), head(after, 4)),
+        dated(F.left(before, F.lit(4)), F.substring(before, F.lit(5), F.lit(2))),
+        dated(F.concat(century, F.right(short, F.lit(2))), head(short, 2)),
+    )
 
 
 def year(c: Column, clean: bool = False) -> Column:
@@ -141,37 +149,52 @@ def number(c: Column) -> Column:
     return F.replace(_part(F.regexp_replace(F.coalesce(c, F.lit("")), " ", ""), r"([0-9]+(?:[.,][0-9]+)?)", 1), F.lit(","), F.lit(".")).try_cast("double")
 
 
+def pounds(t: Column) -> Column:
+    """Whether a clean text speaks of pounds."""
+    return t.contains("LB") | t.contains("POUND")
+
+
+def kilograms(n: Column, in_pounds: Column) -> Column:
+    """N9, of a number."""
+    kg = F.when(in_pounds, n * KG_PER_LB).otherwise(n)
+    return F.when((kg > 0) & (kg < 500), F.round(kg, 2))
+
+
 def weight_kg(c: Column, clean: bool = False) -> Column:
     """N9."""
     t = c if clean else clean_text(c)
-    n = number(t)
-    kg = F.when(t.contains("LB") | t.contains("POUND"), n * KG_PER_LB).otherwise(n)
-    return F.when((kg > 0) & (kg < 500), F.round(kg, 2))
+    return kilograms(number(t), pounds(t))
+
+
+def up_to(n: Column, most: float, digits: int) -> Column:
+    """N10, of a number."""
+    return F.when((n > 0) & (n <= most), F.round(n, digits))
 
 
 def litres(c: Column, clean: bool = False) -> Column:
     """N10, litres."""
-    n = number(c if clean else clean_text(c))
-    return F.when((n > 0) & (n <= 500), F.round(n, 2))
+    return up_to(number(c if clean else clean_text(c)), MOST_LITRES, 2)
 
 
 def cubic_metres(c: Column, clean: bool = False) -> Column:
     """N10, cubic metres."""
-    n = number(c if clean else clean_text(c))
-    return F.when((n > 0) & (n <= 100), F.round(n, 3))
+    return up_to(number(c if clean else clean_text(c)), MOST_CUBIC, 3)
 
 
-def length_cm(c: Column, expected: tuple[float, float], clean: bool = False) -> Column:
-    """Struct of value and warning. A number outside the expected range is read as metres, millimetres or inches, the first that fits."""
-    n = number(c if clean else clean_text(c))
+def centimetres(n: Column, expected: tuple[float, float]) -> Column:
+    """N11, of a number: struct of value and warning. Outside the expected range it is read as metres, millimetres or inches, the first that fits."""
     low, high = expected
-    fits = lambda v: (v >= low) & (v <= high)
-    kind = F.struct(F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("warning"))
     made = lambda v, warning: F.struct(F.round(v, 2).alias("value"), warning.cast("string").alias("warning"))
-    tried = F.when(fits(n), made(n, F.lit(None)))
+    nothing = F.lit(None).cast("double")
+    tried = F.when(n.isNull(), made(nothing, F.lit(None))).when(n.between(low, high), made(n, F.lit(None)))
     for v, unit in ((n * 100.0, "m"), (n / 10.0, "mm"), (n * 2.54, "in")):
-        tried = tried.when(fits(v), made(v, F.lit(f"read as {unit}")))
-    return F.when(n.isNull(), kind).otherwise(tried.otherwise(made(F.lit(None).cast("double"), F.lit("out of range"))))
+        tried = tried.when(v.between(low, high), made(v, F.lit(f"read as {unit}")))
+    return tried.otherwise(made(nothing, F.lit("out of range")))
+
+
+def length_cm(c: Column, expected: tuple[float, float], clean: bool = False) -> Column:
+    """N11."""
+    return centimetres(number(c if clean else clean_text(c)), expected)
 
 
 def country(c: Column, strict: bool = False, clean: bool = False) -> Column:

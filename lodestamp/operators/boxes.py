@@ -1,13 +1,15 @@
-"""Geometry of box tables."""
+"""Geometry of box tables."""
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestamp.functions import serial as S
 
+# What counts as one line of text, in heights of its boxes, and the margins of crops, in sizes of the box.
 SAME_LINE, GAP_BACK, GAP_AHEAD, PIECES = 0.6, 0.5, 2.0, 4
 OVERLAP, FAR = 0.45, 3.0
 PAD_SIDE, PAD_ABOVE, PAD_BELOW = 0.35, 0.8, 2.5
@@ -20,87 +22,180 @@ def plausible(df: DataFrame, ratio: float = 1.2) -> DataFrame:
     return df.where(F.col("x1").isNull() | ((F.col("x2") - F.col("x1")) / high >= ratio))
 
 
+SIDES = ("x1", "y1", "x2", "y2")
+BOX = ("ord", "text", "confidence", *SIDES)
+LINE_ITEM = "array<struct<text:string,confidence:double,x1:double,y1:double,x2:double,y2:double,n_boxes:bigint>>"
+LINE_TYPE = pa.list_(pa.struct([("text", pa.string()), ("confidence", pa.float64()), *[(c, pa.float64()) for c in SIDES], ("n_boxes", pa.int64())]))
+
+
+class Frames:
+    """The boxes of many images as matrices, a row per image and a column per box in the order of ``keys``; NaN where an image has no more boxes."""
+
+    def __init__(self, counts: np.ndarray, values: dict[str, np.ndarray], keys: tuple[str, ...]):
+        self.n, self.m = len(counts), int(counts.max(initial=0))
+        image = np.repeat(np.arange(self.n), counts)
+        order = np.lexsort([np.arange(len(image)), *[values[k] for k in reversed(keys)], image])
+        self.place = np.full((self.n, self.m), -1, np.int64)
+        self.place[image, np.arange(len(image)) - np.repeat(np.cumsum(counts) - counts, counts)] = order
+        self.real = self.place >= 0
+        pick = lambda v: np.where(self.real, v[self.place], np.nan) if len(v) else np.zeros((self.n, self.m))
+        self.side = {c: pick(values[c]) for c in SIDES}
+
+
+def chains(f: Frames) -> np.ndarray:
+    """G1: (image row, column, chain, position) of every box in a chain: the boxes of a line from left to right, the nearest gap first, up to PIECES.
+
+    A sweep over the columns: all images that have a free box there start a chain with it at once, and look for its next box in all of their columns at once.
+    """
+    free, out = f.real.copy(), []
+    x1, y1, x2, y2 = (f.side[c] for c in SIDES)
+    for start in range(f.m):
+        rows = np.flatnonzero(free[:, start])
+        hull = np.stack([v[rows, start] for v in (x1, y1, x2, y2)], 1)
+        usable = free[rows]
+        usable[:, start] = False
+        links = [np.full(len(rows), start)]
+        for _ in range(PIECES - 1):
+            height = np.maximum(np.maximum(y2[rows] - y1[rows], (hull[:, 3] - hull[:, 1])[:, None]), 1.0)
+            gap = x1[rows] - hull[:, 2, None]
+            off = np.abs(y1[rows] + y2[rows] - (hull[:, 1] + hull[:, 3])[:, None]) / 2
+            with np.errstate(invalid="ignore"):
+                fits = usable & (gap >= -GAP_BACK * height) & (gap <= GAP_AHEAD * height) & (off <= SAME_LINE * height)
+            gap = np.where(fits, gap, np.inf)
+            found = fits.any(1)
+            column = np.where(found, gap.argmin(1), -1) if f.m else np.full(len(rows), -1)
+            links.append(column)
+            usable[~found] = False
+            at, won = rows[found], column[found]
+            usable[found, won] = False
+            for k, (v, widest) in enumerate(((x1, np.minimum), (y1, np.minimum), (x2, np.maximum), (y2, np.maximum))):
+                hull[found, k] = widest(hull[found, k], v[at, won])
+        joined = np.stack(links, 1)
+        several = joined[:, 1] >= 0
+        member, position = np.nonzero(joined[several] >= 0)
+        at, column = rows[several][member], joined[several][member, position]
+        free[at, column] = False
+        out.append(np.stack([at, column, np.full(len(at), start), position], 1))
+    return np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+
+
+def fragments(f: Frames) -> np.ndarray:
+    """(image row, column, line, position) of every box: from the top, each joins the first line with enough common height with its first box that isn't too far away.
+
+    A sweep over the columns: the next boxes of all images are compared with all lines of their images at once.
+    """
+    line = {c: np.full((f.n, f.m), np.nan) for c in ("top", "bottom", "left", "right")}
+    n_lines, out = np.zeros(f.n, np.int64), []
+    for column in range(f.m):
+        rows = np.flatnonzero(f.real[:, column])
+        x1, y1, x2, y2 = (f.side[c][rows, column, None] for c in SIDES)
+        top, bottom, left, right = (line[c][rows] for c in ("top", "bottom", "left", "right"))
+        common = np.minimum(bottom, y2) - np.maximum(top, y1)
+        with np.errstate(invalid="ignore"):
+            fits = common >= OVERLAP * np.maximum(np.minimum(bottom - top, y2 - y1), 1.0)
+            fits &= np.maximum(x1 - right, left - x2) <= FAR * np.maximum(np.maximum(bottom - top, y2 - y1), 1.0)
+        known = fits.any(1)
+        to = np.where(known, fits.argmax(1), n_lines[rows])
+        new = ~known
+        line["top"][rows[new], to[new]], line["bottom"][rows[new], to[new]] = y1[new, 0], y2[new, 0]
+        line["left"][rows, to] = np.fmin(line["left"][rows, to], x1[:, 0])
+        line["right"][rows, to] = np.fmax(line["right"][rows, to], x2[:, 0])
+        n_lines[rows[new]] += 1
+        out.append(np.stack([rows, np.full(len(rows), column), to, np.full(len(rows), column)], 1))
+    return np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+
+
+def lines_of(lists: pa.Array, groups_of, keys: tuple[str, ...], joins_text: bool) -> pa.Array:
+    """Lists of boxes, one per image, to lists of lines. Images of similar size share matrices, so that one with many boxes doesn't widen the others."""
+    offsets = np.asarray(lists.offsets)
+    counts, flat = np.diff(offsets), lists.values
+    columns = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in BOX if c != "text"}
+    texts = np.array(flat.field("text").to_pylist(), dtype=object)
+    out: list[list[dict]] = [[] for _ in counts]
+    width = np.ceil(np.log2(np.maximum(counts, 1))).astype(int)
+    for w in np.unique(width[counts > 0]):
+        images = np.flatnonzero((width == w) & (counts > 0))
+        boxes = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in images])
+        f = Frames(counts[images], {c: v[boxes] for c, v in columns.items()}, keys)
+        found = groups_of(f)
+        found = found[np.lexsort((found[:, 3], found[:, 2], found[:, 0]))]
+        new = np.flatnonzero(np.concatenate([[True], (found[1:, [0, 2]] != found[:-1, [0, 2]]).any(1)])) if len(found) else np.zeros(0, int)
+        at = boxes[f.place[found[:, 0], found[:, 1]]]
+        for image, members in zip(images[found[new, 0]].tolist(), np.split(at, new[1:]) if len(new) else [], strict=True):
+            confidence = columns["confidence"][members]
+            hull = {c: float(widest(columns[c][members])) for c, widest in zip(SIDES, (np.min, np.min, np.max, np.max), strict=True)}
+            said = {"text": " ".join(texts[members]), "confidence": float(confidence.min())} if joins_text else {"text": None, "confidence": round(float(confidence.max()), 4)}
+            out[image].append({**said, **hull, "n_boxes": len(members)})
+    return pa.array(out, LINE_TYPE)
+
+
+def _one_image(boxes: list[dict], groups_of, keys: tuple[str, ...], joins_text: bool) -> list[dict]:
+    kind = pa.list_(pa.struct([("ord", pa.int64()), ("text", pa.string()), ("confidence", pa.float64()), *[(c, pa.float64()) for c in SIDES]]))
+    return lines_of(pa.array([boxes], kind), groups_of, keys, joins_text).to_pylist()[0]
+
+
 def joined_rows(boxes: list[dict]) -> list[dict]:
-    """Chains of up to four boxes on one line, left to right, nearest gap first; lone boxes give nothing."""
-    boxes = sorted(boxes, key=lambda b: (b["x1"], b["ord"]))
-    free, out = set(range(len(boxes))), []
-    for start in range(len(boxes)):
-        if start not in free:
-            continue
-        chain, hull = [start], {k: boxes[start][k] for k in ("x1", "y1", "x2", "y2")}
-        while len(chain) < PIECES:
-            near = []
-            for i in sorted(free - set(chain)):
-                b = boxes[i]
-                scale = max(hull["y2"] - hull["y1"], b["y2"] - b["y1"], 1.0)
-                gap = b["x1"] - hull["x2"]
-                level = abs((b["y1"] + b["y2"]) - (hull["y1"] + hull["y2"])) / 2 <= SAME_LINE * scale
-                if -GAP_BACK * scale <= gap <= GAP_AHEAD * scale and level:
-                    near.append((gap, i))
-            if not near:
-                break
-            _, i = min(near)
-            chain.append(i)
-            hull = {k: f(hull[k], boxes[i][k]) for k, f in (("x1", min), ("y1", min), ("x2", max), ("y2", max))}
-            free.discard(i)
-        if len(chain) > 1:
-            free.discard(start)
-            out.append({"text": " ".join(boxes[i]["text"] for i in chain), "confidence": min(boxes[i]["confidence"] for i in chain), **hull, "n_boxes": len(chain)})
-    return out
+    """G1 for the boxes of one image."""
+    return _one_image(boxes, chains, ("x1", "ord"), True)
 
 
 def merged_rows(boxes: list[dict]) -> list[dict]:
-    """Fragments into lines, first fit from the top: enough common height with the line's first box, not too far from its hull."""
-    lines: list[list[dict]] = []
-    for b in sorted(boxes, key=lambda b: (b["y1"], b["x1"], b["ord"])):
-        high = b["y2"] - b["y1"]
-        for line in lines:
-            ref = line[0]
-            ref_high = ref["y2"] - ref["y1"]
-            common = min(ref["y2"], b["y2"]) - max(ref["y1"], b["y1"])
-            gap = max(b["x1"] - max(x["x2"] for x in line), min(x["x1"] for x in line) - b["x2"])
-            if common >= OVERLAP * max(min(ref_high, high), 1.0) and gap <= FAR * max(ref_high, high, 1.0):
-                line.append(b)
-                break
-        else:
-            lines.append([b])
-    return [{"text": None, "confidence": round(max(b["confidence"] for b in x), 4), "x1": min(b["x1"] for b in x), "y1": min(b["y1"] for b in x), "x2": max(b["x2"] for b in x), "y2": max(b["y2"] for b in x), "n_boxes": len(x)} for x in lines]
-
-
-BOX = ("ord", "text", "confidence", "x1", "y1", "x2", "y2")
-LINE_ITEM = "array<struct<text:string,confidence:double,x1:double,y1:double,x2:double,y2:double,n_boxes:bigint>>"
+    """G2 for the boxes of one image."""
+    return _one_image(boxes, fragments, ("y1", "x1", "ord"), False)
 
 
-def _per_image(boxes: DataFrame, rows_of) -> DataFrame:
+def _per_image(boxes: DataFrame, groups_of, keys: tuple[str, ...], joins_text: bool) -> DataFrame:
     """The kernel on each image's list of boxes. Lists travel in Arrow batches of many images, for one photograph has few boxes."""
     from pyspark.sql.functions import arrow_udf
 
-    kind = pa.list_(pa.struct([("text", pa.string()), ("confidence", pa.float64()), *[(c, pa.float64()) for c in ("x1", "y1", "x2", "y2")], ("n_boxes", pa.int64())]))
-
     @arrow_udf(LINE_ITEM)
     def lines(lists: pa.Array) -> pa.Array:
-        return pa.array([rows_of(x) for x in lists.to_pylist()], kind)
+        return lines_of(lists, groups_of, keys, joins_text)
 
-    packed = boxes.where("x1 is not null").groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*BOX))).alias("b"))
+    typed = [F.col("ord").cast("long").alias("ord"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).cast("double").alias(c) for c in ("confidence", *SIDES)]]
+    packed = boxes.where("x1 is not null").groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(*typed))).alias("b"))
     return packed.select("image_id", F.posexplode(lines(F.col("b"))).alias("line_no", "l")).select("image_id", F.col("line_no").cast("long").alias("line_no"), "l.*")
 
 
 def join_split(boxes: DataFrame) -> DataFrame:
-    """G1. boxes: image_id, ord, text, confidence, x1, y1, x2, y2."""
-    return _per_image(boxes, joined_rows)
+    """G1: chains of two to four boxes on one line. boxes: image_id, ord, text, confidence, x1, y1, x2, y2."""
+    return _per_image(boxes, chains, ("x1", "ord"), True)
 
 
 def merge_fragments(boxes: DataFrame) -> DataFrame:
-    """G2, by the same way."""
-    return _per_image(boxes, merged_rows)
+    """All boxes as lines, the same way."""
+    return _per_image(boxes, fragments, ("y1", "x1", "ord"), False)
+
+
+def region_order(regions: DataFrame, first: str = "serial_text") -> DataFrame:
+    """``region_ord`` of each image's regions: those of the ``first`` label, then by falling confidence. regions: image_id, region_id, label, confidence."""
+    order = Window.partitionBy("image_id").orderBy(F.col("label") != first, F.desc("confidence"), "region_id")
+    return regions.withColumn("region_ord", F.row_number().over(order))
+
+
+def best_variant(lines: DataFrame) -> DataFrame:
+    """A4: per region the variant whose best line is surest, the earlier of equals. lines: image_id, region_id, variant_ord, confidence."""
+    best = F.max(F.struct(F.col("confidence").alias("confidence"), (-F.col("variant_ord")).alias("back"))).alias("m")
+    return lines.groupBy("image_id", "region_id").agg(best).select("image_id", "region_id", (-F.col("m.back")).alias("variant_ord"), F.col("m.confidence").alias("confidence"))
 
 
 def normalised(width: float, height: float) -> list[Column]:
     """Centre and size as shares of the frame, the box clamped to it first."""
-    x1, y1, x2, y2 = F.greatest(F.col("x1"), F.lit(0.0)), F.greatest(F.col("y1"), F.lit(0.0)), F.least(F.col("x2"), F.lit(width)), F.least(F.col("y2"), F.lit(height))
+    x1, y1 = F.greatest(F.col("x1"), F.lit(0.0)), F.greatest(F.col("y1"), F.lit(0.0))
+    x2, y2 = F.least(F.col("x2"), F.lit(width)), F.least(F.col("y2"), F.lit(height))
     return [((x1 + x2) / 2 / width).alias("cx"), ((y1 + y2) / 2 / height).alias("cy"), ((x2 - x1) / width).alias("w"), ((y2 - y1) / height).alias("h")]
 
 
+def denormalised(width: float, height: float, margin: float = 0.0) -> list[Column]:
+    """G3, the way back: whole pixels of a box cx, cy, w, h, grown by a share of its size on every side and clamped to the frame."""
+    half_w, half_h = F.col("w") * (0.5 + margin), F.col("h") * (0.5 + margin)
+    pixels = lambda share, whole: F.least(F.greatest(F.round(share * whole, 6).cast("long"), F.lit(0)), F.lit(int(whole)))
+    return [
+        pixels(F.col("cx") - half_w, width).alias("x1"), pixels(F.col("cy") - half_h, height).alias("y1"),
+        pixels(F.col("cx") + half_w, width).alias("x2"), pixels(F.col("cy") + half_h, height).alias("y2"),
+    ]
+
+
 def expanded(width: float, height: float) -> list[Column]:
     """The serial's box grown to the stamped block."""
     line, span = F.greatest(F.col("y2") - F.col("y1"), F.lit(1.0)), F.col("x2") - F.col("x1")
@@ -154,15 +249,32 @@ def match_boxes(pred: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFr
     return best.withColumn("is_hit", (F.col("iou") >= least) & (F.row_number().over(w) == 1))
 
 
+THRESHOLDS = tuple(k / 100 for k in range(50, 100, 5))
+
+
 def average_precision(matched: DataFrame, truth: DataFrame) -> DataFrame:
-    """Precision, recall and average precision per class (area under the precision envelope).
+    """Per class precision, recall and average precision at IoU 0.5, and the mean average precision over IoU 0.50 to 0.95.
 
-    Confidences are binned to hundredths, so the running sums are over at most 101 rows per class.
+    The area under the precision envelope, exact: every confidence is a step of the curve. At each IoU a truth box counts for its surest prediction.
+    Running sums and maxima go in two levels, over thousandths of confidence and inside each of them, so no class meets in one task.
     """
-    bins = matched.groupBy("class_id", F.floor(F.col("confidence") * 100 + 1e-6).alias("bin")).agg(F.sum(F.col("is_hit").cast("long")).alias("tp"), F.count("*").alias("n"))
+    levels = matched.select("image_id", "class_id", "p_ord", "t_ord", "confidence", "iou", F.explode(F.array(*map(F.lit, THRESHOLDS))).alias("level"))
+    covers = F.col("iou") >= F.col("level")
+    surest = Window.partitionBy("level", "image_id", "class_id", "t_ord", covers).orderBy(F.desc("confidence"), F.desc("iou"), "p_ord")
+    hits = levels.withColumn("hit", (covers & (F.row_number().over(surest) == 1)).cast("long"))
+    steps = hits.groupBy("class_id", "level", "confidence").agg(F.sum("hit").alias("tp"), F.count("*").alias("n")).withColumn("cell", F.floor(F.col("confidence") * 1000))
+    key = ["class_id", "level", "cell"]
+    down = Window.partitionBy("class_id", "level").orderBy(F.desc("cell"))
+    above = lambda c: F.coalesce(F.sum(c).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = steps.groupBy(*key).agg(F.sum("tp").alias("tp"), F.sum("n").alias("n")).select(*key, above("tp").alias("tp_above"), above("n").alias("n_above"))
+    inside = Window.partitionBy(*key).orderBy(F.desc("confidence"))
     total = truth.groupBy("class_id").agg(F.count("*").alias("n_truth"))
-    run = Window.partitionBy("class_id").orderBy(F.desc("bin"))
-    curve = bins.join(total, "class_id").select("class_id", "bin", "n_truth", F.sum("tp").over(run).alias("tp"), F.sum("n").over(run).alias("n"))
-    curve = curve.withColumn("precision", F.col("tp") / F.col("n")).withColumn("recall", F.col("tp") / F.col("n_truth"))
-    curve = curve.withColumn("envelope", F.max("precision").over(run.rowsBetween(0, Window.unboundedFollowing))).withColumn("step", F.col("recall") - F.coalesce(F.lag("recall").over(run), F.lit(0.0)))
-    return curve.groupBy("class_id").agg(F.round(F.min_by("precision", "bin"), 4).alias("precision"), F.round(F.min_by("recall", "bin"), 4).alias("recall"), F.round(F.sum(F.col("step") * F.col("envelope")), 4).alias("ap"))
+    curve = steps.join(cells, key).join(total, "class_id")
+    curve = curve.withColumn("precision", (F.col("tp_above") + F.sum("tp").over(inside)) / (F.col("n_above") + F.sum("n").over(inside)))
+    later = F.max("top").over(down.rowsBetween(1, Window.unboundedFollowing))
+    tops = curve.groupBy(*key).agg(F.max("precision").alias("top")).select(*key, later.alias("later"))
+    envelope = F.greatest(F.max("precision").over(inside.rowsBetween(0, Window.unboundedFollowing)), F.coalesce("later", F.lit(0.0)))
+    areas = curve.join(tops, key).withColumn("area", F.col("tp") / F.col("n_truth") * envelope)
+    per_level = areas.groupBy("class_id", "level").agg(F.sum("area").alias("ap"), (F.sum("tp") / F.sum("n")).alias("precision"), (F.sum("tp") / F.max("n_truth")).alias("recall"))
+    at_half = lambda c: F.round(F.max(F.when(F.col("level") == 0.5, F.col(c))), 4)
+    return per_level.groupBy("class_id").agg(at_half("precision").alias("precision"), at_half("recall").alias("recall"), at_half("ap").alias("ap"), F.round(F.avg("ap"), 4).alias("ap_50_95"))
