@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPLITS = ("train", "val", "test")
@@ -23,25 +23,73 @@ def low_quality(assets: DataFrame) -> DataFrame:
 
 def counts(assets: DataFrame) -> DataFrame:
     """Rows per group and per condition."""
-    return assets.groupBy(F.lit("group").alias("kind"), F.col("grp").alias("name")).agg(F.count("*").alias("n")).unionByName(assets.groupBy(F.lit("condition").alias("kind"), F.col("condition").alias("name")).agg(F.count("*").alias("n")))
+    per = lambda kind, c: assets.groupBy(F.lit(kind).alias("kind"), F.col(c).alias("name")).agg(F.count("*").alias("n"))
+    return per("group", "grp").unionByName(per("condition", "condition"))
+
+
+def resolutions(assets: DataFrame, most: int = 10) -> DataFrame:
+    """The commonest resolutions (width by height, text), the smaller name first among equals."""
+    name = F.concat_ws("x", F.col("width").cast("string"), F.col("height").cast("string"))
+    return assets.groupBy(name.alias("resolution")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "resolution").limit(most)
+
+
+BARS = 1000
+
+
+def at_positions(df: DataFrame, c: str, positions: dict[str, Column]) -> DataFrame:
+    """One row: ``n``, the number of values of ``c``, and under each name the value at a position of the sorted ones (an expression of n, from 0).
+
+    Exact, without a global sort: values are counted, the counts summed in BARS bars between the smallest and the largest, and only the bar of a position is ranked.
+    """
+    values = df.where(F.col(c).isNotNull()).select(F.col(c).alias("v"))
+    total = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    span = F.nullif(F.col("hi").cast("double") - F.col("lo"), F.lit(0.0))
+    bar = F.coalesce(F.floor((F.col("v") - F.col("lo")) / span * BARS), F.lit(0))
+    hist = values.groupBy("v").agg(F.count("*").alias("k")).crossJoin(F.broadcast(total)).select("v", "k", bar.alias("bar"))
+    bars = hist.groupBy("bar").agg(F.sum("k").alias("bk"))
+    below = F.coalesce(F.sum("bk").over(Window.orderBy("bar").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), at.cast("long").alias("at")) for name, at in positions.items()]))
+    named = total.select(wanted.alias("w")).select("w.name", "w.at")
+    hit = bars.withColumn("below", below).crossJoin(F.broadcast(named)).where((F.col("below") <= F.col("at")) & (F.col("at") < F.col("below") + F.col("bk")))
+    inside = hist.join(F.broadcast(hit.drop("bk")), "bar")
+    upto = F.col("below") + F.sum("k").over(Window.partitionBy("name").orderBy("v"))
+    found = inside.withColumn("upto", upto).where(F.col("upto") > F.col("at"))
+    row = found.agg(*[F.min(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in positions])
+    return total.select("n").crossJoin(row)
+
+
+def median_of(df: DataFrame, c: str, name: str) -> DataFrame:
+    """One row with the exact median of a column, the mean of the middle two of an even number."""
+    rows = at_positions(df, c, {"low": F.floor((F.col("n") - 1) / 2), "high": F.floor(F.col("n") / 2)})
+    return rows.select(((F.col("low") + F.col("high")) / 2).alias(name))
 
 
 def quality_summary(assets: DataFrame) -> DataFrame:
-    """A7."""
-    return assets.agg(F.round(F.percentile("blur", F.lit(0.5)), 2).alias("median_blur"), F.round(F.avg("brightness"), 2).alias("mean_brightness"), F.round(F.avg("contrast"), 2).alias("mean_contrast"), F.round(F.percentile("width", F.lit(0.5)) / 1e6, 6).alias("median_mp"))
+    """Median sharpness, mean brightness and contrast, median megapixels."""
+    means = assets.agg(F.round(F.avg("brightness"), 2).alias("mean_brightness"), F.round(F.avg("contrast"), 2).alias("mean_contrast"))
+    one = median_of(assets, "blur", "blur").crossJoin(median_of(assets, "width", "width")).crossJoin(means)
+    return one.select(F.round("blur", 2).alias("median_blur"), "mean_brightness", "mean_contrast", F.round(F.col("width") / 1e6, 6).alias("median_mp"))
 
 
-def readiness(assets: DataFrame) -> DataFrame:
-    """One row with blockers and warnings (codes by comma) and ready."""
-    groups = assets.groupBy("grp").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_groups"), F.sum((F.col("n") < MIN_PER_GROUP).cast("long")).alias("scarce"))
+def readiness(assets: DataFrame, listed: DataFrame | None = None, corrupt: DataFrame | None = None) -> DataFrame:
+    """One row with blockers and warnings (codes by comma) and ready. listed: ``grp`` of all groups; corrupt: rows of files that can't be read."""
+    groups = assets.groupBy("grp").agg(F.count("*").alias("n"))
+    groups = groups.agg(F.count("*").alias("n_groups"), F.sum((F.col("n") < MIN_PER_GROUP).cast("long")).alias("scarce"))
     total = assets.agg(F.count("*").alias("n"), F.countDistinct("condition").alias("n_conditions"))
-    dups = duplicates(assets).agg(F.count("*").alias("n_dups"))
-    low = low_quality(assets).agg(F.count("*").alias("n_low"))
-    one = total.crossJoin(groups).crossJoin(dups).crossJoin(low)
+    number = lambda df, name: df.agg(F.count("*").alias(name))
+    none = assets.limit(0)
+    one = total.crossJoin(groups).crossJoin(number(duplicates(assets), "n_dups")).crossJoin(number(low_quality(assets), "n_low"))
+    one = one.crossJoin(number(none if listed is None else empty_groups(listed, assets), "n_empty")).crossJoin(number(none if corrupt is None else corrupt, "n_corrupt"))
     code = lambda when, name: F.when(when, F.lit(name))
-    blockers = F.array_compact(F.array(code(F.col("n") == 0, "no_assets"), code((F.col("n_groups") > 0) & (F.col("n_groups") < MIN_GROUPS), "few_groups")))
-    warnings = F.array_compact(F.array(code((F.col("n") > 0) & (F.col("n") < MIN_TOTAL), "few_assets"), code(F.col("scarce") > 0, "scarce_groups"), code(F.col("n_dups") > 0, "duplicates"), code(F.col("n_low") > 0, "low_quality"), code((F.col("n_conditions") > 0) & (F.col("n_conditions") < MIN_CONDITIONS), "few_conditions")))
-    return one.select("n", "n_groups", "n_dups", "n_low", F.array_join(blockers, ",").alias("blockers"), F.array_join(warnings, ",").alias("warnings"), (F.size(blockers) == 0).alias("ready"))
+    few = lambda c, least: (F.col(c) > 0) & (F.col(c) < least)
+    some = lambda c: F.col(c) > 0
+    blockers = F.array_compact(F.array(code(F.col("n") == 0, "no_assets"), code(few("n_groups", MIN_GROUPS), "few_groups")))
+    warnings = F.array_compact(F.array(
+        code(few("n", MIN_TOTAL), "few_assets"), code(some("scarce"), "scarce_groups"), code(some("n_empty"), "empty_groups"), code(some("n_dups"), "duplicates"),
+        code(some("n_corrupt"), "corrupt"), code(some("n_low"), "low_quality"), code(few("n_conditions", MIN_CONDITIONS), "few_conditions"),
+    ))
+    share = F.round(F.col("n_low") / F.greatest("n", F.lit(1)), 4)
+    return one.select("n", "n_groups", "n_dups", "n_low", "n_empty", "n_corrupt", share.alias("low_share"), F.array_join(blockers, ",").alias("blockers"), F.array_join(warnings, ",").alias("warnings"), (F.size(blockers) == 0).alias("ready"))
 
 
 def empty_groups(listed: DataFrame, assets: DataFrame) -> DataFrame:
@@ -99,6 +147,16 @@ def deficit_counts(size: int, n: int, target: list[float], have: list[int]) -> l
 CELL_GROUPS = 50_000
 
 
+def seeded(c: Column, seed: object) -> Column:
+    """A hash that every engine has, as hexadecimal digits."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), c.cast("string")))
+
+
+def head_of(digest: Column) -> Column:
+    """The first 32 bits of a digest as a number: it grows with the digest."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
 def balanced_split(groups: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.15, 0.15), seed: int = 42) -> DataFrame:
     """Groups (group_id, n_items) to splits. Only the histogram of sizes comes to the driver, and one row per size goes back; groups of equal size are dealt in the order of a seeded hash.
 
@@ -111,7 +169,7 @@ def balanced_split(groups: DataFrame, ratios: tuple[float, float, float] = (0.7,
         at[SPLITS.index(split) :] = [last] * (len(SPLITS) - SPLITS.index(split))
     places = groups.sparkSession.createDataFrame([(size, *at[:-1]) for size, at in ends.items()], "n_items long, train_end long, val_end long")
     cells = -(-max(n for _, n in sizes) // CELL_GROUPS)
-    hashed = groups.withColumn("__h", F.xxhash64(F.lit(seed), "group_id")).withColumn("__cell", F.pmod(F.xxhash64(F.lit(seed), F.lit("cell"), "group_id"), F.lit(cells)))
+    hashed = groups.withColumn("__h", seeded(F.col("group_id"), seed)).withColumn("__cell", F.floor(head_of(F.col("__h")) * cells / 2**32))
     earlier = Window.partitionBy("n_items").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     before = hashed.groupBy("n_items", "__cell").agg(F.count("*").alias("n")).select("n_items", "__cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
     order = Window.partitionBy("n_items", "__cell").orderBy("__h", "group_id")
@@ -121,16 +179,16 @@ def balanced_split(groups: DataFrame, ratios: tuple[float, float, float] = (0.7,
 
 
 def top_up(assigned: DataFrame, least: int) -> DataFrame:
-    """Whole labelled groups move from train to val, fewest labels first, until val has ``least`` labels. assigned: group_id, n_labelled, split."""
+    """Whole labelled groups move from train to val, fewest labels first, until val has ``least`` labels. assigned: group_id, n_labelled, split.
+
+    Each group that moves brings a label at least, so no more than ``least`` groups can move: only the first so many are ranked.
+    """
     have = assigned.agg(F.coalesce(F.sum(F.when(F.col("split") == "val", F.col("n_labelled"))), F.lit(0)).alias("have"))
-    sized = assigned.where("split = 'train' and n_labelled > 0").groupBy("n_labelled").agg(F.count("*").alias("k"))
-    before = F.coalesce(F.sum(F.col("n_labelled") * F.col("k")).over(Window.orderBy("n_labelled").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # How many groups of each size move: enough to fill what is still missing before that size.
-    need = sized.withColumn("before", before).crossJoin(have).withColumn("moves", F.least(F.col("k"), F.greatest(F.lit(0), F.ceil((least - F.col("have") - F.col("before")) / F.col("n_labelled"))))).select(F.col("n_labelled").alias("s"), "moves")
-    rank = F.row_number().over(Window.partitionBy("split", "n_labelled").orderBy("group_id"))
-    joined = assigned.withColumn("rank", rank).join(F.broadcast(need), F.col("n_labelled") == F.col("s"), "left")
-    moved = (F.col("split") == "train") & (F.col("rank") <= F.coalesce("moves", F.lit(0)))
-    return joined.select("group_id", "n_labelled", F.when(moved, "val").otherwise(F.col("split")).alias("split"), moved.alias("moved"))
+    first = assigned.where("split = 'train' and n_labelled > 0").orderBy("n_labelled", "group_id").limit(least)
+    before = F.coalesce(F.sum("n_labelled").over(Window.orderBy("n_labelled", "group_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moves = first.withColumn("before", before).crossJoin(have).where(F.col("have") + F.col("before") < least).select("group_id", F.lit(True).alias("moves"))
+    moved = F.coalesce("moves", F.lit(False)) & (F.col("split") == "train")
+    return assigned.join(moves, "group_id", "left").select("group_id", "n_labelled", F.when(moved, "val").otherwise(F.col("split")).alias("split"), moved.alias("moved"))
 
 
 def manifest(assigned: DataFrame) -> DataFrame:
@@ -154,12 +212,33 @@ def unlabelled(listing: DataFrame, labels: DataFrame, train: DataFrame) -> DataF
     return listing.join(train.select("group_id").distinct(), "group_id", "left_semi").join(labels.select("image_id").distinct(), "image_id", "left_anti")
 
 
-def crop_funnel(boxes: DataFrame, truth: DataFrame, splits: DataFrame, least_w: float = 48.0, least_h: float = 12.0) -> DataFrame:
-    """Rows per reason why a box is or isn't a training crop. Groups without a split are dealt by hash, two thirds to train."""
-    joined = boxes.join(truth.select("image_id", "truth_serial"), "image_id", "left").join(splits.select(F.col("group_id").alias("image_id"), "split"), "image_id", "left")
-    split = F.coalesce("split", F.when(F.pmod(F.xxhash64("image_id"), F.lit(3)) < 2, "train").otherwise("val"))
-    reason = F.when(F.col("truth_serial").isNull(), "no_truth").when((F.col("x2") - F.col("x1") < least_w) | (F.col("y2") - F.col("y1") < least_h), "too_small").otherwise("used")
-    return joined.groupBy(reason.alias("reason"), split.alias("split")).agg(F.count("*").alias("n"))
+def crops(labels: DataFrame, boxes: DataFrame, truth: DataFrame, present: DataFrame, splits: DataFrame, least_w: float = 48.0, least_h: float = 12.0, seed: int = 42) -> DataFrame:
+    """Why each labelled image is or isn't a training crop (``reason``), with its split, truth and size.
+
+    labels: image_id, group_id; boxes: image_id, box_ord, x1, y1, x2, y2, of which an image's first counts; truth: image_id, truth_serial; present: image_id of
+    assets that are there; splits: group_id, split. A group without a split is dealt as a whole, two thirds of them to train.
+    """
+    size = F.struct("box_ord", (F.col("x2") - F.col("x1")).alias("w"), (F.col("y2") - F.col("y1")).alias("h"))
+    box = boxes.groupBy("image_id").agg(F.min(size).alias("b"))
+    there = present.select("image_id").distinct().withColumn("there", F.lit(True))
+    said = truth.where("truth_serial <> ''").select("image_id", "truth_serial")
+    rows = labels.join(said, "image_id", "left").join(box, "image_id", "left").join(there, "image_id", "left").join(splits.select("group_id", "split"), "group_id", "left")
+    small = (F.col("b.w") < least_w) | (F.col("b.h") < least_h)
+    reason = F.when(F.col("truth_serial").isNull(), "no_truth").when(F.col("b").isNull(), "no_box").when(F.col("there").isNull(), "missing_asset").when(small, "too_small").otherwise("used")
+    dealt = F.when(head_of(seeded(F.col("group_id"), f"crop{seed}")) % 3 < 2, "train").otherwise("val")
+    return rows.select("image_id", "group_id", reason.alias("reason"), F.coalesce("split", dealt).alias("split"), "truth_serial", F.col("b.w").alias("w"), F.col("b.h").alias("h"))
+
+
+def crop_funnel(found: DataFrame) -> DataFrame:
+    """Crops per reason and split."""
+    return found.groupBy("reason", "split").agg(F.count("*").alias("n"))
+
+
+def crop_summary(found: DataFrame) -> DataFrame:
+    """One row on the used crops: how many, their median width and height, and the alphabet of their serials."""
+    used = found.where("reason = 'used'")
+    chars = used.select(F.explode(F.split("truth_serial", "")).alias("ch")).where("ch <> ''").distinct().agg(F.array_join(F.array_sort(F.collect_list("ch")), "").alias("alphabet"))
+    return used.agg(F.count("*").alias("n")).crossJoin(median_of(used, "w", "median_w")).crossJoin(median_of(used, "h", "median_h")).crossJoin(chars)
 
 
 def pseudo_labels(pred: DataFrame, least: float = 0.70, classes: tuple[int, ...] = (0, 1)) -> DataFrame:
@@ -175,6 +254,7 @@ def assembled(items: DataFrame, labels: DataFrame, least_train: int = 100) -> Da
     return rows.withColumn("verdict", verdict)
 
 
-def work_list(images: DataFrame, offset: int, limit: int) -> DataFrame:
-    """A slice of the sorted work."""
-    return images.orderBy("image_id").offset(offset).limit(limit)
+def work_list(images: DataFrame, offset: int, limit: int, condition: str | None = None) -> DataFrame:
+    """A slice of the sorted work, of one condition if that is asked for."""
+    chosen = images if condition is None else images.where(F.col("condition") == condition)
+    return chosen.orderBy("image_id").offset(offset).limit(limit)

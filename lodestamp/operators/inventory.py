@@ -47,6 +47,16 @@ def duplicated(inventory: DataFrame) -> DataFrame:
     return entries(inventory).where("is_duplicated").select("serial", F.size("assets").cast("long").alias("n_assets"), F.array_join("assets", ",").alias("assets"))
 
 
+def undescribed(assets: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Assets without a description. assets, inventory: asset_id."""
+    return assets.select("asset_id").distinct().join(inventory.select("asset_id").distinct(), "asset_id", "left_anti")
+
+
+def issue_log(records: DataFrame) -> DataFrame:
+    """How many records have each issue. records: ``issues``, an array of codes."""
+    return records.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+
+
 def outside_alphabet(inventory: DataFrame, alphabet: str) -> DataFrame:
     """Characters of identifiers that a closed alphabet lacks, with how many identifiers have them."""
     chars = inventory.select("serial", F.explode(F.array_distinct(F.split("serial", ""))).alias("ch"))

@@ -7,7 +7,7 @@ plain edit distance of the merged texts is such a bound.
 from __future__ import annotations
 
 from lodestamp.functions import serial as S
-from lodestamp.plans.parts import ENTRIES, FRAGMENTS, OUTCOME, canonical, charset, distance, errors, quoted
+from lodestamp.plans.parts import ENTRIES, FRAGMENTS, OUTCOME, SWEEP, canonical, charset, distance, errors, quoted
 from lodestamp.sources.fixtures import cte
 
 
@@ -93,14 +93,21 @@ DECIDE = """
 flagged AS (SELECT i.*, n > 1 AS dup, length(e.serial) < 7 AS short FROM identity i LEFT JOIN e ON i.serial = e.serial),
 why AS (SELECT *, list_filter([reason, CASE WHEN dup THEN 'duplicate_serial_in_catalog' END, CASE WHEN short THEN 'serial_too_short' END], lambda x: x IS NOT NULL) AS w FROM flagged),
 ruled AS (SELECT *, CASE WHEN coalesce(dup, false) OR coalesce(short, false) OR read_text IS NULL THEN NULL WHEN coalesce(confidence, 0) < 0.6 THEN 'low_ocr_confidence' WHEN status <> 'matched' THEN NULL WHEN coalesce(confidence, 0) < 0.9 THEN 'low_ocr_confidence' END AS added FROM why),
-decided AS (SELECT image_id, status, coalesce(serial, read_text) AS serial, serial IS NOT NULL AS is_resolved, confidence, stage,
+decided AS (SELECT image_id, candidates, status, coalesce(serial, read_text) AS serial, serial IS NOT NULL AS is_resolved, confidence, stage,
   array_to_string(list_sort(list_distinct(list_filter(list_append(w, added), lambda x: x IS NOT NULL))), ',') AS reasons,
   coalesce(dup, false) OR coalesce(short, false) OR read_text IS NULL OR added IS NOT NULL OR status <> 'matched' OR len(w) > 0 AS needs_review FROM ruled),
-j AS (SELECT t.*, d.status, d.serial, is_resolved, confidence, stage, reasons, coalesce(needs_review, true) AS needs_review FROM truth t LEFT JOIN decided d USING (image_id))"""
+j AS (SELECT t.*, d.status, d.serial, is_resolved, confidence, stage, reasons, candidates, coalesce(needs_review, true) AS needs_review FROM truth t LEFT JOIN decided d USING (image_id))"""
 
 BASE = cte("readings", "inventory", "truth")
 FOUND = f"{BASE}, {ENTRIES}, {SEARCH}"
 CASCADE = f"{FOUND}, {SUPPORT}, {FRAGMENTS}, {CONSENSUS}, {IDENTIFY}"
+
+
+def again(where: str) -> str:
+    """The cascade over some of the rows of ``every``."""
+    return f"WITH readings AS (SELECT * FROM every WHERE {where}), {ENTRIES}, {SEARCH}, {SUPPORT}, {FRAGMENTS}, {CONSENSUS}, {IDENTIFY} SELECT image_id, status, serial, read_text, confidence, stage, reason, candidates FROM identity"
+
+
 OPTIONS = """o AS (SELECT coalesce(serial = truth_serial, false) AS hit, coalesce(serial = truth_serial, false) OR coalesce(list_contains(string_split(candidates, ',')[1:4], truth_serial), false) AS among, coalesce(serial <> truth_serial, false) AS wrong FROM {joined})
 SELECT count(*) AS n, round(avg(hit::INT), 4) AS proposed, round(avg(among::INT), 4) AS among_four, round(avg(wrong::INT), 4) AS wrong FROM o"""
 
@@ -108,9 +115,18 @@ SQL = {
     "j3_resolve": f"{BASE}, {ENTRIES}, texts AS (SELECT DISTINCT {charset('text')} AS t FROM readings), {resolve('texts')} SELECT t AS text, status, serial, distance, score, candidates FROM resolved",
     "j4_search": f"{FOUND} SELECT image_id, status, serial, distance, candidates FROM search",
     "a3_support": f"{FOUND}, {SUPPORT} SELECT image_id, serial, confidence, raw FROM support",
-    "a21_top_k": f"{FOUND}, q AS (SELECT t.truth_serial, s.serial, s.candidates FROM truth t LEFT JOIN search s USING (image_id)), " + OPTIONS.format(joined="q"),
+    "a21_top_k": f"{CASCADE}, q AS (SELECT t.truth_serial, s.serial, s.candidates FROM truth t LEFT JOIN identity s USING (image_id)), " + OPTIONS.format(joined="q"),
     "j5_identify": f"{CASCADE} SELECT image_id, status, serial, read_text, confidence, stage, reason, candidates FROM identity",
-    "d1_decisions": f"{CASCADE}, {DECIDE} SELECT image_id, truth_serial, condition, status, serial, is_resolved, confidence, stage, reasons, needs_review, {OUTCOME} AS outcome FROM j",
+    "d1_decisions": f"{CASCADE}, {DECIDE} SELECT image_id, truth_serial, condition, status, serial, is_resolved, confidence, stage, reasons, needs_review, candidates, {OUTCOME} AS outcome FROM j",
     "a12_cascade": f"{CASCADE}, {DECIDE}, x AS (SELECT condition, {OUTCOME} AS outcome FROM j) SELECT condition, outcome, count(*) AS n FROM x GROUP BY GROUPING SETS ((outcome), (condition, outcome))",
-    "d5_g7_cascade": f"{CASCADE} SELECT image_id, status, serial, confidence, reason FROM identity",
+    "d5_g7_payload": f"{CASCADE} SELECT image_id, status, serial, confidence, reason FROM identity",
+    "a12_outcomes": f"""{CASCADE}, {DECIDE}, partly AS (SELECT * REPLACE (CASE WHEN image_id % 23 <> 22 THEN truth_serial END AS truth_serial) FROM j),
+      x AS (SELECT condition, CASE WHEN truth_serial IS NOT NULL AND image_id % 37 = 36 THEN 'missing_file' ELSE {OUTCOME} END AS outcome FROM partly), y AS (SELECT condition, outcome, count(*) AS n FROM x GROUP BY GROUPING SETS ((outcome), (condition, outcome)))
+      SELECT *, CASE WHEN outcome NOT IN ('no_truth', 'missing_file') THEN round(n / sum(n) FILTER (WHERE outcome NOT IN ('no_truth', 'missing_file')) OVER (PARTITION BY condition), 4) END AS rate FROM y""",
+    "a19_sweep": f"{CASCADE}, {DECIDE}, {SWEEP} SELECT * FROM s",
+    "a20_recommend": f"{CASCADE}, {DECIDE}, {SWEEP} SELECT threshold AS auto_accept, greatest(round(threshold - 0.30, 2), 0.0) AS review, automation_rate FROM s WHERE silent_error_rate <= 0.2 ORDER BY automation_rate DESC, threshold LIMIT 1",
+    "u5_retry": f"""{BASE}, every AS (SELECT * FROM readings), one AS ({again('variant_ord = 0')}),
+      more AS (SELECT DISTINCT image_id FROM every WHERE variant_ord > 0 AND image_id NOT IN (SELECT image_id FROM one WHERE status = 'matched')), two AS ({again('image_id IN (SELECT image_id FROM more)')}),
+      adopted AS (SELECT * FROM two WHERE status = 'matched' OR image_id NOT IN (SELECT image_id FROM one))
+      SELECT *, 1 AS attempt FROM one WHERE image_id NOT IN (SELECT image_id FROM adopted) UNION ALL SELECT *, 2 FROM adopted""",
 }

@@ -109,5 +109,6 @@ SQL = {
     "f7_wide": f"{LINES}, {STATED} SELECT * FROM wide",
     "a10_coverage": f"{LINES}, {STATED} {COVERAGE}",
     "r1_r4_records": f"{LINES}, {RECORD} SELECT * FROM record",
+    "a11_issues": f"{LINES}, {RECORD} SELECT issue, count(*) AS n FROM (SELECT unnest(string_split(issues, ',')) AS issue FROM record) WHERE issue <> '' GROUP BY issue",
     "r3_form": f"{LINES}, {RECORD} {FORM}",
 }

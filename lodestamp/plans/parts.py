@@ -106,7 +106,7 @@ j AS (SELECT t.*, b.serial, coalesce(b.confidence < 0.7, true) AS needs_review F
 SAME = f"({charset('serial')} = truth_serial)"
 OUTCOME = f"""CASE WHEN truth_serial IS NULL THEN 'no_truth' WHEN coalesce(serial, '') <> '' AND {SAME} AND needs_review THEN 'referred_correct' WHEN coalesce(serial, '') <> '' AND {SAME} THEN 'correct'
  WHEN coalesce(serial, '') <> '' AND needs_review THEN 'referred_wrong' WHEN coalesce(serial, '') <> '' THEN 'silent_error' WHEN needs_review THEN 'referred_unread' ELSE 'not_identified' END"""
-SWEEP = f"""o AS (SELECT {charset('text')} <> '' AS has_read, CAST(floor(CAST(round(confidence * 10000) AS BIGINT) / 100) AS INT) AS b, {charset('text')} = truth_serial AS ok FROM readings),
+SWEEP = """o AS (SELECT coalesce(serial, '') <> '' AS has_read, CAST(floor(CAST(round(coalesce(confidence, 0) * 10000) AS BIGINT) / 100) AS INT) AS b, coalesce(serial = truth_serial, false) AS ok FROM j),
 w AS (SELECT g.k, count(*) FILTER (WHERE has_read AND b >= k) AS accepted, count(*) FILTER (WHERE has_read AND b >= k AND ok) AS correct, count(*) AS total FROM o, range(101) g(k) GROUP BY g.k),
 s AS (SELECT k / 100.0::DOUBLE AS threshold, accepted, correct, accepted - correct AS silent_errors, round((accepted - correct)::DOUBLE / total, 6) AS silent_error_rate, round(accepted::DOUBLE / total, 6) AS automation_rate, round(CASE WHEN accepted > 0 THEN correct::DOUBLE / accepted ELSE 1.0 END, 6) AS precision FROM w)"""
 MY = month_year("text")

@@ -74,7 +74,8 @@ def entry_rows(inv: DataFrame) -> DataFrame:
 
 
 def same_shape_pattern(inv: DataFrame) -> DataFrame:
-    return inventory.pattern(inv.where("serial like '__S______'"))
+    """The pattern of every identifier as far as it has nine characters of one shape: others are cut or continued to that."""
+    return inventory.pattern(inv.withColumn("serial", F.concat(F.lit("19S"), F.lpad(F.regexp_replace("serial", "[^0-9]", ""), 6, "0"))))
 
 
 def corrections(readings: DataFrame) -> DataFrame:
@@ -100,7 +101,7 @@ def exact_rows(readings: DataFrame, inv: DataFrame) -> DataFrame:
 
 
 def containing_rows(readings: DataFrame, inv: DataFrame) -> DataFrame:
-    return matching.containing(texts_of(readings).where("length(text) >= 6"), inventory.entries(inv)).select("text", "serial")
+    return matching.containing(texts_of(readings), inventory.entries(inv)).select("text", "serial")
 
 
 def resolved_rows(readings: DataFrame, inv: DataFrame) -> DataFrame:
@@ -115,6 +116,23 @@ def identified(readings: DataFrame, inv: DataFrame) -> DataFrame:
     return matching.identify(readings, inventory.entries(inv), inventory.pattern(inv))
 
 
+def usable_rows(readings: DataFrame) -> DataFrame:
+    return consensus.usable(readings, ("PW200", "PH 02/25"), 0.6).select("image_id", "variant_ord", "confidence")
+
+
+def identified_twice(readings: DataFrame, inv: DataFrame) -> DataFrame:
+    kept = readings.select("image_id", "variant_ord", "line_ord", "text", "confidence")
+    return matching.identify_twice(kept.where("variant_ord = 0"), kept.where("variant_ord > 0"), inventory.entries(inv), inventory.pattern(inv))
+
+
+def regions(b: DataFrame) -> DataFrame:
+    return b.select("image_id", F.col("box_ord").alias("region_id"), F.when(F.col("class_id") == 1, "serial_text").otherwise("area").alias("label"), "confidence")
+
+
+def variants(b: DataFrame) -> DataFrame:
+    return boxes.best_variant(b.select("image_id", F.col("class_id").alias("region_id"), (F.col("box_ord") % 3).alias("variant_ord"), "confidence"))
+
+
 def supported(readings: DataFrame, inv: DataFrame) -> DataFrame:
     e = inventory.entries(inv)
     return matching.support(matching.search(readings, e).where("status = 'matched'"), readings)
@@ -127,26 +145,27 @@ def judged(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", evaluate.outcome(F.col("serial"), F.col("truth_serial"), F.col("needs_review")))
 
 
-def exact_judged(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> DataFrame:
-    """A cheap stand-in for identification that SQL can repeat: the best exact reading of each image."""
-    hit = readings.withColumn("read", S.serial_charset(F.col("text"))).join(inventory.entries(inv).select("serial"), F.col("read") == F.col("serial"))
-    best = hit.groupBy("image_id").agg(F.max_by("serial", F.struct("confidence", "serial")).alias("serial"), F.max("confidence").alias("confidence"))
-    return truth.join(best, "image_id", "left").withColumn("needs_review", F.coalesce(F.col("confidence") < 0.7, F.lit(True)))
+def cascade_outcomes(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> DataFrame:
+    """A12 over the whole cascade."""
+    return evaluate.outcomes(judged(readings, inv, truth))
 
 
-def outcome_rows(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> DataFrame:
-    rows = exact_judged(readings, inv, truth)
-    return evaluate.outcomes(rows.withColumn("outcome", evaluate.outcome(F.col("serial"), F.col("truth_serial"), F.col("needs_review"))))
+def cascade_rates(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> DataFrame:
+    """A12 over the whole cascade, with both codes for what can't be judged: some truths are missing, and so are the files of some images."""
+    rows = judged(readings, inv, truth.withColumn("truth_serial", F.when(F.col("image_id") % 23 != 22, F.col("truth_serial"))))
+    present = F.col("image_id") % 37 != 36
+    return evaluate.outcome_rates(rows.withColumn("outcome", evaluate.outcome(F.col("serial"), F.col("truth_serial"), F.col("needs_review"), present)))
 
 
-def cascade_outcomes(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> DataFrame:
-    """A12 over the whole cascade."""
-    return evaluate.outcomes(judged(readings, inv, truth))
+def observations(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> DataFrame:
+    """What the cascade says of every image with a truth: whether anything was read, how surely, and whether it is right."""
+    rows = judged(readings, inv, truth)
+    correct = F.coalesce(F.col("serial") == F.col("truth_serial"), F.lit(False))
+    return rows.select((F.coalesce("serial", F.lit("")) != "").alias("has_read"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), correct.alias("is_correct"))
 
 
-def observations(readings: DataFrame) -> DataFrame:
-    k = S.serial_charset(F.col("text"))
-    return readings.select((k != "").alias("has_read"), "confidence", (k == F.col("truth_serial")).alias("is_correct"))
+def swept(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> DataFrame:
+    return evaluate.sweep(observations(readings, inv, truth))
 
 
 def error_rates(readings: DataFrame) -> DataFrame:
@@ -213,13 +232,47 @@ def pending(audit: DataFrame) -> DataFrame:
 
 
 def options(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> DataFrame:
-    return evaluate.top_k(truth.join(matching.search(readings, inventory.entries(inv)), "image_id", "left"))
+    found = identified(readings, inv).select("image_id", "serial", "candidates")
+    return evaluate.top_k(truth.join(found, "image_id", "left"))
+
 
+def cropped(b: DataFrame) -> DataFrame:
+    labels = b.select("image_id").distinct().withColumn("group_id", F.col("image_id") % 50)
+    truth = labels.where("image_id % 5 <> 0").select("image_id", F.concat(F.lit("S"), F.col("image_id").cast("string")).alias("truth_serial"))
+    splits = labels.select("group_id").distinct().where("group_id % 4 <> 3").withColumn("split", F.when(F.col("group_id") % 4 == 0, "val").otherwise("train"))
+    return datasets.crops(labels, b.where("class_id = 1"), truth, labels.where("image_id % 11 <> 3"), splits)
 
-def funnel(b: DataFrame, groups: DataFrame) -> DataFrame:
-    truth = b.select("image_id").distinct().where("image_id % 5 <> 0").withColumn("truth_serial", F.lit("x"))
-    splits = b.select(F.col("image_id").alias("group_id")).distinct().withColumn("split", F.when(F.col("group_id") % 4 == 0, "val").otherwise("train"))
-    return datasets.crop_funnel(b, truth, splits)
+
+def ready(audit: DataFrame) -> DataFrame:
+    broken = F.coalesce("width", F.lit(0)) < 40
+    return datasets.readiness(audit.where(~broken), audit.select("grp"), audit.where(broken))
+
+
+def restored(b: DataFrame) -> DataFrame:
+    shares = b.select("image_id", "box_ord", *boxes.normalised(W, H))
+    return shares.select("image_id", "box_ord", *boxes.denormalised(W, H, 0.1))
+
+
+def issues(lines: DataFrame) -> DataFrame:
+    return inventory.issue_log(record_rows(lines))
+
+
+def audited_work(a: DataFrame) -> DataFrame:
+    return datasets.work_list(a.select(F.col("asset").alias("image_id"), F.col("grp").alias("group_id"), "condition"), 3, 40, "en")
+
+
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both distances by their names in SQL."""
+    S.register(spark)
+    rows = frame(spark, sf_dir, "readings").withColumn("k", S.serial_charset(F.col("text")))
+    return rows.select("image_id", "variant_ord", F.expr("weighted_edit_distance(k, truth_serial)").alias("distance"), F.expr("fuzzy_substring_distance(truth_serial, k)").alias("inside"))
+
+
+def set_algebra(a: DataFrame, b: DataFrame) -> DataFrame:
+    """U2, U3, U4 row by row: every key with the sets that it is in."""
+    both = a.select("serial").distinct().withColumn("in_live", F.lit(True)).join(b.select("serial").distinct().withColumn("in_static", F.lit(True)), "serial", "full")
+    here, there = F.coalesce("in_live", F.lit(False)), F.coalesce("in_static", F.lit(False))
+    return both.select("serial", (here & there).alias("in_both"), (here & ~there).alias("pending"), (there & ~here).alias("stale"))
 
 
 def assembled_rows(audit: DataFrame) -> DataFrame:
@@ -234,9 +287,14 @@ def live_rows(inv: DataFrame) -> DataFrame:
 
 
 def payloads(readings: DataFrame, inv: DataFrame) -> DataFrame:
-    k = S.serial_charset(F.col("text"))
-    rows = readings.where("variant_ord = 0").join(inventory.entries(inv).select("serial"), k == F.col("serial"), "left").select("image_id", F.when(F.col("serial").isNotNull(), "matched").otherwise("not_found").alias("status"), "serial", F.when(F.col("serial").isNotNull(), F.lit(0.0)).alias("distance"))
-    return evaluate.read_payload(evaluate.audit_payload(rows))
+    """The audit payload of the cascade's answers, written as JSON and read back."""
+    return evaluate.read_payload(evaluate.audit_payload(identified(readings, inv)))
+
+
+def late(events: DataFrame) -> DataFrame:
+    from lodestamp.streaming.flow import late_rows
+
+    return late_rows(events.select("ts", F.col("event_type").alias("status")), "30 days")
 
 
 def monitored(events: DataFrame) -> DataFrame:
@@ -254,18 +312,21 @@ QUERIES = {
     "j1_exact": both("readings", "inventory")(exact_rows), "j2_containing": both("readings", "inventory")(containing_rows), "j3_resolve": both("readings", "inventory")(resolved_rows),
     "j4_search": both("readings", "inventory")(searched_rows), "j5_identify": both("readings", "inventory")(identified), "d1_decisions": both("readings", "inventory", "truth")(judged),
     "j7_merge": both("live", "static")(inventory.merge), "j8_insertable": both("inventory", "live")(lambda i, e: inventory.insertable(i, e).select("ord", "serial")), "j9_j10_enrich": both("inventory", "live", "static")(enriched_rows),
-    "a10_coverage": on("field_lines")(lambda df: inventory.coverage(fields.wide(fields.stated(df)), ["peso", "color", "ph", "procedencia", "tipo_gas"])), "a11_duplicated": on("inventory")(inventory.duplicated),
+    "a10_coverage": on("field_lines")(lambda df: inventory.coverage(fields.wide(fields.stated(df)), ["peso", "color", "ph", "procedencia", "tipo_gas"])), "a11_duplicated": on("inventory")(inventory.duplicated), "a11_undescribed": both("inventory", "live")(lambda i, e: inventory.undescribed(i, i.join(e.select("ord"), "ord", "left_semi"))), "a11_issues": on("field_lines")(issues),
     "a22_alphabet": on("inventory")(lambda i: inventory.outside_alphabet(i, "0123456789")), "a23_sync": both("live", "static")(lambda a, b: inventory.sync_status(inventory.merge(a, b))),
-    "a5_duplicates": on("audit")(datasets.duplicates), "a6_counts": on("audit")(datasets.counts), "a7_quality": on("audit")(datasets.quality_summary), "a8_readiness": on("audit")(datasets.readiness),
-    "p4_low_quality": on("audit")(lambda a: datasets.low_quality(a).select("asset")), "a12_outcomes": both("readings", "inventory", "truth")(outcome_rows), "a12_cascade": both("readings", "inventory", "truth")(cascade_outcomes), "a16_error_rate": on("readings")(error_rates),
-    "a17_latency": on("events")(lambda e: evaluate.latency(e, "value")), "a19_sweep": on("readings")(lambda r: evaluate.sweep(observations(r))), "a20_recommend": on("readings")(lambda r: evaluate.recommend(evaluate.sweep(observations(r)), 0.2)),
+    "a5_duplicates": on("audit")(datasets.duplicates), "a6_counts": on("audit")(datasets.counts), "a7_quality": on("audit")(datasets.quality_summary), "a8_readiness": on("audit")(ready), "a6_resolutions": on("audit")(lambda a: datasets.resolutions(a.withColumn("height", F.col("width") % 7))), "a9_empty_groups": on("audit")(lambda a: datasets.empty_groups(a, a.where("blur > 425"))),
+    "p4_low_quality": on("audit")(lambda a: datasets.low_quality(a).select("asset")), "a12_outcomes": both("readings", "inventory", "truth")(cascade_rates), "a12_cascade": both("readings", "inventory", "truth")(cascade_outcomes), "a16_error_rate": on("readings")(error_rates),
+    "a17_latency": on("events")(lambda e: evaluate.latency(e, "value")), "a19_sweep": both("readings", "inventory", "truth")(swept), "a20_recommend": both("readings", "inventory", "truth")(lambda r, i, t: evaluate.recommend(swept(r, i, t), 0.2)),
     "a21_top_k": both("readings", "inventory", "truth")(options), "w4_split": on("groups")(datasets.balanced_split), "w5_top_up": on("groups")(topped), "a15_manifest": on("groups")(lambda g: datasets.manifest(datasets.balanced_split(g))),
     "g1_join": on("boxes")(lambda b: boxes.join_split(lines_of(b))), "g2_merge": on("boxes")(lambda b: boxes.merge_fragments(lines_of(b))), "g3_normalised": on("boxes")(normalised_boxes),
     "g4_expanded": on("boxes")(lambda b: b.select("image_id", "box_ord", *boxes.expanded(W, H))), "g5_crop": on("boxes")(lambda b: b.select("image_id", "box_ord", *boxes.crop(W, H))),
     "g6_reprojected": on("boxes")(lambda b: b.select("image_id", "box_ord", *boxes.reprojected(F.lit(2.0), F.lit(0.5), F.lit(10.0), F.lit(-3.0)))), "p1_plausible": on("boxes")(lambda b: boxes.plausible(b).select("image_id", "box_ord")),
     "j12_pending": on("audit")(pending), "j14_located": both("readings", "truth")(located), "a14_weak_coverage": both("readings", "truth")(weak), "j15_match_boxes": on("boxes")(matched_boxes),
     "a18_precision": on("boxes")(lambda b: boxes.average_precision(boxes.match_boxes(predicted(b), b), b)), "a24_pseudo": on("boxes")(lambda b: datasets.pseudo_labels(b.withColumn("condition", F.col("box_ord") % 3))),
-    "t5_monitor": on("events")(monitored), "a13_funnel": both("boxes", "groups")(funnel), "a25_assembled": on("audit")(assembled_rows), "w8_work_list": on("audit")(lambda a: datasets.work_list(image_rows(a), 10, 50)),
+    "t5_monitor": on("events")(monitored), "a13_funnel": on("boxes")(lambda b: datasets.crop_funnel(cropped(b))), "a13_crops": on("boxes")(lambda b: datasets.crop_summary(cropped(b))), "a25_assembled": on("audit")(assembled_rows), "w8_work_list": on("audit")(lambda a: datasets.work_list(image_rows(a), 10, 50)),
+    "p2_p3_usable": on("readings")(usable_rows), "a4_best_variant": on("boxes")(variants), "w3_region_order": on("boxes")(lambda b: boxes.region_order(regions(b))), "u5_retry": both("readings", "inventory")(identified_twice),
+    "g3_restored": on("boxes")(restored), "a15_leaks": on("groups")(lambda g: datasets.leaks(datasets.balanced_split(g).unionByName(g.where("n_items > 6").select("group_id", "n_items", F.lit("val").alias("split"))))),
+    "w8_by_condition": on("audit")(audited_work), "t5_late": on("events")(late), "udf_distances": spoken, "u2_u4_keys": both("live", "static")(set_algebra),
     "r2_live": on("inventory")(live_rows), "d5_g7_payload": both("readings", "inventory")(payloads), "u2_u4_sets": both("live", "static")(evaluate.set_sizes),
 }
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,16 +25,22 @@ def read_inventory_json(spark: SparkSession, path: str, record: str) -> DataFram
 
 
 def read_truth_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(image, serial); either spelling of the headers, blanks dropped, the last row of an image wins."""
+    """(image, serial); either spelling of the headers, blanks dropped, the last row of an image wins: of the last file by name, and there of the last line."""
     raw = spark.read.csv(path, header=True)
     pick = lambda *names: F.trim(F.coalesce(*[F.col(n) for n in names if n in raw.columns]))
-    rows = raw.select(pick("imagen", "image").alias("image"), serial_charset(pick("numero_serie", "serial")).alias("serial"), F.monotonically_increasing_id().alias("ord"))
+    rows = raw.select(pick("imagen", "image").alias("image"), serial_charset(pick("numero_serie", "serial")).alias("serial"), F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).alias("ord"))
     return rows.where("image <> '' and serial <> ''").groupBy("image").agg(F.max_by("serial", "ord").alias("serial"))
 
 
-def read_listing(spark: SparkSession, path: str) -> DataFrame:
-    """S3: one path a line."""
-    return spark.read.text(path).select(F.trim("value").alias("image")).where("image <> ''")
+def read_listing(spark: SparkSession, path: str, truth: DataFrame | None = None) -> DataFrame:
+    """S3: one path a line; if there is no such file, the images of ``truth``."""
+    try:
+        lines = spark.read.text(path)
+    except AnalysisException:
+        if truth is None:
+            raise
+        return truth.select("image").distinct()
+    return lines.select(F.trim("value").alias("image")).where("image <> ''")
 
 
 def read_box_labels(spark: SparkSession, path: str, class_id: int | None = None) -> DataFrame:
@@ -87,10 +96,21 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").json(path)
 
 
-def purge_log(spark: SparkSession, path: str, today: str, keep_days: int) -> DataFrame:
-    """What stays of the log: partitions younger than the retention; folders that are no dates are ignored."""
-    rows = spark.read.json(path)
-    return rows.where(F.col("day").try_cast("date") >= F.date_sub(F.lit(today).cast("date"), keep_days))
+def purge_log(spark: SparkSession, path: str, today: str, keep_days: int) -> list[str]:
+    """Deletes the day partitions of the log older than the retention and names them; folders that are no dates stay."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    oldest = date.fromisoformat(today) - timedelta(days=keep_days)
+    gone = []
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        try:
+            old = name.startswith("day=") and date.fromisoformat(name.removeprefix("day=")) < oldest
+        except ValueError:
+            continue
+        if old and files.delete(status.getPath(), True):
+            gone.append(name.removeprefix("day="))
+    return sorted(gone)
 
 
 def write_report(metrics: DataFrame, path: str) -> None:

@@ -14,16 +14,17 @@ from lodestamp.sources.lineage import materialize
 
 
 class Snapshot:
-    """The inventory of a micro-batch: read anew each time; if that fails, the last good one stays."""
+    """The inventory of a micro-batch: read anew each time; if that fails, the last good one stays.
+
+    What is read is written to the checkpoint folder as a whole, so that a failure anywhere in it shows here and a good one needs no source later.
+    """
 
     def __init__(self, read: Callable[[], DataFrame]):
         self.read, self.good = read, None
 
     def current(self) -> DataFrame:
         try:
-            frame = self.read()
-            frame.limit(1).count()
-            self.good = frame
+            self.good = materialize(self.read())
         except Exception:
             if self.good is None:
                 raise
@@ -56,5 +57,12 @@ def monitor(answers: DataFrame, window: str = "1 hour", slide: str | None = None
     return rows.groupBy(w.alias("w"), "status").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "status", "n")
 
 
+def late_rows(answers: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """T5: how many rows of a batch are older than the watermark that its newest row sets, per status. answers: ts, status."""
+    newest = answers.agg(F.max("ts").alias("newest"))
+    dated = answers.crossJoin(F.broadcast(newest)).withColumn("is_late", F.col("ts") < F.col("newest") - F.expr(f"INTERVAL {late}"))
+    return dated.groupBy("status").agg(F.sum(F.col("is_late").cast("long")).alias("n_late"), F.count("*").alias("n"))
+
+
 def read_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)

@@ -100,8 +100,7 @@ def test_outcomes_of_the_cascade(spark):
     got = {(r.condition, r.outcome): r.n for r in registry.cascade_outcomes(readings(spark, rows), inv, truth).collect()}
     assert got == want and len(judged) == 5
     assert judged[1].outcome in ("correct", "referred_correct") and judged[3].outcome in ("correct", "referred_correct") and judged[5].outcome == "referred_unread"
-    assert registry.outcome_rows(readings(spark, rows), inv, truth).where("condition = 'a' and outcome like '%correct'").count() == 0  # the stand-in reads neither
-    assert "a12_cascade" in QUERIES and "a12_cascade" not in ORACLES
+    assert "a12_cascade" in QUERIES and "a12_cascade" in ORACLES
 
 
 def test_pattern_and_entries(spark):
@@ -232,7 +231,180 @@ def test_snapshot_keeps_last_good(spark):
     assert s.current().count() == 3 and s.current().count() == 3
 
 
-COMPARED = ["k1_k3_k9_serials", "a1_entries", "a2_consensus", "a12_outcomes", "a19_sweep", "j2_containing", "j15_match_boxes", "w5_top_up"]
+def test_fuzzy_pairs_equal_all_pairs(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("0O1IS5678BXK2Z") for _ in range(n))
+    serials = sorted({word(rng.choice([1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 17])) for _ in range(60)})
+
+    def worn(s):
+        s = list(s)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(s) + 1)
+            s[k : k + rng.randint(0, 1)] = rng.choice(["", "0", "8", "X", "S"])
+        return word(rng.randint(0, 2)) + "".join(s) + word(rng.randint(0, 2))
+
+    texts = sorted({worn(rng.choice(serials)) for _ in range(150)} - {""})
+    frames = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(s,) for s in serials], "serial string")
+    budget = lambda s: 0 if len(s) < 6 else len(s) // 4
+    for parts in (20_000, 40):
+        matching.TEXTS_IN_PART = parts
+        want = {}
+        for t, s in itertools.product(texts, serials):
+            d = S.pair_distances([t], [s], False)[0]
+            if d <= budget(s) + 1:
+                want[t, s] = d
+        got = matching.fuzzy_pairs(*frames, False).collect()
+        assert {(r.text, r.serial): r.distance for r in got} == want and len(got) == len(want)
+        grams = lambda x: {"".join(S.LETTER_TO_DIGIT.get(c, "1" if c == "K" else c) for c in x[i : i + 2]) for i in range(len(x) - 1)}
+        want = {}
+        for t, s in itertools.product(texts, [s for s in serials if len(s) >= 6]):
+            d = S.pair_distances([s], [t], True)[0]
+            if d <= budget(s) + 1 and (s in t or len(grams(s) & grams(t)) >= len(s) - 3 - 2 * budget(s)):
+                want[t, s] = d
+        got = matching.fuzzy_pairs(frames[0], frames[1].where("length(serial) >= 6"), True).collect()
+        assert {(r.text, r.serial): r.distance for r in got} == want and len(got) == len(want)
+    matching.TEXTS_IN_PART = 20_000
+
+
+def test_no_inventory(spark):
+    none = entries(spark, ["X"]).limit(0)
+    texts = spark.createDataFrame([("19S206055",), ("",)], "text string")
+    assert {r.text: (r.status, r.serial) for r in matching.resolve(texts, none).collect()} == {"19S206055": ("no_catalog", "19S206055"), "": ("not_attempted", None)}
+    rows = readings(spark, [(1, 0, "19S206055", 0.9), (2, 0, "SERIE:", 0.9)])
+    assert {r.image_id: r.status for r in matching.search(rows, none).collect()} == {1: "no_catalog", 2: "not_attempted"}
+
+
+def test_retry_counts_only_if_it_matches(spark):
+    e = entries(spark, ["19S206055", "K5738060"])
+    pattern = spark.createDataFrame([(8, 9, None)], "min_length int, max_length int, mask string")
+    first = readings(spark, [(1, 0, "19S206055", 0.9), (2, 0, "PW200", 0.9), (3, 0, "99999999", 0.9)])
+    retry = readings(spark, [(1, 0, "K5738060", 0.9), (2, 0, "K5738060", 0.8), (3, 0, "77777777", 0.9), (4, 0, "PW100", 0.9)])
+    got = {r.image_id: (r.status, r.serial, r.attempt) for r in matching.identify_twice(first, retry, e, pattern).collect()}
+    assert got == {1: ("matched", "19S206055", 1), 2: ("matched", "K5738060", 2), 3: ("not_found", None, 1), 4: ("not_found", None, 2)}
+
+
+def test_usable_readings(spark):
+    rows = readings(spark, [(1, 0, "19S206055", 0.3), (2, 0, " pw-200 ", 0.9), (3, 0, "  ", 0.9), (4, 0, None, 0.9), (5, 0, "19S206055", 0.29)])
+    assert [r.image_id for r in consensus.usable(rows, ("PW200", "")).collect()] == [1]
+
+
+def joined_by_loop(rows):
+    rows, out = sorted(rows, key=lambda b: (b["x1"], b["ord"])), []
+    free = set(range(len(rows)))
+    for s in range(len(rows)):
+        if s not in free:
+            continue
+        chain, hull = [s], {k: rows[s][k] for k in boxes.SIDES}
+        while len(chain) < 4:
+            near = []
+            for i in free - set(chain):
+                b = rows[i]
+                scale = max(hull["y2"] - hull["y1"], b["y2"] - b["y1"], 1.0)
+                gap, off = b["x1"] - hull["x2"], abs(b["y1"] + b["y2"] - hull["y1"] - hull["y2"]) / 2
+                if -0.5 * scale <= gap <= 2 * scale and off <= 0.6 * scale:
+                    near.append((gap, i))
+            if not near:
+                break
+            b = rows[min(near)[1]]
+            chain.append(min(near)[1])
+            hull = {"x1": min(hull["x1"], b["x1"]), "y1": min(hull["y1"], b["y1"]), "x2": max(hull["x2"], b["x2"]), "y2": max(hull["y2"], b["y2"])}
+        if len(chain) > 1:
+            free -= set(chain)
+            out.append((" ".join(rows[i]["text"] for i in chain), min(rows[i]["confidence"] for i in chain), *hull.values(), len(chain)))
+    return out
+
+
+def merged_by_loop(rows):
+    lines = []
+    for b in sorted(rows, key=lambda b: (b["y1"], b["x1"], b["ord"])):
+        for line in lines:
+            r, high = line[0], b["y2"] - b["y1"]
+            common = min(r["y2"], b["y2"]) - max(r["y1"], b["y1"])
+            gap = max(b["x1"] - max(x["x2"] for x in line), min(x["x1"] for x in line) - b["x2"])
+            if common >= 0.45 * max(min(r["y2"] - r["y1"], high), 1.0) and gap <= 3 * max(r["y2"] - r["y1"], high, 1.0):
+                line.append(b)
+                break
+        else:
+            lines.append([b])
+    side = lambda x, k, f: f(b[k] for b in x)
+    return [(None, round(side(x, "confidence", max), 4), side(x, "x1", min), side(x, "y1", min), side(x, "x2", max), side(x, "y2", max), len(x)) for x in lines]
+
+
+def test_boxes_equal_plain_loops(spark):
+    rng = random.Random(4)
+    images = {}
+    for i in range(120):
+        images[i] = []
+        for k in range(rng.randint(1, 14)):
+            x, y = rng.randint(0, 300), rng.randint(0, 80)
+            images[i].append({"ord": k, "text": f"t{k}", "confidence": rng.randint(50, 99) / 100, "x1": float(x), "y1": float(y), "x2": float(x + rng.randint(3, 60)), "y2": float(y + rng.randint(3, 30))})
+    rows = [(i, b["ord"], b["text"], b["confidence"], *[b[c] for c in boxes.SIDES]) for i, x in images.items() for b in x]
+    df = spark.createDataFrame(rows, "image_id long, ord int, text string, confidence double, x1 double, y1 double, x2 double, y2 double")
+    for run, by_loop in ((boxes.join_split, joined_by_loop), (boxes.merge_fragments, merged_by_loop)):
+        got = {}
+        for r in run(df).orderBy("image_id", "line_no").collect():
+            got.setdefault(r.image_id, []).append((r.text, r.confidence, r.x1, r.y1, r.x2, r.y2, r.n_boxes))
+        assert got == {i: by_loop(x) for i, x in images.items() if by_loop(x)}
+    assert boxes.join_split(df.limit(0)).count() == 0
+
+
+def test_box_fixture_queries_equal_plain_loops(spark):
+    rows = {}
+    for r in frame(spark, SF, "boxes").collect():
+        rows.setdefault(r.image_id, []).append({"ord": r.box_ord, "text": f"T{r.box_ord}", "confidence": r.confidence, **{c: r[c] for c in boxes.SIDES}})
+    for name, by_loop in (("g1_join", joined_by_loop), ("g2_merge", merged_by_loop)):
+        got = sorted((r.image_id, r.text, r.confidence, r.x1, r.y1, r.x2, r.y2, r.n_boxes) for r in QUERIES[name](spark, SF).collect() if name == "g1_join") if name == "g1_join" else sorted((r.image_id, r.confidence, r.x1, r.y1, r.x2, r.y2, r.n_boxes) for r in QUERIES[name](spark, SF).collect())
+        want = sorted((i, *(line if name == "g1_join" else line[1:])) for i, x in rows.items() for line in by_loop(x))
+        assert got == want
+
+
+def test_positions_and_medians(spark):
+    rng = random.Random(6)
+    for values in ([3.0], [1.0, 2.0], [rng.choice([0.0, 1e9, rng.random()]) for _ in range(301)], [5.0] * 40):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        import statistics
+
+        assert datasets.median_of(df, "v", "m").first().m == statistics.median(values)
+        p = evaluate.latency(df, "v").first()
+        assert p.n == len(values) and p.p95 == (round(sorted(values)[int(0.95 * len(values))], 1) if len(values) >= 20 else None)
+
+
+def test_remaining_sources(spark):
+    from pathlib import Path
+
+    d = Path(tempfile.mkdtemp(prefix="src-", dir="/tmp"))
+    truth = spark.createDataFrame([("a.jpg", "S1"), ("b.jpg", "S2")], "image string, serial string")
+    (d / "list.txt").write_text("a.jpg\n\n  b.jpg \n")
+    assert [r.image for r in tables.read_listing(spark, str(d / "list.txt")).collect()] == ["a.jpg", "b.jpg"]
+    assert tables.read_listing(spark, str(d / "none.txt"), truth).count() == 2
+    for name in ("A1/1.Frontal/x.JPG", "A1/y.png", "z.jpeg", "A2/1.Frontal/notes.txt"):
+        (d / "assets" / name).parent.mkdir(parents=True, exist_ok=True)
+        (d / "assets" / name).write_bytes(b"1")
+    listed = {(r.grp, r.condition) for r in tables.list_assets(spark, str(d / "assets"), digest=True).collect()}
+    assert listed == {("A1", "1.Frontal"), ("A1", "(raíz)"), ("(raíz)", "(raíz)")}
+    live = spark.createDataFrame([(1, "19s-1"), (2, "19S1"), (3, None)], "id long, numero_serie string")
+    assert [r.serial for r in tables.existing_keys(live).collect()] == ["19S1"]
+    inv = spark.createDataFrame([("A1", "19S1")], "asset_id string, serial string")
+    tables.write_truth(tables.list_assets(spark, str(d / "assets")), inv, str(d / "truth"))
+    assert {(r.image, r.serial) for r in tables.read_truth_csv(spark, str(d / "truth")).collect()} == {("A1/1.Frontal/x.JPG", "19S1"), ("A1/y.png", "19S1")}
+    tables.write_split_listing(spark.createDataFrame([("a.jpg", "train"), ("b.jpg", "val")], "image string, split string"), str(d / "split"))
+    assert [r.value for r in spark.read.text(str(d / "split" / "split=val")).collect()] == ["b.jpg"]
+    log = spark.createDataFrame([(1, "2026-01-01 10:00:00"), (2, "2026-02-01 10:00:00"), (3, "2026-02-02 10:00:00")], "n long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    tables.append_log(log.where("n < 3"), str(d / "log"))
+    tables.append_log(log.where("n = 3"), str(d / "log"))
+    (d / "log" / "day=other").mkdir()
+    assert tables.purge_log(spark, str(d / "log"), "2026-02-03", 10) == ["2026-01-01"] and (d / "log" / "day=other").exists()
+    assert sorted(r.n for r in spark.read.json(str(d / "log" / "day=2026*")).collect()) == [2, 3]
+    tables.write_report(spark.createDataFrame([("r", "m", "d", 1.0)], "report string, metric string, dims string, value double"), str(d / "report"))
+    assert spark.read.json(str(d / "report")).first().value == 1.0
+    tables.write_manifest(spark.createDataFrame([("train", "a.jpg", "BA"), ("val", "b.jpg", "CA")], "split string, image string, text string"), str(d / "manifest"))
+    assert spark.read.text(str(d / "manifest" / "alphabet")).count() == 3 and spark.read.option("sep", "\t").csv(str(d / "manifest" / "lines" / "split=train")).first()[1] == "BA"
+
+
+COMPARED = [
+    "k1_k3_k9_serials", "a1_entries", "a2_consensus", "a12_outcomes", "a19_sweep", "j2_containing", "j15_match_boxes", "w5_top_up", "j3_resolve", "j4_search", "a3_support",
+    "d1_decisions", "f_stated", "r1_r4_records", "r3_form", "w4_split", "k6_corrections", "j14_located", "a18_precision", "a13_crops", "u5_retry", "n6_n13_dates", "a17_latency",
+]
 
 
 @pytest.mark.parametrize("name", COMPARED)
