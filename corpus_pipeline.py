@@ -1,7 +1,8 @@
 """Corpus pipeline: documents in, token digests out. Each stage reads what its predecessor wrote.
 
 Stages return the columns of ``documents`` until the last one. Null, empty and repeated rows are handled as the operators
-say; an empty table stays empty.
+say; an empty table stays empty. The mix is written range-sorted by training position and encoded row by row, so its files, and the
+partitions of run()'s result, follow the training order; no stage shuffles after it.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their frequent lines; n_chars follows."""
     out = linededup.dedup_lines(docs)
-    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.char_length("kept_text").cast("long").alias("n_chars"))
+    n_chars = F.char_length("kept_text").cast("long").alias("n_chars")
+    return out.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n_chars)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest id (rows without one come last), then by hash of its text. Of rows with equal id and text a single one stays.
+    """One document of each component: the one with the smallest id (rows without one come last), then by hash of its text.
+    Of rows with equal id and text a single one stays.
 
     Two hashes of id and text are the key of both the join and the window, so texts are shuffled once.
     """
