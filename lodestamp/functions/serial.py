@@ -120,35 +120,93 @@ def _codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(wide, 255).astype(np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in words])])
 
 
+def _padded(codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, filler: int) -> np.ndarray:
+    """Texts as columns, the shorter ones filled up at their ends."""
+    at = np.arange(int(sizes.max(initial=0)))[:, None]
+    if not len(codes):
+        return np.full((len(at), len(sizes)), filler, np.uint8)
+    found = np.take(codes, starts + at, mode="clip")
+    found[at >= sizes] = filler
+    return found
+
+
+def _align(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, anywhere: bool, cost, edit: int) -> np.ndarray:
+    """Distances of the texts in the columns of ``a`` and ``b`` (of sizes ``na`` and ``nb``), all columns at once.
+
+    ``cost(i)`` gives the substitution of row i of ``a`` by every row of ``b``. Characters behind the end of a text equal nothing, and so never make a distance smaller.
+    """
+    kind = np.uint8 if edit * max(len(a), len(b)) < 250 else np.int32
+    row = np.zeros((len(b) + 1, len(na)), kind)
+    if not anywhere:
+        row += (edit * np.arange(len(b) + 1, dtype=kind))[:, None]
+    everyone = np.arange(len(na))
+    ended = lambda at: row[:, at].min(0) if anywhere else row[nb[at], everyone[at]]
+    out = ended(everyone).astype(np.int64)
+    for i in range(len(a)):
+        step = np.minimum(row[:-1] + cost(i).astype(kind), row[1:] + kind(edit))
+        row[0] = edit * (i + 1)
+        for j in range(len(b)):
+            np.minimum(step[j], row[j] + kind(edit), out=row[j + 1])
+        last = np.flatnonzero(na == i + 1)
+        if len(last):
+            out[last] = ended(last)
+    return out
+
+
+AT_ONCE = 4096
+
+
 def pair_distances(left: pa.Array | list[str], right: pa.Array | list[str], anywhere: bool) -> np.ndarray:
-    """Weighted edit distance of pairs; with ``anywhere`` of the left text to the best part of the right one. Pairs of equal lengths go together."""
+    """Weighted edit distance of pairs; with ``anywhere`` of the left text to the best part of the right one. Pairs of similar lengths go together."""
     left, right = (x if isinstance(x, pa.Array) else pa.array(x, pa.string()) for x in (left, right))
     (ca, sa), (cb, sb) = _codes(left), _codes(right)
     na, nb = np.diff(sa), np.diff(sb)
     out = np.zeros(len(left), np.float64)
-    shape = na * (int(nb.max(initial=0)) + 1) + nb
-    order = np.argsort(shape, kind="stable")
-    for at in np.split(order, np.flatnonzero(np.diff(shape[order])) + 1):
-        if not len(at):
-            continue
-        la, lb = int(na[at[0]]), int(nb[at[0]])
-        if not la or not lb:
-            out[at] = la if anywhere or not lb else lb
-            continue
-        a, b = ca[sa[at] + np.arange(la)[:, None]], cb[sb[at] + np.arange(lb)[:, None]]
-        row = np.zeros((lb + 1, len(at)), np.int16)
-        if not anywhere:
-            row += 2 * np.arange(lb + 1, dtype=np.int16)[:, None]
-        for i in range(la):
-            step = row[:-1] + COSTS[a[i], b]
-            np.minimum(step, row[1:] + 2, out=step)
-            row[0] = 2 * (i + 1)
-            for j in range(lb):
-                np.minimum(step[j], row[j] + 2, out=row[j + 1])
-        out[at] = (row.min(0) if anywhere else row[-1]) / 2
+    order = np.lexsort((nb, na))
+    for k in range(0, len(order), AT_ONCE):
+        at = order[k : k + AT_ONCE]
+        a, b = _padded(ca, sa[at], na[at], 254), _padded(cb, sb[at], nb[at], 253)
+        out[at] = _align(a, b, na[at], nb[at], anywhere, lambda i: COSTS[a[i], b], 2) / 2  # noqa: B023
+    return out
+
+
+COARSE_CODES = np.arange(256, dtype=np.uint8)
+for _c, _low in COARSE.items():
+    COARSE_CODES[ord(_c)] = ord(_low)
+
+
+def close_distances(left: pa.Array, right: pa.Array, limits: np.ndarray, anywhere: bool) -> np.ndarray:
+    """The same distances where they are within the limits, NaN elsewhere.
+
+    The plain edit distance of the coarse texts, which is never larger, is found first; only what it lets through is measured with weights.
+    """
+    (ca, sa), (cb, sb) = _codes(left), _codes(right)
+    na, nb = np.diff(sa), np.diff(sb)
+    a, b = _padded(COARSE_CODES[ca], sa[:-1], na, 254), _padded(COARSE_CODES[cb], sb[:-1], nb, 253)
+    out = np.full(len(na), np.nan)
+    near = np.flatnonzero(_align(a, b, na, nb, anywhere, lambda i: a[i] != b, 1) <= limits)
+    if len(near):
+        pick = pa.array(near)
+        found = pair_distances(left.take(pick), right.take(pick), anywhere)
+        out[near] = np.where(found <= limits[near], found, np.nan)
     return out
 
 
+def _close(anywhere: bool):
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("double")
+    def distance(left: pa.Array, right: pa.Array, limit: pa.Array) -> pa.Array:
+        return pa.array(close_distances(left, right, limit.to_numpy(zero_copy_only=False), anywhere), pa.float64(), from_pandas=True)
+
+    return distance
+
+
+def distance_within(left: Column, right: Column, limit: Column, anywhere: bool) -> Column:
+    """K8 or, ``anywhere``, K10 (of the left text to the best part of the right one), null beyond the limit. Neither side may be null."""
+    return _close(anywhere)(left, right, limit.cast("double"))
+
+
 def _distance(anywhere: bool):
     from pyspark.sql.functions import arrow_udf
 

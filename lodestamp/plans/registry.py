@@ -304,31 +304,87 @@ def monitored(events: DataFrame) -> DataFrame:
 
 
 QUERIES = {
-    "n1_n14_words": on("field_lines")(worded), "n6_n13_dates": on("field_lines")(dated), "n8_n11_measures": on("field_lines")(measured),
-    "k1_k3_k9_serials": on("readings")(serials), "k5_pattern": on("inventory")(inventory.pattern), "k5_mask": on("inventory")(same_shape_pattern), "k6_corrections": on("readings")(corrections),
-    "k7_candidates": both("readings", "inventory")(candidate_rows), "k8_k10_distances": on("readings")(distances), "k11_shapes": on("inventory")(shapes),
-    "f_stated": on("field_lines")(fields.stated), "f7_wide": on("field_lines")(lambda df: fields.wide(fields.stated(df))), "r1_r4_records": on("field_lines")(record_flat), "r3_form": on("field_lines")(form_rows),
-    "a1_entries": on("inventory")(entry_rows), "a2_consensus": both("readings", "inventory")(consensus_rows), "a3_support": both("readings", "inventory")(supported),
-    "j1_exact": both("readings", "inventory")(exact_rows), "j2_containing": both("readings", "inventory")(containing_rows), "j3_resolve": both("readings", "inventory")(resolved_rows),
-    "j4_search": both("readings", "inventory")(searched_rows), "j5_identify": both("readings", "inventory")(identified), "d1_decisions": both("readings", "inventory", "truth")(judged),
-    "j7_merge": both("live", "static")(inventory.merge), "j8_insertable": both("inventory", "live")(lambda i, e: inventory.insertable(i, e).select("ord", "serial")), "j9_j10_enrich": both("inventory", "live", "static")(enriched_rows),
-    "a10_coverage": on("field_lines")(lambda df: inventory.coverage(fields.wide(fields.stated(df)), ["peso", "color", "ph", "procedencia", "tipo_gas"])), "a11_duplicated": on("inventory")(inventory.duplicated), "a11_undescribed": both("inventory", "live")(lambda i, e: inventory.undescribed(i, i.join(e.select("ord"), "ord", "left_semi"))), "a11_issues": on("field_lines")(issues),
-    "a22_alphabet": on("inventory")(lambda i: inventory.outside_alphabet(i, "0123456789")), "a23_sync": both("live", "static")(lambda a, b: inventory.sync_status(inventory.merge(a, b))),
-    "a5_duplicates": on("audit")(datasets.duplicates), "a6_counts": on("audit")(datasets.counts), "a7_quality": on("audit")(datasets.quality_summary), "a8_readiness": on("audit")(ready), "a6_resolutions": on("audit")(lambda a: datasets.resolutions(a.withColumn("height", F.col("width") % 7))), "a9_empty_groups": on("audit")(lambda a: datasets.empty_groups(a, a.where("blur > 425"))),
-    "p4_low_quality": on("audit")(lambda a: datasets.low_quality(a).select("asset")), "a12_outcomes": both("readings", "inventory", "truth")(cascade_rates), "a12_cascade": both("readings", "inventory", "truth")(cascade_outcomes), "a16_error_rate": on("readings")(error_rates),
-    "a17_latency": on("events")(lambda e: evaluate.latency(e, "value")), "a19_sweep": both("readings", "inventory", "truth")(swept), "a20_recommend": both("readings", "inventory", "truth")(lambda r, i, t: evaluate.recommend(swept(r, i, t), 0.2)),
-    "a21_top_k": both("readings", "inventory", "truth")(options), "w4_split": on("groups")(datasets.balanced_split), "w5_top_up": on("groups")(topped), "a15_manifest": on("groups")(lambda g: datasets.manifest(datasets.balanced_split(g))),
-    "g1_join": on("boxes")(lambda b: boxes.join_split(lines_of(b))), "g2_merge": on("boxes")(lambda b: boxes.merge_fragments(lines_of(b))), "g3_normalised": on("boxes")(normalised_boxes),
-    "g4_expanded": on("boxes")(lambda b: b.select("image_id", "box_ord", *boxes.expanded(W, H))), "g5_crop": on("boxes")(lambda b: b.select("image_id", "box_ord", *boxes.crop(W, H))),
-    "g6_reprojected": on("boxes")(lambda b: b.select("image_id", "box_ord", *boxes.reprojected(F.lit(2.0), F.lit(0.5), F.lit(10.0), F.lit(-3.0)))), "p1_plausible": on("boxes")(lambda b: boxes.plausible(b).select("image_id", "box_ord")),
-    "j12_pending": on("audit")(pending), "j14_located": both("readings", "truth")(located), "a14_weak_coverage": both("readings", "truth")(weak), "j15_match_boxes": on("boxes")(matched_boxes),
-    "a18_precision": on("boxes")(lambda b: boxes.average_precision(boxes.match_boxes(predicted(b), b), b)), "a24_pseudo": on("boxes")(lambda b: datasets.pseudo_labels(b.withColumn("condition", F.col("box_ord") % 3))),
-    "t5_monitor": on("events")(monitored), "a13_funnel": on("boxes")(lambda b: datasets.crop_funnel(cropped(b))), "a13_crops": on("boxes")(lambda b: datasets.crop_summary(cropped(b))), "a25_assembled": on("audit")(assembled_rows), "w8_work_list": on("audit")(lambda a: datasets.work_list(image_rows(a), 10, 50)),
-    "p2_p3_usable": on("readings")(usable_rows), "a4_best_variant": on("boxes")(variants), "w3_region_order": on("boxes")(lambda b: boxes.region_order(regions(b))), "u5_retry": both("readings", "inventory")(identified_twice),
-    "g3_restored": on("boxes")(restored), "a15_leaks": on("groups")(lambda g: datasets.leaks(datasets.balanced_split(g).unionByName(g.where("n_items > 6").select("group_id", "n_items", F.lit("val").alias("split"))))),
-    "w8_by_condition": on("audit")(audited_work), "t5_late": on("events")(late), "udf_distances": spoken, "u2_u4_keys": both("live", "static")(set_algebra),
-    "r2_live": on("inventory")(live_rows), "d5_g7_payload": both("readings", "inventory")(payloads), "u2_u4_sets": both("live", "static")(evaluate.set_sizes),
-}
+    "n1_n14_words": on("field_lines")(worded),
+    "n6_n13_dates": on("field_lines")(dated),
+    "n8_n11_measures": on("field_lines")(measured),
+    "k1_k3_k9_serials": on("readings")(serials),
+    "k5_pattern": on("inventory")(inventory.pattern),
+    "k5_mask": on("inventory")(same_shape_pattern),
+    "k6_corrections": on("readings")(corrections),
+    "k7_candidates": both("readings", "inventory")(candidate_rows),
+    "k8_k10_distances": on("readings")(distances),
+    "k11_shapes": on("inventory")(shapes),
+    "f_stated": on("field_lines")(fields.stated),
+    "f7_wide": on("field_lines")(lambda df: fields.wide(fields.stated(df))),
+    "r1_r4_records": on("field_lines")(record_flat),
+    "r3_form": on("field_lines")(form_rows),
+    "a1_entries": on("inventory")(entry_rows),
+    "a2_consensus": both("readings", "inventory")(consensus_rows),
+    "a3_support": both("readings", "inventory")(supported),
+    "j1_exact": both("readings", "inventory")(exact_rows),
+    "j2_containing": both("readings", "inventory")(containing_rows),
+    "j3_resolve": both("readings", "inventory")(resolved_rows),
+    "j4_search": both("readings", "inventory")(searched_rows),
+    "j5_identify": both("readings", "inventory")(identified),
+    "d1_decisions": both("readings", "inventory", "truth")(judged),
+    "j7_merge": both("live", "static")(inventory.merge),
+    "j8_insertable": both("inventory", "live")(lambda i, e: inventory.insertable(i, e).select("ord", "serial")),
+    "j9_j10_enrich": both("inventory", "live", "static")(enriched_rows),
+    "a10_coverage": on("field_lines")(lambda df: inventory.coverage(fields.wide(fields.stated(df)), ["peso", "color", "ph", "procedencia", "tipo_gas"])),
+    "a11_duplicated": on("inventory")(inventory.duplicated),
+    "a11_undescribed": both("inventory", "live")(lambda i, e: inventory.undescribed(i, i.join(e.select("ord"), "ord", "left_semi"))),
+    "a11_issues": on("field_lines")(issues),
+    "a22_alphabet": on("inventory")(lambda i: inventory.outside_alphabet(i, "0123456789")),
+    "a23_sync": both("live", "static")(lambda a, b: inventory.sync_status(inventory.merge(a, b))),
+    "a5_duplicates": on("audit")(datasets.duplicates),
+    "a6_counts": on("audit")(datasets.counts),
+    "a7_quality": on("audit")(datasets.quality_summary),
+    "a8_readiness": on("audit")(ready),
+    "a6_resolutions": on("audit")(lambda a: datasets.resolutions(a.withColumn("height", F.col("width") % 7))),
+    "a9_empty_groups": on("audit")(lambda a: datasets.empty_groups(a, a.where("blur > 425"))),
+    "p4_low_quality": on("audit")(lambda a: datasets.low_quality(a).select("asset")),
+    "a12_outcomes": both("readings", "inventory", "truth")(cascade_rates),
+    "a12_cascade": both("readings", "inventory", "truth")(cascade_outcomes),
+    "a16_error_rate": on("readings")(error_rates),
+    "a17_latency": on("events")(lambda e: evaluate.latency(e, "value")),
+    "a19_sweep": both("readings", "inventory", "truth")(swept),
+    "a20_recommend": both("readings", "inventory", "truth")(lambda r, i, t: evaluate.recommend(swept(r, i, t), 0.2)),
+    "a21_top_k": both("readings", "inventory", "truth")(options),
+    "w4_split": on("groups")(datasets.balanced_split),
+    "w5_top_up": on("groups")(topped),
+    "a15_manifest": on("groups")(lambda g: datasets.manifest(datasets.balanced_split(g))),
+    "g1_join": on("boxes")(lambda b: boxes.join_split(lines_of(b))),
+    "g2_merge": on("boxes")(lambda b: boxes.merge_fragments(lines_of(b))),
+    "g3_normalised": on("boxes")(normalised_boxes),
+    "g4_expanded": on("boxes")(lambda b: b.select("image_id", "box_ord", *boxes.expanded(W, H))),
+    "g5_crop": on("boxes")(lambda b: b.select("image_id", "box_ord", *boxes.crop(W, H))),
+    "g6_reprojected": on("boxes")(lambda b: b.select("image_id", "box_ord", *boxes.reprojected(F.lit(2.0), F.lit(0.5), F.lit(10.0), F.lit(-3.0)))),
+    "p1_plausible": on("boxes")(lambda b: boxes.plausible(b).select("image_id", "box_ord")),
+    "j12_pending": on("audit")(pending),
+    "j14_located": both("readings", "truth")(located),
+    "a14_weak_coverage": both("readings", "truth")(weak),
+    "j15_match_boxes": on("boxes")(matched_boxes),
+    "a18_precision": on("boxes")(lambda b: boxes.average_precision(boxes.match_boxes(predicted(b), b), b)),
+    "a24_pseudo": on("boxes")(lambda b: datasets.pseudo_labels(b.withColumn("condition", F.col("box_ord") % 3))),
+    "t5_monitor": on("events")(monitored),
+    "a13_funnel": on("boxes")(lambda b: datasets.crop_funnel(cropped(b))),
+    "a13_crops": on("boxes")(lambda b: datasets.crop_summary(cropped(b))),
+    "a25_assembled": on("audit")(assembled_rows),
+    "w8_work_list": on("audit")(lambda a: datasets.work_list(image_rows(a), 10, 50)),
+    "p2_p3_usable": on("readings")(usable_rows),
+    "a4_best_variant": on("boxes")(variants),
+    "w3_region_order": on("boxes")(lambda b: boxes.region_order(regions(b))),
+    "u5_retry": both("readings", "inventory")(identified_twice),
+    "g3_restored": on("boxes")(restored),
+    "a15_leaks": on("groups")(lambda g: datasets.leaks(datasets.balanced_split(g).unionByName(g.where("n_items > 6").select("group_id", "n_items", F.lit("val").alias("split"))))),
+    "w8_by_condition": on("audit")(audited_work),
+    "t5_late": on("events")(late),
+    "udf_distances": spoken,
+    "u2_u4_keys": both("live", "static")(set_algebra),
+    "r2_live": on("inventory")(live_rows),
+    "d5_g7_payload": both("readings", "inventory")(payloads),
+    "u2_u4_sets": both("live", "static")(evaluate.set_sizes),
+}
 
 ORACLES = oracles.SQL
 
