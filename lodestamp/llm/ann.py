@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import join_counted, materialize
 
-MAX_SAMPLE = 50_000
+MAX_SAMPLE = 20_000
 LEAF, BRANCH = 64, 32
 BLOCK_ROWS, BLOCK_QUERIES, AT_ONCE = 5_000, 4_000, 512
 
