@@ -297,9 +297,30 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, ids_col: str = "id
     return with_columns(encoded, decode(F.col(ids_col)), lambda text: {"decoded": text})
 
 
+def round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``ids``, ``n_tokens`` and ``decoded``, which is made from the ids.
+
+    Both steps are one function here: chained ones would be fused, and every text encoded twice.
+    """
+    from pyspark.sql.functions import arrow_udf
+
+    shared = shared_file(docs, tokenizer_path)
+
+    @arrow_udf("struct<ids:binary,decoded:string>")
+    def there_and_back(texts: pa.Array) -> pa.Array:
+        v, out = vocabulary(shared), []
+        for part in portions(texts.to_pylist(), ""):
+            ids = v.encode(part)
+            out.append(pa.StructArray.from_arrays([ids, v.decode(ids.to_pylist())], ["ids", "decoded"]))
+        return pa.concat_arrays(out) if out else pa.array([], pa.struct([("ids", pa.binary()), ("decoded", pa.string())]))
+
+    made = lambda x: {"ids": x["ids"], "n_tokens": (F.octet_length(x["ids"]) / 4).cast("long"), "decoded": x["decoded"]}
+    return with_columns(docs, there_and_back(F.col(text_col)), made)
+
+
 def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Every row's ids, encoded and then decoded again, as digests."""
-    out = decode_documents(encode_documents(docs.select("doc_id", "text"), tokenizer_path).drop("text"), tokenizer_path)
+    out = round_trip(docs.select("doc_id", "text"), tokenizer_path)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 

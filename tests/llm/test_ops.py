@@ -150,7 +150,9 @@ def test_bpe_equals_library(spark, docs, odd, library):
     nasty = ["don't ΣΑΣ İstanbul Ⅷ ½² 中文 é <|endoftext|>x<|startoftext|>", "\x1c  a b\x85c　", "<|endoftext|>", "\x00\x01 a​b", "I'LL  WE'VE\t\n'S", "ab" * 3000, "Å ﬁ"]
     both = docs.select("text").union(odd.select("text")).union(spark.createDataFrame([(x,) for x in nasty], "text string"))
     out = bpe.decode_documents(bpe.encode_documents(both, bpe.tokenizer_path()), bpe.tokenizer_path())
+    again = {r.text: (r.ids, r.n_tokens, r.decoded) for r in bpe.round_trip(both, bpe.tokenizer_path()).collect()}
     for r in out.collect():
+        assert again[r.text] == (r.ids, r.n_tokens, r.decoded)
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         assert np.frombuffer(r.ids, "<u4").tolist() == ids, repr((r.text or "")[:80])
         assert r.n_tokens == len(ids) and r.decoded == library.decode(ids, skip_special_tokens=False)
@@ -549,6 +551,7 @@ def test_digest_forms(spark):
 
 ADDED = {
     "lines": lambda df: linededup.dedup_lines(df, min_docs=2),
+    "bpe round trip": lambda df: bpe.round_trip(df, bpe.tokenizer_path()),
     "bpe": lambda df: bpe.decode_documents(bpe.encode_documents(df, bpe.tokenizer_path()), bpe.tokenizer_path()),
     "quality": lambda df: quality.rate(df, quality.QualityModel(np.zeros(quality.BUCKETS), 0.0)),
     "toxicity": lambda df: toxicity.score(df, toxicity.ToxicModel({})),
