@@ -1,7 +1,7 @@
 """SQL for the matching cascade (J3-J6, A3, A12, A21, D1), for another engine on the same tables.
 
 Every pair is compared here that a bound on its distance doesn't rule out: merging confusable characters can only bring two texts nearer, so the
-plain edit distance of the merged texts is such a bound.
+plain edit distance of the merged texts, or of the serial to every part of the text that is long enough, is such a bound.
 """
 
 from __future__ import annotations
@@ -29,10 +29,13 @@ WHOLE, INSIDE = distance("t", "serial", False), distance("serial", "t", True)
 SEARCH = f"""
 said AS (SELECT DISTINCT image_id, text AS raw FROM readings WHERE text <> ''),
 raws AS (SELECT raw, {charset('raw')} AS t FROM (SELECT DISTINCT raw FROM said)),
-asked AS (SELECT t, {pairs_of('t')} AS bt FROM (SELECT DISTINCT t FROM raws WHERE t <> '')),
-known AS (SELECT serial, {errors('serial')} AS budget, {pairs_of('serial')} AS bs FROM e WHERE length(serial) >= 6),
-likely AS (SELECT t, serial, budget FROM asked, known WHERE length(t) >= length(serial) - budget - 1 AND (len(list_intersect(bt, bs)) >= length(serial) - 3 - 2 * budget OR contains(t, serial))),
-near AS (SELECT * FROM (SELECT t, serial, budget, {INSIDE} AS d FROM likely) WHERE d <= budget + 1),
+asked AS (SELECT t, {pairs_of('t')} AS bt, {coarse('t')} AS ct FROM (SELECT DISTINCT t FROM raws WHERE t <> '')),
+known AS (SELECT serial, {errors('serial')} AS budget, {pairs_of('serial')} AS bs, {coarse('serial')} AS cs FROM e WHERE length(serial) >= 6),
+common AS (SELECT t, serial, count(*) AS n FROM (SELECT t, unnest(bt) AS g FROM asked) JOIN (SELECT serial, unnest(bs) AS g FROM known) USING (g) GROUP BY t, serial),
+likely AS (SELECT t, serial, budget, ct, cs FROM common JOIN asked USING (t) JOIN known USING (serial) WHERE n >= length(serial) - 3 - 2 * budget AND length(t) >= length(serial) - budget - 1 AND levenshtein(cs, ct) <= 2 * (budget + 1) + length(t) - length(serial)
+  UNION SELECT t, serial, budget, ct, cs FROM asked, known WHERE contains(t, serial)),
+closer AS (SELECT t, serial, budget FROM likely WHERE list_min(flatten(list_transform(range(1, length(t) + 1), lambda i: list_transform(range(length(serial) - budget - 1, length(serial) + budget + 2), lambda n: levenshtein(cs, substr(ct, i, n)))))) <= budget + 1),
+near AS (SELECT * FROM (SELECT t, serial, budget, {INSIDE} AS d FROM closer) WHERE d <= budget + 1),
 token AS (SELECT DISTINCT raw, {charset('token')} AS serial FROM (SELECT raw, unnest(string_split_regex(raw, '[\\s|/\\\\]+')) AS token FROM raws)),
 pair AS (SELECT raw, serial, budget, d FROM near JOIN raws USING (t) UNION ALL SELECT raw, serial, 0, 0.0::DOUBLE FROM token JOIN e USING (serial) WHERE length(serial) < 6),
 met AS (SELECT image_id, serial, budget, min(d) AS d FROM said JOIN pair USING (raw) GROUP BY ALL),
