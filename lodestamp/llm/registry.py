@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, langid, linededup, mixing, quality, simhash, suffixes, toxicity
+from . import ann, bpe, chat, kmeans, langid, lexical, linededup, mixing, quality, ring, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffixes.query,
@@ -15,6 +15,16 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_simhash": simhash.query,
     "op10_language": langid.query,
+    "op11_lexical_search": lexical.query,
+    "op12_hash_ring": ring.query,
+    "op13_kmeans": kmeans.query,
 }
 
-ORACLES = {"op2_line_dedup": linededup.SQL, "op3_chat_format": chat.SQL, "op8_mixing": mixing.SQL}
+ORACLES = {
+    "op2_line_dedup": linededup.SQL,
+    "op3_chat_format": chat.SQL,
+    "op8_mixing": mixing.SQL,
+    "op11_lexical_search": lexical.SQL,
+    "op12_hash_ring": ring.SQL,
+    "op13_kmeans": kmeans.SQL,
+}
