@@ -71,8 +71,8 @@ def impacts(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
 class Builder:
     """The shard that a task is filling."""
 
-    def __init__(self, n_docs: int, n_terms: int):
-        self.n_docs, self.n_terms = n_docs, n_terms
+    def __init__(self, n_docs: int, n_terms: int, shard_docs: int = SHARD_DOCS, shard_terms: int = SHARD_TERMS):
+        self.n_docs, self.n_terms, self.shard_docs, self.shard_terms = n_docs, n_terms, shard_docs, shard_terms
         self.clear()
 
     def clear(self) -> None:
@@ -91,7 +91,7 @@ class Builder:
             self.held += n
 
     def full(self) -> bool:
-        return self.held >= SHARD_TERMS or len(self.ids) >= SHARD_DOCS
+        return self.held >= self.shard_terms or len(self.ids) >= self.shard_docs
 
     def rows(self, shard: int) -> Iterator[pa.RecordBatch]:
         lengths = np.array(self.lengths, np.int64)
@@ -125,13 +125,14 @@ def table_size(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     return found[0], found[1] or 0
 
 
-def build_index(docs: DataFrame, size: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The shards' rows; the one that holds a shard's documents has a space and the shard's number for a term. ``size``: of ``table_size``."""
+def build_index(docs: DataFrame, size: tuple[int, int], id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, shard_terms: int = SHARD_TERMS) -> DataFrame:
+    """The shards' rows; the one that holds a shard's documents has a space and the shard's number for a term. ``size``: of ``table_size``; ``shard_docs`` is
+    65,536 at most, for differences have two bytes."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, builder = TaskContext.get().partitionId() << 32, Builder(*size)
+        shard, builder = TaskContext.get().partitionId() << 32, Builder(*size, shard_docs, shard_terms)
         for batch in batches:
             for doc_id, text in zip(batch["id"], batch["text"], strict=True):
                 builder.add(doc_id.as_py(), text.as_py())
@@ -270,12 +271,12 @@ def items_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text")
     return materialize(numbered).select("q", "item_id", F.inline("asks"))
 
 
-def search(index: DataFrame, n_docs: int, asks: DataFrame, k: int = 10) -> DataFrame:
+def search(index: DataFrame, n_docs: int, asks: DataFrame, k: int = 10, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``k`` best documents of each item. asks: of ``items_of``. The number of items comes to the driver.
 
-    Items go in blocks of ``ITEMS_AT_ONCE``; each block meets each shard in a group of its own, which holds the lists that the block asks for.
+    Items go in blocks of about ``items_at_once``; each block meets each shard in a group of its own, which holds the lists that the block asks for.
     """
-    n_blocks = -(-asks.select("q").distinct().count() // ITEMS_AT_ONCE)
+    n_blocks = -(-asks.select("q").distinct().count() // items_at_once)
     terms = asks.select("term").distinct().withColumn("asked", F.lit(True))
     wanted = materialize(index.join(terms, "term", "left").where(F.col("asked") | F.col("m").isNotNull()).drop("asked"))
     lists = wanted.where("m is null")
