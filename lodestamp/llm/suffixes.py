@@ -18,7 +18,7 @@ all ``min_words``-word windows around them, which are counted with map-side comb
 common window, text or minimiser has in common goes back to its rows by a join in which the commonest, whose number is bounded, are broadcast.
 
 Words compare by 32-bit hashes, at least ``min_words`` of them in a row. Null texts and null ids take no part; repeats
-inside one document (or rows with the same id) are none; short or empty texts have none; ties don't matter.
+inside one document, or between rows with the same id, are none, while each text of such an id has the spans of its own that others repeat; short or empty texts have none; ties don't matter.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ MIN_WORDS, K = 50, 12
 HOT = 20_000
 BIN_ROWS = 40_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
-MATCH = "doc_id long, first_word long, end_word long, other_doc_id long"
+MATCH = "doc_id long, t1 long, first_word long, end_word long, other_doc_id long"
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -87,12 +87,12 @@ def list_minimisers(min_words: int, k: int):
 
 
 def fetch_contexts(min_words: int, k: int):
-    """Rows (doc_id, text, suffixes: list of (pos, key, n)) to one row per suffix with the hashes of the words around it."""
+    """Rows (doc_id, t1, text, suffixes: list of (pos, key, n)) to one row per suffix with the hashes of the words around it."""
     left = min_words - k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, suffixes in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("suffixes").to_pylist(), strict=True):
+            for doc, t1, text, suffixes in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "t1", "text", "suffixes")], strict=True):
                 h = word_hashes(text)
                 padded = np.concatenate([np.zeros(left, np.uint32), h, np.zeros(min_words, np.uint32)])
                 for at in range(0, len(suffixes), 4096):
@@ -100,7 +100,7 @@ def fetch_contexts(min_words: int, k: int):
                     pos = np.array([s["pos"] for s in part], np.int64)
                     around = padded[pos[:, None] + np.arange(left + min_words)]
                     m = len(part)
-                    yield pa.RecordBatch.from_arrays([pa.array([doc] * m, pa.int64()), pa.array(pos), pa.array([len(h)] * m, pa.int64()), pa.array([s["key"] for s in part], pa.int64()), pa.array([s["n"] for s in part], pa.int64()), pa.array([r.tobytes() for r in around.astype(">u4")], pa.binary())], ["doc_id", "pos", "n_words", "key", "n", "around"])
+                    yield pa.RecordBatch.from_arrays([pa.array([doc] * m, pa.int64()), pa.array([t1] * m, pa.int64()), pa.array(pos), pa.array([len(h)] * m, pa.int64()), pa.array([s["key"] for s in part], pa.int64()), pa.array([s["n"] for s in part], pa.int64()), pa.array([r.tobytes() for r in around.astype(">u4")], pa.binary())], ["doc_id", "t1", "pos", "n_words", "key", "n", "around"])
 
     return run
 
@@ -110,11 +110,11 @@ def compare_neighbours(min_words: int, k: int):
     left = min_words - k
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("doc_id", "first_word", "end_word", "other_doc_id")})
+        empty = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("doc_id", "t1", "first_word", "end_word", "other_doc_id")})
         around = np.frombuffer(b"".join(pdf["around"]), ">u4").reshape(len(pdf), left + min_words)
         order = np.argsort(np.ascontiguousarray(around[:, left:]).view(f"V{4 * min_words}").ravel(), kind="stable")
         around = around[order].astype(np.uint32)
-        doc, pos, total = (pdf[c].to_numpy(np.int64)[order] for c in ("doc_id", "pos", "n_words"))
+        doc, t1, pos, total = (pdf[c].to_numpy(np.int64)[order] for c in ("doc_id", "t1", "pos", "n_words"))
         right = around[:, left:]
         common = np.logical_and.accumulate(right[1:] == right[:-1], axis=1).sum(1)
         # Hash of the 0, 1, 2, ... words before each suffix.
@@ -140,7 +140,7 @@ def compare_neighbours(min_words: int, k: int):
             last[at] = np.where(last[at] == 0, pos[at] - a + min_words, last[at])
             other[at] = np.minimum(other[at], np.where(low == doc[at], high, low))
         some = np.flatnonzero(first >= 0)
-        return pd.DataFrame({"doc_id": doc[some], "first_word": first[some], "end_word": last[some], "other_doc_id": other[some]}) if len(some) else empty
+        return pd.DataFrame({"doc_id": doc[some], "t1": t1[some], "first_word": first[some], "end_word": last[some], "other_doc_id": other[some]}) if len(some) else empty
 
     return run
 
@@ -154,7 +154,7 @@ def window_hashes(min_words: int, k: int):
             if not len(batch):
                 continue
             around = np.frombuffer(b"".join(batch.column("around").to_pylist()), ">u4").reshape(len(batch), -1).astype(np.uint32)
-            doc, pos, total = (batch.column(c).to_numpy() for c in ("doc_id", "pos", "n_words"))
+            doc, t1, pos, total = (batch.column(c).to_numpy() for c in ("doc_id", "t1", "pos", "n_words"))
             for a in range(left + 1):
                 fits = (pos >= a) & (pos - a + min_words <= total)
                 part = around[fits, left - a : left - a + min_words]
@@ -164,13 +164,13 @@ def window_hashes(min_words: int, k: int):
                     h1 ^= h1 >> np.uint64(31)
                     h2 = (h2 + part[:, i]) * np.uint64(0xC2B2AE3D27D4EB4F)
                     h2 ^= h2 >> np.uint64(33)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[fits]), pa.array(pos[fits] - a), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["doc_id", "first_word", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[fits]), pa.array(t1[fits]), pa.array(pos[fits] - a), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["doc_id", "t1", "first_word", "h1", "h2"])
 
     return run
 
 
 def matches(docs: DataFrame, min_words: int, k: int, hot: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, first_word, end_word, other_doc_id) of every match."""
+    """(doc_id, t1, first_word, end_word, other_doc_id) of every match; ``t1``, a hash of the text, tells rows with the same id apart."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     hashed = texts.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"), "text")
     listed = materialize(hashed.mapInArrow(list_minimisers(min_words, k), "doc_id long, t1 long, t2 long, n_words long, pos array<int>, key array<long>").where(F.col("n_words") >= min_words))
@@ -178,34 +178,34 @@ def matches(docs: DataFrame, min_words: int, k: int, hot: int, id_col: str, text
     equal = materialize(listed.groupBy("t1", "t2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")))
     total = equal.agg(F.sum("n")).first()[0] or 0
     several = equal.where("low <> high")
-    whole = join_counted(listed.select("doc_id", "t1", "t2", "n_words"), several, ["t1", "t2"], total).select("doc_id", F.lit(0).cast("long").alias("first_word"), F.col("n_words").alias("end_word"), other)
+    whole = join_counted(listed.select("doc_id", "t1", "t2", "n_words"), several, ["t1", "t2"], total).select("doc_id", "t1", F.lit(0).cast("long").alias("first_word"), F.col("n_words").alias("end_word"), other)
     least = equal.select(F.col("low").alias("doc_id"), "t1", "t2")
-    alone = materialize(listed.join(least, ["doc_id", "t1", "t2"]).select("doc_id", F.explode(F.arrays_zip("pos", "key")).alias("s")).select("doc_id", "s.pos", "s.key"))
+    alone = materialize(listed.join(least, ["doc_id", "t1", "t2"]).select("doc_id", "t1", F.explode(F.arrays_zip("pos", "key")).alias("s")).select("doc_id", "t1", "s.pos", "s.key"))
     counted = materialize(alone.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     shared_keys = join_counted(alone, counted.withColumn("times", F.col("n")), ["key"], alone.count())
-    kept = materialize(shared_keys.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "key", F.col("times").alias("n"))).alias("suffixes")))
+    kept = materialize(shared_keys.groupBy("doc_id", "t1").agg(F.collect_set(F.struct("pos", "key", F.col("times").alias("n"))).alias("suffixes")))
     n = kept.agg(F.sum(F.size("suffixes"))).first()[0] or 0
-    contexts = materialize(texts.join(kept, "doc_id").select("doc_id", "text", "suffixes").mapInArrow(fetch_contexts(min_words, k), "doc_id long, pos long, n_words long, key long, n long, around binary"))
+    contexts = materialize(hashed.select("doc_id", "t1", "text").join(kept, ["doc_id", "t1"]).select("doc_id", "t1", "text", "suffixes").mapInArrow(fetch_contexts(min_words, k), "doc_id long, t1 long, pos long, n_words long, key long, n long, around binary"))
     bins = max(1, math.ceil(n / BIN_ROWS))
     near = contexts.where(F.col("n") <= hot).withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins))).groupBy("bin").applyInPandas(compare_neighbours(min_words, k), MATCH)
-    windows = contexts.where(F.col("n") > hot).select("doc_id", "pos", "n_words", "around").mapInArrow(window_hashes(min_words, k), "doc_id long, first_word long, h1 long, h2 long")
+    windows = contexts.where(F.col("n") > hot).select("doc_id", "t1", "pos", "n_words", "around").mapInArrow(window_hashes(min_words, k), "doc_id long, t1 long, first_word long, h1 long, h2 long")
     per_window = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
     shared = materialize(per_window.where("low <> high"))
     # The shared windows' own number of rows is the total here: others don't meet them.
     far = join_counted(windows, shared, ["h1", "h2"], shared.agg(F.sum("n")).first()[0] or 0)
-    far = far.select("doc_id", "first_word", (F.col("first_word") + min_words).alias("end_word"), other)
+    far = far.select("doc_id", "t1", "first_word", (F.col("first_word") + min_words).alias("end_word"), other)
     return whole.unionByName(near).unionByName(far)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = K, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, first_word, n_words, other_doc_id): spans of at least ``min_words`` words all of whose windows of that length occur in another document too, which may differ from window to window; one such document is named."""
     found = matches(docs, min_words, k, hot, id_col, text_col)
-    found = found.groupBy("doc_id", "first_word").agg(F.max("end_word").alias("end_word"), F.min("other_doc_id").alias("other_doc_id"))
-    order = Window.partitionBy("doc_id").orderBy("first_word")
+    found = found.groupBy("doc_id", "t1", "first_word").agg(F.max("end_word").alias("end_word"), F.min("other_doc_id").alias("other_doc_id"))
+    order = Window.partitionBy("doc_id", "t1").orderBy("first_word")
     reach = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opened = found.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("first_word")).cast("int"))
     spans = opened.withColumn("span", F.sum("new").over(order))
-    merged = spans.groupBy("doc_id", "span").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.min("other_doc_id").alias("other_doc_id"))
+    merged = spans.groupBy("doc_id", "t1", "span").agg(F.min("first_word").alias("first_word"), F.max("end_word").alias("end_word"), F.min("other_doc_id").alias("other_doc_id"))
     return merged.select("doc_id", "first_word", (F.col("end_word") - F.col("first_word")).alias("n_words"), "other_doc_id")
 
 
