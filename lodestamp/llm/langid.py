@@ -3,7 +3,7 @@
 A text is lower-cased and everything but letters becomes a space; its subwords are the runs of 2 to 4 code points that
 have no space inside (at the ends a space marks a word's border). Subwords hash into ``BUCKETS`` embeddings, whose mean
 goes through a linear layer and a softmax. The model is trained by stochastic gradient descent in numpy on at most
-``per_lang`` documents of each language, chosen by hash of the id, classes weighing alike. On a tenth of them a temperature
+``per_lang`` documents of each language, chosen by hash of id and text, equal rows once, classes weighing alike. On a tenth of them a temperature
 calibrates the probabilities and a rejection threshold is set at which accepted predictions reach ``precision``.
 
 Since both layers are linear, one row of logits per bucket is broadcast. Texts that are null or have no letter are ``und``
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, with_columns
@@ -142,14 +142,20 @@ def train(rows: list, seed: int = 7, precision: float = 0.99) -> LangModel:
 
 
 def fit(docs: DataFrame, learn: Column | None = None, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
-    """Only rows with a language for which ``learn`` holds are looked at. One count per language and the sample come to the driver."""
-    part = F.pmod(F.xxhash64(F.lit("language sample"), F.col(id_col)), F.lit(1_000_000))
+    """Only rows with a language for which ``learn`` holds are looked at. One count per language (the model has a column for each) and the sample, ``per_lang`` rows a language at most, come to the driver.
+
+    Rows are drawn by a hash of id and text, equal ones once: first by a share that leaves a few more than are due, then by rank among these.
+    """
+    hashed = F.xxhash64(F.lit("language sample"), F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col)).alias("part")
     known = docs.where(F.col(lang_col).isNotNull())
     known = known.where(learn) if learn is not None else known
-    known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), part.alias("part"))
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    limits = sizes.select(F.col("lang").alias("l"), F.ceil(F.lit(per_lang * 1_000_000.0) / F.col("n")).alias("grains"))
-    sample = known.join(F.broadcast(limits), F.col("lang") == F.col("l")).where(F.col("part") < F.col("grains")).select("lang", "text", "part")
+    known = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), hashed)
+    sizes = known.select("lang", "part").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    limits = sizes.select(F.col("lang").alias("l"), F.ceil(F.lit((per_lang + 10 * per_lang**0.5) * 1_000_000.0) / F.col("n")).alias("grains"))
+    grain = F.pmod(F.xxhash64("part"), F.lit(1_000_000))
+    drawn = known.join(F.broadcast(limits), F.col("lang") == F.col("l")).where(grain < F.col("grains")).dropDuplicates(["lang", "part"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("part"))
+    sample = drawn.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("lang", "text", "part")
     return train(sample.mapInArrow(count_batches, "lang string, part long, at binary, share binary").collect())
 
 
