@@ -208,6 +208,10 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min
     if n_left:
         work = route(work, left, n_left, key, min_chars, min_docs)
     kept = F.filter(F.zip_with("__ld.lines", "__ld_hit", keep), lambda x: x.isNotNull())
+    if n_left:  # positions that neither side of the index drops, as a set: long documents cost no more a line
+        stay = F.filter(F.transform("__ld_hit", lambda hit, i: F.when(~hit, i.cast("int"))), lambda i: i.isNotNull())
+        gone = F.coalesce("__ld_gone", F.array().cast("array<int>"))
+        kept = F.transform(F.array_except(stay, gone), lambda i: F.get("__ld.lines", i))
     n_lines = F.size("__ld.lines").cast("long")
     made = {"kept_text": F.array_join("__ld_kept", "\n"), "n_lines": n_lines, "n_dropped": (n_lines - F.size("__ld_kept")).cast("long")}
     out = work.select("*", kept.alias("__ld_kept")).drop(*made).select("*", *[c.alias(name) for name, c in made.items()])
@@ -215,7 +219,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min
 
 
 def route(work: DataFrame, counts: DataFrame, n_keys: int, key, min_chars: int, min_docs: int) -> DataFrame:
-    """The rest of the index: hashes of lines that no resident shard knows go to their shard, positions of frequent ones come back by row."""
+    """The rest of the index: hashes of lines that no resident shard knows go to their shard, positions of frequent ones come back by row, in ``__ld_gone``."""
     index, n_shards = build_index(counts, n_keys)
     work = materialize(work.withColumn("__ld_row", F.monotonically_increasing_id()))
     exploded = work.select(F.col("__ld_row").alias("row"), F.posexplode(F.zip_with("__ld.lines", "__ld_hit", lambda x, hit: F.struct(key(x).alias("key"), hit.alias("hit")))).alias("pos", "line"))
@@ -226,9 +230,7 @@ def route(work: DataFrame, counts: DataFrame, n_keys: int, key, min_chars: int,
     index = index.join(F.broadcast(parts), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     gone = lines.groupBy("shard", "part").cogroup(index.groupBy("shard", "part")).applyInPandas(lambda name, a, b: probe_routed(name, a, b, min_docs), "row long, pos int")
     gone = gone.groupBy(F.col("row").alias("__ld_row")).agg(F.collect_set("pos").alias("__ld_gone"))
-    joined = work.join(gone, "__ld_row", "left")
-    hit = F.transform("__ld_hit", lambda x, i: x | F.coalesce(F.array_contains("__ld_gone", i.cast("int")), F.lit(False)))
-    return joined.withColumn("__ld_hit", hit)
+    return work.join(gone, "__ld_row", "left")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
