@@ -86,7 +86,7 @@ def text_parts(text: Column) -> Column:
 def format_chat(turns: DataFrame, template: Template = DEFAULT, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts") -> DataFrame:
     """One row per conversation: ``id_col``, ``formatted``, ``loss_spans`` and ``attachments``.
 
-    loss_spans: array of (start, length) in code points of ``formatted``, one for each turn to learn. attachments: array of
+    loss_spans: array of (turn_no, start, length), in code points of ``formatted``, one for each turn to learn. attachments: array of
     (turn_no, part_no, kind, ref, n_tokens) in the order of their placeholders.
     """
     t = template
@@ -104,24 +104,37 @@ def format_chat(turns: DataFrame, template: Template = DEFAULT, id_col: str = "c
     placed = placed.select("id", F.struct("no", "begun", head.alias("head"), body.alias("body"), attached.alias("attached"), role.isin(*t.loss_roles).alias("learn")).alias("t"))
     grouped = placed.groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     turn_text = lambda x: F.concat(x["head"], x["body"], F.lit(t.end))
-    span = lambda x: F.struct((x["begun"] + F.char_length(x["head"])).alias("start"), F.char_length(x["body"]).cast("long").alias("length"))
+    span = lambda x: F.struct((x["no"] - 1).alias("turn_no"), (x["begun"] + F.char_length(x["head"])).alias("start"), F.char_length(x["body"]).cast("long").alias("length"))
     spans = F.transform(F.filter("ts", lambda x: x["learn"]), span)
     listed = lambda x, i: F.transform(x["attached"], lambda a: F.struct(i.alias("turn_no"), a["part_no"].alias("part_no"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["n_tokens"].alias("n_tokens")))
     return grouped.select(F.col("id").alias(id_col), F.array_join(F.transform("ts", turn_text), "").alias("formatted"), spans.alias("loss_spans"), F.flatten(F.transform("ts", listed)).alias("attachments"))
 
 
+def _turn_strings(formatted: Column, t: Template) -> Column:
+    """The turns as they were written, without their end."""
+    return F.filter(F.split(formatted, t.java(t.end), -1), lambda x: x != "")
+
+
 def read_turns(formatted: Column, template: Template = DEFAULT) -> Column:
     """The (role, text) turns of a formatted conversation, unescaped; placeholders stay as they are."""
     t = template
-    pieces = F.filter(F.split(formatted, t.java(t.end), -1), lambda x: x != "")
     inner = lambda x: F.substring(x, len(t.start) + 1, 2**31 - 1)
     role = lambda x: F.substring_index(inner(x), t.sep, 1)
-    return F.transform(pieces, lambda x: F.struct(t.unescaped(role(x)).alias("role"), t.unescaped(F.substring(inner(x), F.char_length(role(x)) + len(t.sep) + 1, F.lit(2**31 - 1))).alias("text")))
+    return F.transform(_turn_strings(formatted, t), lambda x: F.struct(t.unescaped(role(x)).alias("role"), t.unescaped(F.substring(inner(x), F.char_length(role(x)) + len(t.sep) + 1, F.lit(2**31 - 1))).alias("text")))
 
 
 def read_loss(formatted: Column, spans: Column, template: Template = DEFAULT) -> Column:
-    """The texts under the loss mask, in order, unescaped."""
-    return F.transform(spans, lambda s: template.unescaped(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    """The texts under the loss mask, in order, unescaped.
+
+    Each span is sorted in front of its turn, whose last characters it names: no turn is looked for from the beginning of the conversation.
+    """
+    t = template
+    none = lambda kind: F.lit(None).cast(kind)
+    turns = F.transform(_turn_strings(formatted, t), lambda x, i: F.struct(i.cast("int").alias("no"), F.lit(1).alias("kind"), none("int").alias("length"), x.alias("x")))
+    asked = F.transform(spans, lambda s: F.struct(s["turn_no"].cast("int").alias("no"), F.lit(0).alias("kind"), s["length"].cast("int").alias("length"), none("string").alias("x")))
+    both = F.array_sort(F.concat(turns, asked))
+    pairs = F.zip_with(both, F.slice(both, F.lit(2), F.size(both)), lambda a, b: F.struct(a["length"].alias("length"), b["x"].alias("x")))
+    return F.transform(F.filter(pairs, lambda p: p["length"].isNotNull()), lambda p: t.unescaped(F.substring(p["x"], -p["length"], p["length"])))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
