@@ -163,7 +163,8 @@ def deeper(mask: int, radius: int) -> list[int]:
 
 
 def sharded(classes: DataFrame, radius: int, shard_size: int) -> DataFrame:
-    """(fp, key): every fingerprint once in each shard that it belongs to. ``mask`` has the bits that a shard fixes; masks of hot shards come to the driver."""
+    """(fp, key): every fingerprint once in each shard that it belongs to. ``mask`` has the bits that a shard fixes; masks of hot shards come to the driver. Keys of hot shards are broadcast while
+    they are ``BROADCAST_KEYS`` at most; beyond, they are joined by shuffle."""
     spark = classes.sparkSession
 
     def dealt(rows: DataFrame, masks: list[int]) -> DataFrame:
@@ -180,10 +181,11 @@ def sharded(classes: DataFrame, radius: int, shard_size: int) -> DataFrame:
         if not masks:
             return rows.select("fp", "key") if done is None else done.unionByName(rows.select("fp", "key"))
         cut = hot.where(F.col("mask").isin([int(np.uint64(m).astype(np.int64)) for m in masks])).select("key")
-        cold = rows.join(F.broadcast(cut), "key", "left_anti").select("fp", "key")
+        cut = F.broadcast(cut) if cut.count() <= BROADCAST_KEYS else cut
+        cold = rows.join(cut, "key", "left_anti").select("fp", "key")
         done = cold if done is None else done.unionByName(cold)
         # Two paths can fix the same bits: their shards are one.
-        rows = materialize(keyed(dealt(rows.join(F.broadcast(cut), "key", "left_semi").select("fp", "mask"), masks).distinct()))
+        rows = materialize(keyed(dealt(rows.join(cut, "key", "left_semi").select("fp", "mask"), masks).distinct()))
 
 
 def links(classes: DataFrame, radius: int = 3, shard_size: int = SHARD_SIZE) -> DataFrame:
@@ -194,7 +196,7 @@ def links(classes: DataFrame, radius: int = 3, shard_size: int = SHARD_SIZE) ->
     return rows.withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins))).groupBy("bin").applyInPandas(lambda pdf: search_shards(radius)(pdf), "a long, b long")
 
 
-BINS, BIN_ROWS = 64, 1 << 16
+BINS, BIN_ROWS, BROADCAST_KEYS = 64, 1 << 16, 1_000_000
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 3, radius: int = 3, shard_size: int = SHARD_SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
