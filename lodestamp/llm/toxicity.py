@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments.
 
 Tokens are runs of letters, lower-cased. A token's log-odds between toxic and clean documents have a Dirichlet prior in
-proportion to its share of the tokens of all documents (the log-odds ratio with an informative prior); the same is done for prefixes
+proportion to its count in all documents, among the tokens that labelled documents have (the log-odds ratio with an informative prior); the same is done for prefixes
 of 4, 5 and 6 bytes, to which a token falls back. Log-odds are shrunk by their significance: not at all where chance is out of the question, to zero
 where it isn't. A token scores its shrunk log-odds, positive or negative, less ``DRIFT``, so clean text drifts down. One linear scan finds all
 maximal segments (the passages).
@@ -11,8 +11,8 @@ moment equation of the scores of clean tokens and K is fitted to clean documents
 log p-values of its significant passages; a logistic curve on it, fitted by Newton steps, is the score.
 
 The labelled side is a sample of at most ``max_labelled`` documents, written once; the prior and the scoring cover every whole text. Texts without letters
-have no evidence and so the curve's lowest score; without labels of both kinds every score is about 1e-13. Repeated rows count each time. Columns
-of the input named ``score``, ``predicted`` or ``passages`` give way; others pass through. An empty table stays empty.
+have no evidence and so the curve's lowest score; without labels of both kinds every score is about 1e-13. Repeated rows count each time, but of rows with
+the id of a label one is used for the curve. Columns of the input named ``score``, ``predicted`` or ``passages`` give way; others pass through. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -226,7 +226,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_lab
     model = ToxicModel({bytes(r["feature"]): max(-MOST, min(r["odds"], MOST)) for r in found})
     if not any(s > DRIFT for s in model.scores.values()):
         return model
-    labelled = materialize(named.join(F.broadcast(sample), F.col("__doc") == F.col("__id")).select("text", "label"))
+    rows = named.join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
+    # Of rows with the same id one stands for the label, so that there are as many as labels.
+    labelled = materialize(rows.groupBy("__doc").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.min("label").alias("label")).select("text", "label"))
     scored = sc.broadcast(model)
 
     @arrow_udf("double")
