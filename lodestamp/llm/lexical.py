@@ -121,8 +121,15 @@ class Builder:
 
 def table_size(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """Documents that have a term, and terms in all."""
-    found = docs.select(F.regexp_count(F.col(text_col), F.lit(TERM)).cast("long").alias("n")).where("n > 0").agg(F.count("*"), F.sum("n")).first()
-    return found[0], found[1] or 0
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.array([sum(map(len, terms_of(x.as_py()))) for x in batch["text"]], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())], pa.int64()), pa.array([int(n.sum())], pa.int64())], ["docs", "terms"])
+
+    texts = docs.select(F.col(text_col).alias("text")).where("text is not null")
+    found = texts.mapInArrow(count, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
+    return found[0] or 0, found[1] or 0
 
 
 def build_index(docs: DataFrame, size: tuple[int, int], id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, shard_terms: int = SHARD_TERMS) -> DataFrame:
