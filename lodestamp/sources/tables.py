@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, timedelta
 
 from pyspark.errors import AnalysisException
@@ -91,9 +92,10 @@ def write_split_listing(assigned: DataFrame, path: str) -> None:
     assigned.select("split", F.col("image").alias("value")).write.mode("overwrite").partitionBy("split").text(path)
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """One JSON object per answer, a partition per UTC day. rows: ts and any columns."""
-    rows.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").json(path)
+def append_log(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """One JSON object per answer, by UTC day and batch. rows: ts and any columns. A batch that is written again replaces what it wrote; without a name it is one of its own."""
+    named = rows.withColumn("day", F.to_date("ts")).withColumn("batch", F.lit(batch or f"run-{uuid.uuid4().hex}"))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").json(path)
 
 
 def purge_log(spark: SparkSession, path: str, today: str, keep_days: int) -> list[str]:

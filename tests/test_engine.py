@@ -3,6 +3,7 @@
 import itertools
 import random
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,27 +212,87 @@ def test_sources(spark):
         tables.insert(inv, "jdbc:x", "t", None, apply=True)
 
 
-def test_stream_equals_batch(spark):
+def test_stream_of_split_requests_equals_batch(spark):
+    from datetime import datetime
+    from pathlib import Path
+
     from lodestamp.streaming import flow
 
     d = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
     inv = frame(spark, SF, "inventory")
-    rows = frame(spark, SF, "readings").where("image_id < 60").select(F.col("image_id").alias("request_id"), "variant_ord", "line_ord", "text", "confidence", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("image_id")).alias("ts"))
-    rows.union(rows.where("request_id % 20 = 0")).coalesce(1).write.parquet(f"{d}/in")
-    stream = flow.read_rows(spark, f"{d}/in", rows.schema)
-    q = flow.identify_stream(stream, flow.Snapshot(lambda: inv), f"{d}/log", f"{d}/cp", availableNow=True)
+    rows = frame(spark, SF, "readings").where("image_id < 30").select(F.col("image_id").alias("request_id"), "variant_ord", "line_ord", "text", "confidence", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("image_id")).alias("ts"))
+    # Each request in two files, with some rows twice; then a row that moves the watermark on, and one more to close that.
+    late = spark.createDataFrame([(900, 0, 0, "19S206055", 0.9, datetime(2023, 11, 15))], rows.schema)
+    for k, part in enumerate([rows.where("variant_ord = 0"), rows.where("variant_ord > 0 or request_id % 7 = 0"), late]):
+        part.coalesce(1).write.parquet(f"{d}/part{k}")
+        next(Path(f"{d}/part{k}").glob("*.parquet")).rename(Path(f"{d}") / f"{k}.parquet")
+    (Path(d) / "in").mkdir()
+    for k in range(3):
+        (Path(d) / f"{k}.parquet").rename(Path(d) / "in" / f"{k}.parquet")
+        time.sleep(0.02)
+    reads = []
+    snapshot = flow.Snapshot(spark, lambda: "v1", lambda v: reads.append(v) or inv)
+    stream = flow.read_rows(spark, f"{d}/in", rows.schema, 1)
+    q = flow.identify_stream(stream, snapshot, f"{d}/log", f"{d}/cp", availableNow=True)
     q.awaitTermination()
-    got = {(r.image_id, r.status, r.serial) for r in spark.read.json(f"{d}/log").select("image_id", "status", "serial").collect()}
+    logged = spark.read.json(f"{d}/log")
+    got = sorted(map(str, logged.select("image_id", "status", "serial", "candidates").collect()))
     batch = matching.identify(rows.withColumn("image_id", F.col("request_id")), inventory.entries(inv, ()), inventory.pattern(inv))
-    assert got == {(r.image_id, r.status, r.serial) for r in batch.collect()}
+    assert got == sorted(map(str, batch.select("image_id", "status", "serial", "candidates").collect())) and reads == ["v1"]
+    # A batch that is written again leaves one copy, and retention empties old days.
+    name = str(logged.first().batch)
+    again = logged.drop("day", "batch").withColumn("ts", F.to_timestamp("ts"))
+    tables.append_log(spark.createDataFrame(again.collect(), again.schema), f"{d}/log", name)
+    assert spark.read.json(f"{d}/log").count() == 30
+    assert tables.purge_log(spark, f"{d}/log", "2023-12-31", 10) == ["2023-11-14"]
+    assert not list(Path(f"{d}/log").glob("day=*"))
 
 
-def test_snapshot_keeps_last_good(spark):
+def test_snapshot_follows_its_version(spark):
     from lodestamp.streaming.flow import Snapshot
 
-    frames = iter([spark.range(3)])
-    s = Snapshot(lambda: next(frames))
-    assert s.current().count() == 3 and s.current().count() == 3
+    now, pointer, reads, broken = [0.0], ["a"], [], [False]
+
+    def read(v):
+        if broken[0]:
+            raise OSError("no source")
+        reads.append(v)
+        return spark.createDataFrame([(k, f"A{k}", f"{v}0000{k}") for k in range(3 if v == "a" else 5)], "ord long, asset_id string, serial string")
+
+    s = Snapshot(spark, lambda: pointer[0], read, 1.0, lambda: now[0])
+    seen = []
+    for k in range(10):
+        now[0] = 3.0 * k  # every other batch is due: the floor is five seconds
+        pointer[0] = "a" if k < 5 else "b"
+        broken[0] = k == 6
+        seen.append(s.current()[0].count())
+    assert reads == ["a", "b"] and seen[:6] == [3] * 6 and seen[-1] == 5
+    assert 3 in seen[6:8]  # the failed refresh left the last good version
+    held = [t.name for t in spark.catalog.listTables() if t.name.startswith("inventory_entries_")]
+    pointer[0], now[0] = "c", 100.0
+    s.current()
+    assert len([t.name for t in spark.catalog.listTables() if t.name.startswith("inventory_entries_")]) <= len(held)
+
+
+def test_late_rows_of_a_running_stream(spark):
+    from datetime import datetime
+    from pathlib import Path
+
+    from lodestamp.streaming import flow
+
+    d = Path(tempfile.mkdtemp(prefix="late-", dir="/tmp"))
+    (d / "in").mkdir()
+    at = lambda h, m: datetime(2024, 1, 1, h, m)
+    batches = [[(at(12, 0), "ok"), (at(12, 1), "bad")], [(at(11, 40), "ok"), (at(11, 55), "ok"), (at(11, 30), "bad"), (at(12, 30), "ok")], [(at(12, 15), "ok"), (at(12, 25), "ok")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "ts timestamp, status string").coalesce(1).write.parquet(str(d / f"part{k}"))
+        next((d / f"part{k}").glob("*.parquet")).rename(d / "in" / f"{k}.parquet")
+        time.sleep(0.02)
+    counted = flow.late_on_stream(flow.read_rows(spark, str(d / "in"), "ts timestamp, status string", 1), "10 minutes")
+    q = counted.writeStream.format("memory").queryName("late_counts").outputMode("update").option("checkpointLocation", str(d / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    newest = spark.table("late_counts").groupBy("status", "part").agg(F.max(F.struct("n", "n_late")).alias("m")).groupBy("status").agg(F.sum("m.n").alias("n"), F.sum("m.n_late").alias("n_late"))
+    assert {(r.status, r.n, r.n_late) for r in newest.collect()} == {("ok", 6, 2), ("bad", 2, 1)}
 
 
 def test_fuzzy_pairs_equal_all_pairs(spark, monkeypatch):
@@ -503,7 +564,7 @@ def test_remaining_sources(spark):
     tables.append_log(log.where("n = 3"), str(d / "log"))
     (d / "log" / "day=other").mkdir()
     assert tables.purge_log(spark, str(d / "log"), "2026-02-03", 10) == ["2026-01-01"] and (d / "log" / "day=other").exists()
-    assert sorted(r.n for r in spark.read.json(str(d / "log" / "day=2026*")).collect()) == [2, 3]
+    assert sorted(r.n for r in spark.read.option("basePath", str(d / "log")).json(str(d / "log" / "day=2026*")).collect()) == [2, 3]
     tables.write_report(spark.createDataFrame([("r", "m", "d", 1.0)], "report string, metric string, dims string, value double"), str(d / "report"))
     assert spark.read.json(str(d / "report")).first().value == 1.0
     tables.write_manifest(spark.createDataFrame([("train", "a.jpg", "BA"), ("val", "b.jpg", "CA")], "split string, image string, text string"), str(d / "manifest"))
