@@ -18,6 +18,7 @@ MARKING = (
     r"P[WHT]\s*[0-9]|\b(?:TP|TW|WP)\s*[0-9]|BAR\b|\bKG\b|\b(?:O?NU|UN)\s*[0-9]{4}\b"
     r"|\b(?:19|20)[0-9]{2}\s*[/.\-]\s*[0-9]{1,2}\b|\b[0-9]{1,2}\s*[/.\-]\s*(?:19|20)?[0-9]{2}\b"
 )
+FRAGMENT_BREAK = r"[\s|/\\]+"
 
 
 def serial_charset(c: Column) -> Column:
@@ -234,6 +235,14 @@ def bigrams_needed(serial: Column, limit: Column) -> Column:
 
 
 def register(spark) -> None:
-    """Both distances as SQL functions."""
+    """Both distances as SQL functions, and K7's fragments as a table function for lateral joins: ``serial_fragments(text)`` gives (frag_ord, fragment, serial) of the whole
+    text and of its tokens, as far as they have a digit and are no markings. Its body is SQL, so it runs like any other expression."""
     spark.udf.register("weighted_edit_distance", _distance(False))
     spark.udf.register("fuzzy_substring_distance", _distance(True))
+    raw = lambda pattern: "r'" + pattern.replace("'", r"\x27") + "'"
+    serial = f"regexp_replace(regexp_replace(substring_index(upper(trim(coalesce(fragment, ''))), ':', -1), {raw(LABEL)}, ''), '[^A-Z0-9]', '')"
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION serial_fragments(t STRING) RETURNS TABLE (frag_ord INT, fragment STRING, serial STRING)
+        RETURN SELECT frag_ord, fragment, serial FROM (SELECT frag_ord, fragment, {serial} AS serial FROM (SELECT posexplode(concat(array(t), split(t, {raw(FRAGMENT_BREAK)}))) AS (frag_ord, fragment)))
+        WHERE NOT coalesce(upper(fragment) RLIKE {raw(MARKING)}, false) AND serial RLIKE '[0-9]'
+    """)

@@ -61,22 +61,55 @@ MOST_LITRES, MOST_CUBIC = 500, 100
 YEAR_PIVOT = 70
 
 
-def _accents() -> tuple[str, str]:
-    """Latin-1 to Latin Extended-B characters whose compatibility form is one base letter, and those letters."""
-    pairs = []
-    for code in range(0xA0, 0x250):
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(base) == 1 and base != chr(code):
-            pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-ACCENTED, PLAIN = _accents()
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """Of every code point but Hangul syllables, the compatibility form without combining marks: characters that become one letter and these letters, then
+    those that vanish, as both arguments of translate(); and those that become several."""
+    single, gone, several = [], [], {}
+    for code in range(0x80, 0x110000):
+        if 0xD800 <= code < 0xE000 or 0xAC00 <= code < 0xD7A4:
+            continue
+        ch = chr(code)
+        base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+        if base == ch:
+            continue
+        if len(base) == 1:
+            single.append((ch, base))
+        elif base:
+            several[ch] = base
+        else:
+            gone.append(ch)
+    return "".join(c for c, _ in single) + "".join(gone), "".join(b for _, b in single), several
+
+
+ACCENTED, PLAIN, SEVERAL = _decompositions()
+
+
+def _ranges(codes: list[int]) -> str:
+    """A character class of sorted code points."""
+    starts = [c for c, before in zip(codes, [-2, *codes], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -2], strict=True) if c + 1 != after]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
+HANGUL = range(0xAC00, 0xD7A4)
+LONGER = _ranges(sorted([*map(ord, SEVERAL), *HANGUL]))
+LEADS, VOWELS, TAILS = ("".join(map(chr, r)) for r in (range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A8, 0x11C3)))
+
+
+def _longer(ch: Column) -> Column:
+    """One character that becomes several: a syllable by its number, others by table."""
+    number = F.ascii(ch) - HANGUL.start
+    part = lambda letters, at: F.substring(F.lit(letters), at.cast("int"), F.lit(1))
+    tail = F.when(number % 28 > 0, part(TAILS, number % 28)).otherwise(F.lit(""))
+    syllable = F.concat(part(LEADS, F.floor(number / 588) + 1), part(VOWELS, F.floor(number % 588 / 28) + 1), tail)
+    table = F.element_at(F.map_from_arrays(F.split(F.lit("\n".join(SEVERAL)), "\n"), F.split(F.lit("\n".join(SEVERAL.values())), "\n")), ch)
+    return F.when(number.between(0, len(HANGUL) - 1), syllable).otherwise(F.coalesce(table, ch))
 
 
 def strip_accents(c: Column) -> Column:
-    """N1, for Latin letters and free combining marks."""
-    return F.regexp_replace(F.translate(c, ACCENTED, PLAIN), r"\p{M}", "")
+    """Compatibility decomposition without combining marks, for every code point. Texts with a character that becomes several go through their characters; others are translated at once."""
+    plain = F.translate(c, ACCENTED, PLAIN)
+    return F.when(c.rlike(LONGER), F.array_join(F.transform(F.split(plain, ""), _longer), "")).otherwise(plain)
 
 
 def clean_text(c: Column) -> Column:

@@ -9,12 +9,21 @@ from lodestamp.functions import serial as S
 
 
 def entries(inventory: DataFrame, attributes: tuple[str, ...] = ("brand", "size", "price")) -> DataFrame:
-    """A1: one row per normalised identifier with the first record's attributes, all assets in order, and the flags P7."""
+    """A1: one row per normalised identifier with the first record's attributes, all assets in order, and the flags P7.
+
+    ``attributes`` names columns; one of them may be a VARIANT that holds whatever the record has.
+    """
     rows = inventory.withColumn("serial", S.serial_charset(F.col("serial"))).where("serial <> ''")
     grouped = rows.groupBy("serial").agg(F.min("ord").alias("ord"), *[F.min_by(a, "ord").alias(a) for a in attributes if a in inventory.columns], F.transform(F.array_sort(F.collect_list(F.struct("ord", "asset_id"))), lambda x: x["asset_id"]).alias("assets"))
     return grouped.select("*", (F.size("assets") > 1).alias("is_duplicated"), (F.length("serial") < S.MIN_RELIABLE).alias("is_too_short"))
 
 
+def attributes(found: DataFrame, column: str = "attributes") -> DataFrame:
+    """A1: (serial, name, value) of every attribute that an entry's record has, whichever these are. found: serial and a VARIANT of an object."""
+    named = found.select("serial", F.col(column).alias("__v"))
+    return found.sparkSession.sql("SELECT serial, key AS name, CAST(value AS STRING) AS value FROM {e}, LATERAL variant_explode(__v)", e=named)
+
+
 def pattern(inventory: DataFrame) -> DataFrame:
     """K5: one row (min_length, max_length, mask); a mask only if all lengths agree over enough samples. 5 to 14 without any identifier."""
     serials = inventory.select(S.serial_charset(F.col("serial")).alias("s")).where("s <> ''")

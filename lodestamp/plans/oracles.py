@@ -5,7 +5,7 @@ from __future__ import annotations
 from lodestamp.functions import serial as S
 from lodestamp.functions import text as T
 from lodestamp.plans import cascade_sql, fields_sql
-from lodestamp.plans.parts import BEST_BOX, ENTRIES, EXACT, FRAGMENTS, HI, LINES, LO, MY, OUTCOME, PARSED, PH_ABSENT, SWEEP, absent, canonical, charset, clean, colour, country, distance, errors, gas, marking, month_year, number, unit, year
+from lodestamp.plans.parts import BEST_BOX, ENTRIES, EXACT, FRAGMENTS, HI, LINES, LO, MY, OUTCOME, PARSED, PARTS, PH_ABSENT, SWEEP, absent, canonical, charset, clean, colour, country, distance, errors, gas, marking, month_year, number, unit, year
 from lodestamp.sources.fixtures import cte
 
 CROPS = """l AS (SELECT DISTINCT image_id, image_id % 50 AS group_id FROM boxes), x AS (SELECT image_id, arg_min(x2 - x1, box_ord) AS w, arg_min(y2 - y1, box_ord) AS h FROM boxes WHERE class_id = 1 GROUP BY image_id),
@@ -49,6 +49,18 @@ SQL = {
       a AS (SELECT image_id, text, count(*) AS n_votes, avg(m.confidence) AS mc, min(struct_pack(v := variant_ord, l := m.line_ord, f := m.frag_ord)) AS seen FROM c GROUP BY 1, 2),
       b AS (SELECT *, round(least(1.0, (0.5 * n_votes / n_variants + 0.5 * mc) * 1.05) + 1e-9, 4) AS score FROM a JOIN v USING (image_id))
       SELECT image_id, text, n_votes, n_variants, round(mc + 1e-9, 4) AS mean_confidence, true AS valid, score, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, seen, text)::INT AS rank FROM b""",
+    "a1_attributes": f"""{cte('inventory')}, r AS (SELECT *, {charset('serial')} AS k FROM inventory), f AS (SELECT * FROM r WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY ord) = 1)
+      SELECT k AS serial, 'brand' AS name, brand AS value FROM f WHERE brand IS NOT NULL UNION ALL SELECT k, 'size', size::VARCHAR FROM f WHERE ord % 3 = 0 AND size IS NOT NULL UNION ALL SELECT k, 'checked', 'true' FROM f WHERE ord % 7 = 0""",
+    "a2_masked": f"""{cte('readings', 'inventory')}, every AS (SELECT *, '19S' || lpad(regexp_replace(text, '[^0-9]', '', 'g'), 6, '0') AS same FROM readings), z AS (
+      WITH worn AS (SELECT * REPLACE (CASE WHEN image_id % 4 = 0 THEN translate(same, '01', 'OI') WHEN image_id % 4 = 1 THEN '195' || substr(same, 4, 6) WHEN image_id % 4 = 2 THEN same || 'X' WHEN image_id % 8 = 3 THEN substr(same, 1, 8) || 'X' ELSE same END AS text) FROM every),
+      {PARTS.replace('FROM readings', 'FROM worn')}, n AS (SELECT *, {charset('fragment')} AS k FROM f WHERE NOT {marking('fragment')}),
+      x AS (SELECT *, array_to_string(list_transform(range(1, 10), lambda i: coalesce(CASE WHEN i = 3 THEN {SWAP_IN} ELSE {SWAP_OUT} END, substr(k, i, 1))), '') AS text FROM n WHERE regexp_matches(k, '[0-9]') AND length(k) = 9),
+      c AS (SELECT image_id, variant_ord, text, arg_min(confidence, line_ord * 1000 + frag_ord) AS confidence, min(struct_pack(l := line_ord, f := frag_ord)) AS first FROM x GROUP BY 1, 2, 3),
+      v AS (SELECT image_id, count(DISTINCT variant_ord) AS n_variants FROM worn WHERE text <> '' GROUP BY 1),
+      a AS (SELECT image_id, text, count(*) AS n_votes, avg(confidence) AS mc, min(struct_pack(v := variant_ord, l := first.l, f := first.f)) AS seen, regexp_matches(text, '^[0-9][0-9][A-Za-z][0-9]{{6}}$') AS valid FROM c GROUP BY 1, 2),
+      b AS (SELECT *, round(least(1.0, (0.5 * n_votes / n_variants + 0.5 * mc) * CASE WHEN valid THEN 1.05 ELSE 1.0 END) + 1e-9, 4) AS score FROM a JOIN v USING (image_id))
+      SELECT image_id, text, n_votes, n_variants, round(mc + 1e-9, 4) AS mean_confidence, valid, score, row_number() OVER (PARTITION BY image_id ORDER BY valid DESC, score DESC, seen, text)::INT AS rank FROM b) SELECT * FROM z""",
+    "k7_fragments": f"{cte('readings')}, {PARTS}, k AS (SELECT *, {charset('fragment')} AS serial FROM f WHERE NOT {marking('fragment')}) SELECT image_id, variant_ord, line_ord, frag_ord::INT AS frag_ord, fragment, serial FROM k WHERE regexp_matches(serial, '[0-9]')",
     "j1_exact": f"{cte('readings', 'inventory')}, {ENTRIES} SELECT DISTINCT {charset('r.text')} AS text, e.serial FROM readings r JOIN e ON {charset('r.text')} = e.serial",
     "j2_containing": f"{cte('readings', 'inventory')}, {ENTRIES}, t AS (SELECT DISTINCT {charset('text')} AS text FROM readings) SELECT t.text, e.serial FROM t JOIN e ON length(t.text) >= 6 AND length(e.serial) >= 6 AND (contains(e.serial, t.text) OR contains(t.text, e.serial))",
     "j7_merge": f"{cte('live', 'static')} SELECT *, 'live' AS origin FROM live UNION ALL SELECT *, 'static' AS origin FROM static WHERE serial NOT IN (SELECT serial FROM live)",

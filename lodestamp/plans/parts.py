@@ -96,8 +96,9 @@ def distance(a: str, b: str, anywhere: bool) -> str:
 ENTRIES = "e AS (SELECT s AS serial, min(ord) AS ord, arg_min(brand, ord) AS brand, arg_min(size, ord) AS size, string_agg(asset_id, ',' ORDER BY ord) AS assets, count(*) AS n FROM (SELECT *, " + charset("serial") + " AS s FROM inventory) WHERE s <> '' GROUP BY s)"
 VALUE = "trim(regexp_replace(text, '^[^:=]*[:=]', ''))"
 LINES = f"v AS (SELECT *, CASE WHEN regexp_matches(text, '[:=]') THEN {VALUE} END AS value FROM field_lines)"
-FRAGMENTS = f"""p AS (SELECT coalesce(min(length(serial)), 5) AS lo, coalesce(max(length(serial)), 14) AS hi FROM e),
-f AS (SELECT image_id, variant_ord, line_ord, confidence, trim(text) AS raw, unnest(list_prepend(text, string_split_regex(text, '[\\s|/\\\\]+'))) AS fragment, generate_subscripts(list_prepend(text, string_split_regex(text, '[\\s|/\\\\]+')), 1) - 1 AS frag_ord FROM readings WHERE text <> ''),
+PARTS = """f AS (SELECT image_id, variant_ord, line_ord, confidence, trim(text) AS raw, unnest(list_prepend(text, string_split_regex(text, '[\\s|/\\\\]+'))) AS fragment,
+  generate_subscripts(list_prepend(text, string_split_regex(text, '[\\s|/\\\\]+')), 1) - 1 AS frag_ord FROM readings WHERE text <> '')"""
+FRAGMENTS = f"""p AS (SELECT coalesce(min(length(serial)), 5) AS lo, coalesce(max(length(serial)), 14) AS hi FROM e), {PARTS},
 k AS (SELECT *, {charset('fragment')} AS t FROM f WHERE NOT {marking('fragment')}),
 c AS (SELECT image_id, variant_ord, t AS text, arg_min(struct_pack(confidence := confidence, raw := raw, line_ord := line_ord, frag_ord := frag_ord), line_ord * 1000 + frag_ord) AS m FROM k, p WHERE regexp_matches(t, '[0-9]') AND length(t) BETWEEN lo AND hi GROUP BY ALL)"""
 EXACT = f"""hit AS (SELECT r.image_id, r.confidence, e.serial FROM readings r JOIN e ON {charset('r.text')} = e.serial),

@@ -10,6 +10,7 @@ from lodestamp.functions import text as T
 from lodestamp.operators import boxes, consensus, datasets, evaluate, fields, inventory, matching
 from lodestamp.plans import oracles
 from lodestamp.sources.fixtures import frame
+from lodestamp.sources.lineage import materialize
 
 W, H = 2000.0, 400.0  # the frame of the box tables
 
@@ -49,9 +50,12 @@ def dated(df: DataFrame) -> DataFrame:
 
 
 def worded(df: DataFrame) -> DataFrame:
-    v = F.col("t")
-    rows = values(df).select("image_id", "line_ord", T.clean_text(F.col("value")).alias("t"))
-    return rows.select("image_id", "line_ord", v.alias("clean"), T.is_absent(v, True).alias("absent"), T.gas(v, True).alias("gas"), T.colour(v, True).alias("colour"), T.country(v, False, True).alias("country"), T.country(v, True, True).alias("country_strict"), T.measure_unit(v, True).alias("unit"))
+    """Values repeat: each different one is resolved once."""
+    rows, v = values(df).select("image_id", "line_ord", "value"), F.col("t")
+    said = materialize(rows.select("value").distinct()).select("value", T.clean_text(F.col("value")).alias("t"))
+    said = said.select("value", v.alias("clean"), T.is_absent(v, True).alias("absent"), T.gas(v, True).alias("gas"), T.colour(v, True).alias("colour"), T.country(v, False, True).alias("country"), T.country(v, True, True).alias("country_strict"), T.measure_unit(v, True).alias("unit"))
+    said = materialize(said).withColumnRenamed("value", "__value")
+    return rows.join(said, F.col("value").eqNullSafe(F.col("__value"))).drop("value", "__value")
 
 
 def serials(df: DataFrame) -> DataFrame:
@@ -261,6 +265,32 @@ def audited_work(a: DataFrame) -> DataFrame:
     return datasets.work_list(a.select(F.col("asset").alias("image_id"), F.col("grp").alias("group_id"), "condition"), 3, 40, "en")
 
 
+def attribute_rows(inv: DataFrame) -> DataFrame:
+    """Records whose attributes differ from one to the next, merged to entries."""
+    own = F.struct("brand", F.when(F.col("ord") % 3 == 0, F.col("size")).alias("size"), F.when(F.col("ord") % 7 == 0, F.lit(True)).alias("checked"))
+    return inventory.attributes(inventory.entries(inv.select("ord", "asset_id", "serial", F.parse_json(F.to_json(own)).alias("attributes")), ("attributes",)))
+
+
+def masked(readings: DataFrame, inv: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Readings, with characters that were taken for others, against an inventory of one shape."""
+    same = lambda c: F.concat(F.lit("19S"), F.lpad(F.regexp_replace(c, "[^0-9]", ""), 6, "0"))
+    worn = F.when(F.col("image_id") % 4 == 0, F.translate(same("text"), "01", "OI")).when(F.col("image_id") % 4 == 1, F.concat(F.lit("195"), F.substring(same("text"), 4, 6))).when(F.col("image_id") % 4 == 2, F.concat(same("text"), F.lit("X"))).when(F.col("image_id") % 8 == 3, F.concat(F.substring(same("text"), 1, 8), F.lit("X"))).otherwise(same("text"))
+    return readings.withColumn("text", worn), inv.withColumn("serial", same("serial"))
+
+
+def masked_rows(readings: DataFrame, inv: DataFrame) -> DataFrame:
+    """K7 and A2 with a mask: corrections, and proposals that have the inventory's shape or not."""
+    readings, inv = masked(readings, inv)
+    return consensus_rows(readings, inv)
+
+
+def fragment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7's fragments by the table function, joined laterally."""
+    S.register(spark)
+    readings = frame(spark, sf_dir, "readings")
+    return spark.sql("SELECT r.image_id, r.variant_ord, r.line_ord, f.frag_ord, f.fragment, f.serial FROM {r} r, LATERAL serial_fragments(r.text) f", r=readings)
+
+
 def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both distances by their names in SQL."""
     S.register(spark)
@@ -383,6 +413,9 @@ QUERIES = {
     "u2_u4_keys": both("live", "static")(set_algebra),
     "r2_live": on("inventory")(live_rows),
     "d5_g7_payload": both("readings", "inventory")(payloads),
+    "a1_attributes": on("inventory")(attribute_rows),
+    "a2_masked": both("readings", "inventory")(masked_rows),
+    "k7_fragments": fragment_rows,
     "u2_u4_sets": both("live", "static")(evaluate.set_sizes),
 }
 

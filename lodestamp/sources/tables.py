@@ -17,12 +17,13 @@ IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp")
 
 
 def read_inventory_json(spark: SparkSession, path: str, record: str) -> DataFrame:
-    """An object with ``cylinders`` or a bare list; what isn't an object is dropped, corrupt files give nothing. ``record``: DDL of a record."""
+    """An object with ``cylinders`` or a bare list; what isn't an object is dropped, corrupt files give nothing. ``record``: DDL of the fields that
+    become columns; ``attributes`` holds all that the record has, as a VARIANT."""
     text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"))
     bare = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>"))
     inside = F.from_json("value", "cylinders array<string>")["cylinders"]
     rows = text.select("file", F.posexplode(F.coalesce(bare, inside)).alias("ord", "raw")).where(F.col("raw").startswith("{"))
-    return rows.select("file", F.col("ord").cast("long").alias("ord"), F.from_json("raw", record).alias("r")).select("file", "ord", "r.*")
+    return rows.select("file", F.col("ord").cast("long").alias("ord"), F.from_json("raw", record).alias("r"), F.try_parse_json("raw").alias("attributes")).select("file", "ord", "r.*", "attributes")
 
 
 def read_truth_csv(spark: SparkSession, path: str) -> DataFrame:

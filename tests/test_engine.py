@@ -528,6 +528,29 @@ def test_box_fixture_queries_have_their_properties(spark):
     assert {i: [line["n_boxes"] for line in x] for i, x in merged.items()} == {i: [line["n_boxes"] for line in boxes.merged_rows(x)] for i, x in rows.items()}
 
 
+def test_attributes_of_any_record(spark):
+    from pathlib import Path
+
+    d = Path(tempfile.mkdtemp(prefix="json-", dir="/tmp"))
+    (d / "a.json").write_text('{"cylinders": [{"serial": "19S-1", "gas": {"code": "O2"}, "litres": 40.5}, 7, {"serial": "19S1", "owner": "x"}]}')
+    (d / "b.json").write_text('[{"serial": "22S2", "checked": false}]')
+    (d / "c.json").write_text('{"cylinders": [')
+    rows = tables.read_inventory_json(spark, str(d), "serial string").withColumn("asset_id", F.col("ord").cast("string"))
+    found = inventory.attributes(inventory.entries(rows, ("attributes",)))
+    assert {(r.serial, r.name, r.value) for r in found.collect()} == {
+        ("19S1", "serial", "19S-1"), ("19S1", "gas", '{"code":"O2"}'), ("19S1", "litres", "40.5"), ("22S2", "serial", "22S2"), ("22S2", "checked", "false"),
+    }
+
+
+def test_proposals_of_another_shape_are_marked(spark):
+    e, inv = entries(spark, ["19S206055"] * 1 + [f"20S{k:06d}" for k in range(9)]), spark.createDataFrame([(f"20S{k:06d}",) for k in range(9)], "serial string")
+    rows = readings(spark, [(1, 0, "77T999999", 0.9), (2, 0, "7XT9999X9", 0.9), (3, 0, "I9S2O6O55", 0.9)])
+    got = {r.image_id: (r.status, r.read_text, r.reason) for r in matching.identify(rows, e, inventory.pattern(inv)).collect()}
+    assert got[1] == ("not_found", "77T999999", "serial_not_in_catalog")
+    assert got[2][0] == "not_found" and got[2][2] == "serial_not_in_catalog+serial_format_invalid"
+    assert got[3][0] == "matched"
+
+
 def test_positions_and_medians(spark):
     rng = random.Random(6)
     for values in ([3.0], [1.0, 2.0], [rng.choice([0.0, 1e9, rng.random()]) for _ in range(301)], [5.0] * 40):
@@ -574,6 +597,7 @@ def test_remaining_sources(spark):
 COMPARED = [
     "k1_k3_k9_serials", "a1_entries", "a2_consensus", "a12_outcomes", "a19_sweep", "j2_containing", "j15_match_boxes", "w5_top_up", "j3_resolve", "j4_search", "a3_support",
     "d1_decisions", "f_stated", "r1_r4_records", "r3_form", "w4_split", "k6_corrections", "j14_located", "a18_precision", "a13_crops", "u5_retry", "n6_n13_dates", "a17_latency",
+    "a1_attributes", "a2_masked", "k7_fragments", "n1_n14_words",
 ]
 
 

@@ -75,3 +75,19 @@ def test_corrections(spark):
     out = [tuple(r.c) for r in df.select(S.corrected(F.col("x"), F.lit("DDADDDDDD")).alias("c")).collect()]
     assert out[0][0] == "19S206055" and len(out[0][1]) == 3 and out[1] == ("19S206055", []) and out[2] == ("SHORT", [])
     assert df.select(S.corrected(F.col("x"), F.lit(None).cast("string"))["text"].alias("t")).first().t == "I9520605S"
+
+
+def test_accents_of_every_code_point(spark):
+    import unicodedata
+
+    import pandas as pd
+
+    from lodestamp.functions import text as T
+
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(every[k : k + 50]) for k in range(0, len(every), 50)]  # many at once, so that each path meets all kinds
+    plain = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    df = spark.createDataFrame(pd.DataFrame({"t": texts}))
+    got = {r.t: r.p for r in df.select("t", T.strip_accents(F.col("t")).alias("p")).collect()}
+    assert [t for t in texts if got[t] != plain(t)] == []
