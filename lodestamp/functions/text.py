@@ -84,15 +84,8 @@ def _decompositions() -> tuple[str, str, dict[str, str]]:
 ACCENTED, PLAIN, SEVERAL = _decompositions()
 
 
-def _ranges(codes: list[int]) -> str:
-    """A character class of sorted code points."""
-    starts = [c for c, before in zip(codes, [-2, *codes], strict=False) if c != before + 1]
-    ends = [c for c, after in zip(codes, [*codes[1:], -2], strict=True) if c + 1 != after]
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True)) + "]"
-
-
 HANGUL = range(0xAC00, 0xD7A4)
-LONGER = _ranges(sorted([*map(ord, SEVERAL), *HANGUL]))
+LONGER = "".join(SEVERAL) + "".join(map(chr, HANGUL))
 LEADS, VOWELS, TAILS = ("".join(map(chr, r)) for r in (range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A8, 0x11C3)))
 
 
@@ -109,7 +102,7 @@ def _longer(ch: Column) -> Column:
 def strip_accents(c: Column) -> Column:
     """Compatibility decomposition without combining marks, for every code point. Texts with a character that becomes several go through their characters; others are translated at once."""
     plain = F.translate(c, ACCENTED, PLAIN)
-    return F.when(c.rlike(LONGER), F.array_join(F.transform(F.split(plain, ""), _longer), "")).otherwise(plain)
+    return F.when(c.rlike(r"[^\x00-\x7F]") & (F.translate(c, LONGER, "") != c), F.array_join(F.transform(F.split(plain, ""), _longer), "")).otherwise(plain)
 
 
 def clean_text(c: Column) -> Column:

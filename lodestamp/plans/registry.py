@@ -36,26 +36,31 @@ def values(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.trim(F.get(F.split("text", "[:=]", 2), F.lit(1))))
 
 
+def resolved_once(rows: DataFrame, text: str, resolve) -> DataFrame:
+    """``rows`` with what ``resolve`` makes of their different texts (a column ``t``, cleaned), each of which is looked at once. The text itself goes."""
+    said = materialize(rows.select(F.col(text).alias("__text")).distinct())
+    said = materialize(resolve(said.select("__text", T.clean_text(F.col("__text")).alias("t"))))
+    return rows.join(said, F.col(text).eqNullSafe(F.col("__text"))).drop(text, "__text")
+
+
 def measured(df: DataFrame) -> DataFrame:
     v = F.col("t")
-    rows = df.select("image_id", "line_ord", T.clean_text(F.col("text")).alias("t"))
-    rows = rows.select("image_id", "line_ord", T.number(v).alias("number"), T.weight_kg(v, True).alias("kg"), T.litres(v, True).alias("litres"), T.cubic_metres(v, True).alias("m3"), T.length_cm(v, T.HEIGHT_CM, True).alias("h"))
+    kinds = [T.number(v).alias("number"), T.weight_kg(v, True).alias("kg"), T.litres(v, True).alias("litres"), T.cubic_metres(v, True).alias("m3"), T.length_cm(v, T.HEIGHT_CM, True).alias("h")]
+    rows = resolved_once(df.select("image_id", "line_ord", "text"), "text", lambda said: said.select("__text", *kinds))
     return rows.select("image_id", "line_ord", "number", "kg", "litres", "m3", F.col("h.value").alias("height"), F.col("h.warning").alias("warning"))
 
 
 def dated(df: DataFrame) -> DataFrame:
     v = F.col("t")
-    rows = df.select("image_id", "line_ord", T.clean_text(F.col("text")).alias("t"))
-    return rows.select("image_id", "line_ord", T.month_year(v, True).alias("month_year"), T.year(v, True).alias("year"), T.hydrostatic(v, True).alias("h")).select("image_id", "line_ord", "month_year", "year", F.col("h.date").alias("ph_date"), F.col("h.period").alias("ph_period"))
+    dates = [T.month_year(v, True).alias("month_year"), T.year(v, True).alias("year"), T.hydrostatic(v, True).alias("h")]
+    rows = resolved_once(df.select("image_id", "line_ord", "text"), "text", lambda said: said.select("__text", *dates))
+    return rows.select("image_id", "line_ord", "month_year", "year", F.col("h.date").alias("ph_date"), F.col("h.period").alias("ph_period"))
 
 
 def worded(df: DataFrame) -> DataFrame:
-    """Values repeat: each different one is resolved once."""
-    rows, v = values(df).select("image_id", "line_ord", "value"), F.col("t")
-    said = materialize(rows.select("value").distinct()).select("value", T.clean_text(F.col("value")).alias("t"))
-    said = said.select("value", v.alias("clean"), T.is_absent(v, True).alias("absent"), T.gas(v, True).alias("gas"), T.colour(v, True).alias("colour"), T.country(v, False, True).alias("country"), T.country(v, True, True).alias("country_strict"), T.measure_unit(v, True).alias("unit"))
-    said = materialize(said).withColumnRenamed("value", "__value")
-    return rows.join(said, F.col("value").eqNullSafe(F.col("__value"))).drop("value", "__value")
+    v = F.col("t")
+    words = [v.alias("clean"), T.is_absent(v, True).alias("absent"), T.gas(v, True).alias("gas"), T.colour(v, True).alias("colour"), T.country(v, False, True).alias("country"), T.country(v, True, True).alias("country_strict"), T.measure_unit(v, True).alias("unit")]
+    return resolved_once(values(df).select("image_id", "line_ord", "value"), "value", lambda said: said.select("__text", *words))
 
 
 def serials(df: DataFrame) -> DataFrame:
