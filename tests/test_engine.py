@@ -553,7 +553,7 @@ def test_proposals_of_another_shape_are_marked(spark):
 
 def test_positions_and_medians(spark):
     rng = random.Random(6)
-    for values in ([3.0], [1.0, 2.0], [rng.choice([0.0, 1e9, rng.random()]) for _ in range(301)], [5.0] * 40):
+    for values in ([3.0], [1.0, 2.0], [rng.choice([0.0, 1e9, rng.random()]) for _ in range(301)], [5.0] * 40, [rng.random() for _ in range(500)] + [1e12], [-1.7e308, 1.7e308, *[rng.random() for _ in range(40)]]):
         df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
         import statistics
 
