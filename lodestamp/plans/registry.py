@@ -149,9 +149,7 @@ def supported(readings: DataFrame, inv: DataFrame) -> DataFrame:
 
 def judged(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> DataFrame:
     e = inventory.entries(inv)
-    rows = evaluate.decided(matching.identify(readings, e, inventory.pattern(inv)), e)
-    rows = truth.join(rows, "image_id", "left").withColumn("needs_review", F.coalesce("needs_review", F.lit(True)))
-    return rows.withColumn("outcome", evaluate.outcome(F.col("serial"), F.col("truth_serial"), F.col("needs_review")))
+    return evaluate.judged(matching.identify(readings, e, inventory.pattern(inv)), e, truth)
 
 
 def cascade_outcomes(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> DataFrame:
@@ -166,15 +164,8 @@ def cascade_rates(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> Data
     return evaluate.outcome_rates(rows.withColumn("outcome", evaluate.outcome(F.col("serial"), F.col("truth_serial"), F.col("needs_review"), present)))
 
 
-def observations(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> DataFrame:
-    """What the cascade says of every image with a truth: whether anything was read, how surely, and whether it is right."""
-    rows = judged(readings, inv, truth)
-    correct = F.coalesce(F.col("serial") == F.col("truth_serial"), F.lit(False))
-    return rows.select((F.coalesce("serial", F.lit("")) != "").alias("has_read"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), correct.alias("is_correct"))
-
-
 def swept(readings: DataFrame, inv: DataFrame, truth: DataFrame) -> DataFrame:
-    return evaluate.sweep(observations(readings, inv, truth))
+    return evaluate.sweep(evaluate.observations(judged(readings, inv, truth)))
 
 
 def error_rates(readings: DataFrame) -> DataFrame:

@@ -379,9 +379,9 @@ def test_stages_decide_the_same_as_one(spark, monkeypatch):
     rows, e = readings(spark, [(i // 2, i % 2, t, 0.9) for i, t in enumerate(texts)]), entries(spark, serials)
     named = spark.createDataFrame([(t,) for t in texts], "text string")
     both = lambda: (sorted(map(tuple, matching.search(rows, e).collect())), sorted(map(str, matching.resolve(named, e).collect())))
-    staged = both()
-    monkeypatch.setattr(matching, "STAGES", 1)
-    assert both() == staged
+    one = both()
+    monkeypatch.setattr(matching, "DENSE", 1)
+    assert matching.stages(matching.budgets(e)) == [2, 3, 4] and both() == one
 
 
 def test_no_inventory(spark):
