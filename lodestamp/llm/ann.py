@@ -1,9 +1,12 @@
 """Approximate nearest neighbours by cosine: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted in numpy on at most ``max_sample`` vectors chosen by hash; every vector is then routed to its
-leaf and indexed. A query walks the tree with a priority queue of unexplored branches, nearest centre first, which gives
-it an order of leaves. How many leaves are visited is calibrated: ``calibration`` queries are compared with all vectors,
-and the number of leaves widens until ``target_recall`` of their true neighbours is reached. That many leaves are a mean: each query goes on until
+The tree has two storeys. The upper one is fitted in numpy on at most ``max_sample`` vectors chosen by hash and travels to every task; its leaves
+are called cells and grow with the table. A cell of more than ``REFINE`` leaves' rows gets a tree of its own, fitted by a task on at most about ``max_sample``
+of the cell's vectors; these trees are rows of a table and are only read where their cell is searched. So a leaf holds about ``leaf`` rows, and never more than
+``REFINE`` times as many, until all cells hold ``max_sample`` vectors (some ten million rows with the defaults), unless near-equal vectors can't be told apart.
+Every vector is routed to its leaf and indexed. A query walks both storeys with a priority queue of unexplored branches, nearest
+centre first. How many cells, and how many leaves of a cell, are visited is calibrated: ``calibration`` queries are compared with all vectors,
+and both numbers widen until ``target_recall`` of their true neighbours is reached. Those numbers are a mean: each query goes on until
 its leaves hold ``k + 1`` ids, and one that is still short because its own id repeats goes on for as many more.
 
 Equal vectors are one point that keeps its ``k + 1`` smallest different ids, each ``k`` times at most: a query's neighbours can't need more of them,
@@ -19,6 +22,8 @@ Extra columns don't matter; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import logging
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +34,14 @@ from pyspark.sql import functions as F
 
 from .common import join_counted, materialize
 
+LOG = logging.getLogger(__name__)
 MAX_SAMPLE = 20_000
 LEAF, BRANCH = 64, 32
 BLOCK_ROWS, BLOCK_QUERIES, AT_ONCE = 5_000, 4_000, 512
+#: A cell of more than this many leaves' rows gets a tree of its own.
+REFINE = 4
+#: Leaves are named across cells as cell * NAMES + leaf.
+NAMES = 1 << 24
 
 
 class Tree:
@@ -136,12 +146,45 @@ def points(vectors: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
 
 
 def routed(pts: DataFrame, tree) -> DataFrame:
+    """``pts`` with the cell of each vector."""
+
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pdf.assign(leaf=tree.value.route(unit(matrix(pdf["vec"]))))
+                yield pdf.assign(cell=tree.value.route(unit(matrix(pdf["vec"]))))
+
+    return pts.mapInPandas(route, "point long, vec array<double>, ids array<long>, cell long")
+
+
+def refined(celled: DataFrame, counts: dict[int, int], leaf: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(``celled`` with ``leaf``, trees): cells of more than ``REFINE * leaf`` rows are cut by trees of their own, others are one leaf, number 0.
+
+    ``counts`` are the rows of each cell. A tree is fitted on all vectors of its cell or on about ``most`` of them, chosen by hash; rows go to it in parts
+    of ``BLOCK_ROWS``. The trees are rows (cell, tree).
+    """
+    spark = celled.sparkSession
+    large = [(c, -(-n // BLOCK_ROWS), min(1_000_000, 1_000_000 * most // n)) for c, n in sorted(counts.items()) if n > REFINE * leaf]
+    cut = F.broadcast(spark.createDataFrame(large, "cell long, parts long, share long"))
+    rest = celled.join(cut, "cell", "left_anti").withColumn("leaf", F.lit(0).cast("long"))
+
+    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        tree = Tree(unit(matrix(rows["vec"])), leaf, seed=5 + int(key[0]))
+        return pd.DataFrame({"cell": [int(key[0])], "tree": [pickle.dumps(tree)]})
 
-    return pts.mapInPandas(route, "point long, vec array<double>, ids array<long>, leaf long")
+    grain = F.pmod(F.xxhash64(F.lit("cell sample"), "vec"), F.lit(1_000_000))
+    drawn = celled.join(cut, "cell").where(grain < F.col("share")).select("cell", "vec")
+    trees = materialize(drawn.groupBy("cell").applyInPandas(fit, "cell long, tree binary"))
+
+    def place(key: tuple, rows: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        # A cell of which no vector was drawn stays whole.
+        at = pickle.loads(tree["tree"][0]).route(unit(matrix(rows["vec"]))) if len(tree) and len(rows) else 0
+        return rows[["point", "vec", "ids", "cell"]].assign(leaf=at)
+
+    parted = celled.join(cut.drop("share"), "cell").withColumn("part", F.pmod(F.xxhash64("point", F.lit("part")), F.col("parts")))
+    copies = trees.join(cut.drop("share"), "cell").select("cell", "tree", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    schema = "point long, vec array<double>, ids array<long>, cell long, leaf long"
+    placed = parted.groupBy("cell", "part").cogroup(copies.groupBy("cell", "part")).applyInPandas(place, schema)
+    return rest.select("point", "vec", "ids", "cell", "leaf").unionByName(placed), trees
 
 
 def exact(queries: np.ndarray, rows: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -239,38 +282,101 @@ def pack(sizes: dict[int, int], n_leaves: int) -> tuple[np.ndarray, np.ndarray]:
     return start, parts
 
 
-def search(asking: DataFrame, index: DataFrame, tree, visits: int, m: int) -> DataFrame:
-    """(point, of, vec_id, score): each asked point's nearest up to ``m`` different ids of every block it goes to; its leaves hold ``need`` ids at least. Two counts per leaf come to the driver."""
-    spark = asking.sparkSession
-    counted = index.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()
-    start, parts = pack({r["leaf"]: r["n"] for r in counted}, tree.value.n_leaves)
-    held = np.zeros(tree.value.n_leaves, np.int64)
-    for r in counted:
-        held[r["leaf"]] = r["ids"]
-    places = spark.sparkContext.broadcast((start, parts, held))
+def described(index: DataFrame, trees: DataFrame, start: np.ndarray) -> DataFrame:
+    """(cell, block, tree, leaves) of every cell: the first block of ``start``, the cell's tree (null: one leaf) and of its leaves (leaf, n, ids), the rows and ids they hold."""
+    held = index.groupBy("cell", "leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids"))
+    each = held.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("leaf", "n", "ids"))).alias("leaves"))
+    at = index.sparkSession.createDataFrame([(i, int(x)) for i, x in enumerate(start)], "cell long, block long")
+    return each.join(F.broadcast(at), "cell").join(trees, "cell", "left")
+
+
+def cell_plan(tree: bytes | None, leaves) -> tuple[Tree | None, np.ndarray, np.ndarray, np.ndarray]:
+    """(tree, start, parts, held) of a cell: where its leaves lie among its own blocks, and how many ids each holds."""
+    of = pickle.loads(tree) if tree is not None else None
+    n_leaves = of.n_leaves if of else 1
+    start, parts = pack({int(x["leaf"]): int(x["n"]) for x in leaves}, n_leaves)
+    held = np.zeros(n_leaves, np.int64)
+    for x in leaves:
+        held[int(x["leaf"])] = int(x["ids"])
+    return of, start, parts, held
+
+
+def choose(inner: int):
+    """A block's queries with the leaves they visit in its cells: (point, vec, block, local, leaves), ``local`` counting the blocks of a large cell."""
+
+    def chosen(key: tuple, asking: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        plans = {int(c): cell_plan(t, x) for c, t, x in zip(cells["cell"], cells["tree"], cells["leaves"], strict=True)}
+        out = []
+        units = unit(matrix(asking["vec"])) if len(asking) else []
+        for point, vec, need, mine, u in zip(asking["point"], asking["vec"], asking["need"], asking["cells"], units, strict=True):
+            blocks: dict[int, list] = {}
+            for cell in map(int, mine):
+                if cell in plans:  # else it is empty
+                    tree, start, parts, held = plans[cell]
+                    for leaf in tree.leaves(u, inner, held, int(need)) if tree else [0]:
+                        for b in range(start[leaf], start[leaf] + parts[leaf]):
+                            blocks.setdefault(int(b), []).append(cell * NAMES + leaf)
+            out.extend((point, vec, key[0], b, x) for b, x in blocks.items())
+        return pd.DataFrame(out, columns=["point", "vec", "block", "local", "leaves"])
+
+    return chosen
+
+
+def dealt(visiting: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(``visiting`` with ``ask_block``, number of these for each key): queries in groups of about ``BLOCK_QUERIES``."""
+    asked = visiting.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("n_asked"))
+    group = F.pmod(F.xxhash64("point", F.lit("ask")), F.col("n_asked")).cast("int")
+    return visiting.join(asked, keys).withColumn("ask_block", group).drop("n_asked"), asked
+
+
+def copied(df: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """A copy of every row for each group of queries that comes to it."""
+    return df.join(asked, keys).withColumn("ask_block", F.explode(F.sequence(F.lit(0), F.col("n_asked") - 1))).drop("n_asked")
+
+
+def search(asking: DataFrame, index: DataFrame, cells: DataFrame, tree, start: np.ndarray, ids: np.ndarray, visits: tuple[int, int], m: int) -> DataFrame:
+    """(point, of, vec_id, score): each asked point's nearest up to ``m`` different ids of every block it goes to; its leaves hold ``need`` ids at least.
+
+    ``visits``: cells, and leaves of each. ``start`` and ``ids``: first block and number of ids of each cell.
+    """
+    places = asking.sparkSession.sparkContext.broadcast((start, ids))
+    outer, inner = visits
 
     def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start, parts, held = places.value
+        start, ids = places.value
         for pdf in batches:
             for at in range(0, len(pdf), 200):
                 part, out = pdf.iloc[at : at + 200], []
                 for point, vec, need, u in zip(part["point"], part["vec"], part["need"], unit(matrix(part["vec"])), strict=True):
-                    leaves = np.array(tree.value.leaves(u, visits, held, int(need)), np.int64)
                     blocks: dict[int, list] = {}
-                    for leaf in leaves.tolist():
-                        for b in range(start[leaf], start[leaf] + parts[leaf]):
-                            blocks.setdefault(int(b), []).append(leaf)
-                    out.extend((point, vec, b, x) for b, x in blocks.items())
-                yield pd.DataFrame(out, columns=["point", "vec", "block", "leaves"])
-
-    visiting = materialize(asking.select("point", "vec", "need").repartition("point").mapInPandas(order, "point long, vec array<double>, block long, leaves array<long>"))
-    asked = visiting.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("n_asked"))
-    visiting = visiting.join(asked, "block").withColumn("ask_block", F.pmod(F.xxhash64("point", F.lit("ask")), F.col("n_asked")).cast("int")).drop("n_asked")
-    at = spark.createDataFrame([(i, int(a), int(n)) for i, (a, n) in enumerate(zip(start, parts, strict=True))], "leaf long, start long, parts long")
-    rows = index.join(F.broadcast(at), "leaf").withColumn("block", F.col("start") + F.pmod(F.xxhash64("point", F.lit("row")), F.col("parts")))
-    rows = rows.join(asked, "block").select(F.col("point").alias("of"), "vec", "ids", "leaf", "block", F.explode(F.sequence(F.lit(0), F.col("n_asked") - 1)).alias("ask_block"))
+                    for cell in tree.value.leaves(u, outer, ids, int(need)):
+                        blocks.setdefault(int(start[cell]), []).append(cell)
+                    out.extend((point, vec, need, b, x) for b, x in blocks.items())
+                yield pd.DataFrame(out, columns=["point", "vec", "need", "block", "cells"])
+
+    schema = "point long, vec array<double>, need long, block long, cells array<long>"
+    visiting = materialize(asking.select("point", "vec", "need").repartition("point").mapInPandas(order, schema))
+    visiting, asked = dealt(visiting, ["block"])
     keys = ["block", "ask_block"]
-    return visiting.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(search_block(m), "point long, of long, vec_id long, score double")
+    chosen = visiting.groupBy(*keys).cogroup(copied(cells, asked, ["block"]).groupBy(*keys))
+    visiting = materialize(chosen.applyInPandas(choose(inner), "point long, vec array<double>, block long, local long, leaves array<long>"))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for cell, block, tree_, leaves in zip(pdf["cell"], pdf["block"], pdf["tree"], pdf["leaves"], strict=True):
+                _, first, parts, _ = cell_plan(tree_, leaves)
+                known = [int(x["leaf"]) for x in leaves]
+                yield pd.DataFrame({"cell": cell, "leaf": known, "block": block, "first": first[known], "parts": parts[known]})
+
+    at = cells.mapInPandas(place, "cell long, leaf long, block long, first long, parts long")
+    local = F.col("first") + F.pmod(F.xxhash64("point", F.lit("row")), F.col("parts"))
+    name = (F.col("cell") * NAMES + F.col("leaf")).alias("leaf")
+    rows = index.join(at, ["cell", "leaf"]).select(F.col("point").alias("of"), "vec", "ids", name, "block", local.alias("local"))
+    keys = ["block", "local"]
+    visiting, asked = dealt(visiting, keys)
+    rows, keys = copied(rows, asked, keys), [*keys, "ask_block"]
+    found = visiting.groupBy(*keys).cogroup(rows.groupBy(*keys))
+    return found.applyInPandas(search_block(m), "point long, of long, vec_id long, score double")
 
 
 def best(found: DataFrame, m: int) -> DataFrame:
@@ -294,33 +400,54 @@ def answered(asked: DataFrame, found: DataFrame, k: int) -> DataFrame:
     return each.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def calibrate(pts: DataFrame, tree, m: int, calibration: int, target: float) -> tuple[int, float]:
-    """(leaves to visit, recall on the calibration queries): true neighbours from all points, block by block, then the leaves in which they lie."""
-    few = pts.orderBy(F.xxhash64(F.lit("calibration"), "vec"), "point").limit(calibration).select("point", "vec").toPandas()
+def calibrate(index: DataFrame, cells: DataFrame, tree, m: int, calibration: int, target: float) -> tuple[tuple[int, int], float]:
+    """((cells to visit, leaves to visit in a cell), recall on the calibration queries): true neighbours from all points, block by block, then the cells and leaves in which they lie."""
+    few = index.orderBy(F.xxhash64(F.lit("calibration"), "vec"), "point").limit(calibration).select("point", "vec").toPandas()
     if not len(few):
-        return 1, 1.0
-    shared = pts.sparkSession.sparkContext.broadcast((few["point"].to_numpy(), matrix(few["vec"])))
+        return (1, 1), 1.0
+    shared = index.sparkSession.sparkContext.broadcast((few["point"].to_numpy(), matrix(few["vec"])))
+    schema = "point long, vec_id long, score double, cell long, leaf long"
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, queries = shared.value
         for pdf in batches:
             if len(pdf):
-                vecs = matrix(pdf["vec"])
-                leaf = dict(zip(pdf["point"], tree.value.route(unit(vecs)), strict=True))
-                found = [(names[i], v, s) for i, _, v, s in nearest_in_block(queries, vecs, [[p] for p in pdf["point"]], m + 1) if v != names[i]]
-                yield pd.DataFrame({"point": [int(f[0]) for f in found], "vec_id": [int(f[1]) for f in found], "score": [float(f[2]) for f in found], "leaf": [int(leaf[f[1]]) for f in found]}).astype({"point": "int64", "vec_id": "int64", "score": "float64", "leaf": "int64"})
-
-    truth = best(pts.select("point", "vec").mapInPandas(scan, "point long, vec_id long, score double, leaf long"), m).collect()
-    needed = []
-    ranks = {int(p): {leaf: r for r, leaf in enumerate(tree.value.leaves(v, tree.value.n_leaves))} for p, v in zip(few["point"], unit(matrix(few["vec"])), strict=True)}
-    for row in truth:
-        needed.append(ranks[row["point"]][row["leaf"]] + 1)
-    if not needed:
-        return 1, 1.0
-    visits = 1
-    while np.mean(np.array(needed) <= visits) < target:
-        visits += max(1, visits // 8)
-    return min(visits, tree.value.n_leaves), float(np.mean(np.array(needed) <= visits))
+                place = dict(zip(pdf["point"], zip(pdf["cell"], pdf["leaf"], strict=True), strict=True))
+                near = nearest_in_block(queries, matrix(pdf["vec"]), [[p] for p in pdf["point"]], m + 1)
+                found = [(int(names[i]), int(v), float(s), *map(int, place[v])) for i, _, v, s in near if v != names[i]]
+                yield pd.DataFrame(found, columns=["point", "vec_id", "score", "cell", "leaf"])
+
+    truth = materialize(best(index.select("point", "vec", "cell", "leaf").mapInPandas(scan, schema), m))
+
+    def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, queries = shared.value
+        units = dict(zip(names.tolist(), unit(queries), strict=True))
+        for pdf in batches:
+            out = []
+            for point, cell, leaf, of in zip(pdf["point"], pdf["cell"], pdf["leaf"], pdf["tree"], strict=True):
+                sub = pickle.loads(of) if of is not None else None
+                rank = sub.leaves(units[point], sub.n_leaves).index(leaf) + 1 if sub else 1
+                out.append((point, cell, rank))
+            yield pd.DataFrame(out, columns=["point", "cell", "inner"])
+
+    of_cell = truth.select("point", "cell", "leaf").join(cells.select("cell", "tree"), "cell")
+    true = of_cell.mapInPandas(ranked, "point long, cell long, inner long").toPandas()
+    if not len(true):
+        return (1, 1), 1.0
+    ranks = {int(p): {cell: r for r, cell in enumerate(tree.value.leaves(v, tree.value.n_leaves))} for p, v in zip(few["point"], unit(matrix(few["vec"])), strict=True)}
+    outer = np.array([ranks[int(p)][int(c)] + 1 for p, c in zip(true["point"], true["cell"], strict=True)])
+    inner = true["inner"].to_numpy()
+
+    def widened(needed: np.ndarray, share: float) -> int:
+        visits = 1
+        while np.mean(needed <= visits) < share:
+            visits += max(1, visits // 8)
+        return min(visits, int(needed.max()))
+
+    # Where cells have leaves of their own, both storeys lose alike.
+    cells_seen = widened(outer, target if (inner == 1).all() else target**0.5)
+    leaves_seen = widened(np.where(outer <= cells_seen, inner, inner.max() + 1), target) if np.mean(outer <= cells_seen) > target else int(inner.max())
+    return (cells_seen, leaves_seen), float(np.mean((outer <= cells_seen) & (inner <= leaves_seen)))
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = 5, target_recall: float = 0.95, max_sample: int = MAX_SAMPLE, calibration: int = 200, leaf: int = LEAF, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -331,8 +458,18 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, target_recall: floa
     grain = F.pmod(F.xxhash64(F.lit("tree sample"), "vec"), F.lit(1_000_000))
     sample = pts.select("vec").where(grain < (1_000_000 * max_sample // n if n > max_sample else 1_000_000)).toPandas()
     tree = sc.broadcast(Tree(unit(matrix(sample["vec"])) if len(sample) else np.zeros((0, 1)), leaf))
-    index = materialize(routed(pts, tree))
-    visits, _ = calibrate(pts, tree, k, calibration, target_recall)
+    celled = materialize(routed(pts, tree))
+    # Two counts for each cell of the upper storey come to the driver.
+    counted = celled.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()
+    sizes, ids = {r["cell"]: r["n"] for r in counted}, np.zeros(tree.value.n_leaves, np.int64)
+    for r in counted:
+        ids[r["cell"]] = r["ids"]
+    start, _ = pack(sizes, tree.value.n_leaves)
+    index, trees = refined(celled, sizes, leaf, max_sample)
+    index = materialize(index)
+    cells = materialize(described(index, trees, start))
+    visits, recall = calibrate(index, cells, tree, k, calibration, target_recall)
+    LOG.info("%d cells, %d leaves of each visited: recall %.3f on calibration queries", *visits, recall)
     double = F.transform(F.col(vec_col), lambda x: x.cast("double") + F.lit(0.0))
     asked = vectors.where(queries).select(F.col(id_col).alias("query_id"), double.alias("vec")).where(valid(F.col("vec")) & F.col("query_id").isNotNull())
     asked = materialize(asked.distinct().withColumn("key", F.xxhash64("vec")))
@@ -340,7 +477,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, target_recall: floa
     named = pts.select("point", "vec").withColumn("key", F.xxhash64("vec")).join(counted, ["key", "vec"])
     asked = materialize(join_counted(asked, named, ["key", "vec"], asked.count()).select("query_id", "point", "vec").withColumn("need", F.lit(k + 1)))
     one = lambda q: q.groupBy("point", "vec").agg(F.max("need").alias("need"))
-    answers = materialize(answered(asked, search(one(asked), index, tree, visits, k + 1), k))
+    answers = materialize(answered(asked, search(one(asked), index, cells, tree, start, ids, visits, k + 1), k))
     full = answers.where(F.col("rank") == k).select("query_id")
     short = materialize(asked.drop("need").join(full, "query_id", "left_anti"))
     if short.isEmpty():
@@ -348,7 +485,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 5, target_recall: floa
     # As many ids more as the index has of the query's own.
     own = index.select(F.explode("ids").alias("query_id")).join(short.select("query_id").distinct(), "query_id").groupBy("query_id").agg(F.count("*").alias("own"))
     short = materialize(short.join(own, "query_id", "left").withColumn("need", F.coalesce("own", F.lit(0)) + k).drop("own"))
-    wider = answered(short, search(one(short), index, tree, visits, k + 1), k)
+    wider = answered(short, search(one(short), index, cells, tree, start, ids, visits, k + 1), k)
     return answers.join(full, "query_id", "left_semi").unionByName(wider)
 
 
