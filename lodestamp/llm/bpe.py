@@ -52,6 +52,14 @@ LATER_CAPITALS = (
     (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
     (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
 )
+# Marks (first, last) that Python reorders or composes and the tokenizer, whose composition is that of Unicode 9, leaves where they are.
+LATER_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715),
+    (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50),
+    (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E),
+    (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45),
+    (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
 LOWER_LATER = {a + i: chr(small + i) for a, b, small in LATER_CAPITALS for i in range(b - a + 1)}
 
 
@@ -60,6 +68,7 @@ def class_of(ranges) -> str:
     return "[" + "".join(rf"\U{a:08X}-\U{b:08X}" for a, b in ranges) + "]"
 
 
+INERT = regex.compile("(" + class_of(LATER_MARKS) + ")")
 LATER = regex.compile(class_of((*LATER_LETTERS, *LATER_DIGITS, *((a, b) for a, b, _ in LATER_CAPITALS))))
 
 
@@ -130,7 +139,10 @@ class Vocabulary:
     def normalized(self, chunk: str) -> str:
         if chunk.isascii():
             return chunk.lower()
-        chunk = unicodedata.normalize("NFC", chunk)
+        if INERT.search(chunk):
+            chunk = "".join(unicodedata.normalize("NFC", part) for part in INERT.split(chunk))
+        else:
+            chunk = unicodedata.normalize("NFC", chunk)
         if LATER.search(chunk):
             chunk = chunk.translate(LOWER_LATER)
         # Character by character: str.lower() has a rule for a sigma at the end of a word.

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -168,6 +169,18 @@ def test_bpe_equals_library_on_every_code_point(library):
             assert np.frombuffer(packed, "<u4").tolist() == want.ids, ascii(text)
 
 
+def test_bpe_equals_library_on_sequences_of_marks(library):
+    rng = random.Random(11)
+    v = bpe.Vocabulary(open(bpe.tokenizer_path(), encoding="utf-8").read())
+    later = [chr(c) for a, b in bpe.LATER_MARKS for c in range(a, b + 1)]
+    marks = [chr(c) for c in range(0x300, 0x1FFFF) if unicodedata.combining(chr(c))]
+    bases = [*"aeOUkİΣσ", *"\u1100\u1161\u11a8\uac00\u0915\u09c7\u09be", "\U00011935", "\U00011938", "\U00011347", "\U0001133e", "\U000114b9", "\U000114ba"]
+    texts = ["".join(rng.choice(rng.choice((bases, marks, marks[:60], later))) for _ in range(rng.randint(2, 7))) for _ in range(20_000)]
+    texts += [b + m + n for b in bases for m in later for n in ("\u0334", "\u0301", "\u0345")]
+    for text, packed, want in zip(texts, v.encode(texts).to_pylist(), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(packed, "<u4").tolist() == want.ids, ascii(text)
+
+
 def test_bpe_cuts_are_certain():
     v = bpe.Vocabulary(open(bpe.tokenizer_path(), encoding="utf-8").read())
     assert all(len(list(v.cuts(t.removesuffix(v.suffix)))) == 1 for t in v.ids if t != v.suffix)
