@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import with_columns
 
 CHUNKS_KEPT, WORDS_KEPT, LONGEST_KEPT, FEW = 250_000, 250_000, 64, 24
-PORTION = 4_000_000
+PORTION = 1_000_000
 NEVER = 1 << 60
 #: Code points that str.split() takes for white space and the tokenizer's \s does not.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
@@ -269,17 +269,12 @@ def shared_file(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def portions(texts: list, empty) -> Iterator[list]:
-    """Runs of texts, or packed ids, of about PORTION characters or bytes."""
-    part, size = [], 0
-    for text in texts:
-        part.append(text or empty)
-        size += len(part[-1])
-        if size >= PORTION:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def portions(column: pa.Array, empty) -> Iterator[list]:
+    """Runs of texts, or packed ids, of about PORTION bytes; only one run at a time is held as Python objects."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    starts = np.flatnonzero(np.diff(ends // PORTION, prepend=-1)).tolist()
+    for a, b in zip(starts, [*starts[1:], len(column)], strict=False):
+        yield [x or empty for x in column.slice(a, b - a).to_pylist()]
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
@@ -290,7 +285,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text
 
     @arrow_udf("binary")
     def encode(texts: pa.Array) -> pa.Array:
-        found = [vocabulary(shared).encode(part) for part in portions(texts.to_pylist(), "")]
+        found = [vocabulary(shared).encode(part) for part in portions(texts, "")]
         return pa.concat_arrays(found) if found else pa.array([], pa.binary())
 
     return with_columns(docs, encode(F.col(text_col)), lambda ids: {"ids": ids, "n_tokens": (F.octet_length(ids) / 4).cast("long")})
@@ -304,7 +299,7 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, ids_col: str = "id
 
     @arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
-        found = [vocabulary(shared).decode(part) for part in portions(ids.to_pylist(), b"")]
+        found = [vocabulary(shared).decode(part) for part in portions(ids, b"")]
         return pa.concat_arrays(found) if found else pa.array([], pa.string())
 
     return with_columns(encoded, decode(F.col(ids_col)), lambda text: {"decoded": text})
@@ -322,7 +317,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, text_col: str = "text") ->
     @arrow_udf("struct<ids:binary,decoded:string>")
     def there_and_back(texts: pa.Array) -> pa.Array:
         v, out = vocabulary(shared), []
-        for part in portions(texts.to_pylist(), ""):
+        for part in portions(texts, ""):
             ids = v.encode(part)
             out.append(pa.StructArray.from_arrays([ids, v.decode(ids.to_pylist())], ["ids", "decoded"]))
         return pa.concat_arrays(out) if out else pa.array([], pa.struct([("ids", pa.binary()), ("decoded", pa.string())]))
