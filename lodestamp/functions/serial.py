@@ -57,7 +57,14 @@ def corrected(c: Column, mask: Column) -> Column:
     fits = mask.isNotNull() & (F.length(c) == F.length(mask))
     pairs = F.zip_with(chars, kinds, lambda ch, kind: F.struct(ch.alias("ch"), swap(ch, kind).alias("to")))
     text = F.array_join(F.transform(pairs, lambda p: F.coalesce(p["to"], p["ch"])), "")
-    notes = F.array_compact(F.transform(pairs, lambda p, i: F.when(p["to"].isNotNull(), F.concat_ws("", F.lit("pos "), i.cast("string"), F.lit(": "), p["ch"], F.lit(" -> "), p["to"]))))
+    notes = F.array_compact(
+        F.transform(
+            pairs,
+            lambda p, i: F.when(
+                p["to"].isNotNull(), F.concat_ws("", F.lit("pos "), i.cast("string"), F.lit(": "), p["ch"], F.lit(" -> "), p["to"])
+            )
+        )
+    )
     return F.struct(F.when(fits, text).otherwise(c).alias("text"), F.when(fits, notes).otherwise(F.array().cast("array<string>")).alias("notes"))
 
 
@@ -69,7 +76,9 @@ def canonical(c: Column) -> Column:
 def bigrams(c: Column) -> Column:
     """K9: the distinct pairs of neighbours of the canonical text."""
     t = canonical(c)
-    return F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2)))))
+    return F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))
+    )
 
 
 def shape(c: Column) -> Column:

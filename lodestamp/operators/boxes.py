@@ -199,7 +199,12 @@ def denormalised(width: float, height: float, margin: float = 0.0) -> list[Colum
 def expanded(width: float, height: float) -> list[Column]:
     """The serial's box grown to the stamped block."""
     line, span = F.greatest(F.col("y2") - F.col("y1"), F.lit(1.0)), F.col("x2") - F.col("x1")
-    return [F.greatest(F.lit(0.0), F.col("x1") - span * PAD_SIDE).alias("ex1"), F.greatest(F.lit(0.0), F.col("y1") - line * PAD_ABOVE).alias("ey1"), F.least(F.lit(width), F.col("x2") + span * PAD_SIDE).alias("ex2"), F.least(F.lit(height), F.col("y2") + line * PAD_BELOW).alias("ey2")]
+    return [
+        F.greatest(F.lit(0.0), F.col("x1") - span * PAD_SIDE).alias("ex1"),
+        F.greatest(F.lit(0.0), F.col("y1") - line * PAD_ABOVE).alias("ey1"),
+        F.least(F.lit(width), F.col("x2") + span * PAD_SIDE).alias("ex2"),
+        F.least(F.lit(height), F.col("y2") + line * PAD_BELOW).alias("ey2")
+    ]
 
 
 def crop(width: float, height: float, pad: float = CROP_PAD, bottom: float = CROP_BOTTOM) -> list[Column]:
@@ -277,4 +282,7 @@ def average_precision(matched: DataFrame, truth: DataFrame) -> DataFrame:
     areas = curve.join(tops, key).withColumn("area", F.col("tp") / F.col("n_truth") * envelope)
     per_level = areas.groupBy("class_id", "level").agg(F.sum("area").alias("ap"), (F.sum("tp") / F.sum("n")).alias("precision"), (F.sum("tp") / F.max("n_truth")).alias("recall"))
     at_half = lambda c: F.round(F.max(F.when(F.col("level") == 0.5, F.col(c))), 4)
-    return per_level.groupBy("class_id").agg(at_half("precision").alias("precision"), at_half("recall").alias("recall"), at_half("ap").alias("ap"), F.round(F.avg("ap"), 4).alias("ap_50_95"))
+    return per_level.groupBy("class_id").agg(
+        at_half("precision").alias("precision"), at_half("recall").alias("recall"), at_half("ap").alias("ap"),
+        F.round(F.avg("ap"), 4).alias("ap_50_95")
+    )

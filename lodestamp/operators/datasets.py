@@ -106,7 +106,10 @@ def readiness(assets: DataFrame, listed: DataFrame | None = None, corrupt: DataF
         code(some("n_corrupt"), "corrupt"), code(some("n_low"), "low_quality"), code(few("n_conditions", MIN_CONDITIONS), "few_conditions"),
     ))
     share = F.round(F.col("n_low") / F.greatest("n", F.lit(1)), 4)
-    return one.select("n", "n_groups", "n_dups", "n_low", "n_empty", "n_corrupt", share.alias("low_share"), F.array_join(blockers, ",").alias("blockers"), F.array_join(warnings, ",").alias("warnings"), (F.size(blockers) == 0).alias("ready"))
+    return one.select(
+        "n", "n_groups", "n_dups", "n_low", "n_empty", "n_corrupt", share.alias("low_share"), F.array_join(blockers, ",").alias("blockers"),
+        F.array_join(warnings, ",").alias("warnings"), (F.size(blockers) == 0).alias("ready")
+    )
 
 
 def empty_groups(listed: DataFrame, assets: DataFrame) -> DataFrame:
@@ -241,7 +244,9 @@ def crops(labels: DataFrame, boxes: DataFrame, truth: DataFrame, present: DataFr
     said = truth.where("truth_serial <> ''").select("image_id", "truth_serial")
     rows = labels.join(said, "image_id", "left").join(box, "image_id", "left").join(there, "image_id", "left").join(splits.select("group_id", "split"), "group_id", "left")
     small = (F.col("b.w") < least_w) | (F.col("b.h") < least_h)
-    reason = F.when(F.col("truth_serial").isNull(), "no_truth").when(F.col("b").isNull(), "no_box").when(F.col("there").isNull(), "missing_asset").when(small, "too_small").otherwise("used")
+    reason = F.when(
+        F.col("truth_serial").isNull(), "no_truth"
+    ).when(F.col("b").isNull(), "no_box").when(F.col("there").isNull(), "missing_asset").when(small, "too_small").otherwise("used")
     dealt = F.when(head_of(seeded(F.col("group_id"), f"crop{seed}")) % 3 < 2, "train").otherwise("val")
     return rows.select("image_id", "group_id", reason.alias("reason"), F.coalesce("split", dealt).alias("split"), "truth_serial", F.col("b.w").alias("w"), F.col("b.h").alias("h"))
 

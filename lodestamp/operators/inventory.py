@@ -14,7 +14,10 @@ def entries(inventory: DataFrame, attributes: tuple[str, ...] = ("brand", "size"
     ``attributes`` names columns; one of them may be a VARIANT that holds whatever the record has.
     """
     rows = inventory.withColumn("serial", S.serial_charset(F.col("serial"))).where("serial <> ''")
-    grouped = rows.groupBy("serial").agg(F.min("ord").alias("ord"), *[F.min_by(a, "ord").alias(a) for a in attributes if a in inventory.columns], F.transform(F.array_sort(F.collect_list(F.struct("ord", "asset_id"))), lambda x: x["asset_id"]).alias("assets"))
+    grouped = rows.groupBy("serial").agg(
+        F.min("ord").alias("ord"), *[F.min_by(a, "ord").alias(a) for a in attributes if a in inventory.columns],
+        F.transform(F.array_sort(F.collect_list(F.struct("ord", "asset_id"))), lambda x: x["asset_id"]).alias("assets")
+    )
     return grouped.select("*", (F.size("assets") > 1).alias("is_duplicated"), (F.length("serial") < S.MIN_RELIABLE).alias("is_too_short"))
 
 
@@ -28,10 +31,25 @@ def pattern(inventory: DataFrame) -> DataFrame:
     """K5: one row (min_length, max_length, mask); a mask only if all lengths agree over enough samples. 5 to 14 without any identifier."""
     serials = inventory.select(S.serial_charset(F.col("serial")).alias("s")).where("s <> ''")
     sizes = serials.agg(F.min(F.length("s")).alias("lo"), F.max(F.length("s")).alias("hi"), F.count("*").alias("n"))
-    chars = serials.select(F.posexplode(F.split("s", "")).alias("pos", "ch")).groupBy("pos").agg(F.bool_and(F.col("ch").rlike("[0-9]")).alias("digit"), F.bool_and(F.col("ch").rlike("[A-Za-z]")).alias("letter"))
-    kinds = chars.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("digit"), "D").when(F.col("letter"), "A").otherwise("?").alias("k")))), lambda x: x["k"]), "").alias("kinds"))
+    chars = serials.select(F.posexplode(F.split("s", "")).alias("pos", "ch")).groupBy("pos").agg(
+        F.bool_and(F.col("ch").rlike("[0-9]")).alias("digit"), F.bool_and(F.col("ch").rlike("[A-Za-z]")).alias("letter")
+    )
+    kinds = chars.agg(
+        F.array_join(
+            F.transform(
+                F.array_sort(
+                    F.collect_list(F.struct("pos", F.when(F.col("digit"), "D").when(F.col("letter"), "A").otherwise("?").alias("k")))
+                ),
+                lambda x: x["k"]
+            ),
+            ""
+        ).alias("kinds")
+    )
     fixed = (F.col("lo") == F.col("hi")) & (F.col("n") >= S.MIN_MASK_SAMPLES)
-    return sizes.crossJoin(kinds).select(F.coalesce("lo", F.lit(5)).alias("min_length"), F.coalesce("hi", F.lit(14)).alias("max_length"), F.when(fixed, F.col("kinds")).alias("mask"))
+    return sizes.crossJoin(kinds).select(
+        F.coalesce("lo", F.lit(5)).alias("min_length"), F.coalesce("hi", F.lit(14)).alias("max_length"),
+        F.when(fixed, F.col("kinds")).alias("mask")
+    )
 
 
 def merge(live: DataFrame, static: DataFrame) -> DataFrame:
@@ -48,7 +66,13 @@ def insertable(inventory: DataFrame, existing: DataFrame) -> DataFrame:
 def coverage(records: DataFrame, fields: list[str]) -> DataFrame:
     """A10: share of rows that have each field."""
     one = records.agg(*[F.count(c).alias(c) for c in fields], F.count("*").alias("__n"))
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("present"), F.col("__n").alias("total")) for c in fields])).alias("x")).select("x.field", "x.present", "x.total", F.when(F.col("x.total") > 0, F.round(F.col("x.present") / F.col("x.total"), 4)).alias("share"))
+    return one.select(
+        F.explode(
+            F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("present"), F.col("__n").alias("total")) for c in fields])
+        ).alias("x")
+    ).select(
+        "x.field", "x.present", "x.total", F.when(F.col("x.total") > 0, F.round(F.col("x.present") / F.col("x.total"), 4)).alias("share")
+    )
 
 
 def duplicated(inventory: DataFrame) -> DataFrame:

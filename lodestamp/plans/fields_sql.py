@@ -51,7 +51,9 @@ def items(rules, values: dict[str, str], first_rule: int) -> str:
     rows = []
     for k, (field, column, share, sure, gate) in enumerate(rules):
         gated = f"'{gate}'" if gate else "NULL::VARCHAR"
-        rows.append(f"struct_pack(rule := {first_rule + k}, field := '{field}', value := CAST({values[column]} AS VARCHAR), share := {share}::DOUBLE, sure := {str(sure).lower()}, gate := {gated})")
+        rows.append(
+            f"struct_pack(rule := {first_rule + k}, field := '{field}', value := CAST({values[column]} AS VARCHAR), share := {share}::DOUBLE, sure := {str(sure).lower()}, gate := {gated})"
+        )
     return "[" + ", ".join(rows) + "]"
 
 
@@ -64,8 +66,10 @@ LABELLED = {
 }
 SHAPED = {
     "kg": kilograms("w"), "kg_unit": "CASE WHEN w IS NOT NULL THEN 'KG' END", "litres": up_to("li", T.MOST_LITRES, 2), "cubic": up_to("cu", T.MOST_CUBIC, 3),
-    "cubic_unit": "CASE WHEN cu IS NOT NULL THEN 'M3' END", "gas": gas("t"), "colour": colour("t"), "country": country("t", True), "tested": month_year("te"), "made": month_year("ma"),
-    "made_year": f"CAST(substr({month_year('ma')}, 1, 4) AS INT)", "oldest": "dates[1]", "oldest_year": "CAST(substr(dates[1], 1, 4) AS INT)", "newest": "CASE WHEN len(dates) > 1 THEN dates[-1] END",
+    "cubic_unit": "CASE WHEN cu IS NOT NULL THEN 'M3' END", "gas": gas("t"), "colour": colour("t"), "country": country("t", True),
+    "tested": month_year("te"), "made": month_year("ma"),
+    "made_year": f"CAST(substr({month_year('ma')}, 1, 4) AS INT)", "oldest": "dates[1]",
+    "oldest_year": "CAST(substr(dates[1], 1, 4) AS INT)", "newest": "CASE WHEN len(dates) > 1 THEN dates[-1] END",
     "brand": f"list_filter(regexp_extract_all(t, '{X.BRAND}', 1), lambda z: z NOT IN ({quoted(X.NOT_BRANDS)}))[1]",
 }
 STATED = f"""

@@ -24,13 +24,23 @@ def first_code(t: str, table) -> str:
 
 def gas(x: str) -> str:
     t = clean(x)
-    named = ", ".join("CASE WHEN " + " OR ".join(f"contains({t}, '{n}')" for n in names if len(n) >= 3) + f" THEN '{c}' END" if any(len(n) >= 3 for n in names) else "NULL" for c, names in T.GASES.items())
+    named = ", ".join(
+        "CASE WHEN " + " OR ".join(
+            f"contains({t}, '{n}')" for n in names if len(n) >= 3
+        ) + f" THEN '{c}' END" if any(len(n) >= 3 for n in names) else "NULL"
+        for c, names in T.GASES.items()
+    )
     found = f"list_filter([{named}], lambda z: z IS NOT NULL)"
     return f"CASE WHEN {absent(x)} THEN NULL WHEN regexp_matches({t}, '{T.MIXTURE}') THEN 'MIX' ELSE coalesce({first_code(t, T.GASES)}, CASE WHEN len({found}) > 1 THEN 'MIX' WHEN len({found}) = 1 THEN {found}[1] END) END"
 
 
 def colour(x: str) -> str:
-    step = "CASE " + " ".join("WHEN (" + " OR ".join(f"contains(chunk, '{n}')" for n in names) + f") AND NOT list_contains(acc, '{c}') THEN list_append(acc, '{c}')" for c, names in T.COLOURS.items()) + " ELSE acc END"
+    step = "CASE " + " ".join(
+        "WHEN (" + " OR ".join(
+            f"contains(chunk, '{n}')" for n in names
+        ) + f") AND NOT list_contains(acc, '{c}') THEN list_append(acc, '{c}')"
+        for c, names in T.COLOURS.items()
+    ) + " ELSE acc END"
     # The first element of the folded list is only its start.
     folded = f"list_reduce(list_transform(string_split_regex({clean(x)}, '{T.COLOUR_BREAK}'), lambda z: [z]), lambda acc, one: list_reduce(list_transform(one, lambda y: [y]), lambda a2, o2: {step.replace('chunk', 'o2[1]').replace('acc', 'a2')}, acc), CAST([] AS VARCHAR[]))"
     return f"CASE WHEN {absent(x)} THEN NULL ELSE nullif(array_to_string({folded}, '/'), '') END"

@@ -45,7 +45,10 @@ def resolved_once(rows: DataFrame, text: str, resolve) -> DataFrame:
 
 def measured(df: DataFrame) -> DataFrame:
     v = F.col("t")
-    kinds = [T.number(v).alias("number"), T.weight_kg(v, True).alias("kg"), T.litres(v, True).alias("litres"), T.cubic_metres(v, True).alias("m3"), T.length_cm(v, T.HEIGHT_CM, True).alias("h")]
+    kinds = [
+        T.number(v).alias("number"), T.weight_kg(v, True).alias("kg"), T.litres(v, True).alias("litres"),
+        T.cubic_metres(v, True).alias("m3"), T.length_cm(v, T.HEIGHT_CM, True).alias("h")
+    ]
     rows = resolved_once(df.select("image_id", "line_ord", "text"), "text", lambda said: said.select("__text", *kinds))
     return rows.select("image_id", "line_ord", "number", "kg", "litres", "m3", F.col("h.value").alias("height"), F.col("h.warning").alias("warning"))
 
@@ -59,18 +62,27 @@ def dated(df: DataFrame) -> DataFrame:
 
 def worded(df: DataFrame) -> DataFrame:
     v = F.col("t")
-    words = [v.alias("clean"), T.is_absent(v, True).alias("absent"), T.gas(v, True).alias("gas"), T.colour(v, True).alias("colour"), T.country(v, False, True).alias("country"), T.country(v, True, True).alias("country_strict"), T.measure_unit(v, True).alias("unit")]
+    words = [
+        v.alias("clean"), T.is_absent(v, True).alias("absent"), T.gas(v, True).alias("gas"), T.colour(v, True).alias("colour"),
+        T.country(v, False, True).alias("country"), T.country(v, True, True).alias("country_strict"), T.measure_unit(v, True).alias("unit")
+    ]
     return resolved_once(values(df).select("image_id", "line_ord", "value"), "value", lambda said: said.select("__text", *words))
 
 
 def serials(df: DataFrame) -> DataFrame:
     k = S.serial_charset(F.col("text"))
-    return df.select("image_id", "variant_ord", k.alias("serial"), S.is_marking(F.col("text")).alias("marking"), S.allowed_errors(k).alias("budget"), S.canonical(k).alias("canonical"), F.array_join(F.array_sort(S.bigrams(k)), " ").alias("bigrams"), S.shape(k).alias("shape"))
+    return df.select(
+        "image_id", "variant_ord", k.alias("serial"), S.is_marking(F.col("text")).alias("marking"), S.allowed_errors(k).alias("budget"),
+        S.canonical(k).alias("canonical"), F.array_join(F.array_sort(S.bigrams(k)), " ").alias("bigrams"), S.shape(k).alias("shape")
+    )
 
 
 def distances(readings: DataFrame) -> DataFrame:
     k = S.serial_charset(F.col("text"))
-    return readings.select("image_id", "variant_ord", S.weighted_edit_distance(k, F.col("truth_serial")).alias("distance"), S.substring_distance(F.col("truth_serial"), k).alias("inside"))
+    return readings.select(
+        "image_id", "variant_ord", S.weighted_edit_distance(k, F.col("truth_serial")).alias("distance"),
+        S.substring_distance(F.col("truth_serial"), k).alias("inside")
+    )
 
 
 def shapes(inv: DataFrame) -> DataFrame:
@@ -90,7 +102,10 @@ def same_shape_pattern(inv: DataFrame) -> DataFrame:
 def corrections(readings: DataFrame) -> DataFrame:
     k = S.serial_charset(F.col("text"))
     fixed = S.corrected(k, F.lit("DDADDDDDD"))
-    return readings.select("image_id", "variant_ord", fixed["text"].alias("text"), F.array_join(fixed["notes"], ";").alias("notes"), S.matches_pattern(fixed["text"], F.lit("DDADDDDDD"), F.lit(9), F.lit(9)).alias("valid"))
+    return readings.select(
+        "image_id", "variant_ord", fixed["text"].alias("text"), F.array_join(fixed["notes"], ";").alias("notes"),
+        S.matches_pattern(fixed["text"], F.lit("DDADDDDDD"), F.lit(9), F.lit(9)).alias("valid")
+    )
 
 
 def candidate_rows(readings: DataFrame, inv: DataFrame) -> DataFrame:
@@ -179,7 +194,9 @@ def enriched_rows(inv: DataFrame, live: DataFrame, static: DataFrame) -> DataFra
 
 
 def record_rows(lines: DataFrame) -> DataFrame:
-    cards = lines.withColumn("line", F.col("text")).groupBy(F.col("image_id").alias("name")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_ord", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    cards = lines.withColumn("line", F.col("text")).groupBy(F.col("image_id").alias("name")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_ord", "line"))), lambda x: x["line"]), "\n").alias("text")
+    )
     cards = cards.withColumn("text", F.concat(F.lit("SERIE: 19S"), F.lpad(F.col("name").cast("string"), 6, "0"), F.lit("\n"), F.col("text")))
     return fields.normalised_record(fields.described(cards))
 
@@ -209,7 +226,10 @@ def matched_boxes(b: DataFrame) -> DataFrame:
 
 
 def located(readings: DataFrame, truth: DataFrame) -> DataFrame:
-    rows = readings.select("image_id", (F.col("variant_ord") * 10 + F.col("line_ord")).alias("ord"), "text", "confidence", F.lit(100.0).alias("x1"), F.lit(10.0).alias("y1"), F.lit(300.0).alias("x2"), F.lit(50.0).alias("y2"))
+    rows = readings.select(
+        "image_id", (F.col("variant_ord") * 10 + F.col("line_ord")).alias("ord"), "text", "confidence", F.lit(100.0).alias("x1"),
+        F.lit(10.0).alias("y1"), F.lit(300.0).alias("x2"), F.lit(50.0).alias("y2")
+    )
     return boxes.locate_expected(rows, truth.select("image_id", "truth_serial"), 400.0).select("image_id", "ord", "text", "distance")
 
 
@@ -270,7 +290,11 @@ def attribute_rows(inv: DataFrame) -> DataFrame:
 def masked(readings: DataFrame, inv: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Readings, with characters that were taken for others, against an inventory of one shape."""
     same = lambda c: F.concat(F.lit("19S"), F.lpad(F.regexp_replace(c, "[^0-9]", ""), 6, "0"))
-    worn = F.when(F.col("image_id") % 4 == 0, F.translate(same("text"), "01", "OI")).when(F.col("image_id") % 4 == 1, F.concat(F.lit("195"), F.substring(same("text"), 4, 6))).when(F.col("image_id") % 4 == 2, F.concat(same("text"), F.lit("X"))).when(F.col("image_id") % 8 == 3, F.concat(F.substring(same("text"), 1, 8), F.lit("X"))).otherwise(same("text"))
+    worn = F.when(F.col("image_id") % 4 == 0, F.translate(same("text"), "01", "OI")).when(
+        F.col("image_id") % 4 == 1, F.concat(F.lit("195"), F.substring(same("text"), 4, 6))
+    ).when(F.col("image_id") % 4 == 2, F.concat(same("text"), F.lit("X"))).when(
+        F.col("image_id") % 8 == 3, F.concat(F.substring(same("text"), 1, 8), F.lit("X"))
+    ).otherwise(same("text"))
     return readings.withColumn("text", worn), inv.withColumn("serial", same("serial"))
 
 
@@ -291,7 +315,10 @@ def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both distances by their names in SQL."""
     S.register(spark)
     rows = frame(spark, sf_dir, "readings").withColumn("k", S.serial_charset(F.col("text")))
-    return rows.select("image_id", "variant_ord", F.expr("weighted_edit_distance(k, truth_serial)").alias("distance"), F.expr("fuzzy_substring_distance(truth_serial, k)").alias("inside"))
+    return rows.select(
+        "image_id", "variant_ord", F.expr("weighted_edit_distance(k, truth_serial)").alias("distance"),
+        F.expr("fuzzy_substring_distance(truth_serial, k)").alias("inside")
+    )
 
 
 def set_algebra(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -308,7 +335,14 @@ def assembled_rows(audit: DataFrame) -> DataFrame:
 
 def live_rows(inv: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
-    live = inv.select(F.col("ord").alias("id"), F.col("serial").alias("numero_serie"), F.col("brand").alias("marca"), F.concat(F.lit("0"), (1 + F.col("ord") % 9).cast("string"), F.lit("/2019")).alias("anio_fabricacion"), F.when(F.col("ord") % 2 == 0, "OXÍGENO").otherwise("ACETILENO").alias("tipo_gas"), F.lit("KG").alias("unidad_medida"), F.col("size").alias("peso"), none.alias("ancho_diametro"), none.alias("largo_altura"), F.when(F.col("ord") % 2 == 0, F.lit(40.5)).alias("litros"), F.lit(33.0).alias("contenido"), F.lit("verde").alias("color"), F.lit("CADA 10 AÑOS PH").alias("ph"), F.lit("CHINA").alias("procedencia"))
+    live = inv.select(
+        F.col("ord").alias("id"), F.col("serial").alias("numero_serie"), F.col("brand").alias("marca"),
+        F.concat(F.lit("0"), (1 + F.col("ord") % 9).cast("string"), F.lit("/2019")).alias("anio_fabricacion"),
+        F.when(F.col("ord") % 2 == 0, "OXÍGENO").otherwise("ACETILENO").alias("tipo_gas"), F.lit("KG").alias("unidad_medida"),
+        F.col("size").alias("peso"), none.alias("ancho_diametro"), none.alias("largo_altura"),
+        F.when(F.col("ord") % 2 == 0, F.lit(40.5)).alias("litros"), F.lit(33.0).alias("contenido"), F.lit("verde").alias("color"),
+        F.lit("CADA 10 AÑOS PH").alias("ph"), F.lit("CHINA").alias("procedencia")
+    )
     return fields.live_record(live).drop("issues")
 
 

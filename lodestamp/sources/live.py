@@ -28,7 +28,10 @@ def call(options, path: str, query: dict[str, str] | list[tuple[str, str]] = (),
     """One request; the answer as JSON, None if it has none."""
     pairs = urllib.parse.urlencode(list(query.items()) if isinstance(query, dict) else query, safe=",.()")
     headers = {"Content-Type": "application/json", "Prefer": "resolution=merge-duplicates"} | ({"Authorization": f"Bearer {options['token']}"} if options.get("token") else {})
-    request = urllib.request.Request(f"{options['url'].rstrip('/')}/{path}" + (f"?{pairs}" if pairs else ""), method=method, headers=headers, data=None if body is None else json.dumps(body, default=str).encode())
+    request = urllib.request.Request(
+        f"{options['url'].rstrip('/')}/{path}" + (f"?{pairs}" if pairs else ""), method=method, headers=headers,
+        data=None if body is None else json.dumps(body, default=str).encode()
+    )
     with urllib.request.urlopen(request, timeout=float(options.get("timeout", 60))) as answer:
         said = answer.read()
     return json.loads(said) if said else None

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from lodestamp.functions.serial import serial_charset
 
 # Columns of the live inventory table.
-LIVE_COLUMNS = ["id", "numero_serie", "marca", "anio_fabricacion", "tipo_gas", "unidad_medida", "peso", "ancho_diametro", "largo_altura", "litros", "contenido", "color", "ph", "procedencia"]
+LIVE_COLUMNS = [
+    "id", "numero_serie", "marca", "anio_fabricacion", "tipo_gas", "unidad_medida", "peso", "ancho_diametro", "largo_altura", "litros",
+    "contenido", "color", "ph", "procedencia"
+]
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp")
 
 
@@ -23,14 +26,19 @@ def read_inventory_json(spark: SparkSession, path: str, record: str) -> DataFram
     bare = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>"))
     inside = F.from_json("value", "cylinders array<string>")["cylinders"]
     rows = text.select("file", F.posexplode(F.coalesce(bare, inside)).alias("ord", "raw")).where(F.col("raw").startswith("{"))
-    return rows.select("file", F.col("ord").cast("long").alias("ord"), F.from_json("raw", record).alias("r"), F.try_parse_json("raw").alias("attributes")).select("file", "ord", "r.*", "attributes")
+    return rows.select(
+        "file", F.col("ord").cast("long").alias("ord"), F.from_json("raw", record).alias("r"), F.try_parse_json("raw").alias("attributes")
+    ).select("file", "ord", "r.*", "attributes")
 
 
 def read_truth_csv(spark: SparkSession, path: str) -> DataFrame:
     """(image, serial); either spelling of the headers, blanks dropped, the last row of an image wins: of the last file by name, and there of the last line."""
     raw = spark.read.csv(path, header=True)
     pick = lambda *names: F.trim(F.coalesce(*[F.col(n) for n in names if n in raw.columns]))
-    rows = raw.select(pick("imagen", "image").alias("image"), serial_charset(pick("numero_serie", "serial")).alias("serial"), F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).alias("ord"))
+    rows = raw.select(
+        pick("imagen", "image").alias("image"), serial_charset(pick("numero_serie", "serial")).alias("serial"),
+        F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")).alias("ord")
+    )
     return rows.where("image <> '' and serial <> ''").groupBy("image").agg(F.max_by("serial", "ord").alias("serial"))
 
 
@@ -47,8 +55,14 @@ def read_listing(spark: SparkSession, path: str, truth: DataFrame | None = None)
 
 def read_box_labels(spark: SparkSession, path: str, class_id: int | None = None) -> DataFrame:
     """Lines of exactly five tokens: class and box as shares of the frame; of each file the first line, or the first of a class."""
-    rows = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"), F.split(F.trim("value"), r"\s+").alias("p")).where(F.size("p") == 5)
-    rows = rows.select("file", "ord", F.col("p")[0].try_cast("int").alias("class_id"), *[F.col("p")[k + 1].try_cast("double").alias(c) for k, c in enumerate(("cx", "cy", "w", "h"))])
+    rows = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"),
+        F.split(F.trim("value"), r"\s+").alias("p")
+    ).where(F.size("p") == 5)
+    rows = rows.select(
+        "file", "ord", F.col("p")[0].try_cast("int").alias("class_id"),
+        *[F.col("p")[k + 1].try_cast("double").alias(c) for k, c in enumerate(("cx", "cy", "w", "h"))]
+    )
     rows = rows.where("class_id is not null") if class_id is None else rows.where(F.col("class_id") == class_id)
     return rows.groupBy("file").agg(F.min_by(F.struct("class_id", "cx", "cy", "w", "h"), "ord").alias("b")).select("file", "b.*")
 
@@ -58,7 +72,11 @@ def list_assets(spark: SparkSession, root: str, suffixes: tuple[str, ...] = IMAG
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.regexp_replace("path", "^.*?" + root.rstrip("/").rsplit("/", 1)[-1] + "/", "")
     parts = F.split(rel, "/")
-    rows = files.select(rel.alias("asset"), F.when(F.size(parts) > 1, parts[0]).otherwise("(raíz)").alias("grp"), F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).otherwise("(raíz)").alias("condition"), "length", *([F.sha1("content").alias("digest")] if digest else []))
+    rows = files.select(
+        rel.alias("asset"), F.when(F.size(parts) > 1, parts[0]).otherwise("(raíz)").alias("grp"),
+        F.when(F.size(parts) > 2, F.get(parts, F.lit(1))).otherwise("(raíz)").alias("condition"), "length",
+        *([F.sha1("content").alias("digest")] if digest else [])
+    )
     return rows.where(F.lower(F.substring_index("asset", ".", -1)).isin(*suffixes))
 
 
@@ -85,7 +103,9 @@ def newest_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 def write_truth(assets: DataFrame, inventory: DataFrame, path: str) -> None:
     """One row per image of every described asset."""
-    assets.join(inventory.select(F.col("asset_id").alias("grp"), F.col("serial").alias("numero_serie")), "grp").select(F.col("asset").alias("imagen"), "numero_serie").write.mode("overwrite").csv(path, header=True)
+    assets.join(
+        inventory.select(F.col("asset_id").alias("grp"), F.col("serial").alias("numero_serie")), "grp"
+    ).select(F.col("asset").alias("imagen"), "numero_serie").write.mode("overwrite").csv(path, header=True)
 
 
 def write_split_listing(assigned: DataFrame, path: str) -> None:

@@ -95,7 +95,10 @@ def test_outcomes_of_the_cascade(spark):
 
     inv = spark.createDataFrame([(i, f"A{i}", s) for i, s in enumerate(["19S206055", "K5738060", "123456789"])], "ord long, asset_id string, serial string")
     rows = [(1, 0, "X19S206055", 0.9), (2, 0, "I2345678O", 0.9), (3, 0, "K5738060", 0.9), (4, 0, "PW200", 0.9)]
-    truth = spark.createDataFrame([(1, "19S206055", "a"), (2, "123456789", "a"), (3, "K5738060", "b"), (4, "K5738060", "b"), (5, "K5738060", "b")], "image_id long, truth_serial string, condition string")
+    truth = spark.createDataFrame(
+        [(1, "19S206055", "a"), (2, "123456789", "a"), (3, "K5738060", "b"), (4, "K5738060", "b"), (5, "K5738060", "b")],
+        "image_id long, truth_serial string, condition string"
+    )
     judged = {r.image_id: r for r in registry.judged(readings(spark, rows), inv, truth).collect()}
     want = {}
     for r in judged.values():
@@ -115,23 +118,35 @@ def test_pattern_and_entries(spark):
 
 
 def test_fields(spark):
-    rows = [(1, 0, "MARCA: JP5", 0.9), (1, 0, "PESO: 45,2 KG", 0.8), (1, 0, "09/2019", 0.9), (1, 0, "PH 02/25", 0.9), (2, 0, "NORRIS 40.4 L", 0.9), (2, 0, "linca", 0.2), (3, 0, "PH: CADA 10 AÑOS", 0.9)]
+    rows = [
+        (1, 0, "MARCA: JP5", 0.9), (1, 0, "PESO: 45,2 KG", 0.8), (1, 0, "09/2019", 0.9), (1, 0, "PH 02/25", 0.9),
+        (2, 0, "NORRIS 40.4 L", 0.9), (2, 0, "linca", 0.2), (3, 0, "PH: CADA 10 AÑOS", 0.9)
+    ]
     got = {(r.image_id, r.field): (r.value, r.confidence) for r in fields.stated(readings(spark, rows)).collect()}
     assert got[1, "marca"] == ("JP5", 0.9) and got[1, "peso"] == ("45.2", 0.8) and got[1, "fecha_fabricacion"] == ("2019-09", 0.63) and got[1, "anio_fabricacion"][0] == "2019"
     assert got[1, "ph"] == ("2025-02", 0.81) and got[2, "marca"] == ("NORRIS", 0.495) and got[2, "litros"][0] == "40.4" and got[3, "ph_periodicidad_anios"][0] == "10"
 
 
 def test_records(spark):
-    raw = spark.createDataFrame([("a", "N 19S206055", "SN", "pendiente", "CADA 5 AÑOS", "DIÓXIDO DE CARBONO", "1.21 CM"), ("b", "", "x", None, None, None, None)], "name string, numero_serie string, marca string, fecha_fabricacion string, ph string, tipo_gas string, largo_altura string")
+    raw = spark.createDataFrame(
+        [("a", "N 19S206055", "SN", "pendiente", "CADA 5 AÑOS", "DIÓXIDO DE CARBONO", "1.21 CM"), ("b", "", "x", None, None, None, None)],
+        "name string, numero_serie string, marca string, fecha_fabricacion string, ph string, tipo_gas string, largo_altura string"
+    )
     got = {r.name: r for r in fields.normalised_record(raw).collect()}
-    assert got["a"].tipo_gas == "CO2" and got["a"].marca is None and got["a"].ph_periodicidad_anios == 5 and got["a"].largo_altura == 121.0 and set(got["a"].issues) == {"fecha_fabricacion", "largo_altura"}
+    assert got["a"].tipo_gas == "CO2" and got["a"].marca is None and got["a"].ph_periodicidad_anios == 5 and got["a"].largo_altura == 121.0 and set(got["a"].issues) == {
+        "fecha_fabricacion", "largo_altura"
+    }
     assert got["b"].numero_serie is None and got["b"].issues == ["numero_serie"]
     form = fields.app_form(fields.normalised_record(raw)).where("numero_serie is not null").first()
     assert form.tipo_gas == "DIÓXIDO DE CARBONO" and form.ph == "CADA 5 AÑOS PH"
 
 
 def test_decide(spark):
-    one = lambda reasons, status, conf, **k: tuple(spark.range(1).select(evaluate.decide(F.array(*map(F.lit, reasons)).cast("array<string>"), F.lit(status), F.lit(True), F.lit(conf), **k).alias("d")).first().d)
+    one = lambda reasons, status, conf, **k: tuple(
+        spark.range(1).select(
+            evaluate.decide(F.array(*map(F.lit, reasons)).cast("array<string>"), F.lit(status), F.lit(True), F.lit(conf), **k).alias("d")
+        ).first().d
+    )
     assert one([], "matched", 0.95, calibrated=True) == (False, None)
     assert one([], "matched", 0.95, calibrated=True, accept=1.0) == (True, "confirmation_required")
     assert one(["serial_too_short"], "matched", 0.99, calibrated=False) == (True, None)
@@ -140,7 +155,11 @@ def test_decide(spark):
 
 
 def test_boxes(spark):
-    rows = [dict(ord=0, text="060", confidence=0.8, x1=300.0, y1=10.0, x2=380.0, y2=50.0), dict(ord=1, text="K5738", confidence=0.9, x1=100.0, y1=12.0, x2=280.0, y2=50.0), dict(ord=2, text="far", confidence=0.9, x1=100.0, y1=300.0, x2=280.0, y2=340.0)]
+    rows = [
+        dict(ord=0, text="060", confidence=0.8, x1=300.0, y1=10.0, x2=380.0, y2=50.0),
+        dict(ord=1, text="K5738", confidence=0.9, x1=100.0, y1=12.0, x2=280.0, y2=50.0),
+        dict(ord=2, text="far", confidence=0.9, x1=100.0, y1=300.0, x2=280.0, y2=340.0)
+    ]
     out = boxes.joined_rows(rows)
     assert [(x["text"], x["confidence"], x["x1"], x["x2"]) for x in out] == [("K5738 060", 0.8, 100.0, 380.0)]
     assert [x["n_boxes"] for x in boxes.merged_rows(rows)] == [2, 1]
@@ -197,7 +216,10 @@ def test_split_deals_every_group_by_cells(spark, monkeypatch):
 
 def test_sources(spark):
     d = tempfile.mkdtemp(prefix="src-", dir="/tmp")
-    for name, text in {"a.json": '{"version": 1, "cylinders": [{"numero_serie": "X1"}, 5, {"numero_serie": "X2"}]}', "b.json": '[{"numero_serie": "X3"}]', "c.json": "{broken"}.items():
+    for name, text in {
+        "a.json": '{"version": 1, "cylinders": [{"numero_serie": "X1"}, 5, {"numero_serie": "X2"}]}', "b.json": '[{"numero_serie": "X3"}]',
+        "c.json": "{broken"
+    }.items():
         open(f"{d}/{name}", "w").write(text)
     assert {(r.ord, r.numero_serie) for r in tables.read_inventory_json(spark, f"{d}/*.json", "numero_serie string").collect()} == {(0, "X1"), (2, "X2"), (0, "X3")}
     open(f"{d}/t.csv", "w").write("imagen,numero_serie\n a.jpg ,19s1\na.jpg,19S2\n,x\nb.jpg,\n")
@@ -220,7 +242,10 @@ def test_stream_of_split_requests_equals_batch(spark):
 
     d = tempfile.mkdtemp(prefix="stream-", dir="/tmp")
     inv = frame(spark, SF, "inventory")
-    rows = frame(spark, SF, "readings").where("image_id < 30").select(F.col("image_id").alias("request_id"), "variant_ord", "line_ord", "text", "confidence", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("image_id")).alias("ts"))
+    rows = frame(spark, SF, "readings").where("image_id < 30").select(
+        F.col("image_id").alias("request_id"), "variant_ord", "line_ord", "text", "confidence",
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("image_id")).alias("ts")
+    )
     # Each request in two files, with some rows twice; then a row that moves the watermark on, and one more to close that.
     late = spark.createDataFrame([(900, 0, 0, "19S206055", 0.9, datetime(2023, 11, 15))], rows.schema)
     for k, part in enumerate([rows.where("variant_ord = 0"), rows.where("variant_ord > 0 or request_id % 7 = 0"), late]):
@@ -291,7 +316,9 @@ def test_late_rows_of_a_running_stream(spark):
     counted = flow.late_on_stream(flow.read_rows(spark, str(d / "in"), "ts timestamp, status string", 1), "10 minutes")
     q = counted.writeStream.format("memory").queryName("late_counts").outputMode("update").option("checkpointLocation", str(d / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    newest = spark.table("late_counts").groupBy("status", "part").agg(F.max(F.struct("n", "n_late")).alias("m")).groupBy("status").agg(F.sum("m.n").alias("n"), F.sum("m.n_late").alias("n_late"))
+    newest = spark.table("late_counts").groupBy("status", "part").agg(F.max(F.struct("n", "n_late")).alias("m")).groupBy("status").agg(
+        F.sum("m.n").alias("n"), F.sum("m.n_late").alias("n_late")
+    )
     assert {(r.status, r.n, r.n_late) for r in newest.collect()} == {("ok", 6, 2), ("bad", 2, 1)}
 
 
@@ -497,7 +524,12 @@ def test_lines_of_boxes_have_their_properties(spark):
         images[i] = []
         for k in range(rng.randint(1, 14)):
             x, y = rng.randint(0, 300), rng.randint(0, 80)
-            images[i].append({"ord": k, "text": f"t{k}", "confidence": rng.randint(50, 99) / 100, "x1": float(x), "y1": float(y), "x2": float(x + rng.randint(3, 60)), "y2": float(y + rng.randint(3, 30))})
+            images[i].append(
+                {
+                    "ord": k, "text": f"t{k}", "confidence": rng.randint(50, 99) / 100, "x1": float(x), "y1": float(y),
+                    "x2": float(x + rng.randint(3, 60)), "y2": float(y + rng.randint(3, 30))
+                }
+            )
     df = spark.createDataFrame([(i, b["ord"], b["text"], b["confidence"], *[b[c] for c in boxes.SIDES]) for i, x in images.items() for b in x], SHAPE)
     assert_both(df, images)
     assert boxes.join_split(df.limit(0)).count() == 0
@@ -553,7 +585,10 @@ def test_proposals_of_another_shape_are_marked(spark):
 
 def test_positions_and_medians(spark):
     rng = random.Random(6)
-    for values in ([3.0], [1.0, 2.0], [rng.choice([0.0, 1e9, rng.random()]) for _ in range(301)], [5.0] * 40, [rng.random() for _ in range(500)] + [1e12], [-1.7e308, 1.7e308, *[rng.random() for _ in range(40)]]):
+    for values in (
+        [3.0], [1.0, 2.0], [rng.choice([0.0, 1e9, rng.random()]) for _ in range(301)], [5.0] * 40,
+        [rng.random() for _ in range(500)] + [1e12], [-1.7e308, 1.7e308, *[rng.random() for _ in range(40)]]
+    ):
         df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
         import statistics
 
@@ -613,7 +648,14 @@ def test_query_equals_sql(spark, name):
     want, got = c.sql(ORACLES[name]).df(), QUERIES[name](spark, SF).toPandas()
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
-    key = lambda d: sorted(map(str, d[cols].astype(object).where(d[cols].notna(), None).map(lambda v: round(float(v), 9) if isinstance(v, int | float) and not isinstance(v, bool) else v).itertuples(index=False, name=None)))
+    key = lambda d: sorted(
+        map(
+            str,
+            d[cols].astype(object).where(d[cols].notna(), None).map(
+                lambda v: round(float(v), 9) if isinstance(v, int | float) and not isinstance(v, bool) else v
+            ).itertuples(index=False, name=None)
+        )
+    )
     assert key(got) == key(want)
 
 

@@ -13,10 +13,16 @@ def each(spark, f, inputs):
 
 
 CASES = [
-    (S.serial_charset, ["N° DE SERIE: 19S206055", "  19s206055 ", "SERIE 19-S20.6055", None, "S/N 12", ":", "SERIE SERIE X1"], ["DESERIE19S206055"[7:], "19S206055", "19S206055", "", "12", "", "X1"]),
+    (
+        S.serial_charset, ["N° DE SERIE: 19S206055", "  19s206055 ", "SERIE 19-S20.6055", None, "S/N 12", ":", "SERIE SERIE X1"],
+        ["DESERIE19S206055"[7:], "19S206055", "19S206055", "", "12", "", "X1"]
+    ),
     (S.is_marking, ["PW200", "0.5LPW200", "PH300", "BH300BAR", "2021/05", "09/19", "UN1006", "ONU1072", "19S206055", None], [True] * 8 + [False] * 2),
     (S.allowed_errors, ["804", "20640", "K5738060"], [0, 0, 2]),
-    (T.gas, ["C02", "AIRE COMPRIMIDO", "80% ARGON 20% CO2", "MEZCLA", "Oxígeno", "HELIO Y ARGON", "SN", "", None, "zzz"], ["CO2", "AIR", "MIX", "MIX", "O2", "MIX", None, None, None, None]),
+    (
+        T.gas, ["C02", "AIRE COMPRIMIDO", "80% ARGON 20% CO2", "MEZCLA", "Oxígeno", "HELIO Y ARGON", "SN", "", None, "zzz"],
+        ["CO2", "AIR", "MIX", "MIX", "O2", "MIX", None, None, None, None]
+    ),
     (T.month_year, ["09/2019", "2019/09", "02/25", "09-19", "9.2019", "13/2019", "05/70", None], ["2019-09", "2019-09", "2025-02", "2019-09", "2019-09", None, "1970-05", None]),
     (T.year, ["09/2019", "año 1998", "x"], [2019, 1998, None]),
     (T.weight_kg, ["100 LB", "45,2 KG", "0", "500", "x", None], [45.36, 45.2, None, None, None, None]),
@@ -43,7 +49,10 @@ def test_literal(spark, k):
 
 
 def test_distances(spark):
-    pairs = [("19S206055", "195206055", 0.5, None), ("K5738060", "2K5738060", 1.0, 0.0), ("K5738060", "JDK573306001", None, 1.0), ("", "abc", 3.0, 0.0), ("abc", "", 3.0, 3.0), ("abc", "abc", 0.0, 0.0)]
+    pairs = [
+        ("19S206055", "195206055", 0.5, None), ("K5738060", "2K5738060", 1.0, 0.0), ("K5738060", "JDK573306001", None, 1.0),
+        ("", "abc", 3.0, 0.0), ("abc", "", 3.0, 3.0), ("abc", "abc", 0.0, 0.0)
+    ]
     df = spark.createDataFrame(pairs, "a string, b string, d double, s double")
     for r in df.select("*", S.weighted_edit_distance(F.col("a"), F.col("b")).alias("x"), S.substring_distance(F.col("a"), F.col("b")).alias("y")).collect():
         assert r.d is None or r.x == r.d
