@@ -196,7 +196,9 @@ def exact(queries: np.ndarray, rows: np.ndarray, at: np.ndarray, of: np.ndarray)
     return (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
 
 
-def nearest_in_block(queries: np.ndarray, rows: np.ndarray, ids: list, m: int, leaf: np.ndarray | None = None, visited: list | None = None) -> Iterator[tuple[int, int, int, float]]:
+def nearest_in_block(
+    queries: np.ndarray, rows: np.ndarray, ids: list, m: int, leaf: np.ndarray | None = None, visited: list | None = None
+) -> Iterator[tuple[int, int, int, float]]:
     """(query number, row number, id, score) of each query's nearest until ``m`` different ids are among them: matrix products find them, a pairwise sum scores them.
 
     With ``leaf`` (of each row) and ``visited`` (leaves of each query) a query is multiplied with the rows of leaves it visits only.
@@ -256,9 +258,17 @@ def nearest_in_block(queries: np.ndarray, rows: np.ndarray, ids: list, m: int, l
 def search_block(m: int):
     def search(key, asking: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         empty = not len(asking) or not len(rows)
-        found = [] if empty else list(nearest_in_block(matrix(asking["vec"]), matrix(rows["vec"]), [list(x) for x in rows["ids"]], m, rows["leaf"].to_numpy(), list(asking["leaves"])))
+        found = [] if empty else list(
+            nearest_in_block(
+                matrix(asking["vec"]), matrix(rows["vec"]), [list(x) for x in rows["ids"]], m, rows["leaf"].to_numpy(),
+                list(asking["leaves"])
+            )
+        )
         names, others = asking["point"].to_numpy(), rows["of"].to_numpy()
-        cols = {"point": [int(names[i]) for i, _, _, _ in found], "of": [int(others[j]) for _, j, _, _ in found], "vec_id": [int(v) for _, _, v, _ in found], "score": [float(x) for _, _, _, x in found]}
+        cols = {
+            "point": [int(names[i]) for i, _, _, _ in found], "of": [int(others[j]) for _, j, _, _ in found],
+            "vec_id": [int(v) for _, _, v, _ in found], "score": [float(x) for _, _, _, x in found]
+        }
         return pd.DataFrame(cols).astype({"point": "int64", "of": "int64", "vec_id": "int64", "score": "float64"})
 
     return search
@@ -450,7 +460,10 @@ def calibrate(index: DataFrame, cells: DataFrame, tree, m: int, calibration: int
     return (cells_seen, leaves_seen), float(np.mean((outer <= cells_seen) & (inner <= leaves_seen)))
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int = 5, target_recall: float = 0.95, max_sample: int = MAX_SAMPLE, calibration: int = 200, leaf: int = LEAF, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(
+    vectors: DataFrame, queries: Column, k: int = 5, target_recall: float = 0.95, max_sample: int = MAX_SAMPLE, calibration: int = 200,
+    leaf: int = LEAF, id_col: str = "vec_id", vec_col: str = "embedding"
+) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest other rows of every row for which ``queries`` holds. An id that several rows have asks with each of its vectors and has one answer: every other row counts once, with its best score."""
     sc = vectors.sparkSession.sparkContext
     pts = materialize(points(vectors, k, id_col, vec_col))

@@ -74,13 +74,22 @@ def expanded_tokens(part: Column, t: Template) -> Column:
 
 def visit(part: Column, t: Template) -> Column:
     """One part as formatted text. Unknown types and null parts give nothing."""
-    return F.when(part["type"] == "text", t.escaped(part["text"])).when(part["type"] == "image", F.lit(t.image)).when(part["type"] == "audio", F.lit(t.audio)).when(part["type"] == "document", F.lit(t.document)).otherwise(F.lit(""))
+    return F.when(
+        part["type"] == "text", t.escaped(part["text"])
+    ).when(part["type"] == "image", F.lit(t.image)).when(part["type"] == "audio", F.lit(t.audio)).when(
+        part["type"] == "document", F.lit(t.document)
+    ).otherwise(F.lit(""))
 
 
 def text_parts(text: Column) -> Column:
     """A plain text as the parts of a turn."""
     none = lambda kind: F.lit(None).cast(kind)
-    return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), none("string").alias("ref"), none("int").alias("width"), none("int").alias("height"), none("double").alias("seconds"), none("int").alias("pages")))
+    return F.array(
+        F.struct(
+            F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), none("string").alias("ref"), none("int").alias("width"),
+            none("int").alias("height"), none("double").alias("seconds"), none("int").alias("pages")
+        )
+    )
 
 
 def format_chat(turns: DataFrame, template: Template = DEFAULT, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts") -> DataFrame:
@@ -104,10 +113,22 @@ def format_chat(turns: DataFrame, template: Template = DEFAULT, id_col: str = "c
     placed = placed.select("id", F.struct("no", "begun", head.alias("head"), body.alias("body"), attached.alias("attached"), role.isin(*t.loss_roles).alias("learn")).alias("t"))
     grouped = placed.groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
     turn_text = lambda x: F.concat(x["head"], x["body"], F.lit(t.end))
-    span = lambda x: F.struct((x["no"] - 1).alias("turn_no"), (x["begun"] + F.char_length(x["head"])).alias("start"), F.char_length(x["body"]).cast("long").alias("length"))
+    span = lambda x: F.struct(
+        (x["no"] - 1).alias("turn_no"), (x["begun"] + F.char_length(x["head"])).alias("start"),
+        F.char_length(x["body"]).cast("long").alias("length")
+    )
     spans = F.transform(F.filter("ts", lambda x: x["learn"]), span)
-    listed = lambda x, i: F.transform(x["attached"], lambda a: F.struct(i.alias("turn_no"), a["part_no"].alias("part_no"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["n_tokens"].alias("n_tokens")))
-    return grouped.select(F.col("id").alias(id_col), F.array_join(F.transform("ts", turn_text), "").alias("formatted"), spans.alias("loss_spans"), F.flatten(F.transform("ts", listed)).alias("attachments"))
+    listed = lambda x, i: F.transform(
+        x["attached"],
+        lambda a: F.struct(
+            i.alias("turn_no"), a["part_no"].alias("part_no"), a["kind"].alias("kind"), a["ref"].alias("ref"),
+            a["n_tokens"].alias("n_tokens")
+        )
+    )
+    return grouped.select(
+        F.col("id").alias(id_col), F.array_join(F.transform("ts", turn_text), "").alias("formatted"), spans.alias("loss_spans"),
+        F.flatten(F.transform("ts", listed)).alias("attachments")
+    )
 
 
 def _turn_strings(formatted: Column, t: Template) -> Column:
@@ -120,7 +141,13 @@ def read_turns(formatted: Column, template: Template = DEFAULT) -> Column:
     t = template
     inner = lambda x: F.substring(x, len(t.start) + 1, 2**31 - 1)
     role = lambda x: F.substring_index(inner(x), t.sep, 1)
-    return F.transform(_turn_strings(formatted, t), lambda x: F.struct(t.unescaped(role(x)).alias("role"), t.unescaped(F.substring(inner(x), F.char_length(role(x)) + len(t.sep) + 1, F.lit(2**31 - 1))).alias("text")))
+    return F.transform(
+        _turn_strings(formatted, t),
+        lambda x: F.struct(
+            t.unescaped(role(x)).alias("role"),
+            t.unescaped(F.substring(inner(x), F.char_length(role(x)) + len(t.sep) + 1, F.lit(2**31 - 1))).alias("text")
+        )
+    )
 
 
 def read_loss(formatted: Column, spans: Column, template: Template = DEFAULT) -> Column:
@@ -147,7 +174,13 @@ def query(spark, sf_dir: str) -> DataFrame:
     loss = F.array_join(read_loss(F.col("formatted"), F.col("loss_spans")), "")
     back = out.select("conv_id", read_turns(F.col("formatted")).alias("turns"), loss.alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
     digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
-    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), digest(F.col("loss")).alias("loss_sha256"), "formatted_chars")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        digest(
+            F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+        ).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"), digest(F.col("loss")).alias("loss_sha256"), "formatted_chars"
+    )
 
 
 _COUNTED = " + ".join(f"(length({{c}}) - length(replace({{c}}, '{c}', ''))) // {len(c)}" for c in (*DEFAULT.controls, DEFAULT.escape))

@@ -95,7 +95,12 @@ def assign(matrix: DataFrame, slices: DataFrame, k: int, dim: int) -> DataFrame:
             for row in pdf.itertuples():
                 found = partial_distances(matrix_of(row.data, row.n), np.array([list(v) for v in row.c], np.int64))
                 small = found.max(initial=0) < 2**31
-                yield pd.DataFrame({"chunk": [row.chunk], "n": [row.n], "ids": [row.ids], "wide": [not small], "partial": [found.astype(np.int32 if small else np.int64).tobytes()]})
+                yield pd.DataFrame(
+                    {
+                        "chunk": [row.chunk], "n": [row.n], "ids": [row.ids], "wide": [not small],
+                        "partial": [found.astype(np.int32 if small else np.int64).tobytes()]
+                    }
+                )
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["n"].iloc[0])
@@ -136,7 +141,10 @@ def moved(matrix: DataFrame, assigned: DataFrame, slices: DataFrame, k: int) ->
     return added.groupBy("block").cogroup(slices.groupBy("block")).applyInPandas(update, SLICES)
 
 
-def lloyd(vectors: DataFrame, k: int = 40, rounds: int = 5, dim: int = 64, scale: int = 256, seed: str = "2", block_dims: int = BLOCK_DIMS, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
+def lloyd(
+    vectors: DataFrame, k: int = 40, rounds: int = 5, dim: int = 64, scale: int = 256, seed: str = "2", block_dims: int = BLOCK_DIMS,
+    id_col: str = "vec_id", vec_col: str = "embedding"
+) -> tuple[DataFrame, DataFrame]:
     """((chunk, ids, clusters, distances), slices) after ``rounds`` rounds and a last assignment."""
     points = whole(vectors, dim, scale, id_col, vec_col)
     matrix = materialize(cut(points, block_dims).repartition("block", "chunk"))
@@ -155,7 +163,9 @@ def centroids(slices: DataFrame) -> DataFrame:
 
 def clustered(assigned: DataFrame, slices: DataFrame) -> DataFrame:
     """(vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256), a row per vector."""
-    rows = assigned.select(F.explode(F.arrays_zip("ids", "clusters", "distances")).alias("x")).select(F.col("x.ids").alias("vec_id"), F.col("x.clusters").alias("cluster"), F.col("x.distances").alias("distance"))
+    rows = assigned.select(F.explode(F.arrays_zip("ids", "clusters", "distances")).alias("x")).select(
+        F.col("x.ids").alias("vec_id"), F.col("x.clusters").alias("cluster"), F.col("x.distances").alias("distance")
+    )
     within = lambda c: F.least(c, F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long")
     summed = rows.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(28,0)")).alias("own"))
     summed = summed.select("cluster", within(F.col("own")).alias("cluster_inertia"), within(F.sum("own").over(Window.partitionBy())).alias("inertia"))

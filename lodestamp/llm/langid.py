@@ -71,7 +71,13 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             n = counts(text)
             if n is not None:
                 at = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([part], pa.int64()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([(n[at] / n.sum()).astype("<f4").tobytes()], pa.binary())], ["lang", "part", "at", "share"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang]), pa.array([part], pa.int64()), pa.array([at.astype("<u2").tobytes()], pa.binary()),
+                        pa.array([(n[at] / n.sum()).astype("<f4").tobytes()], pa.binary())
+                    ],
+                    ["lang", "part", "at", "share"]
+                )
 
 
 class LangModel:

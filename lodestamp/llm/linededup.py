@@ -110,7 +110,12 @@ def build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     fingerprints, counts = np.zeros(len(keys), np.uint64), np.zeros(len(keys), np.int64)
     fingerprints[slot], counts[slot] = h2, n
     bits = np.packbits(hashed.bits)
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "salt": [salt], "level_sizes": [hashed.sizes.tobytes()], "bits": [bits.tobytes()], "fingerprints": [fingerprints.tobytes()], "counts": [counts.tobytes()]})
+    return pd.DataFrame(
+        {
+            "shard": [int(pdf["shard"].iloc[0])], "salt": [salt], "level_sizes": [hashed.sizes.tobytes()], "bits": [bits.tobytes()],
+            "fingerprints": [fingerprints.tobytes()], "counts": [counts.tobytes()]
+        }
+    )
 
 
 def line_keys(text: Column):
@@ -201,7 +206,10 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min
         shards = spark.sparkContext.broadcast((uuid.uuid4().hex, index.toPandas()))
         probe = probe_resident(shards, n_shards, min_docs)
         keys = lambda: F.transform(lines, key)
-        flags = probe(F.transform(keys(), lambda k: F.when(F.char_length(k) >= min_chars, F.xxhash64(k)).otherwise(F.lit(0))), F.transform(keys(), lambda k: F.when(F.char_length(k) >= min_chars, F.xxhash64(F.lit("second"), k)).otherwise(F.lit(0))))
+        flags = probe(
+            F.transform(keys(), lambda k: F.when(F.char_length(k) >= min_chars, F.xxhash64(k)).otherwise(F.lit(0))),
+            F.transform(keys(), lambda k: F.when(F.char_length(k) >= min_chars, F.xxhash64(F.lit("second"), k)).otherwise(F.lit(0)))
+        )
     else:
         flags = F.transform(lines, lambda x: F.lit(False))
     work = work.select("*", flags.alias("__ld_hit"))
@@ -222,8 +230,15 @@ def route(work: DataFrame, counts: DataFrame, n_keys: int, key, min_chars: int,
     """The rest of the index: hashes of lines that no resident shard knows go to their shard, positions of frequent ones come back by row, in ``__ld_gone``."""
     index, n_shards = build_index(counts, n_keys)
     work = materialize(work.withColumn("__ld_row", F.monotonically_increasing_id()))
-    exploded = work.select(F.col("__ld_row").alias("row"), F.posexplode(F.zip_with("__ld.lines", "__ld_hit", lambda x, hit: F.struct(key(x).alias("key"), hit.alias("hit")))).alias("pos", "line"))
-    lines = exploded.where(~F.col("line.hit") & (F.char_length("line.key") >= min_chars)).select("row", "pos", F.xxhash64("line.key").alias("h1"), F.xxhash64(F.lit("second"), "line.key").alias("h2"))
+    exploded = work.select(
+        F.col("__ld_row").alias("row"),
+        F.posexplode(
+            F.zip_with("__ld.lines", "__ld_hit", lambda x, hit: F.struct(key(x).alias("key"), hit.alias("hit")))
+        ).alias("pos", "line")
+    )
+    lines = exploded.where(~F.col("line.hit") & (F.char_length("line.key") >= min_chars)).select(
+        "row", "pos", F.xxhash64("line.key").alias("h1"), F.xxhash64(F.lit("second"), "line.key").alias("h2")
+    )
     lines = lines.withColumn("shard", F.pmod("h1", F.lit(n_shards)).cast("long"))
     parts = materialize(lines.groupBy("shard").agg(F.ceil(F.count("*") / ROUTED_LINES).cast("int").alias("parts")))
     lines = lines.join(F.broadcast(parts), "shard").withColumn("part", F.pmod(F.xxhash64("row", "pos"), F.col("parts")).cast("int")).drop("parts")

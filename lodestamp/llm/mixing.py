@@ -35,14 +35,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_r
     by_cap = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").isNull(), "source")
     before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
     everyone = Window.partitionBy()
-    run = ranked.select("*", F.coalesce(F.sum("source_size").over(before), F.lit(0)).alias("full"), F.coalesce(F.sum("weight").over(before), F.lit(0)).alias("used"), F.sum("source_size").over(everyone).alias("all_size"), F.sum("weight").over(everyone).alias("all_weight"))
+    run = ranked.select(
+        "*", F.coalesce(F.sum("source_size").over(before), F.lit(0)).alias("full"),
+        F.coalesce(F.sum("weight").over(before), F.lit(0)).alias("used"), F.sum("source_size").over(everyone).alias("all_size"),
+        F.sum("weight").over(everyone).alias("all_weight")
+    )
     # The level if exactly the sources before this one are full, as a fraction num / den.
     run = run.withColumn("num", F.col("all_size") - max_repeats * F.col("full")).withColumn("den", F.col("all_weight") - F.col("used"))
     run = run.withColumn("open", max_repeats * F.col("source_size") * F.col("den") > F.col("num") * F.col("weight"))
     level = F.min(F.when(F.col("open"), F.struct("used", "num", "den"))).over(everyone)
     run = run.withColumn("level", level)
     capped = F.col("level").isNull() | (F.col("used") < F.col("level.used"))
-    target = F.when(capped, (max_repeats * F.col("source_size")).cast("double")).otherwise((F.col("weight") * F.col("level.num")).cast("double") / F.col("level.den").cast("double"))
+    target = F.when(capped, (max_repeats * F.col("source_size")).cast("double")).otherwise(
+        (F.col("weight") * F.col("level.num")).cast("double") / F.col("level.den").cast("double")
+    )
     return run.select("source", "source_size", "weight", target.alias("target"))
 
 
@@ -52,7 +58,10 @@ def demand_inverse(share: Column, knots: Column) -> Column:
     Weights are taken as at least 1e-9, so that the integral rises everywhere.
     """
     w = lambda k: F.greatest(k["w"], F.lit(1e-9))
-    pairs = F.zip_with(F.slice(knots, F.lit(1), F.size(knots) - 1), F.slice(knots, F.lit(2), F.size(knots) - 1), lambda a, b: F.struct(a["t"].alias("t0"), w(a).alias("w0"), (b["t"] - a["t"]).alias("dt"), w(b).alias("w1")))
+    pairs = F.zip_with(
+        F.slice(knots, F.lit(1), F.size(knots) - 1), F.slice(knots, F.lit(2), F.size(knots) - 1),
+        lambda a, b: F.struct(a["t"].alias("t0"), w(a).alias("w0"), (b["t"] - a["t"]).alias("dt"), w(b).alias("w1"))
+    )
     area = lambda s: s["dt"] * (s["w0"] + s["w1"]) / 2
     whole = F.aggregate(pairs, F.lit(0.0), lambda acc, s: acc + area(s))
 
@@ -62,7 +71,10 @@ def demand_inverse(share: Column, knots: Column) -> Column:
         # w0 x + slope x^2 / 2 = rest, in the form that holds for slope 0 too.
         x = 2 * rest / (s["w0"] + F.sqrt(F.greatest(s["w0"] * s["w0"] + 2 * slope * rest, F.lit(0.0))))
         inside = acc["rest"] >= 0
-        return F.struct(F.when(inside, s["t0"] + F.least(x, s["dt"])).otherwise(acc["time"]).alias("time"), F.when(inside & (acc["rest"] > area(s)), acc["rest"] - area(s)).otherwise(F.lit(-1.0)).alias("rest"))
+        return F.struct(
+            F.when(inside, s["t0"] + F.least(x, s["dt"])).otherwise(acc["time"]).alias("time"),
+            F.when(inside & (acc["rest"] > area(s)), acc["rest"] - area(s)).otherwise(F.lit(-1.0)).alias("rest")
+        )
 
     return F.aggregate(pairs, F.struct(F.lit(0.0).alias("time"), (share * whole).alias("rest")), step, lambda acc: acc["time"])
 
@@ -70,16 +82,26 @@ def demand_inverse(share: Column, knots: Column) -> Column:
 def curriculum(weight: Column) -> Column:
     """The default schedules: heavy sources fade a little, light ones rise; each keeps its total weight."""
     tilt = F.when(weight >= 5, F.lit(-0.25)).when(weight <= 1, F.lit(0.25)).otherwise(F.lit(0.0))
-    return F.array(F.struct(F.lit(0.0).alias("t"), (weight * (1 - tilt)).cast("double").alias("w")), F.struct(F.lit(1.0).alias("t"), (weight * (1 + tilt)).cast("double").alias("w")))
+    return F.array(
+        F.struct(F.lit(0.0).alias("t"), (weight * (1 - tilt)).cast("double").alias("w")),
+        F.struct(F.lit(1.0).alias("t"), (weight * (1 + tilt)).cast("double").alias("w"))
+    )
 
 
-def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3, schedule=curriculum, whole_documents: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+def plan_mix(
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3, schedule=curriculum, whole_documents: bool = False,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per document: id, size, source, source_size, target, taken (words, repeats counted), full_passes, part (words of the last pass) and start_position.
 
     The last pass of a source ends where its target is reached: the document there is taken in part, or, with
     ``whole_documents``, as a whole if at least half of it is due. ``keep``: more columns to carry along.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.when(F.col(id_col).isNull(), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col), F.lit(""))))).alias("nameless"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
+    sized = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        F.when(F.col(id_col).isNull(), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col), F.lit(""))))).alias("nameless"),
+        *[F.col(c).alias(f"__keep_{c}") for c in keep]
+    )
     sized = sized.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("nameless")))).withColumn("cell", F.substring("order", 1, CELL_DIGITS))
     if not keep:
         sized = materialize(sized)  # slim rows: the texts are read once
@@ -87,7 +109,9 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats:
     before_cell = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("cell_start", F.coalesce(F.sum("cell_size").over(before_cell), F.lit(0)))
     targets = source_targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, max_repeats)
-    starts = cells.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("c_source"), F.col("cell").alias("c_cell"), "cell_start", "source_size", "weight", "target")
+    starts = cells.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
+        F.col("source").alias("c_source"), F.col("cell").alias("c_cell"), "cell_start", "source_size", "weight", "target"
+    )
     inside = Window.partitionBy("source", "cell").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = sized.withColumn("in_cell", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     laid = laid.join(starts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("cell") == F.col("c_cell")))
@@ -100,7 +124,10 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats:
         part = F.when((part * 2 >= F.col("size")) & (part > 0), F.col("size")).otherwise(F.lit(0))
     laid = laid.withColumn("part", part.cast("long")).withColumn("taken", F.col("full_passes") * F.col("size") + F.col("part"))
     share = F.when(F.col("target") > 0, F.least(F.col("at") / F.col("target"), F.lit(1.0))).otherwise(F.lit(0.0))
-    return laid.select("doc_id", "source", "size", "source_size", "target", "taken", "full_passes", "part", "weight", "at", demand_inverse(share, schedule(F.col("weight"))).alias("start_position"), *[F.col(f"__keep_{c}").alias(c) for c in keep])
+    return laid.select(
+        "doc_id", "source", "size", "source_size", "target", "taken", "full_passes", "part", "weight", "at",
+        demand_inverse(share, schedule(F.col("weight"))).alias("start_position"), *[F.col(f"__keep_{c}").alias(c) for c in keep]
+    )
 
 
 def training_order(plan: DataFrame, schedule=curriculum) -> DataFrame:

@@ -112,7 +112,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, vnodes: int = VNODES, slack: fl
     for row in loads.groupBy("arc").agg(F.sum("n").alias("n")).collect():
         total[row["arc"]] = row["n"]
     pieces = ring.placed(total, capacities(int(total.sum()), shards, slack))
-    pieces = docs.sparkSession.createDataFrame(pieces, "arc int, begin long, end long, shard int").groupBy("arc").agg(F.collect_list(F.struct("begin", "end", "shard")).alias("pieces"))
+    pieces = docs.sparkSession.createDataFrame(pieces, "arc int, begin long, end long, shard int").groupBy("arc").agg(
+        F.collect_list(F.struct("begin", "end", "shard")).alias("pieces")
+    )
 
     order = Window.partitionBy(*group).orderBy("at", "key", "size", "text_crc32", "row")
     mine = F.col("start") + F.coalesce(F.sum("load").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

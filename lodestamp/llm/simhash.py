@@ -199,7 +199,10 @@ def links(classes: DataFrame, radius: int = 3, shard_size: int = SHARD_SIZE) ->
 BINS, BIN_ROWS, BROADCAST_KEYS = 64, 1 << 16, 1_000_000
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 3, radius: int = 3, shard_size: int = SHARD_SIZE, keep: tuple[str, ...] = ()) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 3, radius: int = 3, shard_size: int = SHARD_SIZE,
+    keep: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per document: ``id_col``, ``keep``, ``fp``, ``component_fp`` (one fingerprint that names the component) and ``component_id``, the smallest id reachable over links."""
     named = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"__keep_{k}") for k, c in enumerate(keep)])
     printed = materialize(fingerprints(named, "__text", words).drop("__text"))

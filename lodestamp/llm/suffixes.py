@@ -78,10 +78,19 @@ def list_minimisers(min_words: int, k: int):
             for text in batch.column("text").to_pylist():
                 h = word_hashes(text)
                 rows.append((len(h), *minimisers(h, min_words, k)))
-            lists = lambda j, kind: pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(r[j]) for r in rows])]).astype(np.int32), pa.array(np.concatenate([r[j] for r in rows] or [np.zeros(0)]).astype(kind)))
+            lists = lambda j, kind: pa.ListArray.from_arrays(
+                np.concatenate([[0], np.cumsum([len(r[j]) for r in rows])]).astype(np.int32),
+                pa.array(np.concatenate([r[j] for r in rows] or [np.zeros(0)]).astype(kind))
+            )
             names = ["doc_id", "t1", "t2", "n_words", "pos", "key"]
             keys = pa.ListArray.from_arrays(lists(1, np.int32).offsets, pa.array(np.concatenate([r[2] for r in rows] or [np.zeros(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t1"), batch.column("t2"), pa.array([r[0] for r in rows], pa.int64()), lists(1, np.int32), keys], names)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"), batch.column("t1"), batch.column("t2"), pa.array([r[0] for r in rows], pa.int64()),
+                    lists(1, np.int32), keys
+                ],
+                names
+            )
 
     return run
 
@@ -100,7 +109,14 @@ def fetch_contexts(min_words: int, k: int):
                     pos = np.array([s["pos"] for s in part], np.int64)
                     around = padded[pos[:, None] + np.arange(left + min_words)]
                     m = len(part)
-                    yield pa.RecordBatch.from_arrays([pa.array([doc] * m, pa.int64()), pa.array([t1] * m, pa.int64()), pa.array(pos), pa.array([len(h)] * m, pa.int64()), pa.array([s["key"] for s in part], pa.int64()), pa.array([s["n"] for s in part], pa.int64()), pa.array([r.tobytes() for r in around.astype(">u4")], pa.binary())], ["doc_id", "t1", "pos", "n_words", "key", "n", "around"])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([doc] * m, pa.int64()), pa.array([t1] * m, pa.int64()), pa.array(pos),
+                            pa.array([len(h)] * m, pa.int64()), pa.array([s["key"] for s in part], pa.int64()),
+                            pa.array([s["n"] for s in part], pa.int64()), pa.array([r.tobytes() for r in around.astype(">u4")], pa.binary())
+                        ],
+                        ["doc_id", "t1", "pos", "n_words", "key", "n", "around"]
+                    )
 
     return run
 
@@ -164,7 +180,13 @@ def window_hashes(min_words: int, k: int):
                     h1 ^= h1 >> np.uint64(31)
                     h2 = (h2 + part[:, i]) * np.uint64(0xC2B2AE3D27D4EB4F)
                     h2 ^= h2 >> np.uint64(33)
-                yield pa.RecordBatch.from_arrays([pa.array(doc[fits]), pa.array(t1[fits]), pa.array(pos[fits] - a), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["doc_id", "t1", "first_word", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(doc[fits]), pa.array(t1[fits]), pa.array(pos[fits] - a), pa.array(h1.view(np.int64)),
+                        pa.array(h2.view(np.int64))
+                    ],
+                    ["doc_id", "t1", "first_word", "h1", "h2"]
+                )
 
     return run
 
@@ -173,22 +195,38 @@ def matches(docs: DataFrame, min_words: int, k: int, hot: int, id_col: str, text
     """(doc_id, t1, first_word, end_word, other_doc_id) of every match; ``t1``, a hash of the text, tells rows with the same id apart."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     hashed = texts.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("second"), "text").alias("t2"), "text")
-    listed = materialize(hashed.mapInArrow(list_minimisers(min_words, k), "doc_id long, t1 long, t2 long, n_words long, pos array<int>, key array<long>").where(F.col("n_words") >= min_words))
+    listed = materialize(
+        hashed.mapInArrow(
+            list_minimisers(min_words, k), "doc_id long, t1 long, t2 long, n_words long, pos array<int>, key array<long>"
+        ).where(F.col("n_words") >= min_words)
+    )
     other = F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("other_doc_id")
     equal = materialize(listed.groupBy("t1", "t2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")))
     total = equal.agg(F.sum("n")).first()[0] or 0
     several = equal.where("low <> high")
-    whole = join_counted(listed.select("doc_id", "t1", "t2", "n_words"), several, ["t1", "t2"], total).select("doc_id", "t1", F.lit(0).cast("long").alias("first_word"), F.col("n_words").alias("end_word"), other)
+    whole = join_counted(listed.select("doc_id", "t1", "t2", "n_words"), several, ["t1", "t2"], total).select(
+        "doc_id", "t1", F.lit(0).cast("long").alias("first_word"), F.col("n_words").alias("end_word"), other
+    )
     least = equal.select(F.col("low").alias("doc_id"), "t1", "t2")
-    alone = materialize(listed.join(least, ["doc_id", "t1", "t2"]).select("doc_id", "t1", F.explode(F.arrays_zip("pos", "key")).alias("s")).select("doc_id", "t1", "s.pos", "s.key"))
+    alone = materialize(
+        listed.join(least, ["doc_id", "t1", "t2"]).select(
+            "doc_id", "t1", F.explode(F.arrays_zip("pos", "key")).alias("s")
+        ).select("doc_id", "t1", "s.pos", "s.key")
+    )
     counted = materialize(alone.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     shared_keys = join_counted(alone, counted.withColumn("times", F.col("n")), ["key"], alone.count())
     kept = materialize(shared_keys.groupBy("doc_id", "t1").agg(F.collect_set(F.struct("pos", "key", F.col("times").alias("n"))).alias("suffixes")))
     n = kept.agg(F.sum(F.size("suffixes"))).first()[0] or 0
-    contexts = materialize(hashed.select("doc_id", "t1", "text").join(kept, ["doc_id", "t1"]).select("doc_id", "t1", "text", "suffixes").mapInArrow(fetch_contexts(min_words, k), "doc_id long, t1 long, pos long, n_words long, key long, n long, around binary"))
+    contexts = materialize(
+        hashed.select("doc_id", "t1", "text").join(kept, ["doc_id", "t1"]).select("doc_id", "t1", "text", "suffixes").mapInArrow(
+            fetch_contexts(min_words, k), "doc_id long, t1 long, pos long, n_words long, key long, n long, around binary"
+        )
+    )
     bins = max(1, math.ceil(n / BIN_ROWS))
     near = contexts.where(F.col("n") <= hot).withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins))).groupBy("bin").applyInPandas(compare_neighbours(min_words, k), MATCH)
-    windows = contexts.where(F.col("n") > hot).select("doc_id", "t1", "pos", "n_words", "around").mapInArrow(window_hashes(min_words, k), "doc_id long, t1 long, first_word long, h1 long, h2 long")
+    windows = contexts.where(F.col("n") > hot).select("doc_id", "t1", "pos", "n_words", "around").mapInArrow(
+        window_hashes(min_words, k), "doc_id long, t1 long, first_word long, h1 long, h2 long"
+    )
     per_window = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
     shared = materialize(per_window.where("low <> high"))
     # The shared windows' own number of rows is the total here: others don't meet them.

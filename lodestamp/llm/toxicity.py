@@ -53,7 +53,10 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def counted() -> pa.RecordBatch:
         names = list(every)
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *[pa.array([c[t] for t in names], pa.int64()) for c in (labelled[1], labelled[0], every)]], ["token", "toxic", "clean", "n"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.binary()), *[pa.array([c[t] for t in names], pa.int64()) for c in (labelled[1], labelled[0], every)]],
+            ["token", "toxic", "clean", "n"]
+        )
 
     every, labelled = Counter(), {0: Counter(), 1: Counter()}
     for batch in batches:
@@ -206,7 +209,12 @@ def evidence_udf(shared):
             e, kept, n = model.evidence(t)
             best = max((s for _, _, s in kept), default=0.0)
             rows.append({"evidence": e, "best": best, "n_tokens": n, "passages": [{"first": a, "last": b, "score": s} for a, b, s in kept]})
-        kind = pa.struct([("evidence", pa.float64()), ("best", pa.float64()), ("n_tokens", pa.int64()), ("passages", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())])))])
+        kind = pa.struct(
+            [
+                ("evidence", pa.float64()), ("best", pa.float64()), ("n_tokens", pa.int64()),
+                ("passages", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())])))
+            ]
+        )
         return pa.array(rows, kind)
 
     return weigh
@@ -220,7 +228,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, max_lab
     sample = sampled_labels(labels, "toxic", max_labelled, learn, id_col).withColumnRenamed(id_col, "__id")
     named = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
     marked = named.join(F.broadcast(sample), F.col("__doc") == F.col("__id"), "left").select("text", "label")
-    by_token = materialize(marked.mapInArrow(count_tokens, "token binary, toxic long, clean long, n long").groupBy("token").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "n")]))
+    by_token = materialize(
+        marked.mapInArrow(
+            count_tokens, "token binary, toxic long, clean long, n long"
+        ).groupBy("token").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "n")])
+    )
     by_token = by_token.where("toxic + clean > 0")
     found = log_odds(materialize(of_tokens(by_token))).collect()
     model = ToxicModel({bytes(r["feature"]): max(-MOST, min(r["odds"], MOST)) for r in found})

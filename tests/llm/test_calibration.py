@@ -9,7 +9,8 @@ import pyarrow as pa
 from lodestamp.llm import langid, toxicity
 
 TEXTS = [
-    ("you bad worm and bad day", 1), ("bad bad dog", 1), ("bad sky worm", 1), ("fine day", 0), ("fine sky and dog", 0), ("fine fine", 0), ("day and sky", 0), ("fine dog and day", 0),
+    ("you bad worm and bad day", 1), ("bad bad dog", 1), ("bad sky worm", 1), ("fine day", 0), ("fine sky and dog", 0), ("fine fine", 0),
+    ("day and sky", 0), ("fine dog and day", 0),
     ("unheard words here", None), (None, 1), ("", 0),
 ] * 12 + [("fine bad day", 0)] * 2
 
@@ -65,7 +66,10 @@ def test_toxicity_lambda_k_and_curve_by_hand(spark):
 def test_language_training_by_plain_steps(monkeypatch):
     """The same steps as train() takes, one document and one subword at a time."""
     monkeypatch.setattr(langid, "EPOCHS", 2)
-    texts = {"en": ["the cat and the dog", "a house of the man", "and then the day", "this is that"], "fr": ["le chat et le chien", "une maison du matin", "et puis le jour", "ceci est cela"]}
+    texts = {
+        "en": ["the cat and the dog", "a house of the man", "and then the day", "this is that"],
+        "fr": ["le chat et le chien", "une maison du matin", "et puis le jour", "ceci est cela"]
+    }
     table = pa.table({"lang": [k for k in texts for _ in texts[k]] * 5, "text": [t for k in texts for t in texts[k]] * 5, "part": list(range(40))})
     rows = [r for b in langid.count_batches(iter(table.to_batches())) for r in b.to_pylist()]
     model = langid.train(rows)

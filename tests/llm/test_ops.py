@@ -13,7 +13,11 @@ from lodestamp.llm import ann, bpe, chat, langid, linededup, mixing, quality, si
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
-ODD = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "a b c d", "en", None, 7), (3, " \t\n ", "en", "s", 4), (4, "Same line\nother", "en", "s", 1), (4, "Same line\nother", "en", "s", 1), (5, "x" * 200_000, "en", "t", 1), (6, "word " * 30_000, "fr", "t", 1)]
+ODD = [
+    (1, None, None, None, None), (2, "", "en", "s", 0), (None, "a b c d", "en", None, 7), (3, " \t\n ", "en", "s", 4),
+    (4, "Same line\nother", "en", "s", 1), (4, "Same line\nother", "en", "s", 1), (5, "x" * 200_000, "en", "t", 1),
+    (6, "word " * 30_000, "fr", "t", 1)
+]
 
 
 @pytest.fixture(scope="module")
@@ -55,7 +59,10 @@ def test_suffixes_equal_all_windows(spark, docs, hot):
 
 def test_suffixes_planted_and_odd(spark, odd):
     shared = words(55, 1)
-    rows = [(10, " ".join(words(80, 2) + shared + words(9, 3))), (11, " ".join(words(5, 4) + shared + words(70, 5))), (12, " ".join(words(300, 6))), (13, "the same " * 200), (14, "the same " * 30)]
+    rows = [
+        (10, " ".join(words(80, 2) + shared + words(9, 3))), (11, " ".join(words(5, 4) + shared + words(70, 5))),
+        (12, " ".join(words(300, 6))), (13, "the same " * 200), (14, "the same " * 30)
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = suffixes.repeated_passages(df)
     assert spans(found) == covered(rows, 50)
@@ -125,7 +132,16 @@ def test_chat_round_trip(spark):
 
 def test_chat_attachments(spark):
     part = lambda **k: tuple(k.get(x) for x in ("type", "text", "ref", "width", "height", "seconds", "pages"))
-    rows = [(7, 0, "user", [part(type="text", text="see "), part(type="image", ref="a.png", width=57, height=28), part(type="audio", ref="b.wav", seconds=1.5), None, part(type="document", ref="c.pdf", pages=2), part(type="video")]), (7, 1, "assistant", None), (8, None, None, [])]
+    rows = [
+        (
+            7, 0, "user",
+            [
+                part(type="text", text="see "), part(type="image", ref="a.png", width=57, height=28),
+                part(type="audio", ref="b.wav", seconds=1.5), None, part(type="document", ref="c.pdf", pages=2), part(type="video")
+            ]
+        ),
+        (7, 1, "assistant", None), (8, None, None, [])
+    ]
     out = {r.conv_id: r for r in chat.format_chat(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")).collect()}
     assert out[7].formatted == "<|im_start|>user<|im_sep|>see <|image|><|audio|><|document|><|im_end|><|im_start|>assistant<|im_sep|><|im_end|>"
     assert [(a.kind, a.ref, a.n_tokens) for a in out[7].attachments] == [("image", "a.png", 3), ("audio", "b.wav", 38), ("document", "c.pdf", 512)]
@@ -221,7 +237,10 @@ def test_ann_recall_and_scores(spark):
 
 def test_ann_copies_and_odd(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(i, [1.0, 2.0, 3.0]) for i in range(40)] + [(50, [3.0, 2.0, 1.0]), (51, None), (52, [0.0, 0.0, 0.0]), (53, [nan, 1.0, 1.0]), (54, [inf, 1.0, 1.0]), (55, [1.0, None, 1.0]), (56, [1.0]), (None, [1.0, 2.0, 3.0]), (60, [2.0, 4.0, 6.0])]
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(40)] + [
+        (50, [3.0, 2.0, 1.0]), (51, None), (52, [0.0, 0.0, 0.0]), (53, [nan, 1.0, 1.0]), (54, [inf, 1.0, 1.0]), (55, [1.0, None, 1.0]),
+        (56, [1.0]), (None, [1.0, 2.0, 3.0]), (60, [2.0, 4.0, 6.0])
+    ]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     out = ann.nearest(df, F.col("vec_id").isin(0, 39, 50, 51, 52), leaf=4)
     found = {(r.query_id, r.rank): r.vec_id for r in out.collect()}
@@ -272,7 +291,9 @@ def test_nearest_goes_on_until_k_are_found(spark):
 
 def test_quality_base_rules(spark, odd):
     rng = random.Random(3)
-    texts = ["", "a a a a", "# $ x|y\n# $ x|y\n\n \n", " ".join(words(60, 1) + words(4, 2) + words(3, 3) + words(4, 2))] + [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(50)]
+    texts = [
+        "", "a a a a", "# $ x|y\n# $ x|y\n\n \n", " ".join(words(60, 1) + words(4, 2) + words(3, 3) + words(4, 2))
+    ] + [" ".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) for _ in range(50)]
 
     def by_hand(t):
         w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", t) if x]
@@ -361,7 +382,10 @@ def test_maximal_segments_take_linear_time():
 
 
 def test_toxicity_log_odds_by_hand(spark):
-    texts = [("you bad worm", 1), ("bad day", 1), ("bad bad dog", 1), ("bad sky", 1), ("fine day", 0), ("fine sky and dog", 0), ("fine fine", 0), ("fine bad", 0), ("day and sky", None), (None, 1), ("", 0)] * 5
+    texts = [
+        ("you bad worm", 1), ("bad day", 1), ("bad bad dog", 1), ("bad sky", 1), ("fine day", 0), ("fine sky and dog", 0), ("fine fine", 0),
+        ("fine bad", 0), ("day and sky", None), (None, 1), ("", 0)
+    ] * 5
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(texts) if x is not None], "doc_id long, toxic int")
     n = {k: defaultdict(int) for k in ("all", 0, 1)}
@@ -588,11 +612,22 @@ def test_new_columns_replace_old_ones_of_their_name(spark, odd, name):
 
 
 def test_clashing_columns_of_the_other_operators(spark, odd, docs):
-    extra = lambda df: df.select("*", *[F.lit("old").alias(c) for c in ("fp", "root", "component_id", "size", "target", "position", "cell", "order", "n", "key", "t1", "low", "pos", "formatted", "no", "begun")])
+    extra = lambda df: df.select(
+        "*",
+        *[
+            F.lit("old").alias(c)
+            for c in (
+                "fp", "root", "component_id", "size", "target", "position", "cell", "order", "n", "key", "t1", "low", "pos", "formatted",
+                "no", "begun"
+            )
+        ]
+    )
     same = lambda f, df: sorted(map(str, f(extra(df)).collect())) == sorted(map(str, f(df).collect()))
     assert same(simhash.near_duplicates, odd) and same(suffixes.repeated_passages, odd)
     assert same(lambda d: mixing.plan_mix(d), odd) and same(lambda d: mixing.training_order(mixing.plan_mix(d, whole_documents=True)).drop("position"), odd)
-    chats = spark.createDataFrame([(1, 0, "user", "hi"), (1, 0, "user", "hi"), (None, None, None, None)], "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_parts(F.col("text")))
+    chats = spark.createDataFrame(
+        [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (None, None, None, None)], "conv_id long, turn long, role string, text string"
+    ).withColumn("parts", chat.text_parts(F.col("text")))
     assert same(chat.format_chat, chats) and chat.format_chat(chats.limit(0)).count() == 0
     vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     wide = vecs.select("*", *[F.lit("old").alias(c) for c in ("point", "leaf", "ids", "vec", "key", "rank", "score", "query_id")])
@@ -643,7 +678,17 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
 
 
 def test_language_calibration_by_brute_force(spark, docs):
-    rows = [r for b in langid.count_batches(iter(__import__("pyarrow").Table.from_pandas(docs.select("lang", "text").where("lang is not null").toPandas().assign(part=lambda d: range(len(d)))).to_batches())) for r in b.to_pylist()]
+    rows = [
+        r
+        for b in langid.count_batches(
+            iter(
+                __import__("pyarrow").Table.from_pandas(
+                    docs.select("lang", "text").where("lang is not null").toPandas().assign(part=lambda d: range(len(d)))
+                ).to_batches()
+            )
+        )
+        for r in b.to_pylist()
+    ]
     model = langid.train(rows)
     order = np.random.default_rng(7).permutation(len(rows))
     rows = sorted(rows, key=lambda r: (r["part"], r["lang"]))
@@ -684,6 +729,8 @@ def test_quality_threshold_by_brute_force():
 def test_quality_verdicts_on_documents_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    out = quality.rate(docs, quality.fit(docs, labels.where(~held))).join(labels.where(held), "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("p"))
+    out = quality.rate(
+        docs, quality.fit(docs, labels.where(~held))
+    ).join(labels.where(held), "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("p"))
     p = {r.quality: r.p for r in out.collect()}
     assert p[1] >= 0.97 and p[0] <= 0.15

@@ -16,7 +16,10 @@ def words(n, seed):
 
 def test_suffixes_of_ids_with_several_texts(spark):
     a, b = words(88, 1), words(60, 2)
-    rows = [(1, " ".join(words(40, 3) + a)), (2, " ".join(a + b)), (1, " ".join(words(60, 4))), (1, ""), (3, " ".join(b + words(9, 5))), (3, " ".join(words(200, 6) + b)), (3, " ".join(b + words(9, 5)))]
+    rows = [
+        (1, " ".join(words(40, 3) + a)), (2, " ".join(a + b)), (1, " ".join(words(60, 4))), (1, ""), (3, " ".join(b + words(9, 5))),
+        (3, " ".join(words(200, 6) + b)), (3, " ".join(b + words(9, 5)))
+    ]
     seen = defaultdict(set)
     for i, t in rows:
         x = t.split()
@@ -55,7 +58,10 @@ def test_routed_lines_cost_no_more_in_long_documents(spark):
 def test_loss_of_a_long_conversation_is_read_in_one_pass(spark):
     n = 100_000
     said = F.concat(F.lit("say <|im_end|> "), F.col("id").cast("string"))
-    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    turns = spark.range(n).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+        said.alias("text")
+    )
     out = chat.format_chat(turns.withColumn("parts", chat.text_parts(F.col("text"))))
     began = time.time()
     loss = out.select(chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("x")).first().x

@@ -87,7 +87,10 @@ def shard_rows(docs, item):
 def test_blocks_of_non_essential_lists_stay_shut():
     rng = random.Random(3)
     # A word of every other document, a rare one, and ten documents that settle the heap at once.
-    docs = [(i, "rare rare rare " + "common") for i in range(10)] + [(i, "common " * (i % 2) + " ".join(f"v{rng.randrange(50)}" for _ in range(20)) + (" rare" if i == 9_000 else "")) for i in range(10, 12_000)]
+    docs = [(i, "rare rare rare " + "common") for i in range(10)] + [
+        (i, "common " * (i % 2) + " ".join(f"v{rng.randrange(50)}" for _ in range(20)) + (" rare" if i == 9_000 else ""))
+        for i in range(10, 12_000)
+    ]
     best, opened, every = lexical.search_shard(shard_rows(docs, {"common", "rare"}), 10)
     assert sorted(d for _, d, _ in best) == list(range(10))
     assert opened < every / 2
@@ -200,7 +203,10 @@ def vectors(n, seed, dim=64):
 
 def test_clusters_equal_brute_force(spark):
     same = vectors(1, 9)[0][1]
-    odd = [(None, None), (1, []), (2, [1.0] * 63), (3, [1.0] * 63 + [None]), (4, [float("nan")] + [1.0] * 63), (5, [float("inf")] + [0.0] * 63), (6, [1e30] * 64), (6, [-1e300] * 64), (7, [0.0] * 64), (None, [0.5] * 64)]
+    odd = [
+        (None, None), (1, []), (2, [1.0] * 63), (3, [1.0] * 63 + [None]), (4, [float("nan")] + [1.0] * 63),
+        (5, [float("inf")] + [0.0] * 63), (6, [1e30] * 64), (6, [-1e300] * 64), (7, [0.0] * 64), (None, [0.5] * 64)
+    ]
     rows = vectors(300, 1) + odd + [(8, same)] * 150 + [(900 + i, same) for i in range(40)]
     table = spark.createDataFrame([(*r, 1, "b", 2) for r in rows], "vec_id long, embedding array<double>, chunk int, block string, cluster int").repartition(3)
     found = kmeans.clustered(*kmeans.lloyd(table, k=12, rounds=3))
