@@ -373,12 +373,13 @@ def search(asking: DataFrame, index: DataFrame, cells: DataFrame, tree, start: n
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for cell, block, tree_, leaves in zip(pdf["cell"], pdf["block"], pdf["tree"], pdf["leaves"], strict=True):
-                _, first, parts, _ = cell_plan(tree_, leaves)
-                known = [int(x["leaf"]) for x in leaves]
+            for cell, block, leaves in zip(pdf["cell"], pdf["block"], pdf["leaves"], strict=True):
+                sizes = {int(x["leaf"]): int(x["n"]) for x in leaves}
+                known = list(sizes)
+                first, parts = pack(sizes, max(known) + 1)
                 yield pd.DataFrame({"cell": cell, "leaf": known, "block": block, "first": first[known], "parts": parts[known]})
 
-    at = cells.mapInPandas(place, "cell long, leaf long, block long, first long, parts long")
+    at = cells.select("cell", "block", "leaves").mapInPandas(place, "cell long, leaf long, block long, first long, parts long")
     local = F.col("first") + F.pmod(F.xxhash64("point", F.lit("row")), F.col("parts"))
     name = (F.col("cell") * NAMES + F.col("leaf")).alias("leaf")
     rows = index.join(at, ["cell", "leaf"]).select(F.col("point").alias("of"), "vec", "ids", name, "block", local.alias("local"))
@@ -429,19 +430,17 @@ def calibrate(index: DataFrame, cells: DataFrame, tree, m: int, calibration: int
 
     truth = materialize(best(index.select("point", "vec", "cell", "leaf").mapInPandas(scan, schema), m))
 
-    def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ranked(key: tuple, near: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
         names, queries = shared.value
-        units = dict(zip(names.tolist(), unit(queries), strict=True))
-        for pdf in batches:
-            out = []
-            for point, cell, leaf, of in zip(pdf["point"], pdf["cell"], pdf["leaf"], pdf["tree"], strict=True):
-                sub = pickle.loads(of) if of is not None else None
-                rank = sub.leaves(units[point], sub.n_leaves).index(leaf) + 1 if sub else 1
-                out.append((point, cell, rank))
-            yield pd.DataFrame(out, columns=["point", "cell", "inner"])
-
-    of_cell = truth.select("point", "cell", "leaf").join(cells.select("cell", "tree"), "cell")
-    true = of_cell.mapInPandas(ranked, "point long, cell long, inner long").toPandas()
+        at = {int(p): i for i, p in enumerate(names)}
+        of = cell["tree"][0] if len(cell) else None
+        sub = pickle.loads(of) if of is not None else None
+        rank = [sub.leaves(unit(queries[[at[p]]])[0], sub.n_leaves).index(x) + 1 if sub else 1 for p, x in zip(near["point"], near["leaf"], strict=True)]
+        return pd.DataFrame({"point": near["point"], "cell": near["cell"], "inner": rank})
+
+    # A task holds one cell's tree at a time.
+    of_cell = truth.select("point", "cell", "leaf").groupBy("cell").cogroup(cells.select("cell", "tree").groupBy("cell"))
+    true = of_cell.applyInPandas(ranked, "point long, cell long, inner long").toPandas()
     if not len(true):
         return (1, 1), 1.0
     ranks = {int(p): {cell: r for r, cell in enumerate(tree.value.leaves(v, tree.value.n_leaves))} for p, v in zip(few["point"], unit(matrix(few["vec"])), strict=True)}
