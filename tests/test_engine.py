@@ -667,3 +667,45 @@ def test_entry_survives_without_corpus():
     root = Path(__file__).resolve().parents[1]
     code = "import sys; sys.modules['lodestamp.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'j4_search' in e.queries() and 'pipeline' not in e.queries() and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_nearest_pairs_of_a_dense_inventory(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("0158SK") for _ in range(n))
+    serials = sorted({word(rng.choice([6, 8, 9, 17])) for _ in range(200)})
+    texts = sorted({word(rng.choice([5, 7, 8, 9, 11, 30])) for _ in range(40)})
+    known = matching.budgets(spark.createDataFrame([(s,) for s in serials], "serial string"))
+    asked = spark.createDataFrame([(t,) for t in texts], "text string")
+    limit = lambda x: x["distance"] <= x["budget"]
+    for tile in (8192, 7):
+        monkeypatch.setattr(fuzzy, "TILE_TEXTS", tile)
+        monkeypatch.setattr(fuzzy, "TILE_SERIALS", tile)
+        every = matching.fuzzy_pairs(asked, known, 3, True).collect()
+        few = matching.fuzzy_pairs(asked, known, 3, True, 5)
+        got = {r.text: [(x.distance, x.serial) for x in r.c] for r in matching.nearest(few, limit).collect()}
+        want = {}
+        for t in texts:
+            c = sorted((r.distance, r.serial, r.budget) for r in every if r.text == t)
+            if c:
+                near = [x for x in c if x[0] <= x[2]][:2]
+                want[t] = [x[:2] for x in c[:5] + [x for x in near if x not in c[:5]]]
+        assert got == want and len(every) > 5 * len(texts)
+
+
+def test_a_serial_within_errors_shares_a_sequence():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("01234") for _ in range(n))
+    serials, texts = [word(rng.choice([6, 8])) for _ in range(80)], [word(rng.randrange(4, 12)) for _ in range(80)]
+    stored = pa.RecordBatch.from_arrays([pa.array(serials), pa.array(np.full(80, 2, np.int32))], ["serial", "rules"])
+    asked = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    for anywhere in (False, True):
+        own, met = {}, {}
+        for held, batches in ((own, fuzzy.keys_of_serials([stored])), (met, fuzzy.keys_of_texts([(6, 2), (8, 2)], anywhere)([asked]))):
+            for batch in batches:
+                for word_, key in zip(batch.column(0).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                    held.setdefault(word_, set()).add(key)
+        near = [(s, t) for s, t in itertools.product(serials, texts) if edits(s, t, anywhere) <= 2]
+        assert near and all(own[s] & met.get(t, set()) for s, t in near)
