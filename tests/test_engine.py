@@ -682,7 +682,8 @@ def test_nearest_pairs_of_a_dense_inventory(spark, monkeypatch):
         monkeypatch.setattr(fuzzy, "TILE_SERIALS", tile)
         every = matching.fuzzy_pairs(asked, known, 3, True).collect()
         few = matching.fuzzy_pairs(asked, known, 3, True, 5)
-        got = {r.text: [(x.distance, x.serial) for x in r.c] for r in matching.nearest(few, limit).collect()}
+        got = {r.text: [(x.distance, x.serial) for x in r.c if x.distance <= 3] for r in matching.nearest(few, limit).collect()}
+        got = {t: c for t, c in got.items() if c}
         want = {}
         for t in texts:
             c = sorted((r.distance, r.serial, r.budget) for r in every if r.text == t)
@@ -709,3 +710,11 @@ def test_a_serial_within_errors_shares_a_sequence():
                     held.setdefault(word_, set()).add(key)
         near = [(s, t) for s, t in itertools.product(serials, texts) if edits(s, t, anywhere) <= 2]
         assert near and all(own[s] & met.get(t, set()) for s, t in near)
+
+
+def test_a_stage_lists_what_is_half_an_error_beyond(spark):
+    known = matching.budgets(spark.createDataFrame([("19S206055",), ("29S206055",)], "serial string"))
+    asked = spark.createDataFrame([("195207055",)], "text string")
+    got = matching.fuzzy_pairs(asked, known, 1, False, 5).select("serial", "distance").distinct().collect()
+    assert {(r.serial, r.distance) for r in got} == {("19S206055", 1.5)}
+    assert matching.fuzzy_pairs(asked, known, 1, False).isEmpty()
