@@ -6,7 +6,7 @@ add-``SMOOTH`` smoothing. A document's verdict is its mean log ratio over its n-
 threshold for all documents, so equal texts get equal verdicts. The threshold is the histogram edge that rejects the
 most labelled documents of quality 0 for the fewest of quality 1, the latter weighing ``CLEAN_WEIGHT`` times as much.
 
-The labelled side is a sample of at most ``max_labelled`` documents by hash of the id, written once; everything else covers all documents.
+Counts, model and threshold come from all documents and all labels; the labelled texts are written once. An id with several labels has the smallest.
 Null and empty texts have no words and fail the base rules. Without labels of both kinds the likelihood ratio rejects nobody. Repeated rows count
 each time they occur. Columns of the input named like a new one give way; others pass through. An empty table stays empty.
 """
@@ -23,12 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACES, materialize, with_columns
-from .labelled import sampled_labels
+from .labelled import all_labels
 
 BUCKETS = 1 << 16
 SMOOTH = 1.0
 CLEAN_WEIGHT = 20
-MAX_LABELLED = 40_000
 GRID = 200  # histogram bars per unit of the log ratio
 TOKEN = re.compile(rb"[A-Za-z0-9_\x80-\xff]+|[^A-Za-z0-9_\x80-\xff\x00-\x20]+")
 SYMBOLS = "#*$%&|<>"
@@ -78,24 +77,21 @@ def each(texts: pa.Array) -> Iterator[str | None]:
 
 
 def count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task: n-grams by bucket in all its documents and in its trusted ones."""
-    raw, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    """Per task: n-grams by bucket in all its texts."""
+    n = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        for text, label in zip(each(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+        for text in each(batch.column(0)):
             if text:
-                n = np.bincount(buckets(text.encode()), minlength=BUCKETS)
-                raw += n
-                if label == 1:
-                    trusted += n
-    some = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(trusted[some])], ["bucket", "raw", "trusted"])
+                n += np.bincount(buckets(text.encode()), minlength=BUCKETS)
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(n[some])], ["bucket", "n"])
 
 
-def log_ratios(counts: list) -> np.ndarray:
+def log_ratios(raw_counts: list, trusted_counts: list) -> np.ndarray:
     raw, trusted = np.full(BUCKETS, SMOOTH), np.full(BUCKETS, SMOOTH)
-    for row in counts:
-        raw[row["bucket"]] += row["raw"]
-        trusted[row["bucket"]] += row["trusted"]
+    for total, counts in ((raw, raw_counts), (trusted, trusted_counts)):
+        for row in counts:
+            total[row["bucket"]] += row["n"]
     return np.log(trusted / trusted.sum()) - np.log(raw / raw.sum())
 
 
@@ -126,24 +122,26 @@ class QualityModel:
         self.weights, self.threshold = weights, threshold
 
 
-def with_labels(docs: DataFrame, labels: DataFrame, max_labelled: int, id_col: str, text_col: str) -> DataFrame:
-    sample = sampled_labels(labels, "quality", max_labelled).withColumnRenamed("doc_id", "__id")
-    return docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("__doc") == F.col("__id"), "left").select("text", "label")
+def with_labels(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(text, label) of the labelled documents that have a text. How they meet is left to the optimiser, for labels grow with the documents."""
+    known = all_labels(labels, "quality").withColumnRenamed("doc_id", "__id")
+    said = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).where("text <> ''")
+    return said.join(known, F.col("__doc") == F.col("__id")).select("text", "label")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     from pyspark.sql.functions import arrow_udf
 
-    labelled = with_labels(docs, labels, max_labelled, id_col, text_col)
-    counts = labelled.mapInArrow(count_buckets, "bucket int, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
-    weights = log_ratios(counts.collect())
+    labelled = materialize(with_labels(docs, labels, id_col, text_col))
+    counted = lambda texts: texts.mapInArrow(count_buckets, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    weights = log_ratios(counted(docs.select(F.col(text_col).alias("text"))), counted(labelled.where("label = 1").select("text")))
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     @arrow_udf("int")
     def bar(texts: pa.Array) -> pa.Array:
         return pa.array([int(np.floor(mean_ratio(t, shared.value) * GRID)) if t else None for t in each(texts)], pa.int32())
 
-    bars = materialize(labelled.where("label is not null and text <> ''")).select("label", bar(F.col("text")).alias("bar")).groupBy("bar", "label").agg(F.count("*").alias("n"))
+    bars = labelled.select("label", bar(F.col("text")).alias("bar")).groupBy("bar", "label").agg(F.count("*").alias("n"))
     return QualityModel(weights, pick_threshold(bars.collect()))
 
 

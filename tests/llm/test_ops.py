@@ -734,3 +734,10 @@ def test_quality_verdicts_on_documents_held_out(spark):
     ).join(labels.where(held), "doc_id").where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("p"))
     p = {r.quality: r.p for r in out.collect()}
     assert p[1] >= 0.97 and p[0] <= 0.15
+
+
+def test_quality_learns_from_every_label(spark):
+    n = 41_000  # more than the 40,000 that were once the most
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id") % 7).alias("text"))
+    got = quality.fit(docs, docs.select("doc_id", F.lit(1).alias("quality"))).weights
+    assert abs(got).max() < 1e-12  # all are trusted, so trusted and raw text are the same
