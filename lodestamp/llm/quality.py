@@ -123,10 +123,10 @@ class QualityModel:
 
 
 def with_labels(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(text, label) of the labelled documents that have a text. How they meet is left to the optimiser, for labels grow with the documents."""
+    """(text, label) of the labelled documents that have a text. Every label is broadcast, so that texts aren't shuffled: an id and a number each, which grow with the labels."""
     known = all_labels(labels, "quality").withColumnRenamed("doc_id", "__id")
     said = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).where("text <> ''")
-    return said.join(known, F.col("__doc") == F.col("__id")).select("text", "label")
+    return said.join(F.broadcast(known), F.col("__doc") == F.col("__id")).select("text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
