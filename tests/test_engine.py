@@ -718,3 +718,29 @@ def test_a_stage_lists_what_is_half_an_error_beyond(spark):
     got = matching.fuzzy_pairs(asked, known, 1, False, 5).select("serial", "distance").distinct().collect()
     assert {(r.serial, r.distance) for r in got} == {("19S206055", 1.5)}
     assert matching.fuzzy_pairs(asked, known, 1, False).isEmpty()
+
+
+def test_keys_of_the_similarity_join_travel_as_lists(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.RecordBatch.from_arrays([pa.array(["19S206055", "19S206056", "K5738060", "1"])], ["text"])
+    keys_of = lambda batch: fuzzy.text_keys(batch, [(9, 2), (8, 2)], True)
+    plain = sorted((int(a), int(k)) for at, key in keys_of(texts) for a, k in zip(at, key, strict=True))
+    none = np.zeros(0, np.int64)
+    rows = pa.Table.from_batches(list(fuzzy.packed(keys_of, ["text"], 3, none, none, none)([texts])))
+    assert rows.num_rows <= 3 < len(plain) and len(set(rows["bucket"].to_pylist())) == rows.num_rows
+    (held,), at, key = fuzzy.unpacked(rows, ["text"])
+    names = texts.column(0).to_pylist()
+    assert sorted((names.index(held[int(a)].as_py()), int(k)) for a, k in zip(at, key, strict=True)) == plain
+    assert all(len(set(x)) == len(x) for x in rows["text"].to_pylist())
+    # Two sides of heavy cells: every text meets every serial in one tile, once.
+    cells = np.unique([k & (fuzzy.CELLS - 1) for _, k in plain])
+    three, two = np.full(len(cells), 3), np.full(len(cells), 2)
+    sides = [pa.Table.from_batches(list(fuzzy.packed(keys_of, [n], 5, cells, *tiles)([texts]))) for n, tiles in (("text", (three, two)), ("serial", (two, three)))]
+    sides = [(t["bucket"].to_numpy().repeat([len(x) for x in t["key"].to_pylist()]), *fuzzy.unpacked(t, [n])) for t, n in zip(sides, ("text", "serial"), strict=True)]
+    met = sorted((a.as_py(), b.as_py()) for b1, (h1,), a1, k1 in sides[:1] for b2, (h2,), a2, k2 in sides[1:] for i in range(len(k1)) for j in np.flatnonzero((k2 == k1[i]) & (b2 == b1[i])) for a, b in [(h1[int(a1[i])], h2[int(a2[j])])])
+    by_key = {}
+    for a, k in plain:
+        by_key.setdefault(k, []).append(names[a])
+    assert met == sorted((a, b) for c in by_key.values() for a in c for b in c)
