@@ -260,14 +260,15 @@ THRESHOLDS = tuple(k / 100 for k in range(50, 100, 5))
 def average_precision(matched: DataFrame, truth: DataFrame) -> DataFrame:
     """Per class precision, recall and average precision at IoU 0.5, and the mean average precision over IoU 0.50 to 0.95.
 
-    The area under the precision envelope, exact: every confidence is a step of the curve. At each IoU a truth box counts for its surest prediction.
-    Running sums and maxima go in two levels, over thousandths of confidence and inside each of them, so no class meets in one task.
+    The area under the precision envelope, exact: every confidence is a step of the curve. At each IoU a truth box counts for its surest prediction:
+    one hits from the largest IoU of the surer ones, exclusive, up to its own. So a row counts for all ten levels at once, and only counts are repeated by level. Running sums and maxima go in two levels, over thousandths of confidence and inside each of them, so no class meets in one task.
     """
-    levels = matched.select("image_id", "class_id", "p_ord", "t_ord", "confidence", "iou", F.explode(F.array(*map(F.lit, THRESHOLDS))).alias("level"))
-    covers = F.col("iou") >= F.col("level")
-    surest = Window.partitionBy("level", "image_id", "class_id", "t_ord", covers).orderBy(F.desc("confidence"), F.desc("iou"), "p_ord")
-    hits = levels.withColumn("hit", (covers & (F.row_number().over(surest) == 1)).cast("long"))
-    steps = hits.groupBy("class_id", "level", "confidence").agg(F.sum("hit").alias("tp"), F.count("*").alias("n")).withColumn("cell", F.floor(F.col("confidence") * 1000))
+    surer = Window.partitionBy("image_id", "class_id", "t_ord").orderBy(F.desc("confidence"), F.desc("iou"), "p_ord").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = matched.select("class_id", "confidence", "iou", F.max("iou").over(surer).alias("taken"))
+    hit = lambda level: ((F.col("iou") >= level) & F.coalesce(F.col("taken") < level, F.lit(True))).cast("long")
+    counted = ranked.groupBy("class_id", "confidence").agg(F.count("*").alias("n"), *[F.sum(hit(level)).alias(f"tp{k}") for k, level in enumerate(THRESHOLDS)])
+    levels = F.array(*[F.struct(F.lit(level).alias("level"), F.col(f"tp{k}").alias("tp")) for k, level in enumerate(THRESHOLDS)])
+    steps = counted.select("class_id", "confidence", "n", F.inline(levels)).withColumn("cell", F.floor(F.col("confidence") * 1000))
     key = ["class_id", "level", "cell"]
     down = Window.partitionBy("class_id", "level").orderBy(F.desc("cell"))
     above = lambda c: F.coalesce(F.sum(c).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -744,3 +744,22 @@ def test_keys_of_the_similarity_join_travel_as_lists(monkeypatch):
     for a, k in plain:
         by_key.setdefault(k, []).append(names[a])
     assert met == sorted((a, b) for c in by_key.values() for a in c for b in c)
+
+
+def test_average_precision_repeats_no_rows_by_level(spark):
+    rows = [(1, 0, k, k % 3, 0.9 - 0.1 * (k % 5), 0.45 + 0.06 * k) for k in range(9)]
+    matched = spark.createDataFrame(rows, "image_id long, class_id int, p_ord long, t_ord long, confidence double, iou double")
+    truth = spark.createDataFrame([(1, 0, k) for k in range(3)], "image_id long, class_id int, box_ord long")
+    got = boxes.average_precision(matched, truth)
+    below = got._jdf.queryExecution().optimizedPlan().toString().split("Window [max(iou")
+    assert len(below) > 1 and all("Generate" not in part.split("LogicalRDD")[0] for part in below[1:])
+    areas = []
+    for level in boxes.THRESHOLDS:
+        hits, seen = [], set()
+        for r in sorted(rows, key=lambda r: (-r[4], -r[5], r[2])):
+            hits.append((r[4], r[5] >= level and r[3] not in seen))
+            seen |= {r[3]} if r[5] >= level else set()
+        steps = sorted({c for c, _ in hits}, reverse=True)
+        precision = {c: sum(h for x, h in hits if x >= c) / sum(x >= c for x, _ in hits) for c in steps}
+        areas.append(sum(sum(h for x, h in hits if x == c) / 3 * max(precision[x] for x in steps if x <= c) for c in steps))
+    assert got.first().ap == round(areas[0], 4) and got.first().ap_50_95 == pytest.approx(sum(areas) / 10, abs=1e-4)
