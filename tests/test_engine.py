@@ -771,3 +771,27 @@ def test_statements_are_shuffled_once_by_image(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(image_id") == 1
     assert found.first().peso is not None and found.first().color is not None
+
+
+def test_a_plain_stage_adds_what_needs_no_confusion(spark):
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("05689SGBOX") for _ in range(n))
+    serials = sorted({word(rng.choice([6, 8, 9, 17])) for _ in range(150)}) + ["9Ñ9999999"]
+    texts = sorted({word(rng.choice([5, 7, 8, 9, 11, 30])) for _ in range(40)}) + ["9Ü9999999"]
+    known = matching.budgets(spark.createDataFrame([(s,) for s in serials], "serial string"))
+    asked = spark.createDataFrame([(t,) for t in texts], "text string")
+    for anywhere, errors in ((True, 2), (True, 3), (False, 2)):
+        every = matching.fuzzy_pairs(asked, known, 9, anywhere).where("distance <= %d" % errors).collect()
+        merged = matching.fuzzy_pairs(asked, known, errors - 1, anywhere, 500, beyond=1.0).collect()
+        plain = matching.fuzzy_pairs(asked, known, errors, anywhere, 500, True).collect()
+        want = {(r.text, r.serial): r.distance for r in every}
+        assert {(r.text, r.serial): r.distance for r in (*merged, *plain) if r.distance <= errors} == want
+        early = {(r.text, r.serial) for r in merged}
+        assert (plain or not anywhere) and all((r.text, r.serial) not in early for r in plain)
+
+
+def test_plain_stages_follow_merged_ones(spark, monkeypatch):
+    known = matching.budgets(spark.createDataFrame([("123456789",), ("987654",)], "serial string"))
+    assert matching.half_steps(known) == [(3, False, float("inf"))]
+    monkeypatch.setattr(matching, "DENSE", 0.05)
+    assert matching.half_steps(known) == [(1, False, 1.5), (2, True, 2.0), (2, False, 2.5), (3, True, float("inf"))]
