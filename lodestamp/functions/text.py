@@ -105,6 +105,11 @@ def strip_accents(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-\x7F]") & (F.translate(c, LONGER, "") != c), F.array_join(F.transform(F.split(plain, ""), _longer), "")).otherwise(plain)
 
 
+def once(c: Column, f) -> Column:
+    """``f`` of a column that is computed once however often ``f`` names it: branches that may not be taken would each compute it anew."""
+    return F.transform(F.array(c), f)[0]
+
+
 def clean_text(c: Column) -> Column:
     """No accents, single spaces, upper case."""
     return F.upper(F.trim(F.regexp_replace(strip_accents(c), r"\s+", " ")))
@@ -124,7 +129,7 @@ def gas(c: Column, clean: bool = False) -> Column:
     """A mixture if it says so or names several gases; whole spellings before contained ones of 3 letters and more."""
     t = c if clean else clean_text(c)
     named = F.array_compact(F.array(*[F.when(F.greatest(*[t.contains(n) for n in names if len(n) >= 3], F.lit(False)), F.lit(code)) for code, names in GASES.items()]))
-    inside = F.when(F.size(named) > 1, F.lit("MIX")).when(F.size(named) == 1, named[0])
+    inside = once(named, lambda x: F.when(F.size(x) > 1, F.lit("MIX")).when(F.size(x) == 1, F.get(x, F.lit(0))))
     return F.when(~is_absent(t, True), F.when(t.rlike(MIXTURE), F.lit("MIX")).otherwise(F.coalesce(first_code(t, GASES), inside)))
 
 
@@ -157,11 +162,11 @@ def month_year(c: Column, clean: bool = False) -> Column:
     dated = lambda y, m: F.concat(y, F.lit("-"), F.lpad(m, 2, "0"))
     after, before, short = digits(MONTH + GAP + YEAR), digits(YEAR + GAP + MONTH), digits(MONTH + GAP + "[0-9]{2}")
     head = lambda x, k: F.substring(x, F.lit(1), F.length(x) - k)
-    century = F.when(F.right(short, F.lit(2)) >= str(YEAR_PIVOT), "19").otherwise("20")
+    century = lambda x: F.when(F.right(x, F.lit(2)) >= str(YEAR_PIVOT), "19").otherwise("20")
     return F.coalesce(
-        dated(F.right(after, F.lit(4)), head(after, 4)),
-        dated(F.left(before, F.lit(4)), F.substring(before, F.lit(5), F.lit(2))),
-        dated(F.concat(century, F.right(short, F.lit(2))), head(short, 2)),
+        once(after, lambda x: dated(F.right(x, F.lit(4)), head(x, 4))),
+        once(before, lambda x: dated(F.left(x, F.lit(4)), F.substring(x, F.lit(5), F.lit(2)))),
+        once(short, lambda x: dated(F.concat(century(x), F.right(x, F.lit(2))), head(x, 2))),
     )
 
 
@@ -228,7 +233,7 @@ def country(c: Column, strict: bool = False, clean: bool = False) -> Column:
     table = {k: tuple(n for n in names if len(n) > 2 or not strict) for k, names in COUNTRIES.items()}
     t = c if clean else clean_text(c)
     words = F.regexp_extract_all(t, F.lit("([A-Z]+)"), 1)
-    inside = F.coalesce(*[F.when(F.arrays_overlap(words, F.array(*map(F.lit, names))), F.lit(code)) for code, names in table.items()])
+    inside = once(words, lambda x: F.coalesce(*[F.when(F.arrays_overlap(x, F.array(*map(F.lit, names))), F.lit(code)) for code, names in table.items()]))
     return F.when(~is_absent(t, True), F.coalesce(first_code(t, table), inside))
 
 
