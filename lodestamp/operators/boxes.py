@@ -110,23 +110,35 @@ def lines_of(lists: pa.Array, groups_of, keys: tuple[str, ...], joins_text: bool
     offsets = np.asarray(lists.offsets)
     counts, flat = np.diff(offsets), lists.values
     columns = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in BOX if c != "text"}
-    texts = np.array(flat.field("text").to_pylist(), dtype=object)
-    out: list[list[dict]] = [[] for _ in counts]
+    texts = np.array(flat.field("text").to_pylist(), dtype=object) if joins_text else None
+    owners, members, sizes = ([np.zeros(0, np.int64)] for _ in range(3))
     width = np.ceil(np.log2(np.maximum(counts, 1))).astype(int)
     for w in np.unique(width[counts > 0]):
         images = np.flatnonzero((width == w) & (counts > 0))
-        boxes = np.concatenate([np.arange(offsets[i], offsets[i + 1]) for i in images])
-        f = Frames(counts[images], {c: v[boxes] for c, v in columns.items()}, keys)
+        held = counts[images]
+        boxes = np.arange(held.sum()) + np.repeat(offsets[images] - np.cumsum(held) + held, held)
+        f = Frames(held, {c: v[boxes] for c, v in columns.items()}, keys)
         found = groups_of(f)
+        if not len(found):
+            continue
         found = found[np.lexsort((found[:, 3], found[:, 2], found[:, 0]))]
-        new = np.flatnonzero(np.concatenate([[True], (found[1:, [0, 2]] != found[:-1, [0, 2]]).any(1)])) if len(found) else np.zeros(0, int)
-        at = boxes[f.place[found[:, 0], found[:, 1]]]
-        for image, members in zip(images[found[new, 0]].tolist(), np.split(at, new[1:]) if len(new) else [], strict=True):
-            confidence = columns["confidence"][members]
-            hull = {c: float(widest(columns[c][members])) for c, widest in zip(SIDES, (np.min, np.min, np.max, np.max), strict=True)}
-            said = {"text": " ".join(texts[members]), "confidence": float(confidence.min())} if joins_text else {"text": None, "confidence": round(float(confidence.max()), 4)}
-            out[image].append({**said, **hull, "n_boxes": len(members)})
-    return pa.array(out, LINE_TYPE)
+        new = np.flatnonzero(np.concatenate([[True], (found[1:, [0, 2]] != found[:-1, [0, 2]]).any(1)]))
+        owners.append(images[found[new, 0]])
+        members.append(boxes[f.place[found[:, 0], found[:, 1]]])
+        sizes.append(np.diff(np.r_[new, len(found)]))
+    owner, at, n_boxes = (np.concatenate(x).astype(np.int64) for x in (owners, members, sizes))
+    first = np.cumsum(n_boxes) - n_boxes
+    over = lambda widest, c: widest.reduceat(columns[c][at].astype(np.float64), first) if len(first) else np.zeros(0)
+    if joins_text:
+        said = [" ".join(texts[at[i : i + n]]) for i, n in zip(first.tolist(), n_boxes.tolist(), strict=True)]
+        confidence = over(np.minimum, "confidence")
+    else:
+        said, confidence = [None] * len(first), [round(x, 4) for x in over(np.maximum, "confidence").tolist()]
+    values = [pa.array(said, pa.string()), pa.array(confidence, pa.float64())]
+    values += [pa.array(over(widest, c)) for c, widest in zip(SIDES, (np.minimum, np.minimum, np.maximum, np.maximum), strict=True)]
+    lines = pa.StructArray.from_arrays([*values, pa.array(n_boxes)], fields=list(LINE_TYPE.value_type))
+    ends = np.r_[0, np.cumsum(np.bincount(owner, minlength=len(counts)))]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), lines.take(pa.array(np.argsort(owner, kind="stable"))), type=LINE_TYPE)
 
 
 def _one_image(boxes: list[dict], groups_of, keys: tuple[str, ...], joins_text: bool) -> list[dict]:

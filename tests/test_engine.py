@@ -795,3 +795,33 @@ def test_plain_stages_follow_merged_ones(spark, monkeypatch):
     assert matching.half_steps(known) == [(3, False, float("inf"))]
     monkeypatch.setattr(matching, "DENSE", 0.05)
     assert matching.half_steps(known) == [(1, False, 1.5), (2, True, 2.0), (2, False, 2.5), (3, True, float("inf"))]
+
+
+def test_issues_are_computed_once(spark):
+    raw = spark.createDataFrame([("a", "19S206055", "x"), ("b", "19S", "x"), ("c", None, None)], "name string, numero_serie string, peso string")
+    log = inventory.issue_log(fields.normalised_record(raw))
+    plan = log._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("short_serial") == 1
+    assert {r.issue: r.n for r in log.collect()} == {"peso": 2, "short_serial": 1, "numero_serie": 1}
+
+
+def test_merged_lines_are_built_from_columns():
+    import sys
+
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("ord", pa.int64()), ("text", pa.string()), ("confidence", pa.float64()), *[(c, pa.float64()) for c in boxes.SIDES]]))
+    row = lambda k: {"ord": k, "text": "", "confidence": 0.5 + k / 100, "x1": 0.0, "y1": 100.0 * k, "x2": 50.0, "y2": 100.0 * k + 20}
+    lists = pa.array([[row(k) for k in range(4)]] * 500 + [[]], kind)
+    calls = [0]
+
+    def count(_frame, event, _arg):
+        calls[0] += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        lines = boxes.lines_of(lists, boxes.fragments, ("y1", "x1", "ord"), False)
+    finally:
+        sys.setprofile(None)
+    assert len(lines.flatten()) == 2000 and lines[500].as_py() == [] and calls[0] < 2 * 2000
+    assert lines[7].as_py()[1] == {"text": None, "confidence": 0.51, "x1": 0.0, "y1": 100.0, "x2": 50.0, "y2": 120.0, "n_boxes": 1}
