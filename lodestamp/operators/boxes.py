@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +16,7 @@ SAME_LINE, GAP_BACK, GAP_AHEAD, PIECES = 0.6, 0.5, 2.0, 4
 OVERLAP, FAR = 0.45, 3.0
 PAD_SIDE, PAD_ABOVE, PAD_BELOW = 0.35, 0.8, 2.5
 CROP_PAD, CROP_BOTTOM = 0.15, 0.90
+ROWS_IN_TASK = 500_000
 
 
 def plausible(df: DataFrame, ratio: float = 1.2) -> DataFrame:
@@ -256,9 +259,14 @@ def iou() -> Column:
 
 
 def match_boxes(pred: DataFrame, truth: DataFrame, least: float = 0.5) -> DataFrame:
-    """Each prediction with the truth box of its image and class that it covers best; a truth box counts for its most confident prediction. ``is_hit`` from ``least`` on."""
+    """Each prediction with the truth box of its image and class that it covers best; a truth box counts for its most confident prediction. ``is_hit`` from ``least`` on.
+
+    Images are spread over as many tasks as keep ROWS_IN_TASK predictions each, so that what a task sorts doesn't grow with the tables."""
+    spark = pred.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(pred.count() / ROWS_IN_TASK))
     p = pred.select("image_id", "class_id", F.col("box_ord").alias("p_ord"), "confidence", *[F.col(c).alias(f"p_{c}") for c in ("x1", "y1", "x2", "y2")])
     t = truth.select("image_id", "class_id", F.col("box_ord").alias("t_ord"), *[F.col(c).alias(f"t_{c}") for c in ("x1", "y1", "x2", "y2")])
+    p, t = (side.repartition(tasks, "image_id", "class_id") for side in (p, t))
     both = p.join(t, ["image_id", "class_id"], "left").withColumn("iou", F.coalesce(iou(), F.lit(0.0)))
     best = both.groupBy("image_id", "class_id", "p_ord", "confidence").agg(F.max(F.struct("iou", -F.col("t_ord"))).alias("m"))
     best = best.select("image_id", "class_id", "p_ord", "confidence", F.col("m.iou").alias("iou"), (-F.col("m.col2")).alias("t_ord"))
